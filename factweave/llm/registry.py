@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, idfile, secret_scan
+from factweave.llm import bpe, decontam, idfile, license_scan, linededup, minhash, oracle, secret_scan
 from factweave.llm.common import table
 
 
@@ -21,14 +21,30 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_file_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2)
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simple8b_ids, op10_token_efficiency)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simple8b_ids, op5_line_runs, op6_circulant_minhash, op7_spaced_seeds, op9_rare_token_index, op10_token_efficiency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_runs": oracle.LINES, "op6_circulant_minhash": oracle.NEAR_DUPLICATES}
