@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import SPACES, ascii_lower, scratch_path, settle, small_enough
 
-FANOUT, BATCHES = 3, 4
+FANOUT, BATCHES = 2, 3
 KEY = ["key_a", "key_b"]
 
 
@@ -48,8 +48,12 @@ class LineRuns:
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.union, [self.spark.table(n) for n in names]) if len(names) > 1 else self.spark.table(names[0])
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        def both(left: DataFrame, right: DataFrame) -> DataFrame:
+            other = right.withColumnsRenamed({"n_docs": "n", "last_doc": "last"}).hint("merge")
+            docs, last = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0)), F.greatest("last_doc", "last")
+            return left.join(other, KEY, "full").select(*KEY, docs.alias("n_docs"), last.alias("last_doc"))
+
+        return reduce(both, [self.spark.table(n) for n in names])
 
     def absorb(self, batch: DataFrame) -> None:
         """Adds a batch's keys (KEY, n_docs, last_doc; one row for each key). Batches come with descending doc_id."""
