@@ -24,7 +24,7 @@ from factweave.llm.pretokens import PreTokens
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 BLOCK = 4096
 #: Ids in one row of the file, about; a document is never split over rows.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 ESCAPE = 0
 
 

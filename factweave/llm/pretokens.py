@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 #: Words and pre-tokens that a worker remembers at most before it starts afresh.
-ROOM = 600_000
+ROOM = 250_000
 
 #: White space next to a space: such texts are split by the pattern as a whole.
 _UNEVEN = re.compile(r"\s | \s")
