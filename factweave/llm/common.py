@@ -78,3 +78,21 @@ def per_text(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[tup
 
     schema = ", ".join(["doc_id long", *(f"{n} {k}" for n, k in columns.items())])
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+
+
+def keep_texts(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of docs, all columns unchanged, for whose whole text (null: empty) a function says so; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = setup()
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                yield part.filter(pa.array(of([text or "" for text in part.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone; a null doc_id stays."""
+    return docs.join(small_enough(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factweave.llm import bpe, decontam, idfile, license_scan, linededup, minhash, oracle, secret_scan
+from factweave.llm import bpe, decontam, idfile, langid, license_scan, linededup, minhash, oracle, secret_scan, toxicity, vptree
 from factweave.llm.common import table
 
 
@@ -21,6 +22,17 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_file_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2)
 
 
+def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    found = langid.identify(docs, train=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +45,10 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -43,7 +59,7 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simple8b_ids, op5_line_runs, op6_circulant_minhash, op7_spaced_seeds, op9_rare_token_index, op10_token_efficiency)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simple8b_ids, op3_classifier_chain, op4_ftrl_language, op5_line_runs, op6_circulant_minhash, op7_spaced_seeds, op8_vantage_point_trees, op9_rare_token_index, op10_token_efficiency)}
 
 
 def oracle_sql() -> dict[str, str]:
