@@ -9,7 +9,9 @@ at a word of its own, whose number is in the offsets, so any block can be decode
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,13 +118,14 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0, last:
     return np.concatenate(parts)[first - lo * BLOCK : last - lo * BLOCK]
 
 
+@lru_cache(maxsize=2)  # loading takes longer than a small task
 def id_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, without special tokens."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    of = lambda tokens: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+    of = lambda tokens: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
     return PreTokens(f"ids {path} {pattern}", pattern, of).encode
 
 

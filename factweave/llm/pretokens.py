@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Words and pre-tokens that a worker remembers at most before it starts afresh.
-ROOM = 250_000
+#: Words and pre-tokens that a worker remembers at most before it starts afresh (about 150 bytes each).
+WORDS, TOKENS = 700_000, 200_000
 
 #: White space next to a space: such texts are split by the pattern as a whole.
 _UNEVEN = re.compile(r"\s | \s")
@@ -42,8 +42,8 @@ class PreTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words, tokens = self._words, self._tokens
-        for known in (words, tokens):
-            if len(known) > ROOM:
+        for known, room in ((words, WORDS), (tokens, TOKENS)):
+            if len(known) > room:
                 known.clear()
         cut = [None if _UNEVEN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
         heads = [self._split(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)]
