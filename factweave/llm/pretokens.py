@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 #: Words and pre-tokens that a worker remembers at most before it starts afresh (about 150 bytes each).
 WORDS, TOKENS = 700_000, 200_000
 
-#: White space next to a space: such texts are split by the pattern as a whole.
-_UNEVEN = re.compile(r"\s | \s")
+#: All white space but the space.
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _MARKS = frozenset(".,;:!?|")
 
 #: Per worker process: what earlier tasks of the same tokenizer have met.
 _MET: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
+def _even(text: str) -> bool:
+    """Whether each space stands between two other characters that aren't white space (or begins the text)."""
+    return "  " not in text and text[-1:] != " " and not any(c in text and (f"{c} " in text or f" {c}" in text) for c in _WHITE)
+
+
 class PreTokens:
     """Ids of whole texts, as little-endian unsigned 32-bit integers, for a tokenizer that encodes each match of a pattern alone.
 
@@ -32,8 +36,8 @@ class PreTokens:
         self._words, self._tokens = _MET.setdefault(key, ({}, {}))
 
     def _tokens_of(self, word: str) -> list[str]:
-        """Pre-tokens of a space and the word."""
-        if word < "ɐ" and max(word) < "ɐ":
+        """Pre-tokens of a space and the word. ASCII letters are the usual case; the pattern does the rest."""
+        if word.isascii() or max(word) < "ɐ":
             if word.isalpha():
                 return [f" {word}"]
             if word[-1] in _MARKS and word[:-1].isalpha():
@@ -45,15 +49,15 @@ class PreTokens:
         for known, room in ((words, WORDS), (tokens, TOKENS)):
             if len(known) > room:
                 known.clear()
-        cut = [None if _UNEVEN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
+        cut = [t.split(" ") if _even(t) else None for t in texts]
         heads = [self._split(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)]
-        missing = {w: self._tokens_of(w) for w in set().union(*(c[1:] for c in cut if c is not None)).difference(words)}
-        fresh = list(set().union(*heads, *missing.values()).difference(tokens))
+        parts = {w: self._tokens_of(w) for w in set().union(*(c[1:] for c in cut if c is not None)).difference(words)}
+        fresh = list(set().union(*heads, *parts.values()).difference(tokens))
         tokens.update(zip(fresh, self._encode_tokens(fresh), strict=True))
-        for word, parts in missing.items():
-            words[word] = b"".join(map(tokens.__getitem__, parts))
+        for word, pieces in parts.items():
+            words[word] = tokens[pieces[0]] if len(pieces) == 1 else b"".join([tokens[p] for p in pieces])
         out = []
         for head, c in zip(heads, cut, strict=True):
-            start = b"".join(map(tokens.__getitem__, head))
+            start = b"".join([tokens[t] for t in head])
             out.append(start if c is None else start + b"".join(map(words.__getitem__, c[1:])))
         return out
