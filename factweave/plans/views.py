@@ -123,7 +123,7 @@ VIEWS = {
           CASE l_partkey % 3 WHEN 0 THEN 'tier_u' WHEN 1 THEN NULL WHEN 2 THEN 'subsumption' END AS source_table, l_partkey AS source_row_id, l_partkey % 3 = 0 AND l_returnflag = 'A' AS is_assertion
         FROM {lineitem}""",
     "mappings": """
-        SELECT p_partkey AS id, 'pred_' || CAST(p_partkey % 97 AS STRING) AS predicate, 'P' || CAST(p_partkey % 40 AS STRING) AS property,
+        SELECT p_partkey AS id, 'pred_' || CAST(p_partkey % 97 AS STRING) AS predicate, 'P' || CAST(p_partkey % 41 AS STRING) AS property,
           CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'statement_value' ELSE 'subject' END AS subject_slot,
           CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'subject' ELSE 'statement_value' END AS object_slot,
           CASE p_partkey % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'place' END AS subject_type, CASE p_partkey % 4 WHEN 0 THEN 'place' WHEN 1 THEN 'human' END AS object_type,
