@@ -20,8 +20,8 @@ from factweave.llm.common import keep_texts, per_text, small_enough
 #: Categories before the last: a text with label toxic and one of these words has the category.
 CATEGORIES = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile", "jerk", "ignorant"),
-    "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting", "garbage", "filth", "vermin", "useless", "vile"),
-    "threat": ("kill", "die", "hurt", "destroy", "murder", "shoot", "burn"),
+    "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting", "garbage", "filth", "vermin", "useless", "despicable"),
+    "threat": ("kill", "murder", "shoot", "strangle", "behead", "lynch", "stab"),
 }
 #: Labelled rows that training takes at most (half of each label, if there are as many), words it looks at, folds.
 SAMPLE, VOCABULARY, FOLDS, FEWEST = 8000, 4000, 3, 20
