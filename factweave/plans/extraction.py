@@ -15,13 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _projection(name: str, source: str, columns: dict[str, Column], sql: str, where: Column | None = None, sql_where: str = "") -> None:
-    """A query that keeps the key and adds columns; sql has their expressions."""
+def _projection(name: str, source: str, columns: Callable[[], dict[str, Column]], sql: str, where: Callable[[], Column] | None = None, sql_where: str = "") -> None:
+    """A query that keeps the key and adds columns (made when it runs); sql has their expressions."""
     key = {"raw_claims": "claim_id", "claims": "claim_id", "kb_statements": "stmt_id"}[source]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = view(spark, sf_dir, source)
-        return (rows if where is None else rows.where(where)).select(key, *(c.alias(n) for n, c in columns.items()))
+        return (rows if where is None else rows.where(where())).select(key, *(c.alias(n) for n, c in columns().items()))
 
     QUERIES[name] = run
     SQL[name] = oracle(f"SELECT {key}, {sql} FROM {source} {sql_where}", source)
@@ -31,54 +31,59 @@ _STRIP = r"trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
 _NORM = rf"""coalesce(nullif(trim(regexp_replace(regexp_replace({_STRIP.format("regexp_replace(regexp_replace(CASE WHEN regexp_matches(p, '^(is|was|were|has|have|had|will|would|does|did)\\s+.*\\S') THEN regexp_replace(p, '^(is|was|were|has|have|had|will|would|does|did)\\s+', '') ELSE p END, '\\s+(the|a|an)$', ''), '[^0-9A-Za-z_\\s]', '_', 'g')")}, '\s+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'unknown_predicate')"""
 
 _FIRST = r"coalesce(regexp_matches(trim(subject), '(?i)^(i|me|my|mine|myself|we|us|our|ours|ourselves)$'), false)"
-subject, predicate, object_, source = (F.coalesce(c, F.lit("")) for c in (C("subject"), C("predicate"), C("object"), C("source_text")))
+
+
+def filled(name: str) -> Column:
+    return F.coalesce(C(name), F.lit(""))
+
+
 
 QUERIES["B3_normalize_predicate"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.normalize_predicate(C("predicate")).alias("predicate"))
 SQL["B3_normalize_predicate"] = oracle(f"SELECT claim_id, {_NORM} AS predicate FROM (SELECT claim_id, replace({_STRIP.format('lower(predicate)')}, '_', ' ') AS p FROM raw_claims)", "raw_claims")
-_projection("B4_first_person", "raw_claims", {"subject": text.canonical_subject(C("subject"), C("party")), "first_person": text.is_first_person(C("subject"))},
+_projection("B4_first_person", "raw_claims", lambda: {"subject": text.canonical_subject(C("subject"), C("party")), "first_person": text.is_first_person(C("subject"))},
             f"CASE WHEN {_FIRST} THEN party ELSE subject END AS subject, {_FIRST} AS first_person")
 _GROUND = f"(starts_with(s, 'event_') OR {_FIRST.replace('subject', 's')} OR contains(lower(t), lower(s)) OR contains(lower(t), lower(o)))"
 _FILLED = "SELECT claim_id, coalesce(subject, '') AS s, coalesce(predicate, '') AS p, coalesce(object, '') AS o, coalesce(source_text, '') AS t, party, polarity FROM raw_claims"
 QUERIES["B5_hard_claim_check"] = lambda spark, d: view(spark, d, "raw_claims").select(
-    "claim_id", (F.startswith(subject, F.lit("event_")) | text.is_first_person(subject) | text.contains_text(source, subject) | text.contains_text(source, object_)).alias("passes"))
+    "claim_id", (F.startswith(filled("subject"), F.lit("event_")) | text.is_first_person(filled("subject")) | text.contains_text(filled("source_text"), filled("subject")) | text.contains_text(filled("source_text"), filled("object"))).alias("passes"))
 SQL["B5_hard_claim_check"] = oracle(f"SELECT claim_id, {_GROUND} AS passes FROM ({_FILLED})", "raw_claims")
-QUERIES["B6_abstention_reason"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.abstention(subject, predicate, object_, source, F.lit(True)).alias("reason"))
+QUERIES["B6_abstention_reason"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.abstention(filled("subject"), filled("predicate"), filled("object"), filled("source_text"), F.lit(True)).alias("reason"))
 SQL["B6_abstention_reason"] = oracle(f"""SELECT claim_id, CASE WHEN trim(s) = '' OR NOT {_GROUND} THEN 'subject_absent_from_source' WHEN trim(lower(s)) = trim(lower(o)) THEN 'self_referential'
     WHEN trim(lower(p)) = trim(lower(o)) THEN 'predicate_eq_object' END AS reason FROM ({_FILLED})""", "raw_claims")
-_projection("B7_residence_rewrite", "raw_claims", {"predicate": text.residence(C("predicate"), C("source_text"))},
+_projection("B7_residence_rewrite", "raw_claims", lambda: {"predicate": text.residence(C("predicate"), C("source_text"))},
             r"CASE WHEN predicate = 'located_in' AND regexp_matches(source_text, '(?i)\b(lives?|lived|resides?|residing)\s+in\b') THEN 'lives_in' ELSE predicate END AS predicate")
-_projection("B8_null_coercion", "raw_claims", {"subject": subject, "object": object_, "polarity": F.coalesce(C("polarity"), F.lit(1))},
+_projection("B8_null_coercion", "raw_claims", lambda: {"subject": filled("subject"), "object": filled("object"), "polarity": F.coalesce(C("polarity"), F.lit(1))},
             "coalesce(subject, '') AS subject, coalesce(object, '') AS object, coalesce(polarity, 1) AS polarity")
-_scope = text.temporal_scope(C("verb_tense"), C("valid_from"), C("valid_until"), C("valid_during_ref"))
-_projection("B9_temporal_scope", "raw_claims", {"valid_from": _scope["valid_from"], "valid_until": _scope["valid_until"]},
+_scope = lambda: text.temporal_scope(C("verb_tense"), C("valid_from"), C("valid_until"), C("valid_during_ref"))
+_projection("B9_temporal_scope", "raw_claims", lambda: {"valid_from": _scope()["valid_from"], "valid_until": _scope()["valid_until"]},
             """CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN valid_from END AS valid_from,
             CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN valid_until WHEN valid_during_ref IS NOT NULL THEN NULL WHEN verb_tense = 'past' THEN 'before_present' END AS valid_until""",
-            ~_scope["future"], "WHERE verb_tense <> 'future'")
-_scoped = C("valid_from").isNotNull() | C("valid_until").isNotNull() | C("valid_during_ref").isNotNull()
+            lambda: ~_scope()["future"], "WHERE verb_tense <> 'future'")
+_scoped = lambda: C("valid_from").isNotNull() | C("valid_until").isNotNull() | C("valid_during_ref").isNotNull()
 _lists = ", ".join(f"'{p}'" for p in (*text.ALWAYS, *text.COMPARATIVE, *text.TEMPORAL))
-_projection("B10_triage", "raw_claims", {"triage": text.triage(predicate, subject, object_, _scoped)},
+_projection("B10_triage", "raw_claims", lambda: {"triage": text.triage(filled("predicate"), filled("subject"), filled("object"), _scoped())},
             rf"""CASE WHEN coalesce(predicate, '') IN ({_lists}) OR regexp_matches(coalesce(object, ''), '\b[0-9]+[,.]?[0-9]*\b') OR regexp_matches(coalesce(subject, ''), '\b[A-Z][a-zA-Z]')
             OR regexp_matches(coalesce(object, ''), '\b[A-Z][a-zA-Z]') OR valid_from IS NOT NULL OR valid_until IS NOT NULL OR valid_during_ref IS NOT NULL THEN 'verify' ELSE 'inert_prose' END AS triage""")
-_projection("B11_strip_article", "raw_claims", {"subject": text.strip_article(C("subject"))}, r"coalesce(nullif(regexp_replace(subject, '(?i)^(the|a|an)\s+', ''), ''), subject) AS subject")
-_projection("B12_slot_normalisation", "raw_claims", {"subject": text.normalize_slot(C("subject"), C("party"))},
+_projection("B11_strip_article", "raw_claims", lambda: {"subject": text.strip_article(C("subject"))}, r"coalesce(nullif(regexp_replace(subject, '(?i)^(the|a|an)\s+', ''), ''), subject) AS subject")
+_projection("B12_slot_normalisation", "raw_claims", lambda: {"subject": text.normalize_slot(C("subject"), C("party"))},
             r"CASE WHEN trim(subject) = '' OR subject = party OR starts_with(subject, 'event_') THEN subject ELSE coalesce(nullif(regexp_replace(subject, '(?i)^(the|a|an)\s+', ''), ''), subject) END AS subject")
-QUERIES["B13_source_grounding"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.source_grounded(subject, object_, source, C("party")).alias("grounded"))
+QUERIES["B13_source_grounding"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.source_grounded(filled("subject"), filled("object"), filled("source_text"), C("party")).alias("grounded"))
 SQL["B13_source_grounding"] = oracle(f"SELECT claim_id, trim(t) <> '' AND (s = party OR contains(lower(t), lower(s))) AND (o = '' OR contains(lower(t), lower(o))) AS grounded FROM ({_FILLED})", "raw_claims")
-_projection("B14_vague_class", "raw_claims", {"vague": text.is_vague(C("object"))},
+_projection("B14_vague_class", "raw_claims", lambda: {"vague": text.is_vague(C("object"))},
             "coalesce(regexp_matches(trim(lower(object)), '^(a|an|some|any) ') OR regexp_matches(trim(lower(object)), ' (that|which|where|whose|who) '), false) AS vague")
 _CUTS = "|".join(text.CUTS)
 QUERIES["B15_vague_class_head"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.vague_head(C("object")).alias("head"))
 SQL["B15_vague_class_head"] = oracle(f"""SELECT claim_id, nullif(trim(CASE WHEN regexp_matches(h, '(?i) ({_CUTS}) ') THEN regexp_extract(h, '(?i)^(.*?) (?:{_CUTS}) ', 1) ELSE h END), '') AS head
     FROM (SELECT claim_id, trim(regexp_extract(trim(object), '(?i)^(?:an|a|some|any) +(.*)$', 1)) AS h FROM raw_claims)""", "raw_claims")
-_projection("B19_id_shapes", "kb_statements", {"entity_id": C("value").rlike("^[A-Z]+[0-9]+$"), "property_id": C("property").rlike("^P[0-9]+$")},
+_projection("B19_id_shapes", "kb_statements", lambda: {"entity_id": C("value").rlike("^[A-Z]+[0-9]+$"), "property_id": C("property").rlike("^P[0-9]+$")},
             "regexp_matches(value, '^[A-Z]+[0-9]+$') AS entity_id, regexp_matches(property, '^P[0-9]+$') AS property_id")
 
 _UNIT = r"CASE lower(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(million|billion|thousand|hundred|bn|m|k)?', 2)) WHEN '' THEN 1.0 WHEN 'hundred' THEN 1e2 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 ELSE 1e9 END"
 _QUANTITY = r"try_cast(replace(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(million|billion|thousand|hundred|bn|m|k)?', 1), ',', '') AS DOUBLE) * " + _UNIT
 _STRICT = r"CASE WHEN regexp_full_match(trim({0}), '(?i)[-+]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\.[0-9]+)?\s*(million|billion|thousand|hundred|m|bn|k)?') THEN " + _QUANTITY + " END"
-_projection("E1_loose_quantity", "raw_claims", {"quantity": text.parse_quantity(C("object"))}, _QUANTITY.format("object") + " AS quantity")
-_projection("E2_strict_number", "claims", {"number": text.strict_number(C("object"))}, _STRICT.format("object") + " AS number")
-_projection("E3_strict_year", "claims", {"year": text.strict_year(C("object"))}, "CASE WHEN regexp_full_match(trim(object), '[-+]?[0-9]{1,4}') THEN try_cast(replace(trim(object), '+', '') AS INT) END AS year")
+_projection("E1_loose_quantity", "raw_claims", lambda: {"quantity": text.parse_quantity(C("object"))}, _QUANTITY.format("object") + " AS quantity")
+_projection("E2_strict_number", "claims", lambda: {"number": text.strict_number(C("object"))}, _STRICT.format("object") + " AS number")
+_projection("E3_strict_year", "claims", lambda: {"year": text.strict_year(C("object"))}, "CASE WHEN regexp_full_match(trim(object), '[-+]?[0-9]{1,4}') THEN try_cast(replace(trim(object), '+', '') AS INT) END AS year")
 #: Computable claims made of keys: compared numbers, years, powers and counted strings.
 _SUMS = """SELECT p_partkey AS claim_id,
   CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(1900 + p_size AS STRING) WHEN 2 THEN CAST(p_size % 9 AS STRING) WHEN 3 THEN 'the word ' || p_name ELSE p_name END AS subject,
@@ -101,9 +106,9 @@ _COMPARATOR = _sql_case([*((t, None) for t in text.ARITHMETIC), *text.COMPARATOR
 _YEARS = _sql_case([("before", "lt"), ("earlier_than", "lt"), ("older_than", "lt"), ("after", "gt"), ("later_than", "gt"), ("younger_than", "gt")], "lower(predicate)")
 QUERIES["E4_comparator"] = lambda spark, d: _sums(spark, d).select("claim_id", text.comparator(C("predicate")).alias("comparator"), text.year_comparator(C("predicate")).alias("year_comparator"))
 SQL["E4_comparator"] = f"SELECT claim_id, {_COMPARATOR} AS comparator, {_YEARS} AS year_comparator FROM ({_SUMS.format(part='part')})"
-_target = text.count_target(C("subject"))
-QUERIES["E8_string_counts"] = lambda spark, d: _sums(spark, d).select("claim_id", text.count_measure(C("predicate")).alias("measure"), _target.alias("target"),
-    F.array_join(text.acceptable_counts(text.count_measure(C("predicate")), _target), ",").alias("counts"))
+_target = lambda: text.count_target(C("subject"))
+QUERIES["E8_string_counts"] = lambda spark, d: _sums(spark, d).select("claim_id", text.count_measure(C("predicate")).alias("measure"), _target().alias("target"),
+    F.array_join(text.acceptable_counts(text.count_measure(C("predicate")), _target()), ",").alias("counts"))
 _MEASURE = "CASE predicate WHEN 'vowel_count' THEN 'vowel' WHEN 'number_of_letters' THEN 'letter' WHEN 'word_count' THEN 'word' WHEN 'count_consonants' THEN 'consonant' WHEN 'count_character' THEN 'character' END"
 _TARGET = r"trim(trim(CASE WHEN regexp_matches(subject, '(?i)^the\s+word\s+.') THEN regexp_extract(subject, '(?i)^the\s+word\s+(.*)$', 1) ELSE subject END), '''""“”‘’')"
 _COUNTS = r"""CASE m WHEN 'vowel' THEN length(regexp_replace(lower(t), '[^aeiou]', '', 'g')) || ',' || length(regexp_replace(lower(t), '[^aeiouy]', '', 'g'))
@@ -133,12 +138,12 @@ def _precision(c: str) -> str:
     return f"CASE WHEN {_part(c, 'd')} IS NOT NULL THEN 3 WHEN {_part(c, 'm')} IS NOT NULL THEN 2 WHEN {_part(c, 'y')} IS NOT NULL THEN 1 END"
 
 
-_projection("D2_date_parts", "claims", {"year": dates.year(C("object")), "month": dates.month(C("object")), "day": dates.day(C("object"))},
+_projection("D2_date_parts", "claims", lambda: {"year": dates.year(C("object")), "month": dates.month(C("object")), "day": dates.day(C("object"))},
             f"{_part('object', 'y')} AS year, {_part('object', 'm')} AS month, {_part('object', 'd')} AS day")
-_projection("D3_date_precision", "claims", {"precision": dates.precision(C("object"))}, f"{_precision('object')} AS precision")
-_projection("D11_approximate_year", "raw_claims", {"year": dates.approximate_year(C("object"))},
+_projection("D3_date_precision", "claims", lambda: {"precision": dates.precision(C("object"))}, f"{_precision('object')} AS precision")
+_projection("D11_approximate_year", "raw_claims", lambda: {"year": dates.approximate_year(C("object"))},
             r"nullif(regexp_extract(trim(object), '(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$', 1), '') AS year")
-_projection("D12_year_of_value", "kb_statements", {"year": dates.year(C("value"))}, f"{_part('value', 'y')} AS year")
+_projection("D12_year_of_value", "kb_statements", lambda: {"year": dates.year(C("value"))}, f"{_part('value', 'y')} AS year")
 
 
 def date_relation_sql(claimed: str, known: str) -> str:
@@ -157,8 +162,7 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DATED = "FROM claims JOIN kb_statements ON subject = entity AND property = 'P585' AND rank <> 'deprecated' WHERE predicate = 'ordered_on'"
 QUERIES["D4_date_relation"] = lambda spark, d: _dated(spark, d).select("claim_id", dates.relation(C("object"), C("value")).alias("relation"))
 SQL["D4_date_relation"] = oracle(f"SELECT claim_id, {date_relation_sql('object', 'value')} AS relation {_DATED}", "claims", "kb_statements")
-_now = F.to_date(F.lit(NOW[:10]))
-_EARLY = "make_date({y}, coalesce({m}, 1), coalesce({d}, 1))"
+_now = lambda: F.to_date(F.lit(NOW[:10]))
 
 
 def earliest_sql(c: str) -> str:
@@ -169,12 +173,12 @@ def latest_sql(c: str) -> str:
     return f"CASE WHEN {_part(c, 'd')} IS NOT NULL THEN {earliest_sql(c)} ELSE last_day(make_date({_part(c, 'y')}, coalesce({_part(c, 'm')}, 12), 1)) END"
 
 
-_projection("D5_date_bounds", "kb_statements", {"earliest": dates.earliest(C("start_q")).cast("string"), "latest": dates.latest(C("end_q")).cast("string")},
-            f"CAST({earliest_sql('start_q')} AS VARCHAR) AS earliest, CAST({latest_sql('end_q')} AS VARCHAR) AS latest", C("start_q").isNotNull(), "WHERE start_q IS NOT NULL")
-_now_then = F.to_date(F.lit("2012-06-01"))
-_projection("D6_provable_bounds", "kb_statements", {"past": dates.provably_past(C("end_q"), _now_then), "future": dates.provably_future(C("start_q"), _now_then)},
+_projection("D5_date_bounds", "kb_statements", lambda: {"earliest": dates.earliest(C("start_q")).cast("string"), "latest": dates.latest(C("end_q")).cast("string")},
+            f"CAST({earliest_sql('start_q')} AS VARCHAR) AS earliest, CAST({latest_sql('end_q')} AS VARCHAR) AS latest", lambda: C("start_q").isNotNull(), "WHERE start_q IS NOT NULL")
+_now_then = lambda: F.to_date(F.lit("2012-06-01"))
+_projection("D6_provable_bounds", "kb_statements", lambda: {"past": dates.provably_past(C("end_q"), _now_then()), "future": dates.provably_future(C("start_q"), _now_then())},
             f"coalesce({latest_sql('end_q')} < DATE '2012-06-01', false) AS past, coalesce({earliest_sql('start_q')} > DATE '2012-06-01', false) AS future")
-_projection("D7_present_unscoped", "claims", {"unscoped": dates.present_unscoped(C("valid_from"), C("valid_until")), "reaches_present": C("valid_until").isNull()},
+_projection("D7_present_unscoped", "claims", lambda: {"unscoped": dates.present_unscoped(C("valid_from"), C("valid_until")), "reaches_present": C("valid_until").isNull()},
             "valid_from IS NULL AND valid_until IS NULL AS unscoped, valid_until IS NULL AS reaches_present")
 
 
@@ -189,17 +193,17 @@ def _scoped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.join(view(spark, sf_dir, "kb_labels"), C("label") == C("subject")).join(known, C("entity") == C("kb_id"))
 
 
-QUERIES["D8_scope_compatibility"] = lambda spark, d: _scoped_pairs(spark, d).select("claim_id", "stmt_id", dates.compatible(C("start_q"), C("end_q"), C("valid_from"), C("valid_until"), _now).alias("compatible"))
+QUERIES["D8_scope_compatibility"] = lambda spark, d: _scoped_pairs(spark, d).select("claim_id", "stmt_id", dates.compatible(C("start_q"), C("end_q"), C("valid_from"), C("valid_until"), _now()).alias("compatible"))
 SQL["D8_scope_compatibility"] = oracle(f"""SELECT claim_id, stmt_id, {compatible_sql('start_q', 'end_q', 'valid_from', 'valid_until')} AS compatible
     FROM claims JOIN kb_labels ON label = subject JOIN kb_statements ON entity = kb_id AND property = 'P17'""", "claims", "kb_labels", "kb_statements")
 
 # ---- decomposition ----
-_words = F.filter(F.split(C("text"), r"[ \n]+"), lambda w: w != "")
+_words = lambda: F.filter(F.split(C("text"), r"[ \n]+"), lambda w: w != "")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns read as events: the first two words took part, the role is the type; the third word is the target of odd turns."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("w", _words)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("w", _words())
     key = F.concat(F.lit("event_"), F.substring(F.sha2(F.concat_ws("/", "conv_id", "turn"), 256), 1, 8))
     parts = F.transform(F.slice("w", 1, 2), lambda p: F.struct(F.lit("has_participant").alias("predicate"), p.alias("object")))
     kind = F.array(F.struct(F.lit("event_type").alias("predicate"), C("role").alias("object")))
@@ -219,8 +223,8 @@ SQL["B2_event_decomposition"] = r"""WITH t AS (SELECT conv_id, turn, role, list_
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw claims to checked claims: nulls filled, future dropped, predicate normalised, subject made canonical, reason given."""
-    rows = view(spark, sf_dir, "raw_claims").where("verb_tense <> 'future'").select("claim_id", text.canonical_subject(subject, C("party")).alias("subject"),
-        text.normalize_predicate(predicate).alias("predicate"), object_.alias("object"), F.coalesce(C("polarity"), F.lit(1)).alias("polarity"), source.alias("t"), C("party"))
+    rows = view(spark, sf_dir, "raw_claims").where("verb_tense <> 'future'").select("claim_id", text.canonical_subject(filled("subject"), C("party")).alias("subject"),
+        text.normalize_predicate(filled("predicate")).alias("predicate"), filled("object").alias("object"), F.coalesce(C("polarity"), F.lit(1)).alias("polarity"), filled("source_text").alias("t"), C("party"))
     reason = F.when(C("subject") == "", "subject_absent_from_source").when(~(F.startswith("subject", F.lit("event_")) | (C("subject") == C("party")) | text.contains_text(C("t"), C("subject"))
         | text.contains_text(C("t"), C("object"))), "subject_absent_from_source")
     return rows.select("claim_id", "subject", "predicate", "object", "polarity", reason.alias("abstention_reason"))

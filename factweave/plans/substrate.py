@@ -112,8 +112,8 @@ SQL["G13_neighbour_probes"] = oracle(f"""WITH {RESOLVED}, n AS (SELECT claim_id,
   r AS (SELECT DISTINCT claim_id, neighbour FROM n JOIN st USING (node)) SELECT claim_id, count(*) AS probes, max(neighbour) AS last FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY neighbour) AS k FROM r) WHERE k <= 48 GROUP BY claim_id""", "claims", "kb_labels", "kb_edges")
 QUERIES["G14_premise_forward"] = lambda s, d: view(s, d, "party_claims").where("polarity = 1").join(view(s, d, "tier_u").where("NOT retracted AND polarity = 1").select("party", "subject", "predicate", C("object").alias("held")).distinct(), ["party", "subject", "predicate"]).where("held < object").groupBy("claim_id").agg(F.min("held").alias("substitute"))
 SQL["G14_premise_forward"] = oracle("SELECT claim_id, min(t.object) AS substitute FROM party_claims c JOIN tier_u t ON t.party = c.party AND t.subject = c.subject AND t.predicate = c.predicate AND NOT retracted AND t.polarity = 1 AND t.object < c.object WHERE c.polarity = 1 GROUP BY claim_id", "party_claims", "tier_u")
-_GUARD = F.when(C("abstention_reason").isNotNull(), "abstain").when((C("source") == "tier_u") & (C("depth") > 2), "user_subject_required").when(C("verdict").startswith("contradicted") & (C("claim_id") % 10 == 1), "vague_subject_existential").otherwise("walk")
-QUERIES["H1_short_circuits"] = lambda s, d: view(s, d, "verdicts").select("claim_id", _GUARD.alias("route"))
+_GUARD = lambda: F.when(C("abstention_reason").isNotNull(), "abstain").when((C("source") == "tier_u") & (C("depth") > 2), "user_subject_required").when(C("verdict").startswith("contradicted") & (C("claim_id") % 10 == 1), "vague_subject_existential").otherwise("walk")
+QUERIES["H1_short_circuits"] = lambda s, d: view(s, d, "verdicts").select("claim_id", _GUARD().alias("route"))
 SQL["H1_short_circuits"] = oracle("SELECT claim_id, CASE WHEN abstention_reason IS NOT NULL THEN 'abstain' WHEN source = 'tier_u' AND depth > 2 THEN 'user_subject_required' WHEN verdict LIKE 'contradicted%' AND claim_id % 10 = 1 THEN 'vague_subject_existential' ELSE 'walk' END AS route FROM verdicts", "verdicts")
 QUERIES["H6_external_order"] = lambda s, d: view(s, d, "claims").join(view(s, d, "predicates"), "predicate").select("claim_id", F.when(C("routing_hint") == "kb_quantitative", 1).when(C("object_type") == "time", 2).when(C("property").isNotNull(), 3).otherwise(4).alias("branch"))
 SQL["H6_external_order"] = oracle("SELECT claim_id, CASE WHEN routing_hint = 'kb_quantitative' THEN 1 WHEN object_type = 'time' THEN 2 WHEN property IS NOT NULL THEN 3 ELSE 4 END AS branch FROM claims JOIN predicates USING (predicate)", "claims", "predicates")
@@ -126,7 +126,7 @@ SQL["A8_json_lines"] = oracle("SELECT case_id, failure_mode, ground_truth FROM c
 QUERIES["A24_verification_sink"] = lambda s, d: files.replace_partitions(view(s, d, "verdicts").select("verification_id", "claim_id", "verdict"), view(s, d, "verdicts").where("verification_id % 4 = 1").select("verification_id", "claim_id", F.lit("rewritten").alias("verdict")), "verification_id")
 SQL["A24_verification_sink"] = oracle("SELECT verification_id, claim_id, CASE WHEN verification_id % 4 = 1 THEN 'rewritten' ELSE verdict END AS verdict FROM verdicts", "verdicts")
 QUERIES["A6_seed_bindings"] = lambda s, d: view(s, d, "mappings").select("id", F.posexplode(F.array_distinct(F.array(C("property"), F.concat(F.lit("P"), (C("id") % 7).cast("string"))))).alias("place", "property")).select("id", "place", "property", F.when(C("place") == 0, 1.0).otherwise(0.4).alias("rank"))
-SQL["A6_seed_bindings"] = oracle("SELECT id, 0 AS place, property, 1.0 AS rank FROM mappings UNION ALL SELECT id, 1, 'P' || (id % 7), 0.4 FROM mappings WHERE property <> 'P' || (id % 7)", "mappings")
+SQL["A6_seed_bindings"] = oracle("SELECT id, 0 AS place, property, CAST(1.0 AS DOUBLE) AS rank FROM mappings UNION ALL SELECT id, 1, 'P' || (id % 7), CAST(0.4 AS DOUBLE) FROM mappings WHERE property <> 'P' || (id % 7)", "mappings")
 QUERIES["A3_schema_migration"] = lambda s, d: view(s, d, "mappings").select("id", "predicate").where("id % 2 = 0").unionByName(view(s, d, "mappings").select("id", "predicate", "pinned").where("id % 2 = 1"), allowMissingColumns=True)
 SQL["A3_schema_migration"] = oracle("SELECT id, predicate, CASE WHEN id % 2 = 1 THEN pinned END AS pinned FROM mappings", "mappings")
 QUERIES["A13_label_type_lookup"] = lambda s, d: view(s, d, "kb_labels").join(view(s, d, "kb_edges").where("property = 'P31' AND dst IN ('country', 'continent')").select(C("src").alias("kb_id")), "kb_id", "left_semi").select("label", "kb_id")
