@@ -152,9 +152,10 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     wanted = settle(ties.select("doc_id").distinct(), "wanted")
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(wanted), "doc_id", "left_semi")
     sets = settle(_sets(first, width), "sets")
-    blocks = ties.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    members = ties.join(blocks, "hub").withColumn("own", own)
+    blocks = ties.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    large = small_enough(settle(blocks, "blocks"))  # a row for each hub with more than one block, few beside the ties
+    members = ties.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = members.select("hub", "doc_id", "own", other.alias("other")).select(
         "hub", "doc_id", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("with"))
