@@ -150,3 +150,53 @@ QUERIES["M12_ordered_dedupe"] = lambda s, d: view(s, d, "tier_u").groupBy("party
 SQL["M12_ordered_dedupe"] = oracle("SELECT party, object, min(id) AS first_id FROM tier_u GROUP BY party, object", "tier_u")
 QUERIES["M10_type_overlap"] = lambda s, d: view(s, d, "mappings").select("id", F.arrays_overlap(F.array("subject_type"), F.array("object_type")).alias("overlap")).select("id", F.coalesce("overlap", F.lit(False)).alias("overlap"))
 SQL["M10_type_overlap"] = oracle("SELECT id, coalesce(subject_type = object_type, false) AS overlap FROM mappings", "mappings")
+
+# ---- endpoints, gates and sets ----
+
+
+def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the start or end that a party's rows agree on, by the kind of their predicate."""
+    rows = view(spark, sf_dir, "tier_u").where("NOT retracted AND predicate IN ('signup', 'purchase')").select("party", F.when(C("predicate") == "signup", "started").otherwise("ended").alias("side"), F.coalesce("valid_from", "valid_until").alias("date"))
+    told = rows.where("date IS NOT NULL AND date <> 'before_present'").groupBy("party", "side").agg(F.count_distinct("date").alias("n"), F.min("date").alias("date"))
+    return told.where("n = 1").select("party", "side", "date")
+
+
+QUERIES["F3_asserted_endpoints"] = _endpoints
+_ENDS = """SELECT party, CASE predicate WHEN 'signup' THEN 'started' ELSE 'ended' END AS side, min(coalesce(valid_from, valid_until)) AS date FROM tier_u WHERE NOT retracted AND predicate IN ('signup', 'purchase')
+  AND coalesce(valid_from, valid_until) <> 'before_present' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(valid_from, valid_until)) = 1"""
+SQL["F3_asserted_endpoints"] = oracle(_ENDS, "tier_u")
+QUERIES["F4_interval_merge"] = lambda s, d: _endpoints(s, d).groupBy("party").agg(F.max(F.when(C("side") == "started", C("date"))).alias("asserted_start"), F.max(F.when(C("side") == "ended", C("date"))).alias("asserted_end")).select("party", F.coalesce("asserted_start", F.lit("2020-01-01")).alias("start_date"), "asserted_end")
+SQL["F4_interval_merge"] = oracle(f"SELECT party, coalesce(max(date) FILTER (WHERE side = 'started'), '2020-01-01') AS start_date, max(date) FILTER (WHERE side = 'ended') AS asserted_end FROM ({_ENDS}) GROUP BY party", "tier_u")
+QUERIES["F6_iso_or_null"] = lambda s, d: view(s, d, "tier_u").select("id", F.nullif(F.nullif(F.trim("valid_until"), F.lit("")), F.lit("before_present")).alias("end_date"))
+SQL["F6_iso_or_null"] = oracle("SELECT id, nullif(nullif(trim(valid_until), ''), 'before_present') AS end_date FROM tier_u", "tier_u")
+QUERIES["D10_unconfirmed_start"] = lambda s, d: _resolved(s, d).where("valid_from IS NOT NULL").join(view(s, d, "kb_statements").where("property = 'P17'").select(C("entity").alias("subject_id"), C("value").alias("object_id"), "start_q"), ["subject_id", "object_id"]).groupBy("claim_id").agg(F.bool_and(C("start_q").isNull()).alias("unconfirmed"))
+SQL["D10_unconfirmed_start"] = oracle(f"WITH {RESOLVED} SELECT claim_id, bool_and(start_q IS NULL) AS unconfirmed FROM resolved JOIN kb_statements ON entity = subject_id AND value = object_id AND property = 'P17' WHERE valid_from IS NOT NULL GROUP BY claim_id", "claims", "kb_labels", "kb_statements")
+QUERIES["D9_too_early_match"] = lambda s, d: _resolved(s, d).where("valid_from IS NOT NULL").join(view(s, d, "kb_statements").where("property = 'P17' AND rank <> 'deprecated' AND start_q IS NOT NULL AND end_q IS NULL").select(C("entity").alias("subject_id"), C("value").alias("object_id"), "start_q"), ["subject_id", "object_id"]).where((C("valid_from") < C("start_q")) & ~F.startswith(C("start_q"), C("valid_from"))).select("claim_id").distinct()
+SQL["D9_too_early_match"] = oracle(f"WITH {RESOLVED} SELECT DISTINCT claim_id FROM resolved JOIN kb_statements ON entity = subject_id AND value = object_id AND property = 'P17' AND rank <> 'deprecated' WHERE start_q IS NOT NULL AND end_q IS NULL AND valid_from < start_q AND NOT starts_with(start_q, valid_from)", "claims", "kb_labels", "kb_statements")
+QUERIES["G12_enumeration_skip"] = lambda s, d: view(s, d, "claims").join(view(s, d, "predicates"), "predicate").select("claim_id", ((C("single_valued") & (C("object_type") == "entity")) | C("property").isNull()).alias("skip"))
+SQL["G12_enumeration_skip"] = oracle("SELECT claim_id, (single_valued AND object_type = 'entity') OR property IS NULL AS skip FROM claims JOIN predicates USING (predicate)", "claims", "predicates")
+QUERIES["G18_entity_substitution"] = lambda s, d: _resolved(s, d).where("object_id LIKE 'R%'").join(view(s, d, "kb_edges").where("property = 'P30'").select(C("dst").alias("object_id"), C("src").alias("substitute")), "object_id").select("claim_id", "subject_id", "substitute")
+SQL["G18_entity_substitution"] = oracle(f"WITH {RESOLVED} SELECT claim_id, subject_id, src AS substitute FROM resolved JOIN kb_edges ON dst = object_id AND property = 'P30' WHERE object_id LIKE 'R%'", "claims", "kb_labels", "kb_edges")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of a reference whose types meet the expected ones; all of them where none does."""
+    kinds = view(spark, sf_dir, "kb_edges").where("property = 'P31'").groupBy(C("src").alias("kb_id")).agg(F.collect_set("dst").alias("types"))
+    rows = view(spark, sf_dir, "kb_labels").join(kinds, "kb_id", "left").withColumn("meets", F.coalesce(F.arrays_overlap("types", F.array(F.lit("country"), F.lit("B1"), F.lit("B2"))), F.lit(False)))
+    rows = rows.withColumn("some", F.bool_or("meets").over(Window.partitionBy("label")))
+    return rows.where("meets OR NOT some").select("label", "kb_id")
+
+
+QUERIES["I3_type_filter"] = _typed
+SQL["I3_type_filter"] = oracle("""WITH r AS (SELECT label, kb_id, EXISTS (SELECT 1 FROM kb_edges e WHERE e.src = kb_id AND property = 'P31' AND dst IN ('country', 'B1', 'B2')) AS meets FROM kb_labels)
+  SELECT label, kb_id FROM r WHERE meets OR NOT EXISTS (SELECT 1 FROM r o WHERE o.label = r.label AND o.meets)""", "kb_labels", "kb_edges")
+QUERIES["I12_query_neighbours"] = lambda s, d: view(s, d, "subsumptions").where("NOT retracted").groupBy("a", "relation").agg(F.count_distinct("b").alias("neighbours"))
+SQL["I12_query_neighbours"] = oracle("SELECT a, relation, count(DISTINCT b) AS neighbours FROM subsumptions WHERE NOT retracted GROUP BY a, relation", "subsumptions")
+QUERIES["J3_inverse_coherence"] = lambda s, d: view(s, d, "mappings").select("id", (F.coalesce(C("subject_type") == C("object_type"), F.lit(False)) & (C("subject_slot") == "statement_value")).alias("suspect"))
+SQL["J3_inverse_coherence"] = oracle("SELECT id, coalesce(subject_type = object_type, false) AND subject_slot = 'statement_value' AS suspect FROM mappings", "mappings")
+QUERIES["M5_candidate_gap"] = lambda s, d: view(s, d, "mappings").groupBy("predicate").agg(F.slice(F.sort_array(F.collect_list("consulted"), asc=False), 1, 2).alias("top")).select("predicate", (F.get("top", F.lit(0)) - F.get("top", F.lit(1))).alias("gap"))
+SQL["M5_candidate_gap"] = oracle("SELECT predicate, max(consulted) FILTER (WHERE n = 1) - max(consulted) FILTER (WHERE n = 2) AS gap FROM (SELECT predicate, consulted, row_number() OVER (PARTITION BY predicate ORDER BY consulted DESC) AS n FROM mappings) GROUP BY predicate", "mappings")
+QUERIES["M9_candidate_union"] = lambda s, d: view(s, d, "subsumptions").select(C("a").alias("entity"), F.lit("substrate").alias("source")).unionByName(view(s, d, "kb_labels").select(C("label").alias("entity"), F.lit("kb").alias("source"))).groupBy("entity").agg(F.count_distinct("source").alias("sources"))
+SQL["M9_candidate_union"] = oracle("SELECT entity, count(DISTINCT source) AS sources FROM (SELECT a AS entity, 'substrate' AS source FROM subsumptions UNION ALL SELECT label, 'kb' FROM kb_labels) GROUP BY entity", "subsumptions", "kb_labels")
+QUERIES["M11_set_difference"] = lambda s, d: view(s, d, "claims").select("subject").subtract(view(s, d, "kb_labels").select("label"))
+SQL["M11_set_difference"] = oracle("SELECT subject FROM claims EXCEPT SELECT label FROM kb_labels", "claims", "kb_labels")

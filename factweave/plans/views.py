@@ -52,7 +52,7 @@ VIEWS = {
         SELECT c_custkey * 10 AS stmt_id, 'C' || CAST(c_custkey AS STRING) AS entity, 'P17' AS property, 'N' || CAST(c_nationkey AS STRING) AS value, 'entity' AS value_type,
           CASE c_custkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'preferred' ELSE 'normal' END AS rank,
           CASE WHEN c_custkey % 3 = 0 THEN CAST(1990 + c_custkey % 20 AS STRING) || '-03-05' END AS start_q,
-          CASE WHEN c_custkey % 6 = 0 THEN CAST(2012 + c_custkey % 9 AS STRING) || '-10-01' END AS end_q
+          CASE WHEN c_custkey % 24 = 0 THEN CAST(2012 + c_custkey % 9 AS STRING) || '-10-01' END AS end_q
         FROM {customer}
         UNION ALL SELECT c_custkey * 10 + 1, 'C' || CAST(c_custkey AS STRING), 'P17', 'N' || CAST((c_nationkey + 1) % 25 AS STRING), 'entity', 'normal',
           CASE WHEN c_custkey % 4 = 0 THEN '2001' END, CASE WHEN c_custkey % 8 = 0 THEN '2009-06' END
@@ -77,7 +77,7 @@ VIEWS = {
     "claims": """
         SELECT c_custkey * 4 AS claim_id, c_custkey AS statement_id, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'based_in' END AS predicate,
           CASE c_custkey % 4 WHEN 0 THEN t.n_name WHEN 1 THEN u.n_name WHEN 2 THEN r_name ELSE 'nowhere at all' END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
-          'user_' || CAST(c_custkey % 150 AS STRING) AS party, CASE WHEN c_custkey % 6 = 1 THEN CAST(1995 + c_custkey % 15 AS STRING) END AS valid_from,
+          'user_' || CAST(c_custkey % 150 AS STRING) AS party, CASE WHEN c_custkey % 6 < 2 THEN CAST(1995 + c_custkey % 15 AS STRING) END AS valid_from,
           CASE WHEN c_custkey % 10 = 4 THEN 'before_present' END AS valid_until
         FROM {customer} JOIN {nation} t ON t.n_nationkey = c_nationkey JOIN {nation} u ON u.n_nationkey = (c_nationkey + 1 + c_custkey % 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
         UNION ALL SELECT o_orderkey * 4 + 1, o_custkey, 'O' || CAST(o_orderkey AS STRING), 'ordered_on',
