@@ -1,8 +1,8 @@
 """License scan: base phrases by words, and a positional index of the rarest licence words, in DataFrame operations only.
 
-The index holds each template's words with their places. A file's licence words with the highest IDF over all documents
-are looked up, the postings are brought together by relative position (place in the file less place in the template), and
-a template counts when enough of those words agree on one relative position and its key phrase stands in the text.
+The index holds each template's words with their places. Of every file in which a template's key phrase stands, the licence
+words with the highest IDF over all documents are looked up, the postings are brought together by relative position (place
+in the file less place in the template), and the template counts when enough of those words agree on one relative position.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def cells(n: Column, w: Column) -> Column:
         base = F.array_compact(F.array(*(F.when(F.contains(n, F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items())))
         places = F.flatten(F.array(*(_places(n, w, phrase) for phrase in PHRASES)))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.array_intersect(w, vocabulary).alias("known"), places.alias("places"), base.alias("base"))
+        keys = F.array_compact(F.array(*(F.when(F.contains(n, F.lit(f" {key} ")), F.lit(number)) for number, (_, _, key) in enumerate(TEMPLATES))))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.array_intersect(w, vocabulary).alias("known"), keys.alias("keys"), places.alias("places"), base.alias("base"))
 
     once = bind(norm, lambda n: bind(words_of(n), lambda w: cells(n, w)))
     found = first.select("doc_id", "file", once.alias("it")).select("doc_id", "file", "it.*")
@@ -105,18 +106,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     index = _index(spark).join(F.broadcast(weight), "word")
     share = index.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count(F.lit(1)).alias("length"))
 
-    common = [w for w, n in idf.items() if n > 0.2 * total]
-    telling = F.array_except("known", F.array(*map(F.lit, common)) if common else F.array().cast("array<string>"))
-    hopeful = rows.where(F.size(telling) >= 2).select("doc_id", "file", "known").dropDuplicates(["doc_id", "file"])
+    hopeful = rows.where(F.size("keys") > 0).select("doc_id", "file", "known", "keys").dropDuplicates(["doc_id", "file"])
     ranked = F.slice(F.sort_array(F.transform("known", lambda w: F.struct((-F.element_at(F.create_map(*[x for r in sorted(idf) for x in (F.lit(r), F.lit(_idf(idf[r], total)))]), w)).alias("rank"), w.alias("word")))), 1, RAREST)
-    asked = settle(hopeful.select(F.col("doc_id").alias("asked_id"), F.col("file").alias("asked_file"), F.transform(ranked, lambda x: x["word"]).alias("rare")), "licence-rare")
+    asked = settle(hopeful.select(F.col("doc_id").alias("asked_id"), F.col("file").alias("asked_file"), "keys", F.transform(ranked, lambda x: x["word"]).alias("rare")), "licence-rare")
     some = small_enough(asked)
     same = first["doc_id"].eqNullSafe(some["asked_id"]) & (first["file"] == some["asked_file"])
-    opened = first.join(some, same).dropDuplicates(["doc_id", "file"]).select("doc_id", "file", "norm", "rare", words.alias("words"))
+    opened = first.join(some, same).dropDuplicates(["doc_id", "file"]).select("doc_id", "file", "keys", "rare", words.alias("words"))
     spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("rare", x["word"]))
-    phrases = F.array(*(F.contains(norm, F.lit(f" {key} ")) for _, _, key in TEMPLATES))
-    looked = opened.select("doc_id", "file", "rare", phrases.alias("phrases"), F.explode(spots).alias("spot")).select("doc_id", "file", "rare", "phrases", "spot.*")
-    hits = looked.join(F.broadcast(index), "word").where(F.get("phrases", F.col("template"))).withColumn("shift", F.col("at") - F.col("place"))
+    looked = opened.select("doc_id", "file", "keys", "rare", F.explode(spots).alias("spot")).select("doc_id", "file", "keys", "rare", "spot.*")
+    hits = looked.join(F.broadcast(index), "word").where(F.array_contains("keys", F.col("template"))).withColumn("shift", F.col("at") - F.col("place"))
     agreed = hits.groupBy("doc_id", "file", "template", "shift", "rare").agg(F.count(F.lit(1)).alias("n"), F.sum("idf").alias("idf"))
     notices = F.array(*(F.array(*map(F.lit, notice.split())) for _, notice, _ in TEMPLATES))
     asked_words = F.size(F.filter(F.get(notices, F.col("template")), lambda w: F.array_contains("rare", w)))

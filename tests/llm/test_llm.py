@@ -234,6 +234,17 @@ def test_license_index_adds_labels(spark):
     assert got[100] == "gpl" and got[101] == "" and not any(got[i] for i, _ in filler)
 
 
+GPL = "This work is licensed under the GNU General Public License, version 3."
+
+
+def test_license_index_labels_a_notice_that_most_documents_hold(spark):
+    rows = [(i, f"{GPL} And text number {i}.") for i in range(6)] + [(9, "plain words"), (10, None)]
+    for held in (rows, rows[:1]):
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+        assert all(got[i][0] == "gpl" and got[i][1] > 0 for i, text in held if text and GPL in text)
+        assert all(got[i] == ("", 0.0) for i, text in held if not text or GPL not in text)
+
+
 def test_secret_spans():
     text = 'x token = "abcdefgh12" AKIA' + "Q" * 12 + " é " + "0f" * 16 + " password=short PASSWD: longenough key"
     spans = secret_scan.base_spans(text)
