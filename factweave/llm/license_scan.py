@@ -1,8 +1,8 @@
 """License scan: base phrases by words, and a positional index of the rarest licence words, in DataFrame operations only.
 
-The index holds each template's words with their places. Of every file in which a template's key phrase stands, the licence
-words with the highest IDF over all documents are looked up, the postings are brought together by relative position (place
-in the file less place in the template), and the template counts when enough of those words agree on one relative position.
+The index holds each template's words with their places. For every template whose key phrase stands in a file, those of its
+words that the file holds with the highest IDF over all documents are looked up, the postings are brought together by relative
+position (place in the file less place in the template), and the template counts when enough of them agree on one.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ TEMPLATES = [
 ]
 VOCABULARY = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
 
-#: A file's licence words that are looked up, the rarest first, and the part of a template's looked-up words that must agree.
+#: A template's words that are looked up in a file, the rarest first, and the part of them that must agree.
 RAREST, AGREE = 8, 0.6
 
 
@@ -107,14 +107,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     share = index.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count(F.lit(1)).alias("length"))
 
     hopeful = rows.where(F.size("keys") > 0).select("doc_id", "file", "known", "keys").dropDuplicates(["doc_id", "file"])
-    ranked = F.slice(F.sort_array(F.transform("known", lambda w: F.struct((-F.element_at(F.create_map(*[x for r in sorted(idf) for x in (F.lit(r), F.lit(_idf(idf[r], total)))]), w)).alias("rank"), w.alias("word")))), 1, RAREST)
-    asked = settle(hopeful.select(F.col("doc_id").alias("asked_id"), F.col("file").alias("asked_file"), "keys", F.transform(ranked, lambda x: x["word"]).alias("rare")), "licence-rare")
+    rarest = [sorted(set(notice.split()), key=lambda w: (-_idf(idf[w], total), w)) for _, notice, _ in TEMPLATES]
+    chosen = [F.slice(F.filter(F.array(*map(F.lit, ws)), lambda w: F.array_contains("known", w)), 1, RAREST) for ws in rarest]
+    rare = F.array(*(F.when(F.array_contains("keys", F.lit(number)), held) for number, held in enumerate(chosen)))  # null without the key phrase
+    asked = settle(hopeful.select(F.col("doc_id").alias("asked_id"), F.col("file").alias("asked_file"), rare.alias("rare")), "licence-rare")
     some = small_enough(asked)
     same = first["doc_id"].eqNullSafe(some["asked_id"]) & (first["file"] == some["asked_file"])
-    opened = first.join(some, same).dropDuplicates(["doc_id", "file"]).select("doc_id", "file", "keys", "rare", words.alias("words"))
-    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("rare", x["word"]))
-    looked = opened.select("doc_id", "file", "keys", "rare", F.explode(spots).alias("spot")).select("doc_id", "file", "keys", "rare", "spot.*")
-    hits = looked.join(F.broadcast(index), "word").where(F.array_contains("keys", F.col("template"))).withColumn("shift", F.col("at") - F.col("place"))
+    opened = first.join(some, same).dropDuplicates(["doc_id", "file"]).select("doc_id", "file", "rare", words.alias("words"), F.array_distinct(F.flatten(F.array_compact("rare"))).alias("any_rare"))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("any_rare", x["word"]))
+    looked = opened.select("doc_id", "file", "rare", F.explode(spots).alias("spot")).select("doc_id", "file", "rare", "spot.*")
+    mine = looked.join(F.broadcast(index), "word").withColumn("rare", F.get("rare", F.col("template")))
+    hits = mine.where(F.array_contains("rare", F.col("word"))).withColumn("shift", F.col("at") - F.col("place"))
     agreed = hits.groupBy("doc_id", "file", "template", "shift", "rare").agg(F.count(F.lit(1)).alias("n"), F.sum("idf").alias("idf"))
     notices = F.array(*(F.array(*map(F.lit, notice.split())) for _, notice, _ in TEMPLATES))
     asked_words = F.size(F.filter(F.get(notices, F.col("template")), lambda w: F.array_contains("rare", w)))

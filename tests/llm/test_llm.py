@@ -245,6 +245,14 @@ def test_license_index_labels_a_notice_that_most_documents_hold(spark):
         assert all(got[i] == ("", 0.0) for i, text in held if not text or GPL not in text)
 
 
+def test_license_index_finds_each_notice_of_a_file(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    long = "hereby neighboring compliance attribution redistribution noncommercial affero mozilla waived extent " + "plain words " * 3000
+    rows = [(i, f"{GPL} And text number {i}.") for i in range(6)] + [(7, f"{GPL} {bsd}: and more."), (8, f"{long} {GPL} {long}"), (9, f"{bsd} and {long}"), (10, f"{long} the GNU of the public")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(6), "gpl") | {7: "bsd,gpl", 8: "gpl", 9: "bsd", 10: ""}
+
+
 def test_secret_spans():
     text = 'x token = "abcdefgh12" AKIA' + "Q" * 12 + " é " + "0f" * 16 + " password=short PASSWD: longenough key"
     spans = secret_scan.base_spans(text)
