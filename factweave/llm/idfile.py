@@ -8,6 +8,7 @@ at a word of its own, whose number is in the offsets, so any block can be decode
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -119,21 +120,38 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0, last:
 
 
 @lru_cache(maxsize=2)  # loading takes longer than a small task
-def id_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, without special tokens."""
+def id_encoder(path: str, pattern: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, with no special tokens put around them.
+
+    added: the file's added tokens get their ids where a text holds them, as in the library's own call; else they are text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
     of = lambda tokens: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
-    return PreTokens(f"ids {path} {pattern}", pattern, of).encode
+    plain = PreTokens(f"ids {path} {pattern} {added}", pattern, of).encode
+    known = tokenizer.get_added_tokens_decoder() if added else {}
+    if any(t.single_word or t.lstrip or t.rstrip for t in known.values()):
+        raise ValueError("added tokens that take more or less than their content")
+    ids = {t.content: np.array([i], "<u4").tobytes() for i, t in known.items()}
+    if not ids:
+        return plain
+    cut = re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})").split
+
+    def encode(texts: list[str]) -> list[bytes]:
+        cuts = [cut(t) if any(c in t for c in ids) else [t] for t in texts]  # every second piece is an added token
+        made = iter(plain([piece for pieces in cuts for piece in pieces[::2]]))
+        return [b"".join([ids[p] if k % 2 else next(made) for k, p in enumerate(pieces)]) for pieces in cuts]
+
+    return encode
 
 
 FILE_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("offsets", pa.list_(pa.int64()))])
 FILE_SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, words binary, offsets array<long>"
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int, added: bool = False) -> None:
     """Encodes each text of docs (doc_id, text; null: empty), adds end_id, and writes the ids in ascending doc_id order.
 
     Shards are ranges of doc_id (null ids first; equal ids together, in order of text). A row of the Parquet files is a
@@ -142,7 +160,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(tokenizer_path, pattern)
+        encode = id_encoder(tokenizer_path, pattern, added)
         end = np.array([end_id], dtype="<u4").tobytes()
         shard, segment, before, doc_ids, lengths, held = TaskContext.get().partitionId(), 0, 0, [], [], []
 
@@ -192,9 +210,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return documents.join(shards, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def id_file_report(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
-    """The rows of read_ids() after write_ids() of docs to the shared folder. An empty table gives no rows."""
+def id_file_report(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, added: bool = False) -> DataFrame:
+    """The rows of read_ids() after write_ids() of docs to the shared folder. An empty table gives no rows. added: see id_encoder()."""
     spark = docs.sparkSession
     path = scratch_path(spark, "ids")
-    write_ids(docs, path, tokenizer_path, pattern, end_id)
+    write_ids(docs, path, tokenizer_path, pattern, end_id, added)
     return read_ids(spark, path)

@@ -19,7 +19,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return idfile.id_file_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2)
+    return idfile.id_file_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2, added=True)
 
 
 def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,21 @@ def test_id_files_hold_what_the_tokenizer_gives(source, request):
     same(idfile.id_file_report(docs, path, public_tokenizers.PATTERN, 2).collect(), want)
 
 
+def test_registered_id_files_hold_what_the_untouched_tokenizer_gives(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    held = ["a  b c", f"a {mark} b", mark, f"{mark}{mark}x  {mark}\n y", f"{mark[:-1]} <|{mark}|>", f"one two {mark}three  {mark} ", "", None, f"naïve 东京{mark}it's", "the last"]
+    spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for doc_id, text in enumerate(held):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    same(registry.op2_simple8b_ids(spark, str(tmp_path)).collect(), want)
+
+
 def plain_lines(rows, shortest=20, enough=3):
     holders = {}
     for doc_id, text in rows:
