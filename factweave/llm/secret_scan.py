@@ -1,8 +1,8 @@
 """Secret scan: pattern spans, and random strings found by how few characters their tokens hold.
 
 A tokenizer's vocabulary has long entries for words and short ones for letters met at random. Runs of key-like characters
-that the vocabulary spells with few characters per token are random; digests of known lengths and identifiers of known
-shapes are set aside first.
+that the vocabulary spells with few characters per token are random; digests of known lengths, UUIDs and numbers are set
+aside first, and compounds whose parts are all words.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9][0-9-]*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z][a-z0-9]*(?:[_-][a-z0-9]+)+")
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+JOINT = re.compile(r"[+/_=-]+")
+DIGITS = "0123456789"
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -40,16 +42,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def of_words(parts: list[str], n_tokens) -> bool:
+    """Whether all parts of a compound are words by the token test, with numbers behind or between them.
+
+    Upper case is tested as lower case. Parts of one or two letters tell nothing; words must make up as many characters as they do.
+    """
+    words = short = 0
+    for part in parts:
+        stem = part.rstrip(DIGITS)
+        if not stem or DIGEST.fullmatch(part):
+            continue
+        if len(stem) > MAX_RATIO * n_tokens(stem.lower() if stem.isupper() else stem):
+            words += len(stem)
+        elif len(stem) <= 2:
+            short += len(stem)
+        else:
+            return False
+    return words >= short
+
+
 def random_spans(text: str, n_tokens, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans with digits and letters, no digest or identifier, and few characters per token."""
+    """Runs outside the base spans with letters and few characters per token, as a whole or in a long part.
+
+    Digests, UUIDs and runs without letters are set aside, and compounds of words for which the whole has few by its joints only.
+    """
     found = []
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if not (any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or any(s < end and start < e for s, _, e in base):
+        if not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or any(s < end and start < e for s, _, e in base):
             continue
-        if len(run) <= MAX_RATIO * n_tokens(run):
+        parts = [p for p in JOINT.split(run) if p]
+        random = len(run) <= MAX_RATIO * n_tokens(run)
+        if random and len(parts) > 1:
+            random = not of_words(parts, n_tokens)
+        elif len(parts) > 1:
+            random = any(len(p) >= MIN_RUN and not p.isdigit() and not DIGEST.fullmatch(p) and len(p) <= MAX_RATIO * n_tokens(p) for p in parts)
+        if random:
             found.append((start, 3, end))
     return found
 

@@ -283,6 +283,17 @@ def test_secret_scan_finds_random_runs_and_leaves_digests(spark, odd, empty):
     assert secret_scan.scan_secrets(odd, path, public_tokenizers.PATTERN).count() == len(ODD) and secret_scan.scan_secrets(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_secret_scan_tests_compounds_by_part_and_runs_without_digits(spark):
+    mail, letters = "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "kQzXvBnMwPrTyLhGfDsJ"
+    rows = [
+        (1, f"{mail} x"), (2, f"see https://host.example/v3/{mail}"), (3, f"a {letters} b"), (4, "KEEP_QZXVBNMWPRTYLHGFDSJ"), (5, f"a_long_name_of_many_other_common_words_before_the_{letters}"),
+        (6, "test_v2_of_the_thing MAX_BUFFER_SIZE_LIMIT my_api_v2_endpoint_name release-2024-01-02-notes"), (7, "2024-01-02-2024-01-03 ==================== " + "A1B2C3D4" * 5 + " internationalization"),
+    ]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()}
+    assert got == {1: "random:0:36", 2: "random:17:64", 3: "random:2:22", 4: "random:0:24", 5: "random:0:70", 6: "", 7: ""}
+
+
 def test_languages_on_held_out_documents(spark):
     found = registry.op4_ftrl_language(spark, DATA.replace("0.001", "0.01"))
     held = found.where("held_out").join(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
