@@ -91,7 +91,7 @@ def _lift(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack((vectors, np.sqrt(np.maximum(0.0, top * top - (vectors**2).sum(axis=1)))))
 
 
-def _shard_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, top: float, k: int, factor: float) -> pd.DataFrame:
+def _shard_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, top: float, k: int, factor: float, leaf: int) -> pd.DataFrame:
     """The k best of one shard for each query of a block. Equal vectors are one point, standing for its k + 1 smallest ids, all that can be asked for."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -99,7 +99,7 @@ def _shard_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray,
     by_point = np.argsort(member.reshape(-1), kind="stable")
     starts = np.searchsorted(member.reshape(-1)[by_point], np.arange(len(points) + 1))
     groups = [ids[by_point[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    tree = Tree(_lift(points, top))
+    tree = Tree(_lift(points, top), leaf)
     # the query itself is a candidate too, so one more is looked for
     found = tree.search(np.column_stack((asked, np.zeros(len(asked)))), k + 1, factor)
     rows = []
@@ -110,7 +110,7 @@ def _shard_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray,
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, every: int, k: int, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest inner product with each query, nearest first.
 
     vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every; candidates all rows but those with
@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, every: int, k: int, factor: float = FACTOR, shar
         if not len(held) or not len(asks):
             return empty
         held, asks = held.sort_values("vec_id"), asks.sort_values("vec_id")
-        made = _shard_answers(held["vec_id"].to_numpy(), _array(held["vector"]), asks["vec_id"].to_numpy(), _array(asks["vector"]), float(held["top"].iloc[0]), k, factor)
+        made = _shard_answers(held["vec_id"].to_numpy(), _array(held["vector"]), asks["vec_id"].to_numpy(), _array(asks["vector"]), float(held["top"].iloc[0]), k, factor, leaf)
         return pd.concat([empty, made])
 
     pair = ("size", "shard", "block")

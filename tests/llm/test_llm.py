@@ -342,6 +342,21 @@ def test_nearest_in_exact_search_and_recall(spark):
     assert vptree.nearest(df.limit(0), 20, 5).count() == 0
 
 
+def test_nearest_with_leaves_well_below_the_shard(spark):
+    """Clusters of uneven norms, where search leaves out sides of its trees."""
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))) * rng.uniform(0.5, 1.5, (4000, 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    scores = v[::20] @ v.T
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    exact = {20 * q: np.argsort(-row)[:10].tolist() for q, row in enumerate(scores)}
+    got = {}
+    for r in vptree.nearest(df, 20, 10, 1.0, shard=2000, leaf=32).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == exact
+
+
+
 def test_pipeline_is_its_stages_in_plain_python(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     after = {}
