@@ -14,9 +14,10 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factweave.llm.common import per_text
+from factweave.llm.common import per_part
 from factweave.llm.pretokens import PreTokens
 
 
@@ -81,15 +82,17 @@ class ByteCodec:
         self._bytes = [bytes(map(to_byte.__getitem__, p)) for p in pieces]
         #: Entries that the merges never reach; a pre-token equal to one still takes its id.
         self._whole = {p: [i] for i, (p, got) in enumerate(zip(pieces, self._model.encode(pieces, num_threads=1), strict=True)) if got != [i]}
-        self._texts = PreTokens(f"bpe {hashlib.sha256(model).hexdigest()} {pattern}", pattern, self._encode_tokens)
+        self._texts = PreTokens(pattern, self._encode_tokens)
 
     def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
         mapped = [t.encode().decode("latin-1").translate(self._to_chars) for t in tokens]
         return [np.array(self._whole.get(m, ids), dtype="<u4").tobytes() for m, ids in zip(mapped, self._model.encode(mapped, num_threads=1), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self._texts.encode(texts)
+        ids, counts = self._texts.encode(texts)
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -104,13 +107,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """
     model = serialise_model(read_ranks(ranks_path))
 
-    def setup() -> Callable[[list[str]], list[tuple]]:
+    def setup() -> Callable[[pa.Array], list[pa.Array]]:
         codec = ByteCodec(model, pattern)
 
-        def of(texts: list[str]) -> list[tuple]:
-            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), ids) for ids in codec.encode(texts)]
-            return rows if keep_ids else [row[:3] for row in rows]
+        def of(texts: pa.Array) -> list[pa.Array]:
+            made = codec.encode(texts)
+            counts, digests = [len(ids) // 4 for ids in made], [hashlib.sha256(ids).hexdigest() for ids in made]
+            back = [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in made]
+            columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            return [*columns, pa.array(made, pa.binary())] if keep_ids else columns
 
         return of
 
-    return per_text(docs, setup, n_tokens="long", ids_sha256="string", decoded_sha256="string", **{"ids": "binary"} if keep_ids else {})
+    return per_part(docs, setup, n_tokens="long", ids_sha256="string", decoded_sha256="string", **{"ids": "binary"} if keep_ids else {})

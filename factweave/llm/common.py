@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Arrow types by Spark's names.
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
-#: Texts that a worker has as Python objects at once.
-CHUNK = 256
+#: Texts that a worker has as Python objects at once, and the bytes of text that it works on in Arrow at once (one text at least).
+CHUNK, PART = 256, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_worker() -> None:
+    """Lets this worker give back what Arrow frees; Arrow's own pool would keep it for the life of the process."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with text that hold about PART bytes of it, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PART, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def texts_of(part: pa.RecordBatch) -> pa.Array:
+    """The texts of a part, null as empty."""
+    return pc.fill_null(part.column("text").cast(pa.string()), "")
+
+
+def per_part(docs: DataFrame, setup: Callable[[], Callable[[pa.Array], list[pa.Array]]], **columns: str) -> DataFrame:
+    """As per_text(), for functions that take the texts of some rows as an Arrow array and return Arrow arrays, one for each column."""
+    names, kinds = list(columns), [ARROW[kind] for kind in columns.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
+        of = setup()
+        for batch in batches:
+            for part in parts_of(batch):
+                made = [a.cast(k) for a, k in zip(of(texts_of(part)), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names])
+
+    schema = ", ".join(["doc_id long", *(f"{n} {k}" for n, k in columns.items())])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+
+
 def per_text(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[tuple]]], **columns: str) -> DataFrame:
     """doc_id and, from each row's whole text (null: empty), the columns that a function makes for each of some texts.
 
@@ -68,6 +107,7 @@ def per_text(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[tup
     names, kinds = list(columns), [ARROW[kind] for kind in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         of = setup()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
@@ -84,6 +124,7 @@ def keep_texts(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[b
     """The rows of docs, all columns unchanged, for whose whole text (null: empty) a function says so; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         of = setup()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):

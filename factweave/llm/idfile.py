@@ -11,18 +11,24 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import CHUNK, scratch_path
+from factweave.llm.bpe import byte_chars
+from factweave.llm.common import lean_worker, parts_of, scratch_path, texts_of
 from factweave.llm.pretokens import PreTokens
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Values in a word by selector.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 BLOCK = 4096
@@ -120,31 +126,59 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0, last:
 
 
 @lru_cache(maxsize=2)  # loading takes longer than a small task
-def id_encoder(path: str, pattern: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, with no special tokens put around them.
-
-    added: the file's added tokens get their ids where a text holds them, as in the library's own call; else they are text.
-    """
+def _load(path: str, added: bool) -> Tokenizer:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not added
-    of = lambda tokens: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
-    plain = PreTokens(f"ids {path} {pattern} {added}", pattern, of).encode
-    known = tokenizer.get_added_tokens_decoder() if added else {}
-    if any(t.single_word or t.lstrip or t.rstrip for t in known.values()):
-        raise ValueError("added tokens that take more or less than their content")
-    ids = {t.content: np.array([i], "<u4").tobytes() for i, t in known.items()}
-    if not ids:
-        return plain
-    cut = re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})").split
+    return tokenizer
 
-    def encode(texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) if any(c in t for c in ids) else [t] for t in texts]  # every second piece is an added token
-        made = iter(plain([piece for pieces in cuts for piece in pieces[::2]]))
-        return [b"".join([ids[p] if k % 2 else next(made) for k, p in enumerate(pieces)]) for pieces in cuts]
 
-    return encode
+class IdEncoder:
+    """Texts to ids by the tokenizers library, with no special tokens put around them.
+
+    added: the file's added tokens get their ids where a text holds them, as in the library's own call; else they are text.
+    """
+
+    def __init__(self, path: str, pattern: str, added: bool = False):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self._tokenizer = tokenizer = _load(path, added)
+        self._letters = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
+        self._to_chars = dict(enumerate(byte_chars()))
+        self._plain = PreTokens(pattern, self._encode_tokens)
+        known = tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip for t in known.values()):
+            raise ValueError("added tokens that take more or less than their content")
+        self._added = {t.content: np.array([i], "<u4") for i, t in known.items()}
+        self._cut = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})").split
+
+    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Words of Latin letters go straight to the library's model, all else through the whole tokenizer."""
+        model, to_chars = self._tokenizer.model, self._to_chars
+        out: list[bytes] = [b""] * len(tokens)
+        others = []
+        for i, token in enumerate(tokens):
+            word = token[1:] if token[0] == " " else token
+            if self._letters and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                mapped = token.encode().decode("latin-1").translate(to_chars)
+                out[i] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+            else:
+                others.append(i)
+        for i, made in zip(others, self._tokenizer.encode_batch_fast([tokens[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = array("I", made.ids).tobytes()
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each."""
+        held = [c for c in self._added if pc.any(pc.match_substring(texts, c)).as_py()]
+        if not held:
+            return self._plain.encode(texts)
+        cuts = [self._cut(t) if any(c in t for c in held) else [t] for t in texts.to_pylist()]  # every second piece is an added token
+        ids, counts = self._plain.encode(pa.array([piece for pieces in cuts for piece in pieces[::2]], pa.string()))
+        made = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        whole = [np.concatenate([self._added[p] if k % 2 else next(made) for k, p in enumerate(pieces)]) for pieces in cuts]
+        return np.concatenate(whole), np.array([len(w) for w in whole], np.int64)
 
 
 FILE_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("offsets", pa.list_(pa.int64()))])
@@ -160,26 +194,39 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(tokenizer_path, pattern, added)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        lean_worker()
+        encoder = IdEncoder(tokenizer_path, pattern, added)
         shard, segment, before, doc_ids, lengths, held = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            words, offsets = pack(np.frombuffer(b"".join(held), "<u4"))
-            row = {"shard": shard, "segment": segment, "shard_start": before, "n_ids": sum(lengths), "doc_ids": doc_ids, "lengths": lengths, "words": words.astype("<u8").tobytes(), "offsets": offsets.tolist()}
-            return pa.RecordBatch.from_pylist([row], schema=FILE_ARROW)
+            sizes = np.concatenate(lengths)
+            words, offsets = pack(np.concatenate(held))
+            cells = [[shard], [segment], [before], [int(sizes.sum())], [pa.concat_arrays(doc_ids)], [sizes], [words.astype("<u8").tobytes()], [offsets]]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cells, FILE_ARROW.types, strict=True)], schema=FILE_ARROW)
+
+        def rows(part: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+            """The documents of a part and their ids, in pieces of about SEGMENT ids."""
+            ids, counts = encoder.encode(texts_of(part))
+            ends = np.cumsum(counts)
+            ids, counts = np.insert(ids, ends, end_id), counts + 1
+            ends += np.arange(1, len(ends) + 1)
+            at = 0
+            while at < len(counts):
+                done = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + SEGMENT)))
+                yield part.column("doc_id").slice(at, stop - at), counts[at:stop], ids[done : ends[stop - 1]]
+                at = stop
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                made = [ids + end for ids in encode([t or "" for t in part.column("text").to_pylist()])]
-                doc_ids += part.column("doc_id").to_pylist()
-                lengths += [len(ids) // 4 for ids in made]
-                held += made
-                if sum(map(len, held)) >= 4 * SEGMENT:
-                    yield flush()
-                    segment, before = segment + 1, before + sum(lengths)
-                    doc_ids, lengths, held = [], [], []
+            for part in parts_of(batch):
+                for some, counts, ids in rows(part):
+                    doc_ids.append(some)
+                    lengths.append(counts)
+                    held.append(ids)
+                    if sum(map(len, held)) >= SEGMENT:
+                        yield flush()
+                        segment, before = segment + 1, before + int(sum(map(np.sum, lengths)))
+                        doc_ids, lengths, held = [], [], []
         if held:
             yield flush()
 
@@ -196,12 +243,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(np.frombuffer(row["words"], "<u8"), np.array(row["offsets"]), row["n_ids"]).astype("<u4").tobytes()
-                lengths = np.array(row["lengths"])
-                ends = np.cumsum(lengths)
-                crc = [zlib.crc32(ids[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), row["lengths"], strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["shard_start"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([row["shard"]] * len(crc), pa.int32())]
+            for row in range(batch.num_rows):
+                cell = {name: batch.column(name)[row] for name in batch.schema.names}
+                counts, doc_ids = cell["lengths"].values.to_numpy(), cell["doc_ids"].values
+                ids = unpack(np.frombuffer(cell["words"].as_buffer(), "<u8"), cell["offsets"].values.to_numpy(), cell["n_ids"].as_py()).astype("<u4").tobytes()
+                ends = np.cumsum(counts)
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                columns = [doc_ids, pa.array(cell["shard_start"].as_py() + ends - counts), pa.array(counts), pa.array(crc, pa.int64()), pa.array([cell["shard"].as_py()] * len(crc), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "n_tokens", "ids_crc32", "shard"])
 
     documents = files.mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int")
@@ -211,7 +259,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_file_report(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, added: bool = False) -> DataFrame:
-    """The rows of read_ids() after write_ids() of docs to the shared folder. An empty table gives no rows. added: see id_encoder()."""
+    """The rows of read_ids() after write_ids() of docs to the shared folder. An empty table gives no rows. added: see IdEncoder."""
     spark = docs.sparkSession
     path = scratch_path(spark, "ids")
     write_ids(docs, path, tokenizer_path, pattern, end_id, added)

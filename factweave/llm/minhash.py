@@ -17,41 +17,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import per_text, settle, small_enough
+from factweave.llm.common import per_part, settle, small_enough
 
 BANDS, ROWS = 28, 4
 #: Shingles in a block of texts that are compared with each other or with another block, about.
 BLOCK_SHINGLES = 1 << 18
-#: Word hashes that a worker remembers at most.
-ROOM = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= ROOM:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """64-bit hashes of each text's words; a distinct word of the given texts is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # both know ASCII only: A-Z, and white space from TAB to CR and space
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    at = coded.indices.to_numpy()
+    held, hashes = np.array([len(w) > 0 for w in words], bool)[at], hashes[at]
+    return [hashes[a:b] if held[a:b].all() else hashes[a:b][held[a:b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-_WORDS = _WordHashes()
-
-
-def shingles(text: str, width: int) -> np.ndarray:
-    """The text's distinct shingles of width words, as sorted 64-bit hashes; fewer words than that are one shingle."""
-    words = text.encode().lower().split()  # of bytes, both know ASCII only: A-Z, and white space from TAB to CR and space
-    if not words:
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingles of width words, as sorted 64-bit hashes; fewer words than that are one shingle."""
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    width = min(width, len(hashes))
+    n = len(hashes) - width + 1
     out = hashes[:n] + np.uint64(width)
     for j in range(1, width):
         out = out * _STEP + hashes[j : j + n]
@@ -85,35 +84,43 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits of the set, null if it is empty), bands (a key for each band)."""
 
-    def setup() -> Callable[[list[str]], list[tuple]]:
+    def setup() -> Callable[[pa.Array], list[pa.Array]]:
         salt = np.arange(BANDS, dtype=np.uint64) * _STIR
 
-        def one(text: str) -> tuple:
-            found = shingles(text, width)
-            if not len(found):
-                return 0, None, None, []
-            whole = xxhash.xxh3_128_digest(found.tobytes())
+        def keys_of(found: np.ndarray) -> np.ndarray:
             rows = signature(found, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS)
             keys = salt
             for j in range(ROWS):
                 keys = (keys + rows[:, j]) * _STEP
                 keys ^= keys >> np.uint64(29)
-            return len(found), *np.frombuffer(whole, "<i8").tolist(), keys.view(np.int64).tolist()
+            return keys.view(np.int64)
+
+        def of(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(hashes, width) for hashes in word_hashes(texts)]
+            sizes = [len(s) for s in sets]
+            keys = pa.array([keys_of(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            return [pa.array(sizes, pa.int64()), *_digests(sets), keys]
+
+        return of
+
+    return per_part(docs, setup, n_shingles="long", set_a="long", set_b="long", bands="array<long>")
 
-        return lambda texts: [one(t) for t in texts]
 
-    return per_text(docs, setup, n_shingles="long", set_a="long", set_b="long", bands="array<long>")
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The two halves of 128 bits of each set, null for the empty set."""
+    made = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist() if len(s) else (None, None) for s in sets]
+    return [pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)]
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def setup() -> Callable[[list[str]], list[tuple]]:
-        def one(text: str) -> tuple:
-            found = shingles(text, width).tobytes()
-            return found, *np.frombuffer(xxhash.xxh3_128_digest(found), "<i8").tolist()
+    def setup() -> Callable[[pa.Array], list[pa.Array]]:
+        def of(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(hashes, width) for hashes in word_hashes(texts)]
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), *_digests(sets)]
 
-        return lambda texts: [one(t) for t in texts]
+        return of
 
-    full = per_text(docs, setup, shingles="binary", set_a="long", set_b="long")
+    full = per_part(docs, setup, shingles="binary", set_a="long", set_b="long")
     return full.groupBy("doc_id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles"))
 
 

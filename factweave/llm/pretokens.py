@@ -1,63 +1,131 @@
-"""Encoding by remembered pre-tokens: what a tokenizer does to a word is asked once, not at each occurrence."""
+"""Encoding by distinct words: what a tokenizer does to a word is asked once for some texts, not at each occurrence."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Words and pre-tokens that a worker remembers at most before it starts afresh (about 150 bytes each).
-WORDS, TOKENS = 700_000, 200_000
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: All white space but the space.
-_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-_MARKS = frozenset(".,;:!?|")
+#: Bytes of keys and ids that are remembered from one call to the next, about, and what an entry takes besides them.
+ROOM, ENTRY = 32 << 20, 140
 
-#: Per worker process: what earlier tasks of the same tokenizer have met.
-_MET: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-
-
-def _even(text: str) -> bool:
-    """Whether each space stands between two other characters that aren't white space (or begins the text)."""
-    return "  " not in text and text[-1:] != " " and not any(c in text and (f"{c} " in text or f" {c}" in text) for c in _WHITE)
+_MARKS = ".,;:!?|"
+#: A line feed or nothing, and Latin letters: with a space or the line feed before it, such a word is one pre-token.
+_LETTERS = r"^\n?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
 
 
 class PreTokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, for a tokenizer that encodes each match of a pattern alone.
+    """Ids of whole texts for a tokenizer that encodes each match of a pattern alone.
 
-    The pattern must be public_tokenizers.PATTERN: there a single space between two other characters always begins a
-    pre-token, so texts can be cut at such spaces first and each cut word is looked up with its space.
-    encode_tokens gets distinct pre-tokens and returns the ids of each.
+    With public_tokenizers.PATTERN a single space or line feed between two other characters always begins a pre-token. Texts
+    whose white space is all such are cut there, in Arrow; a mark at the end of a word of letters is cut off too. What is left
+    is looked up once for each distinct piece of the given texts, and the ids are gathered by piece. Other texts, and all
+    texts of another pattern, are split by the pattern.
+    encode_tokens gets distinct pre-tokens and returns the ids of each, as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, key: str, pattern: str, encode_tokens: Callable[[list[str]], list[bytes]]):
+    def __init__(self, pattern: str, encode_tokens: Callable[[list[str]], list[bytes]]):
         import regex
 
         self._split = regex.compile(pattern).findall
         self._encode_tokens = encode_tokens
-        self._words, self._tokens = _MET.setdefault(key, ({}, {}))
-
-    def _tokens_of(self, word: str) -> list[str]:
-        """Pre-tokens of a space and the word. ASCII letters are the usual case; the pattern does the rest."""
-        if word.isascii() or max(word) < "ɐ":
-            if word.isalpha():
-                return [f" {word}"]
-            if word[-1] in _MARKS and word[:-1].isalpha():
-                return [f" {word[:-1]}", word[-1]]
-        return self._split(f" {word}")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words, tokens = self._words, self._tokens
-        for known, room in ((words, WORDS), (tokens, TOKENS)):
-            if len(known) > room:
-                known.clear()
-        cut = [t.split(" ") if _even(t) else None for t in texts]
-        heads = [self._split(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)]
-        parts = {w: self._tokens_of(w) for w in set().union(*(c[1:] for c in cut if c is not None)).difference(words)}
-        fresh = list(set().union(*heads, *parts.values()).difference(tokens))
+        self._cuts = pattern == public_tokenizers.PATTERN
+        self._forget()
+        self._marks = encode_tokens(list(_MARKS)) if self._cuts else []
+
+    def _forget(self) -> None:
+        self._known: dict[str, bytes] = {}  # ids of a line feed and what follows it, or of a space and the piece
+        self._tokens: dict[str, bytes] = {}  # ids of other pre-tokens
+        self._size = 0
+
+    def _split_piece(self, piece: str) -> list[str]:
+        return ["\n", *self._split(piece[1:])] if piece[0] == "\n" else self._split(f" {piece}")
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens."""
+        tokens = self._tokens
+        fresh = list(set().union(*lists).difference(tokens))
         tokens.update(zip(fresh, self._encode_tokens(fresh), strict=True))
-        for word, pieces in parts.items():
-            words[word] = tokens[pieces[0]] if len(pieces) == 1 else b"".join([tokens[p] for p in pieces])
-        out = []
-        for head, c in zip(heads, cut, strict=True):
-            start = b"".join([tokens[t] for t in head])
-            out.append(start if c is None else start + b"".join(map(words.__getitem__, c[1:])))
-        return out
+        self._size += sum(map(len, fresh)) + ENTRY * len(fresh)
+        return [b"".join([tokens[t] for t in some]) for some in lists]
+
+    def _learn(self, letters: list[str], others: list[str]) -> None:
+        known = self._known
+        led = [w for w in letters if w not in known and w[0] != "\n"]
+        known.update(zip(led, self._encode_tokens([f" {w}" for w in led]), strict=True))
+        rest = [w for w in letters if w not in known] + [w for w in others if w not in known]
+        known.update(zip(rest, self._ids([self._split_piece(w) for w in rest]), strict=True))
+        self._size += sum(map(len, led)) + sum(map(len, rest)) + ENTRY * (len(led) + len(rest))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, none null), one after the other, and the number of ids of each text."""
+        if self._size > ROOM:
+            self._forget()
+        if not len(texts) or not self._cuts:
+            made = self._ids([self._split(t) for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(made), "<u4"), np.array([len(m) // 4 for m in made], np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        first, last = first[:-1] - first[0], first[1:] - first[0] - 1
+        coded = lists.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy(), coded.dictionary
+        stems = pc.utf8_rtrim(pieces, _MARKS)
+        cut = pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)).to_numpy()
+        plain = pc.and_(pc.match_substring_regex(stems, _LETTERS), pa.array(cut < 2))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+
+        # pieces that aren't letters: where one is empty or has white space at an end, the text has other white space than single ones
+        others = pieces.filter(pc.invert(plain)).to_pylist()
+        bodies = [w[1:] if w[:1] == "\n" else w for w in others]
+        edged = np.zeros(len(pieces), bool)
+        edged[~is_plain] = [not b or b != b.strip() for b in bodies]
+        bad = edged[at]
+        bad[first] = False
+        ends = np.flatnonzero(bad[last])
+        bad[last[ends]] = [pieces[k].as_py() != "\n" for k in at[last[ends]].tolist()]
+        uneven = np.logical_or.reduceat(bad, first)
+        uneven |= np.fromiter((w != w.strip() for w in pieces.take(pa.array(at[first])).to_pylist()), bool, len(texts))
+
+        keys = pc.if_else(plain, stems, pieces).dictionary_encode()
+        names, key_of = keys.dictionary.to_pylist(), keys.indices.to_numpy()
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        if uneven.any():
+            inner &= ~np.repeat(uneven, last - first + 1)
+        needed = np.zeros(len(names), bool)
+        needed[key_of[at[inner]]] = True
+        lettered = np.zeros(len(names), bool)
+        lettered[key_of[is_plain]] = True
+        some = [w for w, n, p in zip(names, needed.tolist(), lettered.tolist(), strict=True) if n and p]
+        odd = [w for w, n, p in zip(names, needed.tolist(), lettered.tolist(), strict=True) if n and not p]
+        self._learn(some, odd)
+        heads = [t if u else pieces[k].as_py() for t, u, k in zip(texts.to_pylist(), uneven.tolist(), at[first].tolist(), strict=True)]
+
+        # an entry for each needed key, each mark, each text's head (all of it, if uneven), and one without ids
+        known = self._known
+        entries = [known[w] for w in some] + [known[w] for w in odd] + self._marks + self._ids([self._split(h) for h in heads]) + [b""]
+        nothing, marks = len(entries) - 1, len(some) + len(odd)
+        place = np.full(len(names), nothing)
+        place[np.flatnonzero(needed & lettered)] = np.arange(len(some))
+        place[np.flatnonzero(needed & ~lettered)] = len(some) + np.arange(len(odd))
+        mark = np.full(len(pieces), nothing)
+        marked = np.flatnonzero(is_plain & (cut == 1))
+        mark[marked] = [marks + _MARKS.index(w[-1]) for w in pieces.take(pa.array(marked)).to_pylist()]
+        order = np.full((len(at), 2), nothing)
+        order[inner, 0] = place[key_of[at[inner]]]
+        order[inner, 1] = mark[at[inner]]
+        order[first, 0] = marks + len(self._marks) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts = np.cumsum(sizes) - sizes
+        order = order.reshape(-1)
+        order = order[sizes[order] > 0] if len(order) else order
+        lengths = sizes[order]
+        stop = np.cumsum(lengths)
+        total = int(stop[-1]) if len(stop) else 0
+        source = np.repeat(starts[order] - (stop - lengths), lengths) + np.arange(total)
+        piece_sizes = np.where(inner, sizes[place[key_of[at]]] + sizes[mark[at]], 0)
+        piece_sizes[first] = sizes[marks + len(self._marks) : nothing]
+        return np.frombuffer(b"".join(entries), "<u4")[source], np.add.reduceat(piece_sizes, first)

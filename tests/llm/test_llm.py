@@ -89,14 +89,13 @@ def test_id_files_hold_what_the_tokenizer_gives(source, request):
 
     docs, path = request.getfixturevalue(source), public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, start = [], 0
     for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    same(idfile.id_file_report(docs, path, public_tokenizers.PATTERN, 2).collect(), want)
+    same(idfile.id_file_report(docs, path, public_tokenizers.PATTERN, 2, added=True).collect(), want)
 
 
 def test_registered_id_files_hold_what_the_untouched_tokenizer_gives(spark, tmp_path):
