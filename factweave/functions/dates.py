@@ -30,19 +30,28 @@ def approximate_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(c), r"(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$", 1), F.lit(""))
 
 
+def parts(c: Column) -> Column:
+    """struct(y, m, d): what the text tells; make it a column of its own before it is used several times."""
+    return F.struct(year(c).alias("y"), month(c).alias("m"), day(c).alias("d"))
+
+
 def relation(claimed: Column, known: Column) -> Column:
-    """match, mismatch, or null where the two can't be told apart.
+    """relation_of() for texts."""
+    return relation_of(parts(claimed), parts(known))
+
+
+def relation_of(claimed: Column, known: Column) -> Column:
+    """match, mismatch, or null where the two (as parts()) can't be told apart.
 
     Other years differ. A known first of January may stand for its year and a known first of a month for its month. A claim
     that is finer than what is known, or another month or day of the same year, tells nothing.
     """
-    known_precision = F.when((day(known) == 1) & (month(known) == 1), 1).when(day(known) == 1, 2).otherwise(precision(known))
-    comparable = precision(claimed).isNotNull() & known_precision.isNotNull()
-    finer = precision(claimed) > known_precision
-    off = (month(claimed) != month(known)) | ((precision(claimed) == 3) & (day(claimed) != day(known)))
+    level = lambda x: F.when(x["d"].isNotNull(), 3).when(x["m"].isNotNull(), 2).when(x["y"].isNotNull(), 1)
+    fine, known_fine = level(claimed), F.when((known["d"] == 1) & (known["m"] == 1), 1).when(known["d"] == 1, 2).otherwise(level(known))
+    off = (claimed["m"] != known["m"]) | ((fine == 3) & (claimed["d"] != known["d"]))
     return (
-        F.when(~comparable, None).when(year(claimed) != year(known), "mismatch").when(finer, None)
-        .when((precision(claimed) >= 2) & off, None).otherwise("match")
+        F.when(fine.isNull() | known_fine.isNull(), None).when(claimed["y"] != known["y"], "mismatch").when(fine > known_fine, None)
+        .when((fine >= 2) & off, None).otherwise("match")
     )
 
 
@@ -69,9 +78,12 @@ def present_unscoped(start: Column, end: Column) -> Column:
 
 def compatible(start: Column, end: Column, valid_from: Column, valid_until: Column, now: Column) -> Column:
     """Whether a statement from start to end can bear out a claim from valid_from to valid_until (ISO text, in its order)."""
-    open_claim = valid_until.isNull()
-    ended = open_claim & valid_from.isNull() & provably_past(end, now)
-    unborn = provably_future(start, now)
+    return compatible_with(start, end, valid_from, valid_until, provably_past(end, now), provably_future(start, now))
+
+
+def compatible_with(start: Column, end: Column, valid_from: Column, valid_until: Column, past: Column, ahead: Column) -> Column:
+    """compatible(), with what is known already of the statement's end (past) and start (ahead)."""
+    ended = valid_until.isNull() & valid_from.isNull() & past
     early = F.coalesce(valid_from < start, F.lit(False))
     late = F.coalesce((valid_until != "before_present") & (valid_until > end), F.lit(False))
-    return (start.isNull() & end.isNull()) | ~(ended | unborn | early | late)
+    return (start.isNull() & end.isNull()) | ~(ended | ahead | early | late)

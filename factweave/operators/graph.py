@@ -20,20 +20,27 @@ MAX_DEPTH = 8
 def transitive_paths(edges: DataFrame, properties: tuple[str, ...], max_depth: int = MAX_DEPTH) -> DataFrame:
     """The shortest depth of each pair that one or more edges join, and the least first property at that depth.
 
-    Semi-naive: a round extends only the pairs that the last one found, and each round is written. Cycles end because
-    known pairs aren't found again.
+    Nodes that no edge leads to are facts. Only edges between other nodes are closed, semi-naive: a round extends only the
+    pairs that the last one found, and each round is written. Cycles end because known pairs aren't found again. Facts join
+    the closure once, on the end of their first hop.
     """
-    step = edges.where(F.col("property").isin(*properties))
-    one = step.groupBy("src", "dst").agg(F.min("property").alias("first_property")).select("src", "dst", F.lit(1).alias("depth"), "first_property")
-    fresh = found = settle(one, "paths")
-    hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    step = edges.where(F.col("property").isin(*properties)).groupBy("src", "dst").agg(F.min("property").alias("first_property"))
+    inner_nodes = step.select(F.col("dst").alias("src")).distinct()
+    one = settle(step.join(inner_nodes, "src", "left_semi").select("src", "dst", F.lit(1).alias("depth"), "first_property"), "paths")
+    fresh = found = one
+    hop = one.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for depth in range(2, max_depth + 1):
         longer = fresh.join(hop, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.min("first_property").alias("first_property"))
         fresh = settle(longer.join(found, ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "first_property"), "paths")
         if fresh.isEmpty():
             break
         found = found.union(fresh)
-    return found
+    facts = step.join(inner_nodes, "src", "left_anti").select("src", F.col("dst").alias("via"), "first_property")
+    beyond = found.where(F.col("depth") < max_depth).select(F.col("src").alias("via"), "dst", "depth")
+    further = facts.join(beyond, "via").groupBy("src", "dst").agg(F.min(F.struct(F.col("depth") + 1, "first_property")).alias("it"))
+    first = facts.select("src", F.col("via").alias("dst"), F.lit(1).alias("depth"), "first_property")
+    further = further.select("src", "dst", F.col("it")["col1"].alias("depth"), "it.first_property").join(facts.select("src", F.col("via").alias("dst")), ["src", "dst"], "left_anti")
+    return settle(found.union(first).union(further), "paths")
 
 
 def subsumption(pairs: DataFrame, paths: DataFrame) -> DataFrame:
@@ -50,27 +57,34 @@ def places(is_a: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return is_a.where(F.col("dst").isin(*classes)).select(F.col("src").alias("node")).distinct()
 
 
-def disjoint_places(pairs: DataFrame, part_of: DataFrame, is_a: DataFrame, continents: str = "continent", classes: tuple[str, ...] = ("country", "continent")) -> DataFrame:
-    """pairs (value, expected, ...) with disjoint: surely different places, false in any doubt.
+def place_table(part_of: DataFrame, is_a: DataFrame, continents: str = "continent", classes: tuple[str, ...] = ("country", "continent", "place")) -> DataFrame:
+    """node, lies_in (its continent), is_place, is_continent of each node that has one of these."""
+    tops = is_a.where(F.col("dst") == continents).select(F.col("src").alias("dst")).distinct()
+    within = part_of.join(tops, "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("lies_in"), F.lit(False).alias("is_place"), F.lit(False).alias("is_continent"))
+    kinds = is_a.where(F.col("dst").isin(*classes)).select(F.col("src").alias("node"), F.lit(None).cast("string").alias("lies_in"), F.lit(True).alias("is_place"), (F.col("dst") == continents).alias("is_continent"))
+    every = within.unionByName(kinds).groupBy("node").agg(F.min("lies_in").alias("lies_in"), F.bool_or("is_place").alias("is_place"), F.bool_or("is_continent").alias("is_continent"))
+    return settle(every, "places")
+
+
+def with_disjoint(rows: DataFrame, value: str, expected: str, part_of: DataFrame, place: DataFrame) -> DataFrame:
+    """rows with inside (the value is part of the expected one) and disjoint: surely different places, false in any doubt.
 
     The expected continent isn't the value's, or both are places of one continent and neither is part of the other.
     """
-    tops = is_a.where(F.col("dst") == continents).select(F.col("src").alias("continent")).distinct()
-    within = part_of.join(tops, F.col("dst") == F.col("continent"), "left_semi").groupBy("src").agg(F.min("dst").alias("continent"))
-    spots = places(is_a, classes)
-    linked = part_of.select(F.col("src").alias("value"), F.col("dst").alias("expected"), F.lit(True).alias("inside"))
-    around = part_of.select(F.col("dst").alias("value"), F.col("src").alias("expected"), F.lit(True).alias("outside"))
-    rows = (
-        pairs.join(within.select(F.col("src").alias("value"), F.col("continent").alias("value_in")), "value", "left")
-        .join(within.select(F.col("src").alias("expected"), F.col("continent").alias("expected_in")), "expected", "left")
-        .join(tops.select(F.col("continent").alias("expected"), F.lit(True).alias("is_continent")), "expected", "left")
-        .join(spots.select(F.col("node").alias("expected"), F.lit(True).alias("is_place")), "expected", "left")
-        .join(linked, ["value", "expected"], "left").join(around, ["value", "expected"], "left")
-    )
-    other_continent = F.col("is_continent") & (F.col("value_in") != F.col("expected"))
-    apart = F.col("is_place") & (F.col("value_in") == F.col("expected_in")) & F.col("inside").isNull() & F.col("outside").isNull()
-    disjoint = (F.col("value") != F.col("expected")) & (F.coalesce(other_continent, F.lit(False)) | F.coalesce(apart, F.lit(False)))
-    return rows.select(*pairs.columns, F.coalesce(disjoint, F.lit(False)).alias("disjoint"))
+    flag = lambda a, b, name: part_of.select(F.col("src").alias(a), F.col("dst").alias(b), F.lit(True).alias(name))
+    at = lambda c: place.select(F.col("node").alias(c), *[F.col(x).alias(f"_{c}_{x}") for x in ("lies_in", "is_place", "is_continent")])
+    joined = rows.join(flag(value, expected, "_in"), [value, expected], "left").join(flag(expected, value, "_out"), [value, expected], "left").join(at(value), value, "left").join(at(expected), expected, "left")
+    here = F.col(f"_{value}_lies_in")
+    elsewhere = F.col(f"_{expected}_is_continent") & (here != F.col(expected))
+    apart = F.col(f"_{expected}_is_place") & (here == F.col(f"_{expected}_lies_in")) & F.col("_in").isNull() & F.col("_out").isNull()
+    no = F.lit(False)
+    disjoint = (F.col(value) != F.col(expected)) & (F.coalesce(elsewhere, no) | F.coalesce(apart, no))
+    return joined.select(*rows.columns, F.coalesce("_in", no).alias("inside"), F.coalesce(disjoint, no).alias("disjoint"))
+
+
+def disjoint_places(pairs: DataFrame, part_of: DataFrame, is_a: DataFrame) -> DataFrame:
+    """pairs (value, expected, ...) with disjoint, as in with_disjoint()."""
+    return with_disjoint(pairs, "value", "expected", part_of, place_table(part_of, is_a)).drop("inside")
 
 
 def directions(distribution: Column) -> Column:

@@ -30,58 +30,146 @@ def select_candidate(found: DataFrame, least: float = 0.6, gap: float = 0.15) ->
     return best.where(C("top") >= least).select("reference", "kb_id", F.coalesce(C("top") - second < gap, F.lit(False)).alias("ambiguous"))
 
 
+def chosen(labels: DataFrame) -> DataFrame:
+    """label, id: what a label stands for, the least by id."""
+    return labels.groupBy("label").agg(F.min("kb_id").alias("id"))
+
+
 def resolve(claims: DataFrame, labels: DataFrame) -> DataFrame:
     """claims with subject_id and object_id, by label; identifiers stand for themselves."""
-    chosen = labels.groupBy("label").agg(F.min("kb_id").alias("id"))
+    return resolve_by(claims, chosen(labels))
+
+
+def resolve_by(claims: DataFrame, names: DataFrame) -> DataFrame:
+    """resolve() with the choice made (label, id)."""
     own = lambda c: F.when(C(c).rlike("^O[0-9]+$"), C(c))
-    subject = chosen.select(C("label").alias("subject"), C("id").alias("_s"))
-    object_ = chosen.select(C("label").alias("object"), C("id").alias("_o"))
+    subject = names.select(C("label").alias("subject"), C("id").alias("_s"))
+    object_ = names.select(C("label").alias("object"), C("id").alias("_o"))
     return claims.join(subject, "subject", "left").join(object_, "object", "left").select(*claims.columns, F.coalesce("_s", own("subject")).alias("subject_id"), F.coalesce("_o", own("object")).alias("object_id"))
 
 
-def compare(claims: DataFrame, statements: DataFrame, part_of: DataFrame, is_a: DataFrame, now: Column) -> DataFrame:
-    """claim_id, verdict, reason, n_statements for claims with property, object_type, single_valued, is_location and ids.
+#: Value types that may answer a claim, by object type: fixed values; other object types take any.
+VALUE_TYPES = {"entity": ("entity", "literal"), "entity_list": ("entity", "literal"), "time": ("date", "literal"), "quantity": ("quantity", "literal")}
+
+
+def type_fits(object_type: Column, value_type: Column) -> Column:
+    chain = F.when(value_type.isNull(), True)
+    for kind, allowed in VALUE_TYPES.items():
+        chain = chain.when(object_type == kind, value_type.isin(*allowed))
+    return chain.otherwise(True)
+
+
+def is_entity_value(value: Column, value_type: Column) -> Column:
+    """By its tag, else by the shape of an identifier: letters and a number."""
+    return F.coalesce(value_type == "entity", value.rlike("^[A-Z]+[0-9]+$"), F.lit(False))
+
+
+def bind(resolved: DataFrame, bindings: DataFrame, predicates: DataFrame) -> DataFrame:
+    """A row for each claim and binding of its predicate, in order of place: whose statements to look up, and what to expect there.
+
+    An inverted binding keeps its statements at the claim's object and has the subject as their value.
+    """
+    told = predicates.groupBy("predicate").agg(F.min_by(F.struct("object_type", "is_location"), "id").alias("it")).select("predicate", "it.*")
+    return bind_with(resolved.join(told, "predicate"), bindings)
+
+
+def bind_with(resolved: DataFrame, bindings: DataFrame) -> DataFrame:
+    """bind() of rows that have object_type and is_location."""
+    rows = resolved.drop("property").join(bindings, "predicate")
+    either = lambda a, b: F.when(C("inverted"), C(a)).otherwise(C(b))
+    return rows.select("claim_id", "place", "property", "inverted", "single_valued", "gated", "object_class", "object_type", "is_location", "polarity", "valid_from", "valid_until",
+        either("object_id", "subject_id").alias("lookup"), either("subject_id", "object_id").alias("expected_id"), either("subject", "object").alias("expected"))
+
+
+def compare(asked: DataFrame, statements: DataFrame, part_of: DataFrame, place: DataFrame, labels: DataFrame, now: Column) -> DataFrame:
+    """claim_id, place, verdict, reason, n_statements, and what the steps after the comparison need, for the rows of bind().
 
     The order of the tests: a compatible statement that matches; a compatible value inside the expected one; a compatible
     mismatch of a single-valued property, which contradicts unless something is unclear; surely different places; only
-    ended matches of a claim on the present; else nothing.
+    ended matches of a claim on the present; else nothing. Values are compared without regard to case. The mismatch that is
+    judged is the first by stmt_id. place: graph.place_table().
     """
-    held = usable(statements).select("stmt_id", C("entity").alias("subject_id"), "property", "value", "value_type", "start_q", "end_q")
-    inside = part_of.select(C("src").alias("value"), C("dst").alias("object_id"), F.lit(True).alias("inside"))
-    rows = claims.join(held, ["subject_id", "property"], "left").join(inside, ["value", "object_id"], "left")
-    apart = graph.disjoint_places(rows.where("is_location").select("value", C("object_id").alias("expected")).dropna().distinct(), part_of, is_a)
-    rows = rows.join(apart.select("value", C("expected").alias("object_id"), "disjoint"), ["value", "object_id"], "left")
-    there = C("stmt_id").isNotNull()
-    entity, time = C("object_type") == "entity", C("object_type") == "time"
-    year_only = F.coalesce(dates.approximate_year(C("object")), C("object"))
-    relation = dates.relation(year_only, C("value"))
-    same = F.when(entity, C("value") == C("object_id")).when(time, relation == "match").otherwise(F.lower(F.trim("value")) == F.lower(F.trim("object")))
-    match = there & F.coalesce(same, F.lit(False))
-    fits = dates.compatible(C("start_q"), C("end_q"), C("valid_from"), C("valid_until"), now) | (there & ~entity)
-    present = dates.present_unscoped(C("valid_from"), C("valid_until"))
-    marked = rows.select("claim_id", "object", "object_type", "object_id", "single_valued", "is_location", there.alias("there"), match.alias("match"), fits.alias("fits"),
-        F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("disjoint", F.lit(False)).alias("disjoint"), F.when(time, dates.year(C("value")).cast("string")).otherwise(C("value")).alias("key"),
-        (relation == "mismatch").alias("clean"), present.alias("present"), dates.provably_past(C("end_q"), now).alias("past"))
-    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    held = usable(statements).select("stmt_id", C("entity").alias("lookup"), "property", "value", "value_type", "start_q", "end_q")
+    names = labels.select(C("kb_id").alias("value"), F.lower(F.trim("label")).alias("name"))
+    rows = graph.with_disjoint(asked.join(held, ["lookup", "property"], "left"), "value", "expected_id", part_of, place).join(names, "value", "left")
+    there, entity, time, no = C("stmt_id").isNotNull(), C("object_type") == "entity", C("object_type") == "time", F.lit(False)
+    about = F.when(time, F.coalesce(dates.approximate_year(C("expected")), C("expected")))
+    rows = rows.withColumns({"_claimed": dates.parts(about), "_known": dates.parts(F.when(time, C("value"))), "_past": dates.provably_past(C("end_q"), now), "_ahead": dates.provably_future(C("start_q"), now)})
+    rows = rows.withColumn("_relation", dates.relation_of(C("_claimed"), C("_known")))
+    told = F.lower(F.trim("value")) == F.lower(F.trim(F.when(entity, F.coalesce("expected_id", "expected")).otherwise(C("expected"))))
+    match = there & (F.coalesce(told, no) | (time & F.coalesce(C("_relation") == "match", no)))
+    fits = dates.compatible_with(C("start_q"), C("end_q"), C("valid_from"), C("valid_until"), C("_past"), C("_ahead")) | (there & ~entity)
+    early = entity & C("valid_until").isNull() & (C("valid_from") < C("start_q")) & ~F.startswith(C("start_q"), C("valid_from")) & C("end_q").isNull()
+    marked = rows.select(*asked.columns, "stmt_id", "value", "value_type", "start_q", there.alias("there"), match.alias("match"), fits.alias("fits"), "inside", (C("disjoint") & C("is_location")).alias("disjoint"),
+        F.when(time, F.coalesce(C("_known.y").cast("string"), C("value"))).otherwise(C("value")).alias("key"), F.coalesce(C("_relation") == "mismatch", no).alias("clean"),
+        C("_past").alias("past"), F.coalesce(match & early, no).alias("early"), F.coalesce(C("name") == F.lower(F.trim("expected")), no).alias("named"))
+    any_of = lambda c: F.coalesce(F.bool_or(c), no)
     wrong = C("there") & C("fits") & ~C("match")
-    told = marked.groupBy("claim_id").agg(
-        F.first("object").alias("object"), F.first("object_type").alias("object_type"), F.first("object_id").alias("object_id"), F.first("single_valued").alias("single_valued"), F.first("is_location").alias("is_location"),
-        any_of(C("match") & C("fits")).alias("matched"), any_of(C("fits") & C("inside")).alias("within"), any_of(wrong).alias("wrong"), F.count_distinct(F.when(wrong, C("key"))).alias("values"),
-        any_of(wrong & C("clean")).alias("clean"), any_of(C("disjoint")).alias("disjoint"), any_of(C("match")).alias("ever"), F.coalesce(F.bool_and(F.when(C("match"), C("past"))), F.lit(False)).alias("only_past"),
-        F.first("present").alias("present"), F.count(F.when(C("there"), 1)).alias("n_statements"))
-    unresolved = (C("object_type") == "entity") & C("object_id").isNull()
+    first_wrong = F.min_by(F.struct("value", "value_type"), F.when(wrong, C("stmt_id"))).alias("wrong_one")
+    first_right = F.min_by(F.struct("start_q"), F.when(C("match") & C("fits"), C("stmt_id"))).alias("right_one")
+    one = [F.first(c).alias(c) for c in asked.columns if c not in ("claim_id", "place")]
+    seen = marked.groupBy("claim_id", "place").agg(
+        *one, any_of(C("match") & C("fits")).alias("matched"), any_of(C("fits") & C("inside")).alias("within"), any_of(wrong).alias("wrong"), F.count_distinct(F.when(wrong, C("key"))).alias("values"),
+        any_of(wrong & C("clean")).alias("clean"), any_of(C("disjoint")).alias("disjoint"), any_of(C("match")).alias("ever"), F.coalesce(F.bool_and(F.when(C("match"), C("past"))), no).alias("only_past"),
+        any_of(C("early")).alias("early"), any_of(wrong & C("named")).alias("named"), F.count(F.when(C("there"), 1)).alias("n_statements"), first_wrong, first_right)
+    unresolved = entity & C("expected_id").isNull()
     unclear = (
         F.when(unresolved, "value_unresolved").when(C("values") > 1, "multi_valued_single_valued_predicate")
-        .when((C("object_type") == "time") & dates.approximate_year(C("object")).isNotNull(), "approximate_date_no_year_match")
-        .when((C("object_type") == "time") & ~C("clean"), "date_not_a_clean_mismatch")
+        .when(~type_fits(C("object_type"), C("wrong_one.value_type")), "value_type_object_type_mismatch")
+        .when(entity & ~is_entity_value(C("wrong_one.value"), C("wrong_one.value_type")), "entity_claim_vs_literal_value")
+        .when(time & dates.approximate_year(C("expected")).isNotNull(), "approximate_date_no_year_match").when(time & ~C("clean"), "date_not_a_clean_mismatch")
     )
-    judged = C("wrong") & C("single_valued")
+    judged, right = C("wrong") & C("single_valued"), C("matched") | C("within")
+    present = dates.present_unscoped(C("valid_from"), C("valid_until"))
     verdict = (
-        F.when(C("matched") | C("within"), "verified").when(judged, F.when(unclear.isNull(), "contradicted").otherwise("no_match"))
-        .when(C("is_location") & C("disjoint"), "contradicted").when((C("object_type") == "entity") & C("present") & C("ever") & C("only_past"), "contradicted").otherwise("no_match")
+        F.when(right, "verified").when(judged, F.when(unclear.isNull(), "contradicted").otherwise("no_match"))
+        .when(C("is_location") & C("disjoint"), "contradicted").when(entity & present & C("ever") & C("only_past"), "contradicted").otherwise("no_match")
     )
-    reason = F.when(C("matched") | C("within"), None).when(judged, unclear).when(verdict == "no_match", F.when(unresolved, "value_unresolved").otherwise("no_matching_statement"))
-    return told.select("claim_id", verdict.alias("verdict"), reason.alias("reason"), "n_statements")
+    reason = F.when(right, None).when(judged, unclear).when(verdict == "no_match", F.when(unresolved, "value_unresolved").otherwise("no_matching_statement"))
+    start_open = entity & C("valid_from").isNotNull() & C("valid_until").isNull() & C("right_one").isNotNull() & C("right_one.start_q").isNull()
+    return seen.select("claim_id", "place", "property", "single_valued", "gated", "object_class", "object_type", "polarity", "expected_id", verdict.alias("verdict"), reason.alias("reason"), "n_statements",
+        "early", "named", start_open.alias("start_open"), C("wrong_one.value").alias("wrong_value"))
+
+
+def gate(compared: DataFrame, is_a: DataFrame) -> DataFrame:
+    """compare()'s rows after the later steps: claim_id, place, verdict (with polarity), reason, unconfirmed, contradicting_value, n_statements.
+
+    In order: a value held now whose start lies after the claimed one verifies, unconfirmed; a contradicting value that bears
+    the claimed name verifies; a contradiction falls where the claimed object is known not to be of the binding's class (an
+    object without known classes passes); a verification of a gated binding falls unless the object is known to be; a verified
+    start that the statement doesn't tell is unconfirmed; last, polarity.
+    """
+    member = is_a.select(C("src").alias("expected_id"), C("dst").alias("object_class"), F.lit(True).alias("member"))
+    typed = is_a.select(C("src").alias("expected_id")).distinct().withColumn("typed", F.lit(True))
+    rows = compared.join(member, ["expected_id", "object_class"], "left").join(typed, "expected_id", "left")
+    entity, resolved = C("object_type") == "entity", C("expected_id").isNotNull()
+    no = F.lit(False)
+    is_member, is_typed = F.coalesce("member", no), F.coalesce("typed", no)
+    late = (C("verdict") == "no_match") & resolved & C("early")
+    v1 = F.when(late, "verified").otherwise(C("verdict"))
+    v2 = F.when((v1 == "contradicted") & entity & resolved & C("named"), "verified").otherwise(v1)
+    shut = (v2 == "contradicted") & C("object_class").isNotNull() & is_typed & ~is_member
+    unsure = (v2 == "verified") & C("gated") & ~is_member
+    v4 = F.when(shut | unsure, "no_match").otherwise(v2)
+    reason = F.when(shut, "value_type_incompatible_binding").when(unsure, "value_type_unconfirmed_positive_gate").when(v4 == "no_match", C("reason"))
+    final = text.flip(v4, C("polarity"))
+    return rows.select("claim_id", "place", "property", "single_valued", "object_type", final.alias("verdict"), reason.alias("reason"), ((v4 == "verified") & (late | C("start_open"))).alias("unconfirmed"),
+        F.when(final == "contradicted", C("wrong_value")).alias("contradicting_value"), "n_statements")
+
+
+def ground(gated: DataFrame) -> DataFrame:
+    """claim_id, verdict, place, reason, unconfirmed, contradicting_value and the signals of all bindings of a claim.
+
+    The first verified binding wins, then the first contradicted one, else the last. value_known: some binding has
+    statements; functional_value_known: a single-valued one has; functional_entity: all are single-valued and of entities.
+    """
+    rank = F.when(C("verdict") == "verified", 0).when(C("verdict") == "contradicted", 1).otherwise(2)
+    order = F.struct(rank.alias("rank"), F.when(rank == 2, -C("place")).otherwise(C("place")).alias("place"))
+    some = C("n_statements") > 0
+    entity = C("object_type") == "entity"
+    best = gated.groupBy("claim_id").agg(F.min_by(F.struct("verdict", "place", "property", "reason", "unconfirmed", "contradicting_value"), order).alias("it"), F.bool_or(some & entity).alias("value_known"),
+        F.bool_or(some & C("single_valued")).alias("functional_value_known"), F.bool_and(C("single_valued") & entity).alias("functional_entity"))
+    return best.select("claim_id", "it.*", "value_known", "functional_value_known", "functional_entity")
 
 
 def arbitrate(rows: DataFrame, order: str = "place") -> DataFrame:
@@ -95,7 +183,9 @@ def arbitrate(rows: DataFrame, order: str = "place") -> DataFrame:
 def quantity(claims: DataFrame, statements: DataFrame) -> DataFrame:
     """claim_id, verdict, known: thresholds against the preferred value, else the largest; null verdict where one is missing."""
     value = text.parse_quantity(C("value"))
-    known = usable(statements).groupBy(C("entity").alias("subject_id"), "property").agg(
+    wanted = claims.select("subject_id", "property").distinct()
+    held = usable(statements).withColumnRenamed("entity", "subject_id").join(wanted, ["subject_id", "property"], "left_semi")
+    known = held.groupBy("subject_id", "property").agg(
         F.min_by(F.when(C("rank") == "preferred", value), F.when((C("rank") == "preferred") & value.isNotNull(), C("stmt_id"))).alias("preferred"), F.max(value).alias("largest"))
     rows = claims.join(known.select("subject_id", "property", F.coalesce("preferred", "largest").alias("known")), ["subject_id", "property"], "left")
     threshold = text.parse_quantity(C("object"))

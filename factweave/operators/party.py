@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources.scratch import settle
+
 C = F.col
 KEY = ["party", "subject", "predicate"]
 
@@ -27,63 +29,145 @@ def first_match(claims: DataFrame, rows: DataFrame, keys: list[str], extra: Colu
     return c.join(r, condition, "left").groupBy("c.claim_id").agg(F.min("r.id").alias(name))
 
 
+def first_two(rows: DataFrame) -> DataFrame:
+    """KEY, first and second (struct of id, object, status): the least id of each key, and the least with another object."""
+    per_object = rows.groupBy(*KEY, "object").agg(F.min(F.struct("id", "status")).alias("it")).select(*KEY, F.struct(C("it.id").alias("id"), "object", C("it.status").alias("status")).alias("it"))
+    first = per_object.groupBy(*KEY).agg(F.min("it").alias("first"))
+    names = [C(k).alias(f"_{k}") for k in KEY]
+    same = [C(k) == C(f"_{k}") for k in KEY]
+    others = per_object.join(first.select(*names, C("first.id").alias("_id")), same, "inner").where(C("it.id") != C("_id")).groupBy(*KEY).agg(F.min("it").alias("second"))
+    return first.join(others, KEY, "left")
+
+
 def lookup(claims: DataFrame, assertions: DataFrame, now: str) -> DataFrame:
-    """claim_id with the rows that verify it, that assert its negation, that assert another object, and whether it once held."""
-    rows = assertions.where(is_current(now))
-    same = first_match(claims, rows, [*KEY, "object", "polarity"], name="same_id")
-    negated = first_match(claims, rows, [*KEY, "object"], C("r.polarity") == 1 - C("c.polarity"), "negated_id")
-    other = first_match(claims, rows, KEY, (C("r.object") != C("c.object")) & (C("r.polarity") == 1) & (C("c.polarity") == 1), "other_id")
-    past = first_match(claims, assertions.where(~C("retracted") & C("valid_until").isNotNull()), [*KEY, "object", "polarity"], name="past_id")
-    return same.join(negated, "claim_id").join(other, "claim_id").join(past, "claim_id")
+    """claims (with claim_id, KEY, object, polarity) and the rows that speak to each, by equi-joins on whole keys.
 
+    same_id and same_status: the first current row that asserts it; negated_id: that asserts its negation; other_id,
+    other_object, other_status: for a positive claim the first that asserts another object; past_id: the first that is over.
+    """
+    valid = assertions.where(~C("retracted"))
+    current = F.when(is_current(now), C("id"))
+    told = valid.groupBy(*KEY, "object", "polarity").agg(F.min(current).alias("same_id"), F.min_by("status", current).alias("same_status"), F.min(F.when(C("valid_until").isNotNull(), C("id"))).alias("past_id"))
+    against = told.select(*KEY, "object", (1 - C("polarity")).alias("polarity"), C("same_id").alias("negated_id"), C("same_status").alias("negated_status"))
+    others = first_two(valid.where(is_current(now) & (C("polarity") == 1))).withColumn("polarity", F.lit(1))
+    rows = claims.join(told, [*KEY, "object", "polarity"], "left").join(against, [*KEY, "object", "polarity"], "left").join(others, [*KEY, "polarity"], "left")
+    other = F.when(C("first.object") != C("object"), C("first")).otherwise(C("second"))
+    return rows.withColumn("_o", other).select(*claims.columns, "same_id", "same_status", "past_id", "negated_id", "negated_status", C("_o.id").alias("other_id"), C("_o.object").alias("other_object"), C("_o.status").alias("other_status"))
 
-def revise(writes: Iterable[dict], functional: set[str]) -> list[dict]:
-    """The rows that the writes of one (party, subject, predicate) leave, in order.
 
-    A write that repeats a row with equal scope changes nothing. Otherwise it closes, as of its own time, the negation of its
-    object, other scopes of the same assertion and, for a functional predicate, other asserted objects; rows that are
-    externally verified stay, and then the new row is marked as contradicted by them. Closed rows can be closed again.
+def as_of(claims: DataFrame, rows: DataFrame, span: int = 256) -> DataFrame:
+    """claim_id and the object of the last row of the claim's KEY with a smaller id.
+
+    Both are laid into buckets of span ids. Windows run within a key and bucket; what earlier buckets leave is one row a
+    bucket, so no partition holds all rows of a key.
     """
-    rows: list[dict] = []
-    for w in writes:
-        same = [r for r in rows if r["object"] == w["object"] and r["polarity"] == w["polarity"]]
-        if any(r["valid_from"] == w["valid_from"] and r["valid_until"] == w["valid_until"] for r in same):
-            continue
-        hit = same + [r for r in rows if r["object"] == w["object"] and r["polarity"] != w["polarity"]]
-        if w["polarity"] == 1 and w["predicate"] in functional:
-            hit += [r for r in rows if r["object"] != w["object"] and r["polarity"] == 1]
-        firm = [r for r in hit if r["status"] == "externally_verified"]
-        for r in hit:
-            if r["status"] != "externally_verified":
-                r["valid_until"], r["closed_by"] = w["asserted_at"], w["id"]
-        rows.append(w | {"closed_by": None, "status": "contradicted_by_externally_verified" if firm else w["status"]})
-    return rows
+    every = rows.select(*KEY, "id", C("object").alias("_held"), F.lit(None).cast("long").alias("claim_id")).unionByName(claims.select(*KEY, C("claim_id").alias("id"), F.lit(None).cast("string").alias("_held"), "claim_id"))
+    every = every.withColumn("_bucket", F.floor(C("id") / span))
+    told = C("_held").isNotNull()
+    within = Window.partitionBy(*KEY, "_bucket").orderBy("id", C("claim_id").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = every.withColumn("_near", F.last("_held", ignorenulls=True).over(within)).where("claim_id IS NOT NULL")
+    lasts = every.groupBy(*KEY, "_bucket").agg(F.max_by("_held", F.when(told, C("id"))).alias("_last"))
+    before = Window.partitionBy(*KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_far", F.last("_last", ignorenulls=True).over(before)).select(*KEY, "_bucket", "_far")
+    return near.join(carried, [*KEY, "_bucket"], "left").select("claim_id", F.coalesce("_near", "_far").alias("object"))
+
+
+FIRM = "externally_verified"
+
+
+class Belief:
+    """What the earlier writes of one (party, subject, predicate) leave that later ones depend on, without their rows.
+
+    A write closes, as of its own time, the earlier rows of its object and, for a functional predicate, positive rows of other
+    objects. So all earlier rows of an object share the time of their last closing, and only the last row of an object can
+    still have its own end.
+    """
+
+    def __init__(self, functional: bool):
+        self.functional = functional
+        self.n = 0
+        self.last: dict[str, tuple] = {}  # by object: place, time, polarity, valid_from, valid_until, firm
+        self.starts: dict[tuple[str, int], set] = {}  # by object and polarity: starts of rows before the last that can be closed
+        self.firm: dict[tuple[str, int], set] = {}  # by object and polarity: scopes of externally verified rows
+        self.positive: list[tuple[int, str, str]] = []  # place, object, time of the last positive write and of the last one of another object
+
+    def _others_close(self, w: dict) -> tuple[int, str]:
+        """Place and time of the last positive write on another object, if those close."""
+        for place, name, time in self.positive if self.functional else ():
+            if name != w["object"]:
+                return place, time
+        return -1, ""
+
+    def take(self, w: dict) -> str | None:
+        """The status that the written row gets; None where it repeats a row with equal scope."""
+        o, p, scope = w["object"], w["polarity"], (w["valid_from"], w["valid_until"])
+        last, others = self.last.get(o), self._others_close(w) if w["polarity"] == 1 else (-1, "")
+        if scope in self.firm.get((o, p), ()):
+            return None
+        if last is not None:
+            closed = max(last[:2], others)[1]
+            if w["valid_until"] == closed and w["valid_from"] in self.starts.get((o, p), ()):
+                return None
+            end = others[1] if others[0] > last[0] else last[4]
+            if last[2] == p and not last[5] and scope == (last[3], end):
+                return None
+        hit = self.firm.get((o, 0)) or self.firm.get((o, 1))
+        if p == 1 and self.functional:
+            hit = hit or any(k == 1 and name != o for name, k in self.firm)
+        status = "contradicted_by_externally_verified" if hit else w["status"]
+        if last is not None and not last[5]:
+            self.starts.setdefault((o, last[2]), set()).add(last[3])
+        if status == FIRM:
+            self.firm.setdefault((o, p), set()).add(scope)
+        self.last[o] = (self.n, w["asserted_at"], p, *scope, status == FIRM)
+        if p == 1:
+            rest = [x for x in self.positive if x[1] != o]
+            self.positive = [(self.n, o, w["asserted_at"]), *rest[:1]]
+        self.n += 1
+        return status
 
 
 COLUMNS = ["id", *KEY, "object", "polarity", "valid_from", "valid_until", "status", "asserted_at"]
 
 
 def write_assertions(writes: DataFrame, functional: list[str]) -> DataFrame:
-    """revise() for every key. Keys are dealt out and sorted, so a task holds one key's rows at a time, in order of id."""
-    known = set(functional)
+    """The rows that writes leave, per KEY in order of id: COLUMNS and closed_by.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict] = []
+    A write that repeats a row with equal scope changes nothing. Otherwise it closes, as of its own time, the negation of its
+    object, other scopes of the same assertion and, for a functional predicate, other asserted objects; rows that are
+    externally verified stay, and then the new row is marked as contradicted by them. Closed rows can be closed again.
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame(revise(held, known), columns=[*COLUMNS, "closed_by"]).astype({"closed_by": "Int64"})
+    Whether a write is taken depends on those before it: keys are dealt out and sorted, and a task streams over them with the
+    state of one key (its objects and scopes, not its rows). A key with very many writes is still one task's stream, as their
+    order is the meaning. What closes a row, the last taken write that can, is then found by aggregates and joins.
+    """
+    known = set(functional)
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, belief = None, Belief(False)
         for frame in frames:
+            status = []
             for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                if held and any(held[-1][k] != row[k] for k in KEY):
-                    yield done()
-                    held = []
-                held.append(row)
-        if held:
-            yield done()
-
-    schema = "id long, party string, subject string, predicate string, object string, polarity int, valid_from string, valid_until string, status string, asserted_at string, closed_by long"
-    return writes.select(*COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "id").mapInPandas(run, schema)
+                mine = tuple(row[k] for k in KEY)
+                if mine != key:
+                    key, belief = mine, Belief(row["predicate"] in known)
+                status.append(belief.take(row))
+            yield frame.assign(status=status)[[s is not None for s in status]]
+
+    schema = "id long, party string, subject string, predicate string, object string, polarity int, valid_from string, valid_until string, status string, asserted_at string"
+    taken = writes.select(*COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "id").mapInPandas(run, schema)
+    taken = settle(taken, "taken")
+    last = taken.groupBy(*KEY, "object").agg(F.max(F.struct("id", "asserted_at")).alias("own"))
+    positive = taken.where(C("polarity") == 1).groupBy(*KEY, "object").agg(F.max(F.struct("id", "object", "asserted_at")).alias("it"))
+    top = positive.groupBy(*KEY).agg(F.max("it").alias("one"))
+    names, same = [C(k).alias(f"_{k}") for k in KEY], [C(k) == C(f"_{k}") for k in KEY]
+    below = positive.join(top.select(*names, C("one.id").alias("_id")), same).where(C("it.id") != C("_id")).groupBy(*KEY).agg(F.max("it").alias("two"))
+    rows = taken.join(last, [*KEY, "object"]).join(top.join(below, KEY, "left"), KEY, "left")
+    other = F.when(C("one.object") != C("object"), F.struct("one.id", "one.asserted_at")).otherwise(F.struct("two.id", "two.asserted_at"))
+    closes = (C("polarity") == 1) & C("predicate").isin(*functional) & other.isNotNull()
+    closing = F.greatest(F.when(C("own.id") > C("id"), C("own")), F.when(closes & (other["id"] > C("id")), other))
+    hit = (C("status") != FIRM) & closing.isNotNull()
+    return rows.withColumn("_by", F.when(hit, closing)).select(*[C(c) for c in COLUMNS if c != "valid_until"], F.coalesce("_by.asserted_at", "valid_until").alias("valid_until"), C("_by.id").alias("closed_by"))
 
 
 def allowed(hits: Iterable[float], most: int, window: float, recent: list[float]) -> list[bool]:

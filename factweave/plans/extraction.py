@@ -117,7 +117,7 @@ _COUNTS = r"""CASE m WHEN 'vowel' THEN length(regexp_replace(lower(t), '[^aeiou]
   WHEN 'word' THEN CAST(len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS VARCHAR) END"""
 _COUNTED = f"SELECT *, {_COUNTS} AS counts FROM (SELECT *, {_MEASURE} AS m, {_TARGET} AS t FROM ({_SUMS.format(part='part')}))"
 SQL["E8_string_counts"] = f"SELECT claim_id, m AS measure, t AS target, counts FROM ({_COUNTED})"
-QUERIES["E10_computed_verdict"] = lambda spark, d: _sums(spark, d).select("claim_id", text.computed_verdict(C("subject"), C("predicate"), C("object"), C("polarity")).alias("verdict"))
+QUERIES["E10_computed_verdict"] = lambda spark, d: text.with_computed_verdict(_sums(spark, d), "verdict").select("claim_id", "verdict")
 _A, _B = _STRICT.format("subject"), _STRICT.format("object")
 _YA, _YB = (f"CASE WHEN regexp_full_match(trim({c}), '[-+]?[0-9]{{1,4}}') THEN try_cast(replace(trim({c}), '+', '') AS INT) END" for c in ("subject", "object"))
 SQL["E10_computed_verdict"] = f"""WITH c AS ({_COUNTED}), n AS (SELECT claim_id, polarity, m, counts, t, object, lower(predicate) AS p, {_COMPARATOR} AS k, {_YEARS} AS y, {_A} AS a, {_B} AS b, {_YA} AS ya, {_YB} AS yb FROM c),

@@ -60,7 +60,7 @@ QUERIES["G5_places"] = lambda s, d: graph.places(paths(s, d, "is_a"), ("country"
 SQL["G5_places"] = oracle(f"WITH RECURSIVE {IS_A} SELECT DISTINCT src AS node FROM is_a WHERE dst IN ('country', 'continent')", "kb_edges")
 DISJOINT = """tops AS (SELECT DISTINCT src AS continent FROM is_a WHERE dst = 'continent'),
   lies_in AS (SELECT src, min(dst) AS continent FROM part_of WHERE dst IN (SELECT continent FROM tops) GROUP BY src)"""
-APART = """value <> expected AND ((expected IN (SELECT continent FROM tops) AND coalesce(vi.continent <> expected, false)) OR (expected IN (SELECT src FROM is_a WHERE dst IN ('country', 'continent'))
+APART = """value <> expected AND ((expected IN (SELECT continent FROM tops) AND coalesce(vi.continent <> expected, false)) OR (expected IN (SELECT src FROM is_a WHERE dst IN ('country', 'continent', 'place'))
   AND coalesce(vi.continent = ei.continent, false) AND NOT EXISTS (SELECT 1 FROM part_of WHERE src = value AND dst = expected) AND NOT EXISTS (SELECT 1 FROM part_of WHERE dst = value AND src = expected)))"""
 
 
@@ -107,54 +107,104 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).join(view(spark, sf_dir, "predicates").where("property IS NOT NULL").drop("id"), "predicate")
 
 
-def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _asked(spark, sf_dir).where("routing_hint = 'kb_resolvable'")
-    return kb.compare(asked, view(spark, sf_dir, "kb_statements"), paths(spark, sf_dir, "part_of"), paths(spark, sf_dir, "is_a"), F.to_date(F.lit(NOW[:10])))
+def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kb.bind(_resolved(spark, sf_dir), view(spark, sf_dir, "bindings"), view(spark, sf_dir, "predicates"))
 
 
-_APPROX = r"nullif(regexp_extract(trim(object), '(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$', 1), '')"
-COMPARED = f"""asked AS (SELECT r.*, {_APPROX} AS approx, p.property, p.object_type, p.single_valued, p.is_location FROM resolved r JOIN predicates p ON p.predicate = r.predicate WHERE p.property IS NOT NULL AND routing_hint = 'kb_resolvable'),
-  marked AS (SELECT a.*, stmt_id IS NOT NULL AS there, value, start_q, end_q, (stmt_id IS NOT NULL AND coalesce(CASE object_type WHEN 'entity' THEN value = object_id WHEN 'time' THEN {date_relation_sql("coalesce(approx, object)", 'value')} = 'match' END, false)) AS is_match,
-      {compatible_sql('start_q', 'end_q', 'valid_from', 'valid_until')} AS fits, coalesce({date_relation_sql("coalesce(approx, object)", 'value')} = 'mismatch', false) AS is_clean, coalesce({latest_sql('end_q')} < DATE '{NOW[:10]}', false) AS past
-    FROM asked a LEFT JOIN kb_statements k ON k.entity = a.subject_id AND k.property = a.property AND k.rank <> 'deprecated'),
-  pairs AS (SELECT DISTINCT value, object_id AS expected FROM marked WHERE is_location AND value IS NOT NULL AND object_id IS NOT NULL),
+def compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The comparison of each claim and binding, and the paths by class."""
+    part_of, is_a = paths(spark, sf_dir, "part_of"), paths(spark, sf_dir, "is_a")
+    rows = kb.compare(bound(spark, sf_dir), view(spark, sf_dir, "kb_statements"), part_of, graph.place_table(part_of, is_a), view(spark, sf_dir, "kb_labels"), F.to_date(F.lit(NOW[:10])))
+    return rows, is_a
+
+
+def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kb.ground(kb.gate(*compared(spark, sf_dir)))
+
+
+_APPROX = r"nullif(regexp_extract(trim(expected), '(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$', 1), '')"
+_RELATION = date_relation_sql("coalesce(approx, expected)", "value")
+BOUND = f"""first_meta AS (SELECT predicate, arg_min(object_type, id) AS object_type, arg_min(is_location, id) AS is_location FROM predicates GROUP BY predicate),
+  bound0 AS (SELECT claim_id, place, property, inverted, single_valued, gated, object_class, object_type, is_location, polarity, valid_from, valid_until, CASE WHEN inverted THEN object_id ELSE subject_id END AS lookup,
+      CASE WHEN inverted THEN subject_id ELSE object_id END AS expected_id, CASE WHEN inverted THEN subject ELSE object END AS expected FROM resolved JOIN bindings USING (predicate) JOIN first_meta USING (predicate)),
+  bound AS (SELECT *, {_APPROX} AS approx FROM bound0)"""
+COMPARED = f"""{BOUND},
+  marked AS (SELECT a.*, k.stmt_id, k.stmt_id IS NOT NULL AS there, value, value_type, start_q, end_q,
+      k.stmt_id IS NOT NULL AND (coalesce(lower(trim(value)) = lower(trim(CASE WHEN object_type = 'entity' THEN coalesce(expected_id, expected) ELSE expected END)), false) OR (object_type = 'time' AND coalesce({_RELATION} = 'match', false))) AS is_match,
+      {compatible_sql('start_q', 'end_q', 'valid_from', 'valid_until')} OR (k.stmt_id IS NOT NULL AND object_type <> 'entity') AS fits, coalesce({_RELATION} = 'mismatch', false) AS is_clean, coalesce({latest_sql('end_q')} < DATE '{NOW[:10]}', false) AS past
+    FROM bound a LEFT JOIN kb_statements k ON k.entity = a.lookup AND k.property = a.property AND k.rank <> 'deprecated'),
+  pairs AS (SELECT DISTINCT value, expected_id AS expected FROM marked WHERE is_location AND value IS NOT NULL AND expected_id IS NOT NULL),
   apart AS (SELECT value, expected FROM pairs LEFT JOIN lies_in vi ON vi.src = value LEFT JOIN lies_in ei ON ei.src = expected WHERE {APART}),
-  flagged AS (SELECT m.*, (p.src IS NOT NULL) AS inside, (x.value IS NOT NULL) AS disjoint, valid_from IS NULL AND valid_until IS NULL AS present FROM marked m LEFT JOIN part_of p ON p.src = m.value AND p.dst = m.object_id LEFT JOIN apart x ON x.value = m.value AND x.expected = m.object_id),
-  told AS (SELECT claim_id, any_value(object_type) AS object_type, any_value(object_id) AS object_id, any_value(approx) AS approx, any_value(single_valued) AS single_valued, any_value(is_location) AS is_location, any_value(polarity) AS polarity,
-      bool_or(is_match AND fits) AS matched, bool_or(fits AND inside) AS inner_match, bool_or(there AND fits AND NOT is_match) AS wrong,
-      count(DISTINCT CASE WHEN there AND fits AND NOT is_match THEN CASE WHEN object_type = 'time' THEN substring(value, 1, 4) ELSE value END END) AS n_values, bool_or(there AND fits AND NOT is_match AND is_clean) AS clean, bool_or(disjoint) AS disjoint,
-      bool_or(is_match) AS ever, coalesce(bool_and(past) FILTER (WHERE is_match), false) AS only_past, any_value(present) AS present, count(*) FILTER (WHERE there) AS n_statements FROM flagged GROUP BY claim_id),
-  judged AS (SELECT *, CASE WHEN object_type = 'entity' AND object_id IS NULL THEN 'value_unresolved' WHEN n_values > 1 THEN 'multi_valued_single_valued_predicate' WHEN object_type = 'time' AND approx IS NOT NULL THEN 'approximate_date_no_year_match'
-      WHEN object_type = 'time' AND NOT clean THEN 'date_not_a_clean_mismatch' END AS unclear FROM told),
-  compared AS (SELECT claim_id, n_statements, polarity, CASE WHEN matched OR inner_match THEN 'verified' WHEN wrong AND single_valued THEN CASE WHEN unclear IS NULL THEN 'contradicted' ELSE 'no_match' END WHEN is_location AND disjoint THEN 'contradicted'
+  flagged AS (SELECT m.*, p.src IS NOT NULL AS inside, x.value IS NOT NULL AS disjoint, coalesce(lower(trim(l.label)) = lower(trim(m.expected)), false) AS named,
+      is_match AND object_type = 'entity' AND valid_until IS NULL AND coalesce(valid_from < start_q AND NOT starts_with(start_q, valid_from), false) AND end_q IS NULL AS early, there AND fits AND NOT is_match AS is_wrong
+    FROM marked m LEFT JOIN part_of p ON p.src = m.value AND p.dst = m.expected_id LEFT JOIN apart x ON x.value = m.value AND x.expected = m.expected_id LEFT JOIN kb_labels l ON l.kb_id = m.value),
+  told AS (SELECT claim_id, place, any_value(property) AS property, any_value(object_type) AS object_type, any_value(expected_id) AS expected_id, any_value(approx) AS approx, any_value(single_valued) AS single_valued, any_value(gated) AS gated,
+      any_value(object_class) AS object_class, any_value(is_location) AS is_location, any_value(polarity) AS polarity, any_value(valid_from) AS valid_from, any_value(valid_until) AS valid_until,
+      bool_or(is_match AND fits) AS matched, bool_or(fits AND inside) AS inner_match, bool_or(is_wrong) AS wrong, count(DISTINCT CASE WHEN is_wrong THEN CASE WHEN object_type = 'time' THEN coalesce(nullif(regexp_extract(value, '^[+]?([0-9]{{4}})', 1), ''), value) ELSE value END END) AS n_values,
+      bool_or(is_wrong AND is_clean) AS clean, bool_or(disjoint) AS disjoint, bool_or(is_match) AS ever, coalesce(bool_and(past) FILTER (WHERE is_match), false) AS only_past, bool_or(early) AS early, bool_or(is_wrong AND named) AS named,
+      count(*) FILTER (WHERE there) AS n_statements, arg_min(value, stmt_id) FILTER (WHERE is_wrong) AS wrong_value, arg_min(value_type, stmt_id) FILTER (WHERE is_wrong) AS wrong_type,
+      arg_min(start_q IS NULL, stmt_id) FILTER (WHERE is_match AND fits) AS start_missing FROM flagged GROUP BY claim_id, place),
+  judged AS (SELECT *, valid_from IS NULL AND valid_until IS NULL AS present, CASE WHEN object_type = 'entity' AND expected_id IS NULL THEN 'value_unresolved' WHEN n_values > 1 THEN 'multi_valued_single_valued_predicate'
+      WHEN object_type = 'entity' AND wrong_type NOT IN ('entity', 'literal') OR object_type = 'time' AND wrong_type NOT IN ('date', 'literal') OR object_type = 'quantity' AND wrong_type NOT IN ('quantity', 'literal') THEN 'value_type_object_type_mismatch'
+      WHEN object_type = 'entity' AND wrong_type <> 'entity' THEN 'entity_claim_vs_literal_value' WHEN object_type = 'time' AND approx IS NOT NULL THEN 'approximate_date_no_year_match' WHEN object_type = 'time' AND NOT clean THEN 'date_not_a_clean_mismatch' END AS unclear FROM told),
+  compared AS (SELECT *, CASE WHEN matched OR inner_match THEN 'verified' WHEN wrong AND single_valued THEN CASE WHEN unclear IS NULL THEN 'contradicted' ELSE 'no_match' END WHEN is_location AND disjoint THEN 'contradicted'
       WHEN object_type = 'entity' AND present AND ever AND only_past THEN 'contradicted' ELSE 'no_match' END AS verdict,
       CASE WHEN matched OR inner_match THEN NULL WHEN wrong AND single_valued THEN unclear WHEN is_location AND disjoint THEN NULL WHEN object_type = 'entity' AND present AND ever AND only_past THEN NULL
-      WHEN object_type = 'entity' AND object_id IS NULL THEN 'value_unresolved' ELSE 'no_matching_statement' END AS reason FROM judged)"""
-_BASE = ("claims", "kb_labels", "kb_edges", "kb_statements", "predicates")
+      WHEN object_type = 'entity' AND expected_id IS NULL THEN 'value_unresolved' ELSE 'no_matching_statement' END AS reason FROM judged)"""
+_BASE = ("claims", "kb_labels", "kb_edges", "kb_statements", "predicates", "bindings")
 PREFIX = f"WITH RECURSIVE {PART_OF}, {IS_A}, {DISJOINT}, {RESOLVED}, {COMPARED}"
-QUERIES["D13_compare"] = compared
-SQL["D13_compare"] = oracle(f"{PREFIX} SELECT claim_id, verdict, reason, n_statements FROM compared", *_BASE)
+QUERIES["D13_compare"] = lambda s, d: compared(s, d)[0].select("claim_id", "place", "verdict", "reason", "n_statements")
+SQL["D13_compare"] = oracle(f"{PREFIX} SELECT claim_id, place, verdict, reason, n_statements FROM compared", *_BASE)
+
+FLIPPED = "CASE WHEN polarity = 0 AND verdict = 'verified' THEN 'contradicted' WHEN polarity = 0 AND verdict = 'contradicted' THEN 'verified' ELSE verdict END"
+GATED = """late AS (SELECT c.*, EXISTS (SELECT 1 FROM is_a WHERE src = expected_id AND dst = object_class) AS member, EXISTS (SELECT 1 FROM is_a WHERE src = expected_id) AS typed, verdict = 'no_match' AND expected_id IS NOT NULL AND early AS is_late FROM compared c),
+  named1 AS (SELECT *, CASE WHEN is_late THEN 'verified' WHEN verdict = 'contradicted' AND object_type = 'entity' AND expected_id IS NOT NULL AND named THEN 'verified' ELSE verdict END AS v2 FROM late),
+  shut1 AS (SELECT *, v2 = 'contradicted' AND object_class IS NOT NULL AND typed AND NOT member AS shut, v2 = 'verified' AND gated AND NOT member AS unsure FROM named1),
+  final1 AS (SELECT * EXCLUDE (verdict, reason), reason AS old_reason, CASE WHEN shut OR unsure THEN 'no_match' ELSE v2 END AS verdict FROM shut1),
+  gated1 AS (SELECT claim_id, place, property, single_valued, object_type, n_statements, """+FLIPPED+""" AS verdict, CASE WHEN shut THEN 'value_type_incompatible_binding' WHEN unsure THEN 'value_type_unconfirmed_positive_gate' WHEN verdict = 'no_match' THEN old_reason END AS reason,
+    verdict = 'verified' AND (is_late OR coalesce(object_type = 'entity' AND valid_from IS NOT NULL AND valid_until IS NULL AND start_missing, false)) AS unconfirmed, wrong_value FROM final1),
+  ranked1 AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY CASE verdict WHEN 'verified' THEN 0 WHEN 'contradicted' THEN 1 ELSE 2 END, CASE WHEN verdict = 'no_match' THEN -place ELSE place END) AS n FROM gated1),
+  grounded AS (SELECT r.claim_id, verdict, place, property, reason, unconfirmed, CASE WHEN verdict = 'contradicted' THEN wrong_value END AS contradicting_value, value_known, functional_value_known, functional_entity FROM ranked1 r JOIN (SELECT claim_id,
+    bool_or(n_statements > 0 AND object_type = 'entity') AS value_known, bool_or(n_statements > 0 AND single_valued) AS functional_value_known, bool_and(single_valued AND object_type = 'entity') AS functional_entity FROM gated1 GROUP BY claim_id) USING (claim_id) WHERE n = 1)"""
+QUERIES["D16_apply_polarity"] = lambda s, d: kb.gate(*compared(s, d)).select("claim_id", "place", "verdict", "reason", "unconfirmed", "contradicting_value")
+SQL["D16_apply_polarity"] = oracle(f"{PREFIX}, {GATED} SELECT claim_id, place, verdict, reason, unconfirmed, CASE WHEN verdict = 'contradicted' THEN wrong_value END AS contradicting_value FROM gated1", *_BASE)
+QUERIES["D17_arbitrate_bindings"] = lambda s, d: grounded(s, d).select("claim_id", "verdict", "place", "reason")
+SQL["D17_arbitrate_bindings"] = oracle(f"{PREFIX}, {GATED} SELECT claim_id, verdict, place, reason FROM grounded", *_BASE)
+QUERIES["D18_value_signals"] = lambda s, d: grounded(s, d).select("claim_id", "value_known", "functional_value_known", "functional_entity")
+SQL["D18_value_signals"] = oracle(f"{PREFIX}, {GATED} SELECT claim_id, value_known, functional_value_known, functional_entity FROM grounded", *_BASE)
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compared(spark, sf_dir).join(view(spark, sf_dir, "claims").select("claim_id", "statement_id", "polarity"), "claim_id")
-    return rows.select("claim_id", "statement_id", text.flip(C("verdict"), C("polarity")).alias("verdict"))
+    """Verdicts on claims by statements alone, counted."""
+    rows = grounded(spark, sf_dir).join(view(spark, sf_dir, "claims").select("claim_id", "statement_id"), "claim_id")
+    return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("statement_id").alias("statements"))
 
 
-FLIPPED = "CASE WHEN polarity = 0 AND verdict = 'verified' THEN 'contradicted' WHEN polarity = 0 AND verdict = 'contradicted' THEN 'verified' ELSE verdict END"
-QUERIES["D16_apply_polarity"] = lambda s, d: verified(s, d).select("claim_id", "verdict")
-SQL["D16_apply_polarity"] = oracle(f"{PREFIX} SELECT claim_id, {FLIPPED} AS verdict FROM compared", *_BASE)
-QUERIES["verify_direct"] = lambda s, d: verified(s, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("statement_id").alias("statements"))
-SQL["verify_direct"] = oracle(f"{PREFIX} SELECT {FLIPPED} AS verdict, count(*) AS claims, count(DISTINCT statement_id) AS statements FROM compared JOIN claims USING (claim_id, polarity) GROUP BY 1", *_BASE)
-
-_BINDINGS = """SELECT l_orderkey AS claim_id, l_linenumber * 1000000 + l_partkey * 10 + l_suppkey % 10 AS place, CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradicted' ELSE 'no_match' END AS verdict FROM {lineitem}"""
-QUERIES["D17_arbitrate_bindings"] = lambda s, d: kb.arbitrate(s.sql(_BINDINGS, lineitem=s.read.parquet(f"{d}/lineitem.parquet")).distinct())
-SQL["D17_arbitrate_bindings"] = f"""WITH b AS ({_BINDINGS.format(lineitem='lineitem')}) SELECT claim_id, CASE WHEN bool_or(verdict = 'verified') THEN 'verified' WHEN bool_or(verdict = 'contradicted') THEN 'contradicted' ELSE 'no_match' END AS verdict,
-  coalesce(min(place) FILTER (WHERE verdict = 'verified'), min(place) FILTER (WHERE verdict = 'contradicted'), max(place)) AS place FROM b GROUP BY claim_id"""
-QUERIES["D18_value_signals"] = lambda s, d: _asked(s, d).join(kb.usable(view(s, d, "kb_statements")).groupBy(C("entity").alias("subject_id"), "property").agg(F.count(F.lit(1)).alias("n")), ["subject_id", "property"], "left").select(
-    "claim_id", C("n").isNotNull().alias("value_known"), (C("n").isNotNull() & C("single_valued")).alias("functional_value_known"), (C("single_valued") & (C("object_type") == "entity")).alias("functional_entity"))
-SQL["D18_value_signals"] = oracle(f"""WITH {RESOLVED} SELECT claim_id, n IS NOT NULL AS value_known, n IS NOT NULL AND single_valued AS functional_value_known, single_valued AND object_type = 'entity' AS functional_entity FROM resolved JOIN predicates USING (predicate)
-  LEFT JOIN (SELECT entity, property, count(*) AS n FROM kb_statements WHERE rank <> 'deprecated' GROUP BY 1, 2) k ON entity = subject_id AND k.property = predicates.property WHERE predicates.property IS NOT NULL""", "claims", "kb_labels", "kb_statements", "predicates")
+QUERIES["verify_direct"] = verified
+SQL["verify_direct"] = oracle(f"{PREFIX}, {GATED} SELECT verdict, count(*) AS claims, count(DISTINCT statement_id) AS statements FROM grounded JOIN claims USING (claim_id) GROUP BY 1", *_BASE)
+QUERIES["C10_binding_direction"] = lambda s, d: bound(s, d).select("claim_id", "place", "lookup", "expected_id")
+SQL["C10_binding_direction"] = oracle(f"WITH {RESOLVED}, {BOUND} SELECT claim_id, place, lookup, expected_id FROM bound", *_BASE)
+
+
+def _value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which values are entities, by tag or shape."""
+    return view(spark, sf_dir, "kb_statements").select("stmt_id", kb.is_entity_value(C("value"), F.when(C("stmt_id") % 3 > 0, C("value_type"))).alias("is_entity"))
+
+
+QUERIES["D15_entity_value"] = _value_kinds
+SQL["D15_entity_value"] = oracle("SELECT stmt_id, coalesce(CASE WHEN stmt_id % 3 > 0 THEN value_type = 'entity' END, regexp_matches(value, '^[A-Z]+[0-9]+$'), false) AS is_entity FROM kb_statements", "kb_statements")
+
+
+def _disjoint_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on places whose every held value surely lies elsewhere."""
+    apart = graph.disjoint_places(_place_pairs(spark, sf_dir), paths(spark, sf_dir, "part_of"), paths(spark, sf_dir, "is_a"))
+    return apart.groupBy("claim_id").agg(F.bool_and("disjoint").alias("all_apart"))
+
+
+QUERIES["C13_all_values_apart"] = _disjoint_apart
+SQL["C13_all_values_apart"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, pairs AS (SELECT claim_id, stmt_id, value, object_id AS expected FROM resolved JOIN kb_statements ON entity = subject_id AND property = 'P17' WHERE object_id IS NOT NULL)
+  SELECT claim_id, bool_and({APART}) AS all_apart FROM pairs LEFT JOIN lies_in vi ON vi.src = value LEFT JOIN lies_in ei ON ei.src = expected GROUP BY claim_id""", "claims", "kb_labels", "kb_edges", "kb_statements")
+
 QUERIES["D14_value_type_ok"] = lambda s, d: _asked(s, d).join(view(s, d, "kb_statements").withColumnRenamed("entity", "subject_id"), ["subject_id", "property"]).select(
     "claim_id", "stmt_id", F.when(C("object_type") == "entity", C("value_type").isin("entity", "literal")).when(C("object_type") == "time", C("value_type").isin("date", "literal")).when(C("object_type") == "quantity", C("value_type").isin("quantity", "literal")).otherwise(True).alias("ok"))
 SQL["D14_value_type_ok"] = oracle(f"""WITH {RESOLVED} SELECT claim_id, stmt_id, CASE object_type WHEN 'entity' THEN value_type IN ('entity', 'literal') WHEN 'time' THEN value_type IN ('date', 'literal') WHEN 'quantity' THEN value_type IN ('quantity', 'literal') ELSE true END AS ok
@@ -168,12 +218,14 @@ SQL["C11_part_of_upgrade"] = oracle(f"WITH RECURSIVE {PART_OF}, {RESOLVED} SELEC
 QUERIES["C12_no_statement_fallback"] = lambda s, d: _asked(s, d).where("is_location").join(kb.usable(view(s, d, "kb_statements")).select(C("entity").alias("subject_id"), "property"), ["subject_id", "property"], "left_anti").join(paths(s, d, "part_of"), (C("src") == C("subject_id")) & (C("dst") == C("object_id")), "left_semi").select("claim_id")
 SQL["C12_no_statement_fallback"] = oracle(f"""WITH RECURSIVE {PART_OF}, {RESOLVED} SELECT claim_id FROM resolved JOIN predicates p USING (predicate) JOIN part_of ON src = subject_id AND dst = object_id WHERE is_location
   AND NOT EXISTS (SELECT 1 FROM kb_statements k WHERE k.entity = subject_id AND k.property = p.property AND rank <> 'deprecated')""", "claims", "kb_labels", "kb_edges", "kb_statements", "predicates")
-QUERIES["C8_predicate_metadata"] = lambda s, d: view(s, d, "claims").join(view(s, d, "predicates"), "predicate", "left").select("claim_id", "property", "routing_hint", "object_type")
-SQL["C8_predicate_metadata"] = oracle("SELECT claim_id, property, routing_hint, object_type FROM claims LEFT JOIN predicates USING (predicate)", "claims", "predicates")
-QUERIES["C10_binding_direction"] = lambda s, d: _resolved(s, d).join(view(s, d, "mappings").select(C("id").alias("binding"), "property", (C("subject_slot") == "statement_value").alias("inverted")).where("binding < 20 AND inverted IS NOT NULL"), C("claim_id") % 20 == C("binding")).select(
-    "claim_id", "binding", F.when(C("inverted"), C("object_id")).otherwise(C("subject_id")).alias("lookup"), F.when(C("inverted"), C("subject_id")).otherwise(C("object_id")).alias("expected"))
-SQL["C10_binding_direction"] = oracle(f"""WITH {RESOLVED} SELECT claim_id, id AS binding, CASE WHEN subject_slot = 'statement_value' THEN object_id ELSE subject_id END AS lookup, CASE WHEN subject_slot = 'statement_value' THEN subject_id ELSE object_id END AS expected
-  FROM resolved JOIN mappings ON claim_id % 20 = id WHERE id < 20 AND subject_slot IS NOT NULL""", "claims", "kb_labels", "mappings")
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim's predicate metadata, the first row by id."""
+    first = view(spark, sf_dir, "predicates").groupBy("predicate").agg(F.min_by(F.struct("property", "routing_hint", "object_type"), "id").alias("it"))
+    return view(spark, sf_dir, "all_claims").join(first, "predicate", "left").select("claim_id", "it.*")
+
+
+QUERIES["C8_predicate_metadata"] = _metadata
+SQL["C8_predicate_metadata"] = oracle("SELECT claim_id, property, routing_hint, object_type FROM all_claims LEFT JOIN (SELECT * FROM predicates QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY id) = 1) USING (predicate)", "all_claims", "predicates")
 QUERIES["F1_quantitative"] = lambda s, d: kb.quantity(_asked(s, d).where("routing_hint = 'kb_quantitative'"), view(s, d, "kb_statements"))
 _NUM = "try_cast({0} AS DOUBLE)"
 SQL["F1_quantitative"] = oracle(f"""WITH {RESOLVED}, known AS (SELECT entity, coalesce(arg_min({_NUM.format('value')}, stmt_id) FILTER (WHERE rank = 'preferred'), max({_NUM.format('value')})) AS known FROM kb_statements WHERE property = 'P2284' AND rank <> 'deprecated' GROUP BY entity),
@@ -199,6 +251,3 @@ SQL["E11_premise_value"] = oracle("""WITH v AS (SELECT *, CASE WHEN value_type =
   SELECT entity, property, coalesce(arg_min(v, stmt_id) FILTER (WHERE rank = 'preferred'), CASE WHEN count(DISTINCT v) = 1 THEN min(v) END) AS value FROM v GROUP BY entity, property""", "kb_statements")
 QUERIES["L12_distinct_values"] = lambda s, d: view(s, d, "kb_statements").groupBy("entity", "property").agg(F.count_distinct(F.when(C("value_type") == "date", F.substring("value", 1, 4)).otherwise(C("value"))).alias("values"))
 SQL["L12_distinct_values"] = oracle('SELECT entity, property, count(DISTINCT CASE WHEN value_type = \'date\' THEN substring(value, 1, 4) ELSE value END) AS "values" FROM kb_statements GROUP BY entity, property', "kb_statements")
-QUERIES["G15_vague_class_instance"] = lambda s, d: view(s, d, "claims").where("predicate = 'based_in' AND polarity = 1").join(view(s, d, "kb_labels"), C("object") == C("label")).join(paths(s, d, "is_a"), (C("kb_id") == C("src")) & (C("dst") == "country"), "left_semi").select("claim_id", F.lit("verified").alias("verdict"))
-SQL["G15_vague_class_instance"] = oracle(f"WITH RECURSIVE {IS_A} SELECT claim_id, 'verified' AS verdict FROM claims JOIN kb_labels ON label = object WHERE predicate = 'based_in' AND polarity = 1 AND kb_id IN (SELECT src FROM is_a WHERE dst = 'country')", "claims", "kb_labels", "kb_edges")
-

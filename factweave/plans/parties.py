@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.operators import party
+from factweave.operators import party, verify
+from factweave.plans import verification
 from factweave.plans.views import NOW, oracle, view
 
 C = F.col
@@ -25,63 +26,75 @@ def _row(name: str, condition: str) -> str:
 
 _SAME, _NEGATED = _row("same_id", f"r.object = c.object AND r.polarity = c.polarity AND {_CURRENT}"), _row("negated_id", f"r.object = c.object AND r.polarity = 1 - c.polarity AND {_CURRENT}")
 _OTHER, _PAST = _row("other_id", f"r.object <> c.object AND r.polarity = 1 AND c.polarity = 1 AND {_CURRENT}"), _row("past_id", "r.object = c.object AND r.polarity = c.polarity AND NOT r.retracted AND r.valid_until IS NOT NULL")
-QUERIES["C1_assertion_lookup"] = lambda s, d: party.first_match(view(s, d, "party_claims"), view(s, d, "tier_u").where(party.is_current(NOW)), [*party.KEY, "object", "polarity"], name="same_id")
+QUERIES["C1_assertion_lookup"] = lambda s, d: _lookup(s, d).select("claim_id", "same_id")
 SQL["C1_assertion_lookup"] = oracle(f"SELECT claim_id, {_SAME} FROM party_claims c", "party_claims", "tier_u")
-QUERIES["C2_negated_assertion"] = lambda s, d: party.first_match(view(s, d, "party_claims"), view(s, d, "tier_u").where(party.is_current(NOW)), [*party.KEY, "object"], C("r.polarity") == 1 - C("c.polarity"), "negated_id")
+QUERIES["C2_negated_assertion"] = lambda s, d: _lookup(s, d).select("claim_id", "negated_id")
 SQL["C2_negated_assertion"] = oracle(f"SELECT claim_id, {_NEGATED} FROM party_claims c", "party_claims", "tier_u")
-QUERIES["C3_object_conflict"] = lambda s, d: _lookup(s, d).select("claim_id", "other_id")
-SQL["C3_object_conflict"] = oracle(f"SELECT claim_id, {_OTHER} FROM party_claims c", "party_claims", "tier_u")
+QUERIES["C3_object_conflict"] = lambda s, d: _lookup(s, d).select("claim_id", "other_id", "other_object")
+SQL["C3_object_conflict"] = oracle(f"SELECT claim_id, other_id, object AS other_object FROM (SELECT claim_id, {_OTHER} FROM party_claims c) LEFT JOIN tier_u ON id = other_id", "party_claims", "tier_u")
 QUERIES["C6_historical_match"] = lambda s, d: _lookup(s, d).select("claim_id", (C("same_id").isNull() & C("past_id").isNotNull()).alias("historical_only"))
 SQL["C6_historical_match"] = oracle(f"SELECT claim_id, same_id IS NULL AND past_id IS NOT NULL AS historical_only FROM (SELECT claim_id, {_SAME}, {_PAST} FROM party_claims c)", "party_claims", "tier_u")
-QUERIES["C7_identity_semi_join"] = lambda s, d: view(s, d, "party_claims").join(view(s, d, "tier_u").where(party.is_current(NOW) & (C("predicate") == "signup") & (C("polarity") == 1)).select("party", "subject").distinct(), ["party", "subject"], "left_semi").select("claim_id")
-SQL["C7_identity_semi_join"] = oracle(f"SELECT claim_id FROM party_claims c WHERE EXISTS (SELECT 1 FROM tier_u r WHERE r.party = c.party AND r.subject = c.subject AND r.predicate = 'signup' AND r.polarity = 1 AND {_CURRENT})", "party_claims", "tier_u")
+
+
+def _persona_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on a subject that the party has said to be a persona of its user."""
+    own = view(spark, sf_dir, "assertions").where(party.is_current(NOW) & (C("polarity") == 1) & (C("subject") == "user") & (C("predicate") == "identity"))
+    return view(spark, sf_dir, "all_claims").join(own.select("party", C("object").alias("subject")).distinct(), ["party", "subject"], "left_semi").select("claim_id")
+
+
+QUERIES["C7_identity_semi_join"] = _persona_claims
+SQL["C7_identity_semi_join"] = oracle(f"SELECT claim_id FROM all_claims c WHERE EXISTS (SELECT 1 FROM assertions r WHERE r.party = c.party AND r.subject = 'user' AND r.predicate = 'identity' AND r.object = c.subject AND r.polarity = 1 AND {_CURRENT})", "all_claims", "assertions")
 
 
 def _broadened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose predicate has a sibling (the next by name of the same kind) under which the party asserted the same."""
-    sibling = {"click": "view", "view": "click", "purchase": "signup", "signup": "purchase"}
-    other = F.element_at(F.create_map(*[F.lit(x) for kv in sibling.items() for x in kv]), C("predicate"))
-    claims = view(spark, sf_dir, "party_claims").where(C("predicate").isin(*sibling)).withColumn("predicate", other)
-    return party.first_match(claims, view(spark, sf_dir, "tier_u").where(party.is_current(NOW)), [*party.KEY, "object", "polarity"])
+    """C4: claims that the party has asserted under the first other predicate of the same property."""
+    claims = view(spark, sf_dir, "all_claims").join(verify.siblings(view(spark, sf_dir, "predicates")), "predicate").select("claim_id", "party", "subject", C("sibling").alias("predicate"), "object", "polarity")
+    told = party.lookup(claims, view(spark, sf_dir, "assertions"), NOW)
+    return told.where("same_id IS NOT NULL").select("claim_id", "predicate", C("same_id").alias("row_id"))
 
 
 QUERIES["C4_predicate_broadening"] = _broadened
-SQL["C4_predicate_broadening"] = oracle(f"""SELECT claim_id, (SELECT min(id) FROM tier_u r WHERE r.party = c.party AND r.subject = c.subject AND r.object = c.object AND r.polarity = c.polarity AND {_CURRENT}
-  AND r.predicate = CASE c.predicate WHEN 'click' THEN 'view' WHEN 'view' THEN 'click' WHEN 'purchase' THEN 'signup' ELSE 'purchase' END) AS row_id FROM party_claims c WHERE predicate IN ('click', 'view', 'purchase', 'signup')""", "party_claims", "tier_u")
-
-
-def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H4 and H5: a current negation contradicts; another object of a functional predicate does; a match verifies."""
-    rows = _lookup(spark, sf_dir).join(view(spark, sf_dir, "party_claims").select("claim_id", "predicate"), "claim_id")
-    status = view(spark, sf_dir, "tier_u").select(C("id").alias("same_id"), "status")
-    joined = rows.join(status, "same_id", "left")
-    verdict = (
-        F.when(C("negated_id").isNotNull(), "contradicted").when(C("other_id").isNotNull() & C("predicate").isin(*FUNCTIONAL) & C("same_id").isNull(), "contradicted")
-        .when(C("status") == "externally_verified", "verified").when(C("same_id").isNotNull(), "verified_given_assertion").otherwise("no_grounding_found")
-    )
-    return joined.select("claim_id", verdict.alias("verdict"), F.coalesce("negated_id", "same_id", F.when(C("predicate").isin(*FUNCTIONAL), C("other_id"))).alias("premise"))
-
-
-QUERIES["H4_direct_lookup"] = _direct
-SQL["H4_direct_lookup"] = oracle(f"""WITH l AS (SELECT claim_id, predicate, {_SAME}, {_NEGATED}, {_OTHER} FROM party_claims c)
-  SELECT claim_id, CASE WHEN negated_id IS NOT NULL THEN 'contradicted' WHEN other_id IS NOT NULL AND predicate IN ('click', 'purchase', 'signup') AND same_id IS NULL THEN 'contradicted' WHEN status = 'externally_verified' THEN 'verified'
-    WHEN same_id IS NOT NULL THEN 'verified_given_assertion' ELSE 'no_grounding_found' END AS verdict, coalesce(negated_id, same_id, CASE WHEN predicate IN ('click', 'purchase', 'signup') THEN other_id END) AS premise
-  FROM l LEFT JOIN (SELECT id, status FROM tier_u) t ON id = same_id""", "party_claims", "tier_u")
-QUERIES["K1_write_assertions"] = lambda s, d: party.write_assertions(view(s, d, "tier_u").where("NOT retracted"), FUNCTIONAL)
-QUERIES["K2_status_upgrade"] = lambda s, d: view(s, d, "tier_u").join(_direct(s, d).where("verdict = 'verified_given_assertion'").select(C("premise").alias("id")).distinct().withColumn("hit", F.lit(True)), "id", "left").select(
-    "id", F.when(C("hit") & (C("status") == "asserted_unverified"), "externally_verified").otherwise(C("status")).alias("status"))
-SQL["K2_status_upgrade"] = oracle(f"""WITH l AS (SELECT claim_id, {_SAME}, {_NEGATED} FROM party_claims c), v AS (SELECT DISTINCT same_id FROM l JOIN tier_u t ON t.id = same_id WHERE negated_id IS NULL AND status <> 'externally_verified')
-  SELECT id, CASE WHEN id IN (SELECT same_id FROM v) AND status = 'asserted_unverified' THEN 'externally_verified' ELSE status END AS status FROM tier_u""", "party_claims", "tier_u")
+SQL["C4_predicate_broadening"] = oracle(f"""WITH meta AS (SELECT * FROM predicates QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY id) = 1), near AS (SELECT m.predicate, arg_min(p.predicate, p.id) AS sibling FROM meta m JOIN predicates p ON p.property = m.property AND p.predicate <> m.predicate GROUP BY m.predicate)
+  SELECT claim_id, sibling AS predicate, min(r.id) AS row_id FROM all_claims c JOIN near USING (predicate) JOIN assertions r ON r.party = c.party AND r.subject = c.subject AND r.predicate = sibling AND r.object = c.object AND r.polarity = c.polarity WHERE {_CURRENT} GROUP BY claim_id, sibling""", "all_claims", "assertions", "predicates")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return party.write_assertions(view(spark, sf_dir, "tier_u").where("NOT retracted"), FUNCTIONAL)
+
+
+QUERIES["K1_write_assertions"] = _written
+
+
+def _upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: assertions that external sources bear out become externally verified, the unverified ones only."""
+    found = verification.QUERIES["verify_claims"](spark, sf_dir).where("source = 'tier_u_upgrade'").select(C("premise").alias("id")).distinct().withColumn("hit", F.lit(True))
+    return view(spark, sf_dir, "assertions").join(found, "id", "left").select("id", F.when(C("hit") & (C("status") == "asserted_unverified"), party.FIRM).otherwise(C("status")).alias("status"))
+
+
+QUERIES["K2_status_upgrade"] = _upgrades
+SQL["K2_status_upgrade"] = verification._sql("SELECT id, CASE WHEN status = 'asserted_unverified' AND id IN (SELECT premise FROM outcome WHERE source = 'tier_u_upgrade') THEN 'externally_verified' ELSE status END AS status FROM assertions")
 QUERIES["K3_rows_for_party"] = lambda s, d: view(s, d, "tier_u").where("NOT retracted").withColumn("place", F.row_number().over(Window.partitionBy("party").orderBy("id"))).select("party", "place", "id")
 SQL["K3_rows_for_party"] = oracle("SELECT party, CAST(row_number() OVER (PARTITION BY party ORDER BY id) AS INT) AS place, id FROM tier_u WHERE NOT retracted", "tier_u")
-QUERIES["K4_promotion_conflicts"] = lambda s, d: view(s, d, "tier_u").groupBy("party").agg(F.count_if(C("status") == "contradicted_by_externally_verified").alias("contradicted"), F.count(F.lit(1)).alias("written"))
-SQL["K4_promotion_conflicts"] = oracle("SELECT party, count(*) FILTER (WHERE status = 'contradicted_by_externally_verified') AS contradicted, count(*) AS written FROM tier_u GROUP BY party", "tier_u")
+
+
+def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: what promoting each claim of a party to an assertion gives: a row, nothing new, or a row that verified ones contradict."""
+    written = _written(spark, sf_dir).select("id", C("status").alias("now"), "closed_by")
+    outcome = F.when(C("now").isNull(), "repeated").when(C("now") == "contradicted_by_externally_verified", "contradicted").when(C("now") == party.FIRM, "verified").otherwise("promoted")
+    return view(spark, sf_dir, "tier_u").where("NOT retracted").join(written, "id", "left").select("id", outcome.alias("outcome"))
+
+
+QUERIES["K4_promotion"] = _promoted
 QUERIES["K5_sliding_window_limit"] = lambda s, d: party.rate_limit(s.read.parquet(f"{d}/events.parquet"), "user_id", "ts", most=3, window=6 * 3600.0)
+SQL["K5_sliding_window_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  w AS (SELECT event_id, user_id, n, true AS allowed, [at] AS recent FROM e WHERE n = 1
+    UNION ALL SELECT event_id, user_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, at) ELSE kept END FROM (SELECT e.event_id, e.user_id, e.n, e.at, list_filter(w.recent, lambda x: x > e.at - 21600.0) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+  SELECT event_id, allowed FROM w"""
 QUERIES["K5_window_counts"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.window("ts", "1 day")["start"].cast("string").alias("day")).agg(F.count(F.lit(1)).alias("events"))
 SQL["K5_window_counts"] = "SELECT user_id, CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS VARCHAR) AS day, count(*) AS events FROM events GROUP BY ALL"
 QUERIES["M1_first_row_by_id"] = lambda s, d: view(s, d, "tier_u").where("NOT retracted").groupBy(*party.KEY).agg(F.min_by("object", "id").alias("object"))
 SQL["M1_first_row_by_id"] = oracle("SELECT party, subject, predicate, arg_min(object, id) AS object FROM tier_u WHERE NOT retracted GROUP BY party, subject, predicate", "tier_u")
 QUERIES["A23_latest_events"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").orderBy(C("event_id").desc()).limit(100).select("event_id", "user_id", "value")
 SQL["A23_latest_events"] = "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100"
-QUERIES["as_of_assertion"] = lambda s, d: view(s, d, "party_claims").alias("c").join(view(s, d, "tier_u").where("NOT retracted").alias("r"), (C("c.party") == C("r.party")) & (C("c.subject") == C("r.subject")) & (C("c.predicate") == C("r.predicate")) & (C("r.id") < C("c.claim_id")), "left").groupBy("c.claim_id").agg(F.max_by("r.object", "r.id").alias("object"))
+QUERIES["as_of_assertion"] = lambda s, d: party.as_of(view(s, d, "party_claims"), view(s, d, "tier_u").where("NOT retracted"))
 SQL["as_of_assertion"] = oracle("SELECT claim_id, (SELECT arg_max(r.object, r.id) FROM tier_u r WHERE NOT retracted AND r.party = c.party AND r.subject = c.subject AND r.predicate = c.predicate AND r.id < c.claim_id) AS object FROM party_claims c", "party_claims", "tier_u")

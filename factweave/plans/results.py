@@ -47,8 +47,6 @@ _METRICS = """count(*) AS total, count(*) FILTER (WHERE v = ground_truth) AS cor
   count(*) FILTER (WHERE v = 'contradicted' AND ground_truth = 'verified') AS false_contradicted_true, count(*) FILTER (WHERE v = 'contradicted' AND ground_truth = 'abstain') AS false_contradicted_open"""
 QUERIES["L5_accuracy_metrics"] = lambda s, d: rollup.metrics(view(s, d, "cases"))
 SQL["L5_accuracy_metrics"] = oracle(f"SELECT failure_mode, {_METRICS} FROM (SELECT *, {_V} AS v FROM (SELECT * FROM cases)) GROUP BY GROUPING SETS ((failure_mode), ())", "cases")
-QUERIES["L6_soundness_gates"] = lambda s, d: rollup.metrics(view(s, d, "cases")).where("failure_mode IS NULL").select((C("false_verified") == 0).alias("no_false_verified"), (C("false_contradicted_true") == 0).alias("no_false_contradicted"))
-SQL["L6_soundness_gates"] = oracle(f"SELECT count(*) FILTER (WHERE v = 'verified' AND v <> ground_truth) = 0 AS no_false_verified, count(*) FILTER (WHERE v = 'contradicted' AND ground_truth = 'verified') = 0 AS no_false_contradicted FROM (SELECT *, {_V} AS v FROM (SELECT * FROM cases))", "cases")
 
 
 def _against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.operators import graph, substrate, walker
+from factweave.operators import graph, substrate
 from factweave.plans.grounding import PART_OF, RESOLVED, _resolved, paths
 from factweave.plans.views import oracle, view
 from factweave.sources import files
@@ -17,43 +17,15 @@ _PAIRS = """SELECT a.id AS a, b.id AS b, a.property FROM mappings a JOIN mapping
   AND a.object_slot IS NOT NULL AND b.object_slot IS NOT NULL AND (a.subject_slot <> b.subject_slot OR a.object_slot <> b.object_slot)
   AND NOT (a.subject_slot = b.object_slot AND a.object_slot = b.subject_slot AND NOT ((coalesce(a.subject_type = b.object_type, false) OR coalesce(a.object_type = b.subject_type, false))
     AND NOT (coalesce(a.subject_type = b.subject_type, false) OR coalesce(a.object_type = b.object_type, false))))"""
-QUERIES["J1_translation_conflicts"] = lambda s, d: substrate.translation_conflicts(view(s, d, "mappings"))
-SQL["J1_translation_conflicts"] = oracle(_PAIRS, "mappings")
-QUERIES["J2_inverse_mappings"] = lambda s, d: view(s, d, "mappings").select("id", (C("subject_slot") == "statement_value").alias("inverse"))
-SQL["J2_inverse_mappings"] = oracle("SELECT id, subject_slot = 'statement_value' AS inverse FROM mappings", "mappings")
 QUERIES["J4_subsumption_conflicts"] = lambda s, d: substrate.verdict_conflicts(view(s, d, "subsumptions"), ["a", "b", "relation"])
 SQL["J4_subsumption_conflicts"] = oracle("SELECT a, b, relation, count(DISTINCT verdict) AS verdicts FROM subsumptions WHERE NOT retracted GROUP BY a, b, relation HAVING count(DISTINCT verdict) > 1", "subsumptions")
-QUERIES["J5_distribution_conflicts"] = lambda s, d: substrate.verdict_conflicts(view(s, d, "subsumptions"), ["a", "relation"])
-SQL["J5_distribution_conflicts"] = oracle("SELECT a, relation, count(DISTINCT verdict) AS verdicts FROM subsumptions WHERE NOT retracted GROUP BY a, relation HAVING count(DISTINCT verdict) > 1", "subsumptions")
-QUERIES["J7_retract_conflicting"] = lambda s, d: substrate.retract(view(s, d, "mappings"), (lambda p: p.select(C("a").alias("id")).union(p.select(C("b").alias("id"))))(substrate.translation_conflicts(view(s, d, "mappings")))).select("id", "retracted")
-SQL["J7_retract_conflicting"] = oracle(f"WITH p AS ({_PAIRS}) SELECT id, retracted OR (NOT pinned AND id IN (SELECT a FROM p UNION SELECT b FROM p)) AS retracted FROM mappings", "mappings")
-QUERIES["J8_circuit_breaker"] = lambda s, d: substrate.breaker(substrate.translation_conflicts(view(s, d, "mappings")), "property")
-SQL["J8_circuit_breaker"] = oracle(f"SELECT property, count(*) AS cycles, count(*) >= 3 AS unresolvable FROM ({_PAIRS}) GROUP BY property", "mappings")
-QUERIES["J6_periodic_scan"] = lambda s, d: substrate.translation_conflicts(view(s, d, "mappings")).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("translation").alias("kind"), "n").union(
-    substrate.verdict_conflicts(view(s, d, "subsumptions"), ["a", "b", "relation"]).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("subsumption"), "n"))
-SQL["J6_periodic_scan"] = oracle(f"SELECT 'translation' AS kind, count(*) AS n FROM ({_PAIRS}) UNION ALL SELECT 'subsumption', count(*) FROM (SELECT 1 FROM subsumptions WHERE NOT retracted GROUP BY a, b, relation HAVING count(DISTINCT verdict) > 1)", "mappings", "subsumptions")
 QUERIES["I8_slot_map_borrow"] = lambda s, d: view(s, d, "mappings").select("id", F.coalesce("subject_slot", F.min_by("subject_slot", F.when(C("subject_slot").isNotNull(), C("id"))).over(Window.partitionBy("property"))).alias("subject_slot"))
 SQL["I8_slot_map_borrow"] = oracle("SELECT id, coalesce(subject_slot, first_value(subject_slot IGNORE NULLS) OVER (PARTITION BY property ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS subject_slot FROM mappings", "mappings")
 _EXAMPLES = "SELECT l_orderkey % 13 AS property, (l_orderkey % 13) % 4 <> 1 AND l_partkey % 97 <> 0 AS forward, (l_orderkey % 13) % 3 = 1 AND l_suppkey % 89 <> 0 AS backward FROM {lineitem}"
-QUERIES["I9_direction_validation"] = lambda s, d: substrate.direction(s.sql(_EXAMPLES, lineitem=s.read.parquet(f"{d}/lineitem.parquet")))
-SQL["I9_direction_validation"] = f"""SELECT property, CASE WHEN f = n AND b = n THEN 'symmetric' WHEN f > 0 AND b = 0 THEN 'confirmed' WHEN b > 0 AND f = 0 THEN 'corrected' WHEN f + b = 0 THEN 'unconfirmed' ELSE 'suspect' END AS direction
-  FROM (SELECT property, count(*) FILTER (WHERE forward) AS f, count(*) FILTER (WHERE backward) AS b, count(*) AS n FROM ({_EXAMPLES.format(lineitem='lineitem')}) GROUP BY property)"""
-QUERIES["I10_co_occurrence"] = lambda s, d: view(s, d, "kb_statements").groupBy("value_type", "property").agg(F.count(F.lit(1)).alias("n")).groupBy("value_type").agg(F.max_by("property", F.struct("n", "property")).alias("property"))
-SQL["I10_co_occurrence"] = oracle("SELECT value_type, arg_max(property, n * 1000) AS property FROM (SELECT value_type, property, count(*) AS n FROM kb_statements GROUP BY 1, 2) GROUP BY value_type", "kb_statements")
-QUERIES["I15_nogood_eviction"] = lambda s, d: substrate.evict(view(s, d, "mappings"), "property", "consulted", 20).select("id")
-SQL["I15_nogood_eviction"] = oracle("SELECT id FROM mappings QUALIFY row_number() OVER (PARTITION BY property ORDER BY consulted DESC, id DESC) <= 20", "mappings")
 QUERIES["I16_usage_touch"] = lambda s, d: view(s, d, "mappings").join(s.read.parquet(f"{d}/lineitem.parquet").groupBy(C("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("used")), "id", "left").select("id", F.coalesce("used", F.lit(0)).alias("used"))
 SQL["I16_usage_touch"] = oracle("SELECT id, (SELECT count(*) FROM lineitem WHERE l_partkey = id) AS used FROM mappings", "mappings")
 QUERIES["I17_retract"] = lambda s, d: substrate.retract(view(s, d, "mappings"), s.read.parquet(f"{d}/part.parquet").where("p_size = 5").select(C("p_partkey").alias("id"))).select("id", "retracted")
 SQL["I17_retract"] = oracle("SELECT id, retracted OR (NOT pinned AND id IN (SELECT p_partkey FROM part WHERE p_size = 5)) AS retracted FROM mappings", "mappings")
-QUERIES["I13_distribution_lookup"] = lambda s, d: view(s, d, "premises").join(view(s, d, "subsumptions").where("NOT retracted").select(C("id").alias("source_row_id"), "verdict"), "source_row_id", "left").groupBy("verdict").agg(F.count(F.lit(1)).alias("premises"))
-SQL["I13_distribution_lookup"] = oracle("SELECT verdict, count(*) AS premises FROM premises LEFT JOIN (SELECT id, verdict FROM subsumptions WHERE NOT retracted) s ON id = source_row_id GROUP BY verdict", "premises", "subsumptions")
-QUERIES["I14_ontology_cache"] = lambda s, d: view(s, d, "mappings").groupBy("property").agg(F.array_join(F.sort_array(F.collect_set("subject_type")), ",").alias("subject_types"), F.array_join(F.sort_array(F.collect_set("object_type")), ",").alias("object_types"))
-SQL["I14_ontology_cache"] = oracle("SELECT property, coalesce(string_agg(DISTINCT subject_type, ',' ORDER BY subject_type), '') AS subject_types, coalesce(string_agg(DISTINCT object_type, ',' ORDER BY object_type), '') AS object_types FROM mappings GROUP BY property", "mappings")
-QUERIES["I7_binding_discovery"] = lambda s, d: view(s, d, "mappings").where("NOT retracted").withColumn("n", F.row_number().over(Window.partitionBy("predicate", "property").orderBy(C("pinned").desc(), C("single_valued").desc(), "id"))).where("n = 1").select("predicate", "property", "id")
-SQL["I7_binding_discovery"] = oracle("SELECT predicate, property, id FROM mappings WHERE NOT retracted QUALIFY row_number() OVER (PARTITION BY predicate, property ORDER BY pinned DESC, single_valued DESC, id) = 1", "mappings")
-QUERIES["I11_subsumption_consult"] = lambda s, d: view(s, d, "subsumptions").where("NOT retracted").groupBy("a", "b", "relation").agg(F.min_by("verdict", "id").alias("verdict"))
-SQL["I11_subsumption_consult"] = oracle("SELECT a, b, relation, arg_min(verdict, id) AS verdict FROM subsumptions WHERE NOT retracted GROUP BY a, b, relation", "subsumptions")
 
 
 def _both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,37 +37,9 @@ def _both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("way IS NOT NULL").groupBy("entity", "neighbour", "way").agg(F.count(F.lit(1)).alias("rows"))
 
 
-QUERIES["C16_subsumption_neighbours"] = _both_sides
-SQL["C16_subsumption_neighbours"] = oracle("""WITH n AS (SELECT a AS entity, b AS neighbour, CASE verdict WHEN 'a_subsumed_by_b' THEN 'parent' WHEN 'b_subsumed_by_a' THEN 'child' WHEN 'equivalent' THEN 'same' END AS way FROM subsumptions WHERE NOT retracted UNION ALL
-  SELECT b, a, CASE verdict WHEN 'a_subsumed_by_b' THEN 'child' WHEN 'b_subsumed_by_a' THEN 'parent' WHEN 'equivalent' THEN 'same' END FROM subsumptions WHERE NOT retracted) SELECT entity, neighbour, way, count(*) AS "rows" FROM n WHERE way IS NOT NULL GROUP BY ALL""", "subsumptions")
-QUERIES["C17_nogood_anti_join"] = lambda s, d: view(s, d, "kb_edges").join(view(s, d, "kb_edges").where("property = 'P17' AND dst IN ('N3', 'N7')").select("src", "dst"), ["src", "dst"], "left_anti").groupBy("property").agg(F.count(F.lit(1)).alias("edges"))
-SQL["C17_nogood_anti_join"] = oracle("SELECT property, count(*) AS edges FROM kb_edges WHERE NOT (property = 'P17' AND dst IN ('N3', 'N7')) GROUP BY property", "kb_edges")
-QUERIES["C18_python_premises"] = lambda s, d: view(s, d, "premises").where("source = 'kb'").join(view(s, d, "kb_statements").where("value_type = 'quantity' AND rank <> 'deprecated'").select(F.expr("(stmt_id - 5000000000) div 10").alias("claim_id"), "value").groupBy("claim_id").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")), "claim_id", "left").select("premise_id", F.when(C("n") == 1, C("value")).alias("value")).distinct()
-SQL["C18_python_premises"] = oracle("WITH k AS (SELECT (stmt_id - 5000000000) // 10 AS claim_id, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value FROM kb_statements WHERE value_type = 'quantity' AND rank <> 'deprecated' GROUP BY 1) SELECT DISTINCT premise_id, value FROM premises LEFT JOIN k USING (claim_id) WHERE source = 'kb'", "premises", "kb_statements")
-QUERIES["C22_run_comparison"] = lambda s, d: view(s, d, "cases").alias("a").join(view(s, d, "cases").alias("b"), (C("a.case_id") == C("b.case_id") - 4)).groupBy("a.failure_mode").agg(F.count_if(C("a.ground_truth") == C("b.ground_truth")).alias("same_truth"), F.count(F.lit(1)).alias("pairs"))
-SQL["C22_run_comparison"] = oracle("SELECT a.failure_mode, count(*) FILTER (WHERE a.ground_truth = b.ground_truth) AS same_truth, count(*) AS pairs FROM cases a JOIN cases b ON a.case_id = b.case_id - 4 GROUP BY 1", "cases")
 
 
 # ---- the walk ----
-def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _resolved(spark, sf_dir).where("predicate IN ('located_in', 'based_in') AND object_id IS NOT NULL").select("claim_id", C("subject_id").alias("subject"), C("object_id").alias("object"))
-    facts = view(spark, sf_dir, "kb_statements").where("property = 'P17' AND rank <> 'deprecated'").select(C("entity").alias("subject"), C("value").alias("object"))
-    steps = view(spark, sf_dir, "kb_edges").where("property IN ('P30', 'P17')").select(C("dst").alias("object"), C("src").alias("next")).where("next LIKE 'N%'")
-    return walker.walk(claims, facts, steps)
-
-
-QUERIES["G16_bounded_walk"] = _walked
-SQL["G16_bounded_walk"] = oracle(f"""WITH RECURSIVE {RESOLVED}, c AS (SELECT claim_id, subject_id, object_id FROM resolved WHERE predicate IN ('located_in', 'based_in') AND object_id IS NOT NULL),
-  steps AS (SELECT dst AS object, src AS next FROM kb_edges WHERE property IN ('P30', 'P17') AND src LIKE 'N%'),
-  w AS (SELECT claim_id, subject_id, object_id, 0 AS depth FROM c UNION SELECT claim_id, subject_id, next, depth + 1 FROM w JOIN steps ON object = object_id WHERE depth < 4),
-  h AS (SELECT claim_id, depth, object_id FROM w JOIN kb_statements ON entity = subject_id AND value = object_id AND property = 'P17' AND rank <> 'deprecated')
-  SELECT claim_id, CASE WHEN min(depth) IS NULL THEN 'depth_exhausted' ELSE 'verified' END AS verdict, min(depth) AS depth, arg_min(h.object_id, depth * 1000 + CAST(substring(h.object_id, 2) AS INT)) AS found FROM c LEFT JOIN h USING (claim_id) GROUP BY claim_id""", "claims", "kb_labels", "kb_edges", "kb_statements")
-QUERIES["G10_discover_chains"] = lambda s, d: _resolved(s, d).where("object_id IS NOT NULL").join(paths(s, d, "part_of").where("depth = 1"), C("object_id") == C("dst")).groupBy("claim_id").agg(F.count(F.lit(1)).alias("candidates"))
-SQL["G10_discover_chains"] = oracle(f"WITH RECURSIVE {PART_OF}, {RESOLVED} SELECT claim_id, count(*) AS candidates FROM resolved JOIN part_of ON dst = object_id AND depth = 1 GROUP BY claim_id", "claims", "kb_labels", "kb_edges")
-QUERIES["G11_edge_admission"] = lambda s, d: view(s, d, "subsumptions").where("NOT retracted").select("id", (C("verdict").isin("a_subsumed_by_b", "equivalent") & ((C("relation") != "is_a") | (C("id") % 4 != 3))).alias("admitted"))
-SQL["G11_edge_admission"] = oracle("SELECT id, verdict IN ('a_subsumed_by_b', 'equivalent') AND (relation <> 'is_a' OR id % 4 <> 3) AS admitted FROM subsumptions WHERE NOT retracted", "subsumptions")
-
-
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of claims in both slots, each once, 48 at most by name."""
     claims = _resolved(spark, sf_dir).where("subject_id IS NOT NULL").select("claim_id", F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("node"))
@@ -110,14 +54,7 @@ QUERIES["G13_neighbour_probes"] = _capped
 SQL["G13_neighbour_probes"] = oracle(f"""WITH {RESOLVED}, n AS (SELECT claim_id, subject_id AS node FROM resolved WHERE subject_id IS NOT NULL UNION SELECT claim_id, object_id FROM resolved WHERE subject_id IS NOT NULL AND object_id IS NOT NULL),
   e AS (SELECT * FROM kb_edges WHERE property IN ('P31', 'P279', 'P361', 'P131', 'P17')), st AS (SELECT src AS node, dst AS neighbour FROM e UNION ALL SELECT dst, src FROM e WHERE property <> 'P17'),
   r AS (SELECT DISTINCT claim_id, neighbour FROM n JOIN st USING (node)) SELECT claim_id, count(*) AS probes, max(neighbour) AS last FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY neighbour) AS k FROM r) WHERE k <= 48 GROUP BY claim_id""", "claims", "kb_labels", "kb_edges")
-QUERIES["G14_premise_forward"] = lambda s, d: view(s, d, "party_claims").where("polarity = 1").join(view(s, d, "tier_u").where("NOT retracted AND polarity = 1").select("party", "subject", "predicate", C("object").alias("held")).distinct(), ["party", "subject", "predicate"]).where("held < object").groupBy("claim_id").agg(F.min("held").alias("substitute"))
-SQL["G14_premise_forward"] = oracle("SELECT claim_id, min(t.object) AS substitute FROM party_claims c JOIN tier_u t ON t.party = c.party AND t.subject = c.subject AND t.predicate = c.predicate AND NOT retracted AND t.polarity = 1 AND t.object < c.object WHERE c.polarity = 1 GROUP BY claim_id", "party_claims", "tier_u")
 _GUARD = lambda: F.when(C("abstention_reason").isNotNull(), "abstain").when((C("source") == "tier_u") & (C("depth") > 2), "user_subject_required").when(C("verdict").startswith("contradicted") & (C("claim_id") % 10 == 1), "vague_subject_existential").otherwise("walk")
-QUERIES["H1_short_circuits"] = lambda s, d: view(s, d, "verdicts").select("claim_id", _GUARD().alias("route"))
-SQL["H1_short_circuits"] = oracle("SELECT claim_id, CASE WHEN abstention_reason IS NOT NULL THEN 'abstain' WHEN source = 'tier_u' AND depth > 2 THEN 'user_subject_required' WHEN verdict LIKE 'contradicted%' AND claim_id % 10 = 1 THEN 'vague_subject_existential' ELSE 'walk' END AS route FROM verdicts", "verdicts")
-QUERIES["H6_external_order"] = lambda s, d: view(s, d, "claims").join(view(s, d, "predicates"), "predicate").select("claim_id", F.when(C("routing_hint") == "kb_quantitative", 1).when(C("object_type") == "time", 2).when(C("property").isNotNull(), 3).otherwise(4).alias("branch"))
-SQL["H6_external_order"] = oracle("SELECT claim_id, CASE WHEN routing_hint = 'kb_quantitative' THEN 1 WHEN object_type = 'time' THEN 2 WHEN property IS NOT NULL THEN 3 ELSE 4 END AS branch FROM claims JOIN predicates USING (predicate)", "claims", "predicates")
-
 # ---- sources and sinks ----
 QUERIES["A5_seed_upsert"] = lambda s, d: substrate.upsert(view(s, d, "mappings").select("id", "predicate", "property", "pinned"), files.seeds(files.json_round_trip(view(s, d, "mappings").where("id % 3 = 0").select("id", "predicate", "property"), "seeds")), ["predicate", "property"]).select("id", "predicate", "property", "pinned")
 SQL["A5_seed_upsert"] = oracle("WITH n AS (SELECT * FROM mappings WHERE id % 3 = 0) SELECT id, predicate, property, pinned FROM mappings m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.predicate = m.predicate AND n.property = m.property) UNION ALL SELECT id, predicate, property, true FROM n", "mappings")
@@ -125,10 +62,6 @@ QUERIES["A8_json_lines"] = lambda s, d: files.json_round_trip(view(s, d, "cases"
 SQL["A8_json_lines"] = oracle("SELECT case_id, failure_mode, ground_truth FROM cases", "cases")
 QUERIES["A24_verification_sink"] = lambda s, d: files.replace_partitions(view(s, d, "verdicts").select("verification_id", "claim_id", "verdict"), view(s, d, "verdicts").where("verification_id % 4 = 1").select("verification_id", "claim_id", F.lit("rewritten").alias("verdict")), "verification_id")
 SQL["A24_verification_sink"] = oracle("SELECT verification_id, claim_id, CASE WHEN verification_id % 4 = 1 THEN 'rewritten' ELSE verdict END AS verdict FROM verdicts", "verdicts")
-QUERIES["A6_seed_bindings"] = lambda s, d: view(s, d, "mappings").select("id", F.posexplode(F.array_distinct(F.array(C("property"), F.concat(F.lit("P"), (C("id") % 7).cast("string"))))).alias("place", "property")).select("id", "place", "property", F.when(C("place") == 0, 1.0).otherwise(0.4).alias("rank"))
-SQL["A6_seed_bindings"] = oracle("SELECT id, 0 AS place, property, CAST(1.0 AS DOUBLE) AS rank FROM mappings UNION ALL SELECT id, 1, 'P' || (id % 7), CAST(0.4 AS DOUBLE) FROM mappings WHERE property <> 'P' || (id % 7)", "mappings")
-QUERIES["A3_schema_migration"] = lambda s, d: view(s, d, "mappings").select("id", "predicate").where("id % 2 = 0").unionByName(view(s, d, "mappings").select("id", "predicate", "pinned").where("id % 2 = 1"), allowMissingColumns=True)
-SQL["A3_schema_migration"] = oracle("SELECT id, predicate, CASE WHEN id % 2 = 1 THEN pinned END AS pinned FROM mappings", "mappings")
 QUERIES["A13_label_type_lookup"] = lambda s, d: view(s, d, "kb_labels").join(view(s, d, "kb_edges").where("property = 'P31' AND dst IN ('country', 'continent')").select(C("src").alias("kb_id")), "kb_id", "left_semi").select("label", "kb_id")
 SQL["A13_label_type_lookup"] = oracle("SELECT label, kb_id FROM kb_labels WHERE kb_id IN (SELECT src FROM kb_edges WHERE property = 'P31' AND dst IN ('country', 'continent'))", "kb_labels", "kb_edges")
 
@@ -144,13 +77,8 @@ def _redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["A20_redirects"] = _redirects
 SQL["A20_redirects"] = oracle("""SELECT claim_id, CASE WHEN kb_id IS NULL THEN 'not_found' WHEN n > 1 THEN 'disambiguation_page' WHEN lower(title) <> lower(subject) THEN 'clean_redirect' ELSE 'canonical' END AS outcome, kb_id
   FROM (SELECT claim_id, subject, regexp_replace(trim(subject), '^the ', '') AS title FROM raw_claims WHERE subject IS NOT NULL) LEFT JOIN (SELECT label AS title, min(kb_id) AS kb_id, count(*) AS n FROM kb_labels GROUP BY label) USING (title)""", "raw_claims", "kb_labels")
-QUERIES["M8_percentile_index"] = lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", "o_totalprice", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("o_orderpriority")).alias("of")).where("n = greatest(floor(of * 0.95), 1)").select("o_orderpriority", C("o_totalprice").alias("p95"))
-SQL["M8_percentile_index"] = "SELECT o_orderpriority, o_totalprice AS p95 FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS n_all FROM orders) WHERE n = greatest(floor(n_all * 0.95), 1)"
 QUERIES["M12_ordered_dedupe"] = lambda s, d: view(s, d, "tier_u").groupBy("party", "object").agg(F.min("id").alias("first_id"))
 SQL["M12_ordered_dedupe"] = oracle("SELECT party, object, min(id) AS first_id FROM tier_u GROUP BY party, object", "tier_u")
-QUERIES["M10_type_overlap"] = lambda s, d: view(s, d, "mappings").select("id", F.arrays_overlap(F.array("subject_type"), F.array("object_type")).alias("overlap")).select("id", F.coalesce("overlap", F.lit(False)).alias("overlap"))
-SQL["M10_type_overlap"] = oracle("SELECT id, coalesce(subject_type = object_type, false) AS overlap FROM mappings", "mappings")
-
 # ---- endpoints, gates and sets ----
 
 
@@ -161,20 +89,10 @@ def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.where("n = 1").select("party", "side", "date")
 
 
-QUERIES["F3_asserted_endpoints"] = _endpoints
 _ENDS = """SELECT party, CASE predicate WHEN 'signup' THEN 'started' ELSE 'ended' END AS side, min(coalesce(valid_from, valid_until)) AS date FROM tier_u WHERE NOT retracted AND predicate IN ('signup', 'purchase')
   AND coalesce(valid_from, valid_until) <> 'before_present' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(valid_from, valid_until)) = 1"""
-SQL["F3_asserted_endpoints"] = oracle(_ENDS, "tier_u")
-QUERIES["F4_interval_merge"] = lambda s, d: _endpoints(s, d).groupBy("party").agg(F.max(F.when(C("side") == "started", C("date"))).alias("asserted_start"), F.max(F.when(C("side") == "ended", C("date"))).alias("asserted_end")).select("party", F.coalesce("asserted_start", F.lit("2020-01-01")).alias("start_date"), "asserted_end")
-SQL["F4_interval_merge"] = oracle(f"SELECT party, coalesce(max(date) FILTER (WHERE side = 'started'), '2020-01-01') AS start_date, max(date) FILTER (WHERE side = 'ended') AS asserted_end FROM ({_ENDS}) GROUP BY party", "tier_u")
 QUERIES["F6_iso_or_null"] = lambda s, d: view(s, d, "tier_u").select("id", F.nullif(F.nullif(F.trim("valid_until"), F.lit("")), F.lit("before_present")).alias("end_date"))
 SQL["F6_iso_or_null"] = oracle("SELECT id, nullif(nullif(trim(valid_until), ''), 'before_present') AS end_date FROM tier_u", "tier_u")
-QUERIES["D10_unconfirmed_start"] = lambda s, d: _resolved(s, d).where("valid_from IS NOT NULL").join(view(s, d, "kb_statements").where("property = 'P17'").select(C("entity").alias("subject_id"), C("value").alias("object_id"), "start_q"), ["subject_id", "object_id"]).groupBy("claim_id").agg(F.bool_and(C("start_q").isNull()).alias("unconfirmed"))
-SQL["D10_unconfirmed_start"] = oracle(f"WITH {RESOLVED} SELECT claim_id, bool_and(start_q IS NULL) AS unconfirmed FROM resolved JOIN kb_statements ON entity = subject_id AND value = object_id AND property = 'P17' WHERE valid_from IS NOT NULL GROUP BY claim_id", "claims", "kb_labels", "kb_statements")
-QUERIES["D9_too_early_match"] = lambda s, d: _resolved(s, d).where("valid_from IS NOT NULL").join(view(s, d, "kb_statements").where("property = 'P17' AND rank <> 'deprecated' AND start_q IS NOT NULL AND end_q IS NULL").select(C("entity").alias("subject_id"), C("value").alias("object_id"), "start_q"), ["subject_id", "object_id"]).where((C("valid_from") < C("start_q")) & ~F.startswith(C("start_q"), C("valid_from"))).select("claim_id").distinct()
-SQL["D9_too_early_match"] = oracle(f"WITH {RESOLVED} SELECT DISTINCT claim_id FROM resolved JOIN kb_statements ON entity = subject_id AND value = object_id AND property = 'P17' AND rank <> 'deprecated' WHERE start_q IS NOT NULL AND end_q IS NULL AND valid_from < start_q AND NOT starts_with(start_q, valid_from)", "claims", "kb_labels", "kb_statements")
-QUERIES["G12_enumeration_skip"] = lambda s, d: view(s, d, "claims").join(view(s, d, "predicates"), "predicate").select("claim_id", ((C("single_valued") & (C("object_type") == "entity")) | C("property").isNull()).alias("skip"))
-SQL["G12_enumeration_skip"] = oracle("SELECT claim_id, (single_valued AND object_type = 'entity') OR property IS NULL AS skip FROM claims JOIN predicates USING (predicate)", "claims", "predicates")
 QUERIES["G18_entity_substitution"] = lambda s, d: _resolved(s, d).where("object_id LIKE 'R%'").join(view(s, d, "kb_edges").where("property = 'P30'").select(C("dst").alias("object_id"), C("src").alias("substitute")), "object_id").select("claim_id", "subject_id", "substitute")
 SQL["G18_entity_substitution"] = oracle(f"WITH {RESOLVED} SELECT claim_id, subject_id, src AS substitute FROM resolved JOIN kb_edges ON dst = object_id AND property = 'P30' WHERE object_id LIKE 'R%'", "claims", "kb_labels", "kb_edges")
 
@@ -192,10 +110,6 @@ SQL["I3_type_filter"] = oracle("""WITH r AS (SELECT label, kb_id, EXISTS (SELECT
   SELECT label, kb_id FROM r WHERE meets OR NOT EXISTS (SELECT 1 FROM r o WHERE o.label = r.label AND o.meets)""", "kb_labels", "kb_edges")
 QUERIES["I12_query_neighbours"] = lambda s, d: view(s, d, "subsumptions").where("NOT retracted").groupBy("a", "relation").agg(F.count_distinct("b").alias("neighbours"))
 SQL["I12_query_neighbours"] = oracle("SELECT a, relation, count(DISTINCT b) AS neighbours FROM subsumptions WHERE NOT retracted GROUP BY a, relation", "subsumptions")
-QUERIES["J3_inverse_coherence"] = lambda s, d: view(s, d, "mappings").select("id", (F.coalesce(C("subject_type") == C("object_type"), F.lit(False)) & (C("subject_slot") == "statement_value")).alias("suspect"))
-SQL["J3_inverse_coherence"] = oracle("SELECT id, coalesce(subject_type = object_type, false) AND subject_slot = 'statement_value' AS suspect FROM mappings", "mappings")
-QUERIES["M5_candidate_gap"] = lambda s, d: view(s, d, "mappings").groupBy("predicate").agg(F.slice(F.sort_array(F.collect_list("consulted"), asc=False), 1, 2).alias("top")).select("predicate", (F.get("top", F.lit(0)) - F.get("top", F.lit(1))).alias("gap"))
-SQL["M5_candidate_gap"] = oracle("SELECT predicate, max(consulted) FILTER (WHERE n = 1) - max(consulted) FILTER (WHERE n = 2) AS gap FROM (SELECT predicate, consulted, row_number() OVER (PARTITION BY predicate ORDER BY consulted DESC) AS n FROM mappings) GROUP BY predicate", "mappings")
 QUERIES["M9_candidate_union"] = lambda s, d: view(s, d, "subsumptions").select(C("a").alias("entity"), F.lit("substrate").alias("source")).unionByName(view(s, d, "kb_labels").select(C("label").alias("entity"), F.lit("kb").alias("source"))).groupBy("entity").agg(F.count_distinct("source").alias("sources"))
 SQL["M9_candidate_union"] = oracle("SELECT entity, count(DISTINCT source) AS sources FROM (SELECT a AS entity, 'substrate' AS source FROM subsumptions UNION ALL SELECT label, 'kb' FROM kb_labels) GROUP BY entity", "subsumptions", "kb_labels")
 QUERIES["M11_set_difference"] = lambda s, d: view(s, d, "claims").select("subject").subtract(view(s, d, "kb_labels").select("label"))

@@ -41,7 +41,8 @@ VIEWS = {
         UNION ALL SELECT DISTINCT 'B' || substring(p_brand, 7, 9), 'P279', 'K' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING) FROM {part}
         UNION ALL SELECT DISTINCT 'K' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'P279', 'ROOT' FROM {part}
         UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'P31', 'country' FROM {nation}
-        UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), 'P31', 'continent' FROM {region}""",
+        UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), 'P31', 'continent' FROM {region}
+        UNION ALL SELECT 'country', 'P279', 'place' UNION ALL SELECT 'continent', 'P279', 'place'""",
     "kb_labels": """
         SELECT 'C' || CAST(c_custkey AS STRING) AS kb_id, c_name AS label FROM {customer}
         UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), s_name FROM {supplier}
@@ -57,6 +58,9 @@ VIEWS = {
         UNION ALL SELECT c_custkey * 10 + 1, 'C' || CAST(c_custkey AS STRING), 'P17', 'N' || CAST((c_nationkey + 1) % 25 AS STRING), 'entity', 'normal',
           CASE WHEN c_custkey % 4 = 0 THEN '2001' END, CASE WHEN c_custkey % 8 = 0 THEN '2009-06' END
         FROM {customer} WHERE c_custkey % 11 = 0
+        UNION ALL SELECT c_custkey * 10 + 2, 'C' || CAST(c_custkey AS STRING), 'P17', 'Somewhere in text', 'literal', 'normal', NULL, NULL FROM {customer} WHERE c_custkey % 14 = 7
+        UNION ALL SELECT c_custkey * 10 + 3, 'C' || CAST(c_custkey AS STRING), 'P17', '1999-01-01', 'date', 'normal', NULL, NULL FROM {customer} WHERE c_custkey % 28 = 14
+        UNION ALL SELECT s_suppkey * 10 + 8000000001, 'S' || CAST(s_suppkey AS STRING), 'P131', 'N' || CAST(s_nationkey AS STRING), 'entity', 'normal', NULL, NULL FROM {supplier} WHERE s_suppkey % 5 <> 0
         UNION ALL SELECT o_orderkey * 10 + 5000000002, 'O' || CAST(o_orderkey AS STRING), 'P585', CAST(CAST(o_orderdate AS DATE) AS STRING), 'date',
           CASE o_orderkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'preferred' ELSE 'normal' END, NULL, NULL
         FROM {orders}
@@ -66,20 +70,60 @@ VIEWS = {
         UNION ALL SELECT o_orderkey * 10 + 5000000004, 'O' || CAST(o_orderkey AS STRING), 'P2284', CAST(CAST(floor(o_totalprice) AS BIGINT) + 700 AS STRING), 'quantity', 'normal', NULL, NULL
         FROM {orders} WHERE o_orderkey % 6 = 1""",
     "predicates": """
-        SELECT 'located_in' AS predicate, 'P17' AS property, 'entity' AS object_type, 'kb_resolvable' AS routing_hint, true AS single_valued, true AS is_location, 1 AS id
-        UNION ALL SELECT 'based_in', 'P17', 'entity', 'kb_resolvable', false, true, 2
-        UNION ALL SELECT 'ordered_on', 'P585', 'time', 'kb_resolvable', true, false, 3
-        UNION ALL SELECT 'priced_above', 'P2284', 'quantity', 'kb_quantitative', true, false, 4
-        UNION ALL SELECT 'priced_below', 'P2284', 'quantity', 'kb_quantitative', true, false, 5
-        UNION ALL SELECT 'prefers', CAST(NULL AS STRING), 'entity', 'user_authoritative', true, false, 6
-        UNION ALL SELECT 'click', CAST(NULL AS STRING), 'entity', 'user_authoritative', true, false, 7
-        UNION ALL SELECT 'view', CAST(NULL AS STRING), 'entity', 'user_authoritative', false, false, 8""",
+        SELECT 'located_in' AS predicate, 'P17' AS property, 'entity' AS object_type, 'kb_resolvable' AS routing_hint, true AS single_valued, true AS is_location, false AS user_subject, 1 AS id
+        UNION ALL SELECT 'based_in', 'P17', 'entity', 'kb_resolvable', false, true, false, 2
+        UNION ALL SELECT 'ordered_on', 'P585', 'time', 'kb_resolvable', true, false, false, 3
+        UNION ALL SELECT 'priced_above', 'P2284', 'quantity', 'kb_quantitative', true, false, false, 4
+        UNION ALL SELECT 'priced_below', 'P2284', 'quantity', 'kb_quantitative', true, false, false, 5
+        UNION ALL SELECT 'prefers', CAST(NULL AS STRING), 'entity', 'user_authoritative', true, false, true, 6
+        UNION ALL SELECT 'click', CAST(NULL AS STRING), 'entity', 'user_authoritative', true, false, false, 7
+        UNION ALL SELECT 'view', CAST(NULL AS STRING), 'entity', 'user_authoritative', false, false, false, 8
+        UNION ALL SELECT 'contains', CAST(NULL AS STRING), 'entity', 'kb_resolvable', false, false, false, 9
+        UNION ALL SELECT 'ships_from', CAST(NULL AS STRING), 'entity', 'kb_resolvable', false, false, false, 10
+        UNION ALL SELECT 'made_by', CAST(NULL AS STRING), 'entity', 'kb_resolvable', false, false, false, 11
+        UNION ALL SELECT 'residence_started', 'P17', 'time', 'kb_interval', true, false, false, 12
+        UNION ALL SELECT 'residence_ended', 'P17', 'time', 'kb_interval', true, false, false, 17
+        UNION ALL SELECT 'greater_than', CAST(NULL AS STRING), 'quantity', 'python', false, false, false, 13
+        UNION ALL SELECT 'signup', CAST(NULL AS STRING), 'entity', 'user_authoritative', true, false, false, 14
+        UNION ALL SELECT 'purchase', CAST(NULL AS STRING), 'entity', 'kb_resolvable', true, false, false, 15
+        UNION ALL SELECT 'ships_from', 'P999', 'entity', 'kb_resolvable', true, false, false, 16""",
+    "bindings": """
+        SELECT 'located_in' AS predicate, 0 AS place, 'P17' AS property, false AS inverted, true AS single_valued, false AS gated, 'place' AS object_class
+        UNION ALL SELECT 'located_in', 1, 'P131', false, true, true, 'country'
+        UNION ALL SELECT 'based_in', 0, 'P17', false, false, false, CAST(NULL AS STRING)
+        UNION ALL SELECT 'contains', 0, 'P17', true, false, false, CAST(NULL AS STRING)
+        UNION ALL SELECT 'ordered_on', 0, 'P585', false, true, false, CAST(NULL AS STRING)""",
+    "distributions": """
+        SELECT 1 AS id, 'ships_from' AS predicate, 1 AS polarity, 'part_of' AS relation, 'up' AS verdict, false AS retracted
+        UNION ALL SELECT 2, 'ships_from', 1, 'is_a', 'neither', false
+        UNION ALL SELECT 3, 'ships_from', 0, 'part_of', 'down', false
+        UNION ALL SELECT 4, 'made_by', 1, 'is_a', 'both', false
+        UNION ALL SELECT 5, 'made_by', 1, 'part_of', 'neither', false
+        UNION ALL SELECT 6, 'located_in', 1, 'part_of', 'up', false
+        UNION ALL SELECT 7, 'located_in', 1, 'part_of', 'both', true
+        UNION ALL SELECT 8, 'located_in', 0, 'part_of', 'down', false
+        UNION ALL SELECT 9, 'based_in', 1, 'part_of', 'up', false
+        UNION ALL SELECT 10, 'based_in', 1, 'part_of', 'both', false""",
+    "nogoods": """
+        SELECT r_regionkey * 100 + n_nationkey AS id, 'transitive_path' AS kind, 'part_of' AS relation, 'N' || CAST(n_nationkey AS STRING) AS source, 'R' || CAST(r_regionkey AS STRING) AS target,
+          CASE WHEN n_nationkey % 3 = 0 THEN 'protected' ELSE 'no_path' END AS reason, CAST(r_regionkey * 7 + n_nationkey AS STRING) AS last_used, n_nationkey % 8 = 7 AS retracted
+        FROM {nation} CROSS JOIN {region} WHERE n_regionkey <> r_regionkey
+        UNION ALL SELECT 1000 + n_nationkey, 'transitive_path', 'part_of', 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), 'blocked', '9', false FROM {nation} WHERE n_nationkey % 9 = 4""",
+    "taxonomy": """
+        SELECT n_nationkey * 10 AS id, n_name AS a, r_name AS b, 'part_of' AS relation, 'a_subsumed_by_b' AS verdict, n_nationkey % 7 = 6 AS retracted FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
+        UNION ALL SELECT n_nationkey * 10 + 1, r_name, n_name, 'part_of', CASE n_nationkey % 4 WHEN 0 THEN 'unrelated' ELSE 'b_subsumed_by_a' END, false FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT DISTINCT 100000 + CAST(substring(p_brand, 7, 9) AS INT), p_brand, 'Maker#' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'is_a', 'a_subsumed_by_b', false FROM {part}
+        UNION ALL SELECT DISTINCT 200000 + CAST(substring(p_brand, 7, 9) AS INT), p_brand, 'Maker#' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'is_a',
+          CASE CAST(substring(p_brand, 7, 9) AS INT) % 6 WHEN 0 THEN 'unrelated' ELSE 'a_subsumed_by_b' END, false FROM {part} WHERE CAST(substring(p_brand, 7, 9) AS INT) % 3 = 0""",
     "claims": """
         SELECT c_custkey * 4 AS claim_id, c_custkey AS statement_id, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'based_in' END AS predicate,
-          CASE c_custkey % 4 WHEN 0 THEN t.n_name WHEN 1 THEN u.n_name WHEN 2 THEN r_name ELSE 'nowhere at all' END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
+          CASE WHEN c_custkey % 24 = 10 THEN p_name WHEN c_custkey % 4 = 0 THEN t.n_name WHEN c_custkey % 4 = 1 THEN u.n_name WHEN c_custkey % 4 = 2 THEN r_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'nowhere at all' ELSE 'a place near ' || t.n_name END END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
           'user_' || CAST(c_custkey % 150 AS STRING) AS party, CASE WHEN c_custkey % 6 < 2 THEN CAST(1995 + c_custkey % 15 AS STRING) END AS valid_from,
           CASE WHEN c_custkey % 10 = 4 THEN 'before_present' END AS valid_until
         FROM {customer} JOIN {nation} t ON t.n_nationkey = c_nationkey JOIN {nation} u ON u.n_nationkey = (c_nationkey + 1 + c_custkey % 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
+          LEFT JOIN {part} ON p_partkey = 1 + c_custkey % 20
+        UNION ALL SELECT c_custkey * 4 + 3, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN u.n_name ELSE t.n_name END, 'contains', c_name, 1 - CAST(c_custkey % 6 = 5 AS INT), 'user_' || CAST(c_custkey % 150 AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)
+        FROM {customer} JOIN {nation} t ON t.n_nationkey = c_nationkey JOIN {nation} u ON u.n_nationkey = (c_nationkey + 2) % 25
         UNION ALL SELECT o_orderkey * 4 + 1, o_custkey, 'O' || CAST(o_orderkey AS STRING), 'ordered_on',
           CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)
             WHEN 2 THEN CAST(1 + CAST(substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS INT) AS STRING) WHEN 3 THEN 'circa 1996'
@@ -101,7 +145,37 @@ VIEWS = {
     "party_claims": """
         SELECT event_id AS claim_id, 'user_' || CAST(user_id AS STRING) AS party, 'I' || CAST((event_id + 1) % 4 AS STRING) AS subject, event_type AS predicate,
           'item ' || CAST(CAST(floor(value) AS BIGINT) % 6 AS STRING) AS object, CAST(event_id % 3 <> 0 AS INT) AS polarity
-        FROM {events} WHERE event_id % 2 = 0""",
+        FROM {events}""",
+    "assertions": """
+        SELECT id, party, subject, predicate, object, polarity, valid_from, valid_until, status, asserted_at, retracted FROM tier_u
+        UNION ALL SELECT s_suppkey + 10000000000, 'user_' || CAST(s_suppkey % 150 AS STRING), s_name, 'ships_from', n_name, 1 - CAST(s_suppkey % 9 = 0 AS INT), NULL, NULL,
+          CASE WHEN s_suppkey % 5 = 0 THEN 'externally_verified' ELSE 'asserted_unverified' END, '0', false FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey WHERE s_suppkey % 8 <> 5
+        UNION ALL SELECT p_partkey + 20000000000, 'user_' || CAST(p_partkey % 150 AS STRING), 'Part#' || CAST(p_partkey AS STRING), 'made_by', p_brand, 1, NULL, NULL, 'asserted_unverified', '0', p_partkey % 19 = 0 FROM {part}
+        UNION ALL SELECT s_suppkey + 30000000000, 'user_' || CAST(s_suppkey % 150 AS STRING), 'a supplier in ' || n_name, 'purchase', 'item 1', 1, NULL, NULL, 'asserted_unverified', '0', false FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
+        UNION ALL SELECT s_suppkey + 40000000000, 'user_' || CAST(s_suppkey % 150 AS STRING), 'user', 'identity', s_name, 1, NULL, NULL, 'asserted_unverified', '0', false FROM {supplier} WHERE s_suppkey % 10 = 3
+        UNION ALL SELECT c_custkey + 50000000000, 'user_' || CAST(c_custkey % 150 AS STRING), c_name, 'residence_started', CAST(1994 + c_custkey % 2 AS STRING), 1, NULL, NULL, 'asserted_unverified', '0', false FROM {customer} WHERE c_custkey % 6 = 1
+        UNION ALL SELECT c_custkey + 60000000000, 'user_' || CAST(c_custkey % 150 AS STRING), c_name, 'based_in', n_name, 1, NULL, NULL, 'asserted_unverified', '0', false FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey WHERE c_custkey % 17 = 0""",
+    "all_claims": """
+        SELECT claim_id, statement_id, subject, predicate, object, polarity, party, valid_from, valid_until, CAST(NULL AS STRING) AS abstention_reason FROM claims
+        UNION ALL SELECT claim_id + 10000000000, claim_id, subject, predicate, object, polarity, party, NULL, NULL, NULL FROM party_claims
+        UNION ALL SELECT s_suppkey * 10 + 20000000000, s_suppkey, s_name, 'ships_from', CASE s_suppkey % 4 WHEN 0 THEN t.n_name WHEN 1 THEN r_name WHEN 2 THEN u.n_name ELSE 'a country that trades' END,
+          1 - CAST(s_suppkey % 7 = 0 AS INT), 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL, NULL
+        FROM {supplier} JOIN {nation} t ON t.n_nationkey = s_nationkey JOIN {nation} u ON u.n_nationkey = (s_nationkey + 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
+        UNION ALL SELECT s_suppkey * 10 + 20000000001, s_suppkey, s_name, 'located_in', CASE WHEN s_suppkey % 2 = 0 THEN t.n_name ELSE u.n_name END, 1, 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL,
+          CASE WHEN s_suppkey % 13 = 0 THEN 'self_referential' END FROM {supplier} JOIN {nation} t ON t.n_nationkey = s_nationkey JOIN {nation} u ON u.n_nationkey = (s_nationkey + 3) % 25
+        UNION ALL SELECT s_suppkey * 10 + 20000000002, s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'user_' || CAST(s_suppkey % 150 AS STRING) ELSE s_name END, 'prefers', 'green ink', 1, 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL, NULL FROM {supplier}
+        UNION ALL SELECT s_suppkey * 10 + 20000000003, s_suppkey, 'a supplier in ' || n_name, 'purchase', 'item 2', 1, 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL, NULL FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
+        UNION ALL SELECT n_nationkey * 10 + 20000000004 + 9000000000, n_nationkey, n_name, 'located_in', CASE WHEN n_nationkey % 2 = 0 THEN 'a place that trades' ELSE 'some continent' END, 1, 'user_1', NULL, NULL, NULL FROM {nation}
+        UNION ALL SELECT p_partkey * 10 + 30000000000, p_partkey, 'Part#' || CAST(p_partkey AS STRING), 'made_by', CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE 'Maker#' || CAST((CAST(substring(p_brand, 7, 9) AS INT) + p_partkey % 2) % 5 AS STRING) END,
+          1, 'user_' || CAST(p_partkey % 150 AS STRING), NULL, NULL, NULL FROM {part}
+        UNION ALL SELECT o_orderkey + 40000000000, o_custkey, CAST(o_orderkey % 5000 AS STRING), 'greater_than', CAST(o_custkey AS STRING), 1 - CAST(o_orderkey % 8 = 0 AS INT), 'user_1', NULL, NULL, NULL FROM {orders}
+        UNION ALL SELECT c_custkey * 10 + 50000000000, c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN 'residence_ended' ELSE 'residence_started' END, CASE c_custkey % 3 WHEN 0 THEN CAST(1990 + c_custkey % 20 AS STRING) ELSE '1994' END,
+          1 - CAST(c_custkey % 5 = 2 AS INT), 'user_' || CAST(c_custkey % 150 AS STRING), NULL, NULL, NULL FROM {customer}""",
+    "truths": """
+        SELECT c_custkey * 4 AS claim_id, CASE WHEN (c_custkey % 4 IN (0, 2)) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END AS truth FROM {customer} WHERE c_custkey % 4 < 3 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
+        UNION ALL SELECT c_custkey * 4 + 3, CASE WHEN (c_custkey % 3 <> 0) = (c_custkey % 6 <> 5) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 24 <> 0 AND c_custkey % 11 <> 0
+        UNION ALL SELECT s_suppkey * 10 + 20000000001, CASE WHEN s_suppkey % 2 = 0 THEN 'verified' ELSE 'contradicted' END FROM {supplier}
+        UNION ALL SELECT o_orderkey + 40000000000, CASE WHEN (o_orderkey % 5000 > o_custkey) = (o_orderkey % 8 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders}""",
     "verdicts": """
         SELECT doc_id AS claim_id, doc_id % 40 AS verification_id, doc_id % 200 AS statement_id,
           CASE doc_id % 11 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'verified_given_assertion' WHEN 3 THEN 'contradicted_given_assertion'
@@ -144,9 +218,8 @@ def with_views(*names: str) -> str:
         if name in order:
             return
         for other in VIEWS:
-            if other != name and re.search(rf"\b{other}\b", VIEWS[name].replace("{", "<").replace("}", ">")) and f"<{other}>" not in VIEWS[name]:
-                if re.search(rf"(FROM|JOIN) {other}\b", VIEWS[name]):
-                    add(other)
+            if other != name and re.search(rf"(FROM|JOIN) {other}\b", VIEWS[name]):
+                add(other)
         order.append(name)
 
     for name in names:

@@ -85,7 +85,7 @@ def test_dates_of_other_precision(spark):
 
 def test_computed_verdicts(spark):
     cases = [("60 million", "greater_than", "1,000", 1, "verified"), ("10", "squared", "100", 0, "contradicted"), ("superstrawberry", "vowel_count", "4 vowels", 1, "verified"), ("1,2,3", "equals", "123", 1, None), ("5", "not_equal", "6", 1, None)]
-    df = spark.createDataFrame(cases, "s string, p string, o string, k int, want string").select(text.computed_verdict(F.col("s"), F.col("p"), F.col("o"), F.col("k")).alias("v"), "want")
+    df = text.with_computed_verdict(spark.createDataFrame(cases, "subject string, predicate string, object string, polarity int, want string"), "v").select("v", "want")
     assert [r["v"] for r in df.collect()] == [c[4] for c in cases]
 
 
