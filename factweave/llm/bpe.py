@@ -85,7 +85,9 @@ class ByteCodec:
         self._texts = PreTokens(pattern, self._encode_tokens)
 
     def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
-        mapped = [t.encode().decode("latin-1").translate(self._to_chars) for t in tokens]
+        mapped = "\0".join(tokens).encode().decode("latin-1").translate(self._to_chars).split(self._to_chars[0]) if tokens else []
+        if len(mapped) != len(tokens):  # a token holds the separator itself
+            mapped = [t.encode().decode("latin-1").translate(self._to_chars) for t in tokens]
         return [np.array(self._whole.get(m, ids), dtype="<u4").tobytes() for m, ids in zip(mapped, self._model.encode(mapped, num_threads=1), strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:

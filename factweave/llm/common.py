@@ -6,15 +6,17 @@ import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows that a broadcast side may have at most; beyond that the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes (arrays and texts by their length) that a broadcast side may have at most; beyond that the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: The white space of the text contracts: space and TAB to CR.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,13 +25,15 @@ SPACES = " \t\n\x0b\x0c\r"
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 #: Texts that a worker has as Python objects at once, and the bytes of text that it works on in Arrow at once (one text at least).
-CHUNK, PART = 256, 2 << 20
+CHUNK, PART = 256, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder that all machines share (spark.checkpoint.dir). Where it is unset, a temporary one on a local master, as in tests; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='factweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,9 +52,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    wide = [F.length(f.name) if isinstance(f.dataType, (StringType, BinaryType)) else F.size(f.name) * 8 for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType))]
+    return reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0)) for w in wide], F.lit(16 + 8 * len(df.columns)))
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; else as it is, for a shuffled join."""
+    held = df.select(_width(df).alias("bytes")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    return F.broadcast(df) if held["n"] <= rows and (held["bytes"] or 0) <= size else df
 
 
 def ascii_lower(c: Column) -> Column:

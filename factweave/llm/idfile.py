@@ -146,28 +146,21 @@ class IdEncoder:
         self._tokenizer = tokenizer = _load(path, added)
         self._letters = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
         self._to_chars = dict(enumerate(byte_chars()))
-        self._plain = PreTokens(pattern, self._encode_tokens)
+        self._plain = PreTokens(pattern, self._encode_tokens, self._encode_words if self._letters else None)
         known = tokenizer.get_added_tokens_decoder() if added else {}
         if any(t.single_word or t.lstrip or t.rstrip for t in known.values()):
             raise ValueError("added tokens that take more or less than their content")
         self._added = {t.content: np.array([i], "<u4") for i, t in known.items()}
         self._cut = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})").split
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words that are one pre-token each go straight to the library's model, in the characters that it knows bytes by."""
+        tokenize = self._tokenizer.model.tokenize
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self._to_chars).split(self._to_chars[10]) if words else []
+        return [array("I", [t.id for t in tokenize(word)]).tobytes() for word in mapped]
+
     def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
-        """Words of Latin letters go straight to the library's model, all else through the whole tokenizer."""
-        model, to_chars = self._tokenizer.model, self._to_chars
-        out: list[bytes] = [b""] * len(tokens)
-        others = []
-        for i, token in enumerate(tokens):
-            word = token[1:] if token[0] == " " else token
-            if self._letters and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                mapped = token.encode().decode("latin-1").translate(to_chars)
-                out[i] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-            else:
-                others.append(i)
-        for i, made in zip(others, self._tokenizer.encode_batch_fast([tokens[i] for i in others], add_special_tokens=False), strict=True):
-            out[i] = array("I", made.ids).tobytes()
-        return out
+        return [array("I", made.ids).tobytes() for made in self._tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each."""

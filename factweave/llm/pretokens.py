@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of keys and ids that are remembered from one call to the next, about, and what an entry takes besides them.
-ROOM, ENTRY = 32 << 20, 140
+ROOM, ENTRY = 64 << 20, 140
 
 _MARKS = ".,;:!?|"
 #: A line feed or nothing, and Latin letters: with a space or the line feed before it, such a word is one pre-token.
@@ -24,14 +24,16 @@ class PreTokens:
     whose white space is all such are cut there, in Arrow; a mark at the end of a word of letters is cut off too. What is left
     is looked up once for each distinct piece of the given texts, and the ids are gathered by piece. Other texts, and all
     texts of another pattern, are split by the pattern.
-    encode_tokens gets distinct pre-tokens and returns the ids of each, as little-endian unsigned 32-bit integers.
+    encode_tokens gets distinct pre-tokens and returns the ids of each, as little-endian unsigned 32-bit integers;
+    encode_words, if given, does so for pre-tokens of a space and Latin letters.
     """
 
-    def __init__(self, pattern: str, encode_tokens: Callable[[list[str]], list[bytes]]):
+    def __init__(self, pattern: str, encode_tokens: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None):
         import regex
 
         self._split = regex.compile(pattern).findall
         self._encode_tokens = encode_tokens
+        self._encode_words = encode_words or encode_tokens
         self._cuts = pattern == public_tokenizers.PATTERN
         self._forget()
         self._marks = encode_tokens(list(_MARKS)) if self._cuts else []
@@ -55,7 +57,7 @@ class PreTokens:
     def _learn(self, letters: list[str], others: list[str]) -> None:
         known = self._known
         led = [w for w in letters if w not in known and w[0] != "\n"]
-        known.update(zip(led, self._encode_tokens([f" {w}" for w in led]), strict=True))
+        known.update(zip(led, self._encode_words([f" {w}" for w in led]), strict=True))
         rest = [w for w in letters if w not in known] + [w for w in others if w not in known]
         known.update(zip(rest, self._ids([self._split_piece(w) for w in rest]), strict=True))
         self._size += sum(map(len, led)) + sum(map(len, rest)) + ENTRY * (len(led) + len(rest))
