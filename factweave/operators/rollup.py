@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources.scratch import settle
+
 C = F.col
 
 
@@ -59,9 +63,43 @@ def metrics(cases: DataFrame) -> DataFrame:
         F.count_if(wrong & (C("v") == "contradicted") & (C("ground_truth") == "abstain")).alias("false_contradicted_open"))
 
 
+CUTS = 200
+
+
+def values_at(rows: DataFrame, key: str, value: str, places: Callable[[Column], Column]) -> DataFrame:
+    """key, n, held: of each key's values in order, those at some places (an array, from 1, made of the number of values n).
+
+    Exact, and no task sorts a whole group: approximate quantiles cut each key's values into bins, bins are counted, and only
+    the bins that hold an asked place are ranked, by distinct value and its count.
+    """
+    plain = rows.where(C(value).isNotNull()).select(C(key).alias("key"), C(value).alias("value"))
+    cuts = plain.groupBy("key").agg(F.percentile_approx("value", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("cuts"))
+    binned = plain.join(cuts, "key").select("key", "value", F.size(F.filter("cuts", lambda c: c < C("value"))).alias("bin"))
+    counted = settle(binned.groupBy("key", "bin", "value").agg(F.count(F.lit(1)).alias("n")), "bins")
+    per_bin = counted.groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = per_bin.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "of": F.sum("n").over(Window.partitionBy("key"))})
+    asked = bins.select("key", "bin", "before", "of", F.filter(places(C("of")), lambda p: (p > C("before")) & (p <= C("before") + C("n"))).alias("asked")).where(F.size("asked") > 0)
+    inside = Window.partitionBy("key", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.join(asked, ["key", "bin"]).withColumn("first", C("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    found = ranked.select("key", "of", "value", F.explode(F.filter("asked", lambda p: (p > C("first")) & (p <= C("first") + C("n")))).alias("place"))
+    return found.select(C("key").alias(key), C("of").alias("n"), "place", "value")
+
+
+def p95_place(n: Column) -> Column:
+    """The 95th percentile by index: int(0.95 n), at least the first."""
+    return F.greatest(F.floor(n * 0.95), F.lit(1)).cast("long")
+
+
+def middle_places(n: Column) -> list[Column]:
+    return [F.floor((n + 1) / 2).cast("long"), F.ceil((n + 1) / 2).cast("long")]
+
+
 def latency(cases: DataFrame, key: str = "run_id") -> DataFrame:
-    """Median, largest, sum, and the 95th percentile by index: the value at int(0.95 n) - 1, at least the first."""
-    place = Window.partitionBy(key).orderBy("latency", "case_id")
-    ranked = cases.select(key, "latency", "case_id", F.row_number().over(place).alias("n"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("of"))
-    at = F.greatest(F.floor(C("of") * 0.95), F.lit(1))
-    return ranked.groupBy(key).agg(F.expr("percentile(latency, 0.5)").alias("median"), F.max(F.when(C("n") == at, C("latency"))).alias("p95"), F.max("latency").alias("longest"), F.sum("latency").alias("total"))
+    """Median, largest, sum, and the 95th percentile by index, of each key."""
+    at = values_at(cases, key, "latency", lambda n: F.array_distinct(F.array(p95_place(n), *middle_places(n))))
+    low, high = middle_places(C("n"))
+    pick = lambda place: F.max(F.when(C("place") == place, C("value")))
+    told = at.groupBy(key).agg(pick(low).alias("_low"), pick(high).alias("_high"), pick(p95_place(C("n"))).alias("p95"))
+    total = cases.groupBy(key).agg(F.max("latency").alias("longest"), F.sum("latency").alias("total"))
+    return told.join(total, key).select(key, ((C("_low") + C("_high")) / 2).alias("median"), "p95", "longest", "total")

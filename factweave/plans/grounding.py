@@ -187,12 +187,18 @@ SQL["C10_binding_direction"] = oracle(f"WITH {RESOLVED}, {BOUND} SELECT claim_id
 
 
 def _value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which values are entities, by tag or shape."""
-    return view(spark, sf_dir, "kb_statements").select("stmt_id", kb.is_entity_value(C("value"), F.when(C("stmt_id") % 3 > 0, C("value_type"))).alias("is_entity"))
+    """Which values are entities: by their tag, or, for bare ends of edges, by their shape."""
+    held = view(spark, sf_dir, "kb_statements").select("property", "value", "value_type").union(view(spark, sf_dir, "kb_edges").select("property", "dst", F.lit(None).cast("string")))
+    return held.distinct().select("property", "value", F.coalesce("value_type", F.lit("none")).alias("tag"), kb.is_entity_value(C("value"), C("value_type")).alias("is_entity"))
 
 
 QUERIES["D15_entity_value"] = _value_kinds
-SQL["D15_entity_value"] = oracle("SELECT stmt_id, coalesce(CASE WHEN stmt_id % 3 > 0 THEN value_type = 'entity' END, regexp_matches(value, '^[A-Z]+[0-9]+$'), false) AS is_entity FROM kb_statements", "kb_statements")
+SQL["D15_entity_value"] = oracle("""SELECT property, value, coalesce(value_type, 'none') AS tag, coalesce(value_type = 'entity', regexp_matches(value, '^[A-Z]+[0-9]+$')) AS is_entity
+  FROM (SELECT property, value, value_type FROM kb_statements UNION SELECT property, dst, NULL FROM kb_edges)""", "kb_statements", "kb_edges")
+QUERIES["D9_too_early_match"] = lambda s, d: compared(s, d)[0].where("verdict = 'no_match' AND expected_id IS NOT NULL AND early").select("claim_id", "place")
+SQL["D9_too_early_match"] = oracle(f"{PREFIX} SELECT claim_id, place FROM compared WHERE verdict = 'no_match' AND expected_id IS NOT NULL AND early", *_BASE)
+QUERIES["D10_unconfirmed_start"] = lambda s, d: compared(s, d)[0].where("verdict = 'verified' AND start_open").select("claim_id", "place")
+SQL["D10_unconfirmed_start"] = oracle(f"{PREFIX} SELECT claim_id, place FROM compared WHERE verdict = 'verified' AND object_type = 'entity' AND valid_from IS NOT NULL AND valid_until IS NULL AND start_missing", *_BASE)
 
 
 def _disjoint_apart(spark: SparkSession, sf_dir: str) -> DataFrame:

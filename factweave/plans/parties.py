@@ -86,9 +86,9 @@ def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["K4_promotion"] = _promoted
 QUERIES["K5_sliding_window_limit"] = lambda s, d: party.rate_limit(s.read.parquet(f"{d}/events.parquet"), "user_id", "ts", most=3, window=6 * 3600.0)
-SQL["K5_sliding_window_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-  w AS (SELECT event_id, user_id, n, true AS allowed, [at] AS recent FROM e WHERE n = 1
-    UNION ALL SELECT event_id, user_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, at) ELSE kept END FROM (SELECT e.event_id, e.user_id, e.n, e.at, list_filter(w.recent, lambda x: x > e.at - 21600.0) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SQL["K5_sliding_window_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  w AS (SELECT event_id, user_id, n, true AS allowed, [t] AS recent FROM e WHERE n = 1
+    UNION ALL SELECT event_id, user_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END FROM (SELECT e.event_id, e.user_id, e.n, e.t, list_filter(w.recent, lambda x: x > e.t - 21600.0) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
   SELECT event_id, allowed FROM w"""
 QUERIES["K5_window_counts"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.window("ts", "1 day")["start"].cast("string").alias("day")).agg(F.count(F.lit(1)).alias("events"))
 SQL["K5_window_counts"] = "SELECT user_id, CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS VARCHAR) AS day, count(*) AS events FROM events GROUP BY ALL"

@@ -91,11 +91,37 @@ QUERIES["C19_retracted_premises"] = lambda s, d: view(s, d, "premises").where("s
 SQL["C19_retracted_premises"] = oracle("SELECT DISTINCT claim_id FROM premises WHERE source_table = 'subsumption' AND source_row_id IN (SELECT id FROM subsumptions WHERE retracted)", "premises", "subsumptions")
 QUERIES["J13_replay"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by(F.from_json("props", "k INT")["k"], "event_id").alias("k"), F.max("event_id").alias("event_id"))
 SQL["J13_replay"] = "SELECT user_id, CAST(json_extract(arg_max(props, event_id), '$.k') AS INT) AS k, max(event_id) AS event_id FROM events GROUP BY user_id"
-QUERIES["J14_contradiction_trace"] = lambda s, d: view(s, d, "premises").where("claim_id % 50 = 7 AND source_table = 'subsumption'").select(C("source_row_id").alias("id")).distinct().join(view(s, d, "mappings").where("NOT pinned").select("id"), "id", "left_semi")
-SQL["J14_contradiction_trace"] = oracle("SELECT DISTINCT source_row_id AS id FROM premises WHERE claim_id % 50 = 7 AND source_table = 'subsumption' AND source_row_id IN (SELECT id FROM mappings WHERE NOT pinned)", "premises", "mappings")
-QUERIES["J15_stale_verifications"] = lambda s, d: view(s, d, "verdicts").join(_stale(s, d).where("stale"), "claim_id", "left_semi").select("verification_id").distinct().join(view(s, d, "verdicts").select("verification_id", "claim_id"), "verification_id")
-SQL["J15_stale_verifications"] = oracle("""WITH s AS (SELECT claim_id FROM premises JOIN part ON p_partkey = source_row_id AND p_size % 10 = 3 WHERE source_table = 'tier_u' GROUP BY claim_id HAVING bool_or(is_assertion))
-  SELECT verification_id, claim_id FROM verdicts WHERE verification_id IN (SELECT verification_id FROM verdicts WHERE claim_id IN (SELECT claim_id FROM s))""", "premises", "verdicts")
+
+
+def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that contradicted claims rest on, to be retracted but for pinned mappings, and all claims that this leaves stale."""
+    premises = view(spark, sf_dir, "premises").where("source_table IS NOT NULL")
+    wrong = view(spark, sf_dir, "verdicts").where(rollup.base_verdict(C("verdict")) == "contradicted").select("claim_id")
+    pinned = view(spark, sf_dir, "mappings").where("pinned").select(C("id").alias("source_row_id"))
+    gone = premises.join(wrong, "claim_id", "left_semi").select("source_table", "source_row_id").distinct().join(pinned, "source_row_id", "left_anti")
+    return gone.join(premises, ["source_table", "source_row_id"]).groupBy("source_table", "source_row_id").agg(F.count_distinct("claim_id").alias("claims"), F.bool_or("is_assertion").alias("stale"))
+
+
+def _derived_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of verifications with a stale one, with the verdict that their premises still bear: without any left, none."""
+    stale = _stale(spark, sf_dir).where("stale")
+    verdicts = view(spark, sf_dir, "verdicts").select("verification_id", "claim_id", "verdict")
+    touched = verdicts.join(stale.select("claim_id"), "claim_id", "left_semi").select("verification_id").distinct()
+    gone = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 10 = 3").select(C("p_partkey").alias("source_row_id"), F.lit("tier_u").alias("source_table"))
+    left = view(spark, sf_dir, "premises").join(gone, ["source_table", "source_row_id"], "left_anti").groupBy("claim_id").agg(F.bool_or("is_assertion").alias("given"))
+    rows = verdicts.join(touched, "verification_id", "left_semi").join(stale.select("claim_id", "stale"), "claim_id", "left").join(left, "claim_id", "left")
+    base = rollup.base_verdict(C("verdict"))
+    again = F.when(C("stale").isNull(), C("verdict")).when(C("given").isNull(), "no_grounding_found").when(C("given"), F.concat(base, F.lit("_given_assertion"))).otherwise(base)
+    return rows.select("verification_id", "claim_id", again.alias("verdict"))
+
+
+QUERIES |= {"J14_contradiction_trace": _traced, "J15_stale_verifications": _derived_again}
+SQL["J14_contradiction_trace"] = oracle(f"""WITH p AS (SELECT * FROM premises WHERE source_table IS NOT NULL), g AS (SELECT DISTINCT source_table, source_row_id FROM p WHERE claim_id IN (SELECT claim_id FROM verdicts WHERE {_B} = 'contradicted') AND source_row_id NOT IN (SELECT id FROM mappings WHERE pinned))
+  SELECT source_table, source_row_id, count(DISTINCT claim_id) AS claims, bool_or(is_assertion) AS stale FROM g JOIN p USING (source_table, source_row_id) GROUP BY ALL""", "premises", "verdicts", "mappings")
+SQL["J15_stale_verifications"] = oracle(f"""WITH s AS (SELECT claim_id FROM premises JOIN part ON p_partkey = source_row_id AND p_size % 10 = 3 WHERE source_table = 'tier_u' GROUP BY claim_id HAVING bool_or(is_assertion)),
+  l AS (SELECT claim_id, bool_or(is_assertion) AS given FROM premises p WHERE NOT (coalesce(source_table = 'tier_u', false) AND EXISTS (SELECT 1 FROM part WHERE p_partkey = source_row_id AND p_size % 10 = 3)) GROUP BY claim_id)
+  SELECT verification_id, claim_id, CASE WHEN claim_id NOT IN (SELECT claim_id FROM s) THEN verdict WHEN given IS NULL THEN 'no_grounding_found' WHEN given THEN {_B} || '_given_assertion' ELSE {_B} END AS verdict
+  FROM verdicts LEFT JOIN l USING (claim_id) WHERE verification_id IN (SELECT verification_id FROM verdicts WHERE claim_id IN (SELECT claim_id FROM s))""", "premises", "verdicts")
 QUERIES["J16_trace_text"] = lambda s, d: view(s, d, "verdicts").select("claim_id", F.concat_ws(" | ", "verdict", F.coalesce("source", F.lit("none")), F.concat(F.lit("depth "), C("depth")), "abstention_reason").alias("trace"))
 SQL["J16_trace_text"] = oracle("SELECT claim_id, concat_ws(' | ', verdict, coalesce(source, 'none'), 'depth ' || depth, abstention_reason) AS trace FROM verdicts", "verdicts")
 QUERIES["J17_contradicting_value"] = lambda s, d: view(s, d, "verdicts").where("contradicting_value IS NOT NULL").groupBy("statement_id").agg(F.min_by("contradicting_value", "claim_id").alias("value"))

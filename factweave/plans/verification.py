@@ -238,3 +238,21 @@ SQL["G16_bounded_walk"] = _sql("SELECT claim_id, base_verdict, depth, reason, co
 SQL["L6_soundness_gates"] = _sql("""SELECT count(*) AS claims, count(*) FILTER (WHERE base_verdict = truth) AS "right", count(*) FILTER (WHERE base_verdict = 'verified' AND truth <> 'verified') AS false_verified,
   count(*) FILTER (WHERE base_verdict = 'contradicted' AND truth <> 'contradicted') AS false_contradicted FROM outcome JOIN truths USING (claim_id)""", "truths")
 SQL["verify_rollup"] = _sql("SELECT verdict, source, reason, count(*) AS claims, count(DISTINCT statement_id) AS statements, max(depth) AS deepest FROM outcome GROUP BY verdict, source, reason")
+
+
+def _said_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the start or end that a party's current assertions of it agree on."""
+    return verify.prepare(sources(spark, sf_dir)).ends.select(*party.KEY, "asserted")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """for claims on starts and ends, what statements say, filled from assertions, and whether it is unique."""
+    _, rows, p = _nodes(spark, sf_dir)
+    return verify.by_interval(rows, p).join(rows.select("node_id", "claim_id"), "node_id").select("claim_id", "known", "said", F.coalesce("unique", F.lit(False)).alias("is_unique"))
+
+
+QUERIES |= {"F3_asserted_endpoints": _said_ends, "F4_interval_merge": _merged}
+SQL["F3_asserted_endpoints"] = _sql("SELECT party, subject, predicate, date AS asserted FROM ends")
+SQL["F4_interval_merge"] = _sql("""SELECT claim_id, coalesce(CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END, date) AS known, CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END IS NULL AS said,
+  CASE WHEN spans.entity IS NOT NULL THEN only_one ELSE date IS NOT NULL END AS is_unique FROM res_0 r JOIN meta m USING (predicate) LEFT JOIN spans ON entity = subject_id AND spans.property = m.property
+  LEFT JOIN ends e ON e.party = r.party AND e.subject = r.subject AND e.predicate = r.predicate WHERE routing_hint = 'kb_interval'""")

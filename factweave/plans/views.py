@@ -103,11 +103,14 @@ VIEWS = {
         UNION ALL SELECT 7, 'located_in', 1, 'part_of', 'both', true
         UNION ALL SELECT 8, 'located_in', 0, 'part_of', 'down', false
         UNION ALL SELECT 9, 'based_in', 1, 'part_of', 'up', false
-        UNION ALL SELECT 10, 'based_in', 1, 'part_of', 'both', false""",
+        UNION ALL SELECT 10, 'based_in', 1, 'part_of', 'both', false
+        UNION ALL SELECT 100 + p_partkey, 'pred_' || CAST(p_partkey % 97 AS STRING), CAST(p_partkey % 2 AS INT), CASE WHEN p_size % 2 = 0 THEN 'is_a' ELSE 'part_of' END,
+          CASE p_size % 4 WHEN 0 THEN 'up' WHEN 1 THEN 'down' WHEN 2 THEN 'both' ELSE 'neither' END, p_partkey % 13 = 0 FROM {part}""",
     "nogoods": """
         SELECT r_regionkey * 100 + n_nationkey AS id, 'transitive_path' AS kind, 'part_of' AS relation, 'N' || CAST(n_nationkey AS STRING) AS source, 'R' || CAST(r_regionkey AS STRING) AS target,
           CASE WHEN n_nationkey % 3 = 0 THEN 'protected' ELSE 'no_path' END AS reason, CAST(r_regionkey * 7 + n_nationkey AS STRING) AS last_used, n_nationkey % 8 = 7 AS retracted
         FROM {nation} CROSS JOIN {region} WHERE n_regionkey <> r_regionkey
+        UNION ALL SELECT 10000 + p_partkey, 'transitive_path', 'is_a', 'PT' || CAST(p_partkey AS STRING), 'K' || CAST(p_size % 5 AS STRING), CASE WHEN p_partkey % 17 = 0 THEN 'protected' ELSE 'no_path' END, CAST(p_size AS STRING), p_partkey % 31 = 0 FROM {part}
         UNION ALL SELECT 1000 + n_nationkey, 'transitive_path', 'part_of', 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), 'blocked', '9', false FROM {nation} WHERE n_nationkey % 9 = 4""",
     "taxonomy": """
         SELECT n_nationkey * 10 AS id, n_name AS a, r_name AS b, 'part_of' AS relation, 'a_subsumed_by_b' AS verdict, n_nationkey % 7 = 6 AS retracted FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
@@ -177,7 +180,7 @@ VIEWS = {
         UNION ALL SELECT s_suppkey * 10 + 20000000001, CASE WHEN s_suppkey % 2 = 0 THEN 'verified' ELSE 'contradicted' END FROM {supplier}
         UNION ALL SELECT o_orderkey + 40000000000, CASE WHEN (o_orderkey % 5000 > o_custkey) = (o_orderkey % 8 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders}""",
     "verdicts": """
-        SELECT doc_id AS claim_id, doc_id % 40 AS verification_id, doc_id % 200 AS statement_id,
+        SELECT doc_id AS claim_id, CAST(floor(doc_id / 8) AS BIGINT) AS verification_id, CAST(floor(doc_id / 3) AS BIGINT) AS statement_id,
           CASE doc_id % 11 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'verified_given_assertion' WHEN 3 THEN 'contradicted_given_assertion'
             WHEN 4 THEN 'no_grounding_found_given_assertion' WHEN 5 THEN 'verified' WHEN 6 THEN 'verified' ELSE 'no_grounding_found' END AS verdict,
           CASE doc_id % 4 WHEN 0 THEN 'tier_u' WHEN 1 THEN 'kb' WHEN 2 THEN 'python' END AS source,
@@ -203,6 +206,24 @@ VIEWS = {
           CASE p_partkey % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'place' END AS subject_type, CASE p_partkey % 4 WHEN 0 THEN 'place' WHEN 1 THEN 'human' END AS object_type,
           p_partkey % 6 <> 0 AS single_valued, p_partkey % 29 = 0 AS pinned, p_partkey % 13 = 0 AS retracted, p_retailprice AS consulted
         FROM {part}""",
+    "ontology": """
+        SELECT 'P' || CAST(p_partkey % 41 AS STRING) AS property, CASE p_size % 4 WHEN 0 THEN 'subject_type' WHEN 1 THEN 'value_type' ELSE 'inverse' END AS kind, CASE p_size % 4 WHEN 2 THEN 'P' || CAST(p_size AS STRING) ELSE p_brand END AS value,
+          CASE WHEN p_partkey % 1000 = 7 THEN '2023-12-31' ELSE '2024-02-01' END AS expires FROM {part}
+        UNION ALL SELECT 'P9' || CAST(p_size AS STRING), 'empty', '', '2024-02-01' FROM {part} WHERE p_size > 40""",
+    "premise_slots": """
+        SELECT 'priced_above' AS predicate, 'subject' AS slot, 'P2284' AS property UNION ALL SELECT 'ordered_on', 'subject', 'P585' UNION ALL SELECT 'located_in', 'subject', 'P17' UNION ALL SELECT 'located_in', 'object', 'P30'""",
+    "baselines": """
+        SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'verified' WHEN quality = 1 THEN 'contradicted' ELSE 'abstain' END AS verdict FROM {labels}""",
+    "aliases": """
+        SELECT 'N' || CAST(n_nationkey AS STRING) AS kb_id, lower(n_name) || ' land' AS alias FROM {nation} UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'customer ' || CAST(c_custkey % 40 AS STRING) FROM {customer} WHERE c_custkey % 3 = 0""",
+    "resolutions": """
+        SELECT c_custkey AS id, c_name AS reference, CASE WHEN c_custkey % 2 = 0 THEN 'C' || CAST(c_custkey AS STRING) ELSE '' END AS kb_id, c_custkey % 35 = 0 AS retracted FROM {customer} WHERE c_custkey % 5 = 0""",
+    "redirects": """
+        SELECT 'customer ' || CAST(c_custkey AS STRING) AS title, c_name AS target FROM {customer} UNION ALL SELECT lower(n_name) || ' land', n_name FROM {nation}""",
+    "surfaces": """
+        SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN c_name WHEN 1 THEN 'customer ' || CAST(c_custkey AS STRING) WHEN 2 THEN lower(n_name) || ' land' WHEN 3 THEN p_name WHEN 4 THEN n_name ELSE 'nobody of that name' END AS reference,
+          CASE o_orderkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'B11' ELSE NULL END AS expected_type
+        FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey LEFT JOIN {part} ON p_partkey = 1 + o_orderkey % 100""",
     "subsumptions": """
         SELECT p_partkey AS id, p_name AS a, 'class ' || CAST(p_size % 3 AS STRING) AS b, CASE WHEN p_size % 2 = 0 THEN 'is_a' ELSE 'part_of' END AS relation,
           CASE p_partkey % 5 WHEN 0 THEN 'b_subsumed_by_a' WHEN 1 THEN 'unrelated' WHEN 2 THEN 'equivalent' ELSE 'a_subsumed_by_b' END AS verdict, p_partkey % 11 = 0 AS retracted

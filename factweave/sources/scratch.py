@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a local master, as in tests, and elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='factweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
