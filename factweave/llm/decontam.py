@@ -14,6 +14,8 @@ from factweave.llm.common import settle, small_enough
 
 #: Six words of nine or ten each; all three are of different shape, so one substitution seldom breaks all.
 MASKS = ("110110011", "1101001011", "1011010101")
+#: Besides, for items of fewer than SHORT words: four words each, so that a seed survives two substitutions wherever they stand.
+SHORT, SHORT_MASKS = 13, ("1111", "110011", "1010101")
 #: Aligned words that are judged together, the percentage of them that must agree, and the fewest words of an item.
 WINDOW, PERCENT, LEAST = 20, 80, 10
 
@@ -37,14 +39,14 @@ def _mask_seeds(hashes: Column, number: int, mask: str) -> Column:
     return F.when(F.size(hashes) >= len(mask), F.transform(places, seed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds_of(hashes: Column) -> Column:
+def seeds_of(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """For each mask an array of the seed hashes by place."""
-    return F.array(*(_mask_seeds(hashes, number, mask) for number, mask in enumerate(MASKS)))
+    return F.array(*(_mask_seeds(hashes, len(masks[0]) * 100 + number, mask) for number, mask in enumerate(masks)))
 
 
-def seed_rows(rows: DataFrame, *keep: str) -> DataFrame:
+def seed_rows(rows: DataFrame, *keep: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """keep, at, seed: one row for each seed of the rows' column hashes."""
-    per_mask = rows.select(*keep, F.explode(seeds_of(F.col("hashes"))).alias("seeds"))
+    per_mask = rows.select(*keep, F.explode(seeds_of(F.col("hashes"), masks)).alias("seeds"))
     return per_mask.select(*keep, F.posexplode("seeds").alias("at", "seed"))
 
 
@@ -66,11 +68,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= LEAST)
     item_rows = settle(items.select("item_id", "hashes").distinct().withColumn("item", F.xxhash64("item_id", "hashes")), "items")
-    wanted = settle(seed_rows(item_rows, "item").select("item", F.col("at").alias("item_at"), "seed"), "seeds")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = seed_rows(plain.select("doc_id", F.xxhash64("text").alias("doc"), word_hashes(F.col("text")).alias("hashes")), "doc_id", "doc")
-    hits = found.join(small_enough(wanted), "seed").select("doc_id", "doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = settle(hits, "hits")
+    hashed = plain.select("doc_id", F.xxhash64("text").alias("doc"), word_hashes(F.col("text")).alias("hashes"))
+
+    def hits_of(some: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+        wanted = settle(seed_rows(some, "item", masks=masks).select("item", F.col("at").alias("item_at"), "seed"), "seeds")
+        found = seed_rows(hashed, "doc_id", "doc", masks=masks)
+        return found.join(small_enough(wanted), "seed").select("doc_id", "doc", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+
+    hits = hits_of(item_rows, MASKS)
+    short = item_rows.where(F.size("hashes") < SHORT)
+    if not short.isEmpty():  # the documents' short seeds are only made where there is something for them to meet
+        hits = hits.union(hits_of(short, SHORT_MASKS))
+    hits = settle(hits.distinct(), "hits")
     few = small_enough(hits.select(F.col("doc_id").alias("hit_id"), F.col("doc").alias("hit")).distinct())
     same = plain["doc_id"].eqNullSafe(few["hit_id"]) & (F.xxhash64(plain["text"]) == few["hit"])
     texts = plain.join(few, same, "left_semi").select("doc_id", F.xxhash64("text").alias("doc"), word_hashes(F.col("text")).alias("words")).dropDuplicates(["doc_id", "doc"])
