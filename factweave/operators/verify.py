@@ -1,9 +1,10 @@
 """One claim through all sources, for all claims at once: guards, assertions, statements, computation, and the walk.
 
-A node is a claim or a claim with slots replaced along the hierarchy. Each level looks up all open nodes in all sources; a
-contradiction outweighs a verification on the same level, and claims that a level decides aren't carried on. The claims that
-nothing decides are extended by neighbours whose edge is confirmed, and only in the directions in which the predicate's
-distribution carries a verdict.
+A node is a claim or a claim with slots replaced along the hierarchy. Each level looks up all open nodes in all sources, and
+claims that a level decides aren't carried on. The claims that nothing decides are extended by neighbours whose edge is
+confirmed, and only in the directions in which the predicate's distribution carries a verdict. A verified stand-in verifies the
+claim; a contradicted one says nothing about it (the firm isn't in this nation, but may be elsewhere in the continent), so
+contradictions come from the claim's own level only, and a stand-in that is contradicted isn't carried on.
 """
 
 from __future__ import annotations
@@ -278,7 +279,7 @@ def verify(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> DataFram
     """claim_id, verdict, base_verdict, source, reason, depth, given, premise, value, unconfirmed, conflict for each claim.
 
     claims: claim_id, subject, predicate, object, polarity, party, valid_from, valid_until, abstention_reason; claim_id is
-    unique. A level's verdict is contradicted if one of its nodes is (conflict tells that another was verified). Contradictions
+    unique. conflict tells that one stand-in of the deciding level was verified and another contradicted. Contradictions
     of claims with a vague subject abstain. Verdicts that rest on an unverified assertion, or on the party's own word, are
     marked as given. A claim that nothing decides within the budget's levels abstains as depth_exhausted.
     """
@@ -289,14 +290,16 @@ def verify(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> DataFram
     for depth in range(budget.depth):
         found = settle(direct(settle(resolved(nodes, p), "resolved"), p), "direct")
         hit = found.where("verdict IS NOT NULL")
-        wrong, right = F.bool_or(C("verdict") == "contradicted"), F.bool_or(C("verdict") == "verified")
-        order = F.struct((C("verdict") != "contradicted").alias("k"), "node_id")
-        told = hit.groupBy("claim_id").agg(F.min_by(F.struct("verdict", "source", "premise", "value", "unconfirmed"), order).alias("it"), F.bool_or("given").alias("given"), (wrong & right).alias("conflict"))
-        told = settle(told.select("claim_id", "it.*", "given", "conflict", F.lit(depth).alias("depth")), "told")
+        right = C("verdict") == "verified"
+        order = F.struct((~right).alias("k"), "node_id")
+        counts = right | F.lit(depth == 0)
+        told = hit.groupBy("claim_id").agg(F.min_by(F.struct("verdict", "source", "premise", "value", "unconfirmed"), order).alias("it"), F.bool_or(F.when(counts, C("given"))).alias("given"),
+            (F.bool_or(right) & F.bool_or(~right)).alias("conflict"), F.bool_or(counts).alias("_counts"))
+        told = settle(told.where("_counts").select("claim_id", "it.*", "given", "conflict", F.lit(depth).alias("depth")), "told")
         decided.append(told)
         if depth + 1 == budget.depth:
             break
-        left = nodes.join(told.select("claim_id"), "claim_id", "left_anti")
+        left = nodes.join(told.select("claim_id"), "claim_id", "left_anti").join(found.where("verdict IS NULL").select("node_id"), "node_id", "left_semi")
         wider = discover(left, found, p, budget).join(seen, "node_id", "left_anti")
         nodes = settle(wider.select(*NODE), "nodes")
         if nodes.isEmpty():

@@ -87,10 +87,10 @@ _LEVEL = f"""res_@ AS (SELECT n.*, coalesce(s.id, CASE WHEN regexp_matches(subje
       CASE WHEN kind = 'instance' THEN 'kb' WHEN kind = 'outer' THEN outer_source WHEN upgraded THEN 'tier_u_upgrade' WHEN kind IS NOT NULL THEN 'tier_u' END AS source, coalesce(own OR (told_status <> 'externally_verified' AND NOT upgraded), false) OR (kind = 'outer' AND said0) AS given,
       CASE kind WHEN 'negated' THEN negated_id WHEN 'conflict' THEN other_id WHEN 'match' THEN match_id END AS premise, CASE WHEN kind = 'conflict' THEN other_object WHEN kind = 'outer' AND outer_source = 'kb_quantitative' THEN CAST(w1 AS VARCHAR) WHEN kind = 'outer' AND outer_source = 'kb' THEN w3 END AS value,
       coalesce(kind = 'outer' AND outer_source = 'kb' AND unconfirmed0, false) AS unconfirmed, upgraded, value_known, functional_value_known, functional_entity FROM raised_@),
-  level_@ AS (SELECT claim_id, @ AS depth, CASE WHEN bool_or(verdict = 'contradicted') THEN 'contradicted' ELSE 'verified' END AS verdict, bool_or(given) AS given, bool_or(verdict = 'contradicted') AND bool_or(verdict = 'verified') AS conflict,
-      min(CASE WHEN verdict = 'contradicted' THEN '0' ELSE '1' END || node_id) AS key FROM direct_@ WHERE verdict IS NOT NULL GROUP BY claim_id),
+  level_@ AS (SELECT claim_id, @ AS depth, CASE WHEN @ = 0 THEN any_value(verdict) ELSE 'verified' END AS verdict, bool_or(given) FILTER (WHERE @ = 0 OR verdict = 'verified') AS given, bool_or(verdict = 'contradicted') AND bool_or(verdict = 'verified') AS conflict,
+      min(CASE WHEN verdict = 'verified' THEN '0' ELSE '1' END || node_id) AS key FROM direct_@ WHERE verdict IS NOT NULL GROUP BY claim_id HAVING @ = 0 OR bool_or(verdict = 'verified')),
   shown_@ AS (SELECT l.*, source, premise, value, unconfirmed FROM level_@ l JOIN direct_@ d ON d.claim_id = l.claim_id AND d.node_id = substring(l.key, 2))"""
-_WIDER = f"""left_@ AS (SELECT * FROM res_@ n WHERE NOT EXISTS (SELECT 1 FROM level_@ l WHERE l.claim_id = n.claim_id)),
+_WIDER = f"""left_@ AS (SELECT * FROM res_@ n WHERE NOT EXISTS (SELECT 1 FROM level_@ l WHERE l.claim_id = n.claim_id) AND n.node_id IN (SELECT node_id FROM direct_@ WHERE verdict IS NULL)),
   asked_@ AS (SELECT node_id, slot, held, relation, way FROM (SELECT node_id, predicate, polarity, 'subject' AS slot, subject AS held FROM left_@ UNION ALL SELECT node_id, predicate, polarity, 'object', object FROM left_@) JOIN ways USING (predicate, polarity) WHERE held <> ''),
   near_@ AS (SELECT DISTINCT node_id, slot, relation, neighbour FROM asked_@ JOIN free_taxa USING (held, relation, way)),
   far_@ AS (SELECT node_id, slot, neighbour FROM asked_@ a JOIN free_kin USING (held, relation, way) JOIN direct_@ d USING (node_id) WHERE NOT EXISTS (SELECT 1 FROM near_@ t WHERE t.node_id = a.node_id AND t.relation = a.relation)
