@@ -5,13 +5,15 @@ Euclidean distance is the largest by inner product, and a metric tree applies. A
 distance to it; a side is left out when the distance to the median exceeds FACTOR times the query's 20th distance so far.
 Factor one leaves out only what can't hold a nearer vector (exact search); smaller factors leave out more.
 
-Every vector is in the tree of one shard, drawn by a hash of its id, and every query in one block. Each shard meets each
-block in a group of its own, of bounded size on both sides, which grows its tree anew (far cheaper than the search); the
-best of all shards are then ranked per query.
+Every vector is in the tree of one shard, drawn by a hash of its id. Trees are built once and written, one row each, of
+bounded size. Every query is in one block; each shard meets each block in a group of its own, so queries, not vectors, are
+replicated, and one small pass reads a tree for many queries. The best of all shards are then ranked per query.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import settle
 
 #: Vectors in a shard and queries in a block, about; vectors in a leaf; the relaxation.
-SHARD, BLOCK, LEAF, FACTOR = 8192, 2048, 256, 0.25
+SHARD, BLOCK, LEAF, FACTOR = 8192, 8192, 256, 0.25
 
 
 class Tree:
@@ -91,17 +93,22 @@ def _lift(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack((vectors, np.sqrt(np.maximum(0.0, top * top - (vectors**2).sum(axis=1)))))
 
 
-def _shard_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, top: float, k: int, factor: float, leaf: int) -> pd.DataFrame:
-    """The k best of one shard for each query of a block. Equal vectors are one point, standing for its k + 1 smallest ids, all that can be asked for."""
+def build(ids: np.ndarray, vectors: np.ndarray, top: float, k: int, leaf: int) -> bytes:
+    """A shard's tree, written out. Equal vectors are one point, standing for its k + 1 smallest ids, all that can be asked for."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     points, member = np.unique(vectors, axis=0, return_inverse=True)
     by_point = np.argsort(member.reshape(-1), kind="stable")
     starts = np.searchsorted(member.reshape(-1)[by_point], np.arange(len(points) + 1))
     groups = [ids[by_point[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    tree = Tree(_lift(points, top), leaf)
+    return pickle.dumps((points, groups, Tree(_lift(points, top), leaf)), protocol=5)
+
+
+def answers(tree: bytes, query_ids: np.ndarray, asked: np.ndarray, k: int, factor: float) -> pd.DataFrame:
+    """The k best of one shard for each query of a block."""
+    points, groups, made = pickle.loads(tree)
     # the query itself is a candidate too, so one more is looked for
-    found = tree.search(np.column_stack((asked, np.zeros(len(asked)))), k + 1, factor)
+    found = made.search(np.column_stack((asked, np.zeros(len(asked)))), k + 1, factor)
     rows = []
     for query, vector, (at, _) in zip(query_ids, asked, found, strict=True):
         scores = (points[at] * vector).sum(axis=1)
@@ -129,21 +136,26 @@ def nearest(vectors: DataFrame, every: int, k: int, factor: float = FACTOR, shar
     blocks = F.ceil(F.col("n") / (every * block)).cast("int")
     kinds = settle(kinds.select("size", "top", shards.alias("shards"), blocks.alias("blocks")), "kinds")
     placed = good.join(kinds, "size").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    index = placed.select("size", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "top", "vec_id", "vector")
+
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = build(frame["vec_id"].to_numpy(), _array(frame["vector"]), float(frame["top"].iloc[0]), k, leaf)
+        return pd.DataFrame({"size": frame["size"].iloc[:1], "shard": frame["shard"].iloc[:1], "tree": [tree]})
+
+    trees = settle(placed.select("size", "shard", "top", "vec_id", "vector").groupBy("size", "shard").applyInPandas(grow, "size int, shard int, tree binary"), "trees")
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "size", "shards", "blocks").agg(F.min("vector").alias("vector"))
     block_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")
     queries = asked.withColumn("block", block_of).select("size", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "vec_id", "vector")
+    held = trees.join(kinds.select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "size")
 
-    def run(key: tuple, held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, index: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(held) or not len(asks):
+        if not len(index) or not len(asks):
             return empty
-        held, asks = held.sort_values("vec_id"), asks.sort_values("vec_id")
-        made = _shard_answers(held["vec_id"].to_numpy(), _array(held["vector"]), asks["vec_id"].to_numpy(), _array(asks["vector"]), float(held["top"].iloc[0]), k, factor, leaf)
-        return pd.concat([empty, made])
+        asks = asks.sort_values("vec_id")
+        return pd.concat([empty, answers(index["tree"].iloc[0], asks["vec_id"].to_numpy(), _array(asks["vector"]), k, factor)])
 
     pair = ("size", "shard", "block")
-    held, asks = (df.toDF(*df.columns) for df in (index, queries))  # names of their own for both sides
+    held, asks = (df.toDF(*df.columns) for df in (held, queries))  # names of their own for both sides
     found = held.groupBy(*pair).cogroup(asks.groupBy(*pair)).applyInPandas(run, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
