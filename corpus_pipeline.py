@@ -3,6 +3,10 @@
 Toxic documents go, repeated lines are taken out, one document of each group of near-duplicates stays, documents that hold
 passages of the benchmark go, and what is left is encoded. No SQL expresses the learned first stage, so there is none for
 the whole; tests hold it against plain Python.
+
+In every stage but the last, rows without doc_id stay unless the stage judges their own text (toxicity); null and empty texts
+are kept, as they hold nothing to be rejected; rows that repeat a doc_id are kept or dropped together, except for toxicity and
+lines, which judge each by its own text; an empty table stays empty; further columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from factweave.llm.common import settle, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go, whether or not they have a label."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,17 +31,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words and a similarity of 0.8 or more."""
+    """Of documents linked by five-word shingles and a similarity of 0.8 or more, the one with the least doc_id stays."""
     found = minhash.near_duplicates(docs, width=5, percent=80)
     return without(docs, settle(found.where("NOT kept").select("doc_id"), "duplicates"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of any benchmark item go."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, settle(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, a row for each document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
 
