@@ -112,10 +112,11 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[lis
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.select("label", "doc_id").join(share, "label").where(draw < F.col("rate")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
     chosen = known.join(small_enough(drawn.select("doc_id").distinct()), "doc_id", "left_semi").select("label", "text").toPandas()
+    chosen = chosen.drop_duplicates().sort_values(["text", "label"], ignore_index=True)  # one order however rows are dealt, and no text on both sides of the calibration
     names = sorted(chosen["label"].unique())
     rows = [vector(t, idf) for t in chosen["text"]]
     target = np.array([names.index(x) for x in chosen["label"]], dtype=int)
-    apart = np.arange(len(rows)) % 5 == 4
+    apart = np.random.default_rng(11).permutation(len(rows)) % 5 == 4
     if len(names) < 2:
         return names, idf, np.zeros((len(names), SIZE + 1))
     seen = [r for r, a in zip(rows, apart, strict=True) if not a]
@@ -129,7 +130,8 @@ def identify(docs: DataFrame, train: Column, label: str = "lang", sample: int =
 
     A text that is null or has no letter is und with score 0; so is every text if no training row has a label. With a
     single label that label is predicted with score 1. Repeated rows repeat, a null doc_id stays null, and no column but
-    the text enters a prediction.
+    the text enters a prediction. Texts that repeat count each for document frequencies and once for weights; of languages
+    that tie the first by name is predicted. Equal tables give equal results however their rows are dealt.
     """
     names, idf, weights = fit(docs.where(train), label, sample)
 
