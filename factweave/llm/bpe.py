@@ -12,6 +12,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +85,13 @@ class ByteCodec:
         self._whole = {p: [i] for i, (p, got) in enumerate(zip(pieces, self._model.encode(pieces, num_threads=1), strict=True)) if got != [i]}
         self._texts = PreTokens(pattern, self._encode_tokens)
 
-    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
+    def _encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mapped = "\0".join(tokens).encode().decode("latin-1").translate(self._to_chars).split(self._to_chars[0]) if tokens else []
         if len(mapped) != len(tokens):  # a token holds the separator itself
             mapped = [t.encode().decode("latin-1").translate(self._to_chars) for t in tokens]
-        return [np.array(self._whole.get(m, ids), dtype="<u4").tobytes() for m, ids in zip(mapped, self._model.encode(mapped, num_threads=1), strict=True)]
+        made = [self._whole.get(m, ids) for m, ids in zip(mapped, self._model.encode(mapped, num_threads=1), strict=True)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), "<u4", int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -25,7 +25,7 @@ SPACES = " \t\n\x0b\x0c\r"
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 #: Texts that a worker has as Python objects at once, and the bytes of text that it works on in Arrow at once (one text at least).
-CHUNK, PART = 256, 8 << 20
+CHUNK, PART = 256, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,13 +77,13 @@ def lean_worker() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with text that hold about PART bytes of it, or one row."""
+def parts_of(batch: pa.RecordBatch, size: int = PART) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with text that hold about size bytes of it, or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + PART, side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
 

@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -34,6 +35,8 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 BLOCK = 4096
 #: Ids in one row of the file, about; a document is never split over rows.
 SEGMENT = 1 << 18
+#: Bytes of text that are cut into distinct words at once.
+PART = 8 << 20
 ESCAPE = 0
 
 
@@ -153,14 +156,21 @@ class IdEncoder:
         self._added = {t.content: np.array([i], "<u4") for i, t in known.items()}
         self._cut = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})").split
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words that are one pre-token each go straight to the library's model, in the characters that it knows bytes by."""
         tokenize = self._tokenizer.model.tokenize
         mapped = "\n".join(words).encode().decode("latin-1").translate(self._to_chars).split(self._to_chars[10]) if words else []
-        return [array("I", [t.id for t in tokenize(word)]).tobytes() for word in mapped]
-
-    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
-        return [array("I", made.ids).tobytes() for made in self._tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+        ids, sizes = array("I"), array("q")
+        for word in mapped:
+            made = tokenize(word)
+            sizes.append(len(made))
+            ids.extend([t.id for t in made])
+        return np.array(ids, "<u4"), np.array(sizes, np.int64)
+
+    def _encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self._tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), "<u4", int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each."""
@@ -211,7 +221,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end
                 at = stop
 
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART):
                 for some, counts, ids in rows(part):
                     doc_ids.append(some)
                     lengths.append(counts)
