@@ -49,15 +49,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat[:n] = np.frexp(values.astype(np.float64))[1]  # rounding up near a power of two only asks for more room
     flat[:n][(flat[:n] > 60) & (values >> np.uint64(60) == 0)] = 60
     bits[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    pick = np.zeros((blocks, BLOCK), np.int8)
-    for s in range(14, 0, -1):  # where a fuller word fits, all less full ones do, so the places only get fewer
+    pick, widest, have = np.zeros((blocks, BLOCK), np.int8), bits, 1  # widest: the most bits of a value in the next have places
+    for s in range(14, 0, -1):  # where a fuller word fits, all less full ones do
         count = int(COUNTS[s])
-        wide = np.zeros((blocks, BLOCK + 61), np.int16)
-        np.cumsum(bits > 60 // count, axis=1, out=wide[:, 1:])
-        fits = wide[:, count : count + BLOCK] == wide[:, :BLOCK]
-        if not fits.any():
-            break
-        pick[fits] = s
+        if count > have:
+            widest, have = np.maximum(widest[:, : have - count], widest[:, count - have :]), count
+        np.copyto(pick, s, where=widest[:, :BLOCK] <= 60 // count)
     pick = pick.reshape(-1)[:n]
     left = np.tile(np.arange(BLOCK, 0, -1), blocks)[:n]
     step = np.minimum(np.where(pick == ESCAPE, 1, COUNTS[pick]), np.minimum(left, n - np.arange(n))).astype(np.uint8).tobytes()
@@ -84,48 +81,53 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, place[:-1][np.searchsorted(starts, np.arange(0, n, BLOCK))]
 
 
-def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The n values of one block. Raises ValueError on words that are no whole block of n values."""
+def _decode(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values of some words, with what fills up each block's last word; how many there are up to each word; which words are escaped values."""
     kind = (words >> np.uint64(60)).astype(np.int64)
     escaped = np.zeros(len(words), bool)
-    if (kind == ESCAPE).any():  # a value word may look like an escape, so these few are walked in order
-        taken = -1
-        for i in np.flatnonzero(kind == ESCAPE):
-            if i != taken:
-                taken = i + 1
-                if taken >= len(words):
-                    raise ValueError("an escape without its value")
-                escaped[taken] = True
-    heads = np.flatnonzero(~escaped)
-    kinds = kind[heads]
-    if (kinds == 15).any():
+    taken = -1
+    for i in np.flatnonzero(kind == ESCAPE).tolist():  # a value word may look like an escape, so these few are walked in order
+        if i != taken:
+            taken = i + 1
+            if taken >= len(words):
+                raise ValueError("an escape without its value")
+            escaped[taken] = True
+    if (kind[~escaped] == 15).any():
         raise ValueError("unknown selector 15")
-    ends = np.cumsum(np.where(kinds == ESCAPE, 1, COUNTS[kinds]))
-    if (ends[-1] if len(ends) else 0) < n:
-        raise ValueError("words for fewer values than stated")
+    kind[escaped] = -1
+    held = np.where(kind == ESCAPE, 1, np.where(escaped, 0, COUNTS[kind]))
+    ends = np.cumsum(held)
     out = np.zeros((ends[-1] if len(ends) else 0), np.uint64)
-    for s in np.unique(kinds):
-        mine = np.flatnonzero(kinds == s)
+    for s in np.unique(kind[kind >= 0]).tolist():
+        mine = np.flatnonzero(kind == s)
         if s == ESCAPE:
-            out[ends[mine] - 1] = words[heads[mine] + 1]
+            out[ends[mine] - 1] = words[mine + 1]
             continue
         count = int(COUNTS[s])
         width = 60 // count
         shifts = (np.arange(count) * width).astype(np.uint64)
-        data = words[heads[mine]][:, None] >> shifts & np.uint64((1 << width) - 1)
-        out[(ends[mine] - count)[:, None] + np.arange(count)] = data
-    return out[:n]
+        out[(ends[mine] - count)[:, None] + np.arange(count)] = words[mine][:, None] >> shifts & np.uint64((1 << width) - 1)
+    return out, ends, escaped
+
+
+def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
+    """The n values of one block. Raises ValueError on words that are no whole block of n values."""
+    return unpack(words, np.zeros(min(n, 1), np.int64), n)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
-    """The values from first to last (exclusive) of n; only the blocks that hold them are decoded."""
+    """The values from first to last (exclusive) of n; only the blocks that hold them are decoded, all at once."""
     last = n if last is None else last
     if first >= last:
         return np.empty(0, np.uint64)
-    ends = np.append(offsets[1:], len(words))
     lo, hi = first // BLOCK, (last - 1) // BLOCK
-    parts = [unpack_block(words[offsets[b] : ends[b]], min(BLOCK, n - b * BLOCK)) for b in range(lo, hi + 1)]
-    return np.concatenate(parts)[first - lo * BLOCK : last - lo * BLOCK]
+    begin = offsets[lo : hi + 1] - offsets[lo]
+    values, ends, escaped = _decode(words[offsets[lo] : np.append(offsets[1:], len(words))[hi]])
+    bounds = np.append(np.insert(ends, 0, 0)[begin], len(values))
+    stated = np.minimum(BLOCK, n - BLOCK * np.arange(lo, hi + 1))
+    if (np.diff(bounds) < stated).any() or escaped[begin[begin < len(escaped)]].any():
+        raise ValueError("words for fewer values than stated")
+    return np.concatenate([values[a : a + c] for a, c in zip(bounds.tolist(), stated.tolist())])[first - lo * BLOCK : last - lo * BLOCK]
 
 
 @lru_cache(maxsize=2)  # loading takes longer than a small task
