@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factweave.llm import bpe, decontam, idfile, langid, license_scan, linededup, minhash, registry, secret_scan, toxicity, vptree
+from factweave.llm import bpe, decontam, idfile, langid, license_scan, linededup, minhash, pretokens, registry, secret_scan, toxicity, vptree
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -138,6 +138,33 @@ def test_encoders_agree_with_the_libraries_on_random_text():
     assert [codec.decode(g) for g in got] == [t.encode() for t in made]
 
 
+def test_encoders_agree_from_call_to_call_with_little_room(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for room in (0, 20_000, pretokens.ROOM):
+        monkeypatch.setattr(pretokens, "ROOM", room)
+        encoder = idfile.IdEncoder(path, public_tokenizers.PATTERN, True)
+        for _ in range(6):
+            made = [" ".join("".join(rng.choice(list("abé1.\n"), rng.integers(1, 4))) for _ in range(30)) for _ in range(20)] + ["", "\n"]
+            ids, counts = encoder.encode(pa.array(made))
+            want = [e.ids for e in plain.encode_batch(made, add_special_tokens=False)]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_damaged_words_are_refused():
+    words, offsets = idfile.pack(np.arange(9000, dtype=np.uint64) << np.uint64(3))
+    with pytest.raises(ValueError):
+        idfile.unpack(words[:-1], offsets, 9000)
+    with pytest.raises(ValueError):
+        idfile.unpack_block(np.array([15 << 60], np.uint64), 1)
+    with pytest.raises(ValueError):
+        idfile.unpack_block(np.array([0], np.uint64), 1)
+
+
 def test_other_patterns_split_whole_texts():
     import pyarrow as pa
 
