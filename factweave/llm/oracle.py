@@ -24,3 +24,50 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.nod
 c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
 SELECT c.node AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = c.node AS kept FROM c LEFT JOIN n ON n.doc_id = c.node
 """
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+x AS (SELECT *, len(u) AS n, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT for i in range(4)] AS hs FROM d),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain'
+             WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+TOP_PRODUCTS = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+#: The crc32 of a string, byte by byte through its table of 256 entries (made from the polynomial).
+RESAMPLING = r"""
+WITH RECURSIVE bits AS (SELECT i AS byte, i AS v, 0 AS step FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+tab AS (SELECT list(v ORDER BY byte) AS crc FROM bits WHERE step = 8),
+hexes AS (SELECT map(list(printf('%02X', i)), list(i)) AS of_hex FROM range(256) r(i)),
+t AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+g AS (SELECT side, id, array_to_string(ws[i : i + k - 1], ' ') AS feature
+      FROM (SELECT side, id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+u AS MATERIALIZED (SELECT side, id, feature, count(*) AS n FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda b: of_hex[b])),
+        lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT feature FROM u), tab, hexes),
+x AS MATERIALIZED (SELECT side, id, bucket, n FROM u JOIN f USING (feature)),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM x GROUP BY bucket),
+z AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM b),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM b, z),
+y AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM x JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+d AS (SELECT id AS doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(ws) >= 20 AS drawable,
+        (('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS h FROM w LEFT JOIN y USING (id) WHERE side = 0),
+e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln(h)))::BIGINT AS score, drawable FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY drawable ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE drawable) OVER () AS drawables FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN drawable AND place <= 5 * drawables // 100 THEN place END AS rank FROM r
+"""
