@@ -16,8 +16,10 @@ from factweave.llm.common import settle, small_enough
 MASKS = ("110110011", "1101001011", "1011010101")
 #: Besides, for items of fewer than SHORT words: four words each, so that a seed survives two substitutions wherever they stand.
 SHORT, SHORT_MASKS = 13, ("1111", "110011", "1010101")
-#: Aligned words that are judged together, the percentage of them that must agree, and the fewest words of an item.
-WINDOW, PERCENT, LEAST = 20, 80, 10
+#: Items of fewer words than this have runs of words instead: all that is left whole when as many words differ as may.
+RUNS_BELOW = 10
+#: Aligned words that are judged together, and the percentage of them that must agree.
+WINDOW, PERCENT = 20, 80
 
 
 def words_of(text: Column) -> Column:
@@ -50,6 +52,11 @@ def seed_rows(rows: DataFrame, *keep: str, masks: tuple[str, ...] = MASKS) -> Da
     return per_mask.select(*keep, F.posexplode("seeds").alias("at", "seed"))
 
 
+def run_of(words: Column) -> Column:
+    """How many words in a row an item of fewer than RUNS_BELOW words keeps when as many differ as may: half of them if one may, else all."""
+    return F.when(words * (100 - PERCENT) >= 100, F.floor(words / 2)).otherwise(words).cast("int")
+
+
 def _best_window(item: Column, doc: Column, shift: Column) -> Column:
     """The largest number of agreeing words in a window of the item at this alignment (the whole item if it is shorter)."""
     same = F.transform(item, lambda w, i: F.coalesce(F.get(doc, i + shift) == w, F.lit(False)).cast("int"))
@@ -62,11 +69,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, agreeing (percent of the best window's words): the pairs where a document holds words of an item.
 
     A pair counts when at some alignment found by a seed at least PERCENT of WINDOW consecutive words of the item (all of
-    them, if it has fewer) stand in the document at the same distances. Items of fewer than LEAST words are too short to
-    be evidence and match nothing; null texts have no words. Rows of docs or benchmark that repeat give one pair. A null
+    them, if it has fewer) stand in the document at the same distances. Short items count like others: of 5 to 9 words one may
+    differ, of fewer none, and an item of one word is in every document with that word. Items and texts without words match
+    nothing. Rows of docs or benchmark that repeat give one pair. A null
     doc_id or item_id stays null and pairs like any other. Empty tables give no pairs; other columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= LEAST)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
     item_rows = settle(items.select("item_id", "hashes").distinct().withColumn("item", F.xxhash64("item_id", "hashes")), "items")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = plain.select("doc_id", F.xxhash64("text").alias("doc"), word_hashes(F.col("text")).alias("hashes"))
@@ -77,9 +85,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return found.join(small_enough(wanted), "seed").select("doc_id", "doc", "item", (F.col("at") - F.col("item_at")).alias("shift"))
 
     hits = hits_of(item_rows, MASKS)
-    short = item_rows.where(F.size("hashes") < SHORT)
+    short = item_rows.where(F.size("hashes").between(RUNS_BELOW, SHORT - 1))
     if not short.isEmpty():  # the documents' short seeds are only made where there is something for them to meet
         hits = hits.union(hits_of(short, SHORT_MASKS))
+    brief = item_rows.where(F.size("hashes") < RUNS_BELOW).withColumn("run", run_of(F.size("hashes")))
+    for row in brief.select("run").distinct().collect():  # four lengths at most
+        hits = hits.union(hits_of(brief.where(F.col("run") == row["run"]), ("1" * row["run"],)))
     hits = settle(hits.distinct(), "hits")
     few = small_enough(hits.select(F.col("doc_id").alias("hit_id"), F.col("doc").alias("hit")).distinct())
     same = plain["doc_id"].eqNullSafe(few["hit_id"]) & (F.xxhash64(plain["text"]) == few["hit"])

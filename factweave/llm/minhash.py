@@ -29,6 +29,9 @@ BANDS, ROWS = 28, 4
 #: Shingles in a block of texts that are compared with each other or with another block, about.
 BLOCK_SHINGLES = 1 << 18
 
+#: What tells a text apart: a doc_id may have several, with sets of their own.
+NODE = ["doc_id", "set_a", "set_b"]
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -120,30 +123,40 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
         return of
 
-    full = per_part(docs, setup, shingles="binary", set_a="long", set_b="long")
-    return full.groupBy("doc_id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles"))
+    return per_part(docs, setup, shingles="binary", set_a="long", set_b="long").dropDuplicates(NODE)
 
 
 def _confirm(frame: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect the texts of a pair of blocks: columns node, side (which block), hub (or not), shingles."""
-    frame = frame.sort_values(["hub", "node"], ascending=[False, True]).drop_duplicates("node")
-    nodes = frame["node"].to_numpy()
+    """Links that connect the texts of a block, or those of one block with those of another.
+
+    Columns: doc_id, own (the text's block), block and other (the two blocks, equal for one), is_hub, shingles.
+    """
+    frame = frame.sort_values(["is_hub", "doc_id", "set_a"], ascending=[False, True, True])
+    nodes, own = frame["doc_id"].to_numpy(), frame["own"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
     sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    across = frame["block"].iloc[0] != frame["other"].iloc[0]
+    within = np.flatnonzero(own == frame["other"].iloc[0])  # those that are looked up
+    asking = np.flatnonzero(own == frame["block"].iloc[0]) if across else within
+    if not len(within):
+        return
+    every = np.concatenate([sets[i] for i in within])
+    owner = np.repeat(within, sizes[within])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(every)) + 1, [len(every)]))
     tokens = every[starts[:-1]]
     group = np.arange(len(sets))
-    for x in range(len(sets)):
-        others = np.flatnonzero((group != group[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
+    asked = np.zeros(len(sets), bool)
+    asked[within] = True
+    for x in asking:
+        others = np.flatnonzero(asked & (group != group[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
         if not len(others):
             continue
-        at = np.searchsorted(tokens, sets[x])
+        at = np.minimum(np.searchsorted(tokens, sets[x]), len(tokens) - 1)
+        at = at[tokens[at] == sets[x]]
         lengths = starts[at + 1] - starts[at]
-        inside = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        inside = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(lengths)))[: len(at)], lengths) + np.arange(lengths.sum())
         common = np.bincount(owner[inside], minlength=len(sets))[others]
         for y in others[100 * common >= percent * (sizes[x] + sizes[others] - common)]:
             if group[y] != group[x]:
@@ -152,27 +165,30 @@ def _confirm(frame: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what is to be connected; nodes: doc_id, n_shingles, bands of distinct sets."""
-    keys = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    ties = settle(keys.join(hubs, "key").groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("n_shingles")), "ties")
-    wanted = settle(ties.select("doc_id").distinct(), "wanted")
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(wanted), "doc_id", "left_semi")
+    """Confirmed links (a, b) of doc_ids that connect what is to be connected; nodes: NODE, n_shingles, bands of distinct sets.
+
+    A hub's number is a hash: if two hubs share one, their texts are compared together, which does no harm.
+    """
+    keys = nodes.select(*NODE, "n_shingles", F.explode("bands").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min(F.struct(*NODE)).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    tied = keys.join(hubs, "key").groupBy(F.xxhash64("hub").alias("hub"), *NODE).agg(F.first("n_shingles").alias("n_shingles"), F.bool_or(F.struct(*NODE) == F.col("hub")).alias("is_hub"))
+    ties = settle(tied, "ties")
+    wanted = settle(ties.select(*NODE).distinct(), "wanted")
+    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = settle(_sets(first, width), "sets")
     blocks = ties.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     large = small_enough(settle(blocks, "blocks"))  # a row for each hub with more than one block, few beside the ties
     members = ties.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = members.select("hub", "doc_id", "own", other.alias("other")).select(
-        "hub", "doc_id", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("with"))
-    schema = "a long, b long"
+    members = members.withColumn("own", F.pmod(F.xxhash64(*NODE), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = members.select("hub", *NODE, "is_hub", "own", each.alias("each")).select(
+        "hub", *NODE, "is_hub", "own", F.least("own", "each").alias("block"), F.greatest("own", "each").alias("other"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_confirm(frame, percent)), columns=["a", "b"], dtype="int64")
 
-    full = pairs.join(sets, "doc_id").select("hub", "block", "with", F.col("doc_id").alias("node"), (F.col("doc_id") == F.col("hub")).alias("is_hub"), "shingles")
-    return full.groupBy("hub", "block", "with").applyInPandas(lambda frame: run(frame.drop(columns="hub").rename(columns={"is_hub": "hub"})), schema)
+    full = pairs.join(sets, NODE).select("hub", "block", "other", "own", "doc_id", "set_a", "is_hub", "shingles")
+    return full.groupBy("hub", "block", "other").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,18 +215,24 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Sets are of the distinct shingles of width words; two texts are linked when 100 * common >= percent * all of their
     shingles. component_id is the least doc_id that links reach, kept says that it is the row's own. Texts without words
-    are linked with nothing. Rows without doc_id are left alone: component_id null, kept. Rows that repeat a doc_id are
-    joined to equal sets each by its own text; near links go out from the one of their sets with the least hash.
+    are linked with nothing. Rows without doc_id are left alone: component_id null, kept. Rows that repeat a doc_id belong
+    together; if their texts differ, the links of each count.
     An empty table gives no rows; columns other than doc_id and text are ignored.
     """
     rows = settle(sketch(docs, width), "sketch")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    nodes = known.select("doc_id", "set_a", "set_b", "bands").join(sets, ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b"])
-    nodes = settle(nodes.select("set_a", "set_b", "doc_id", "n_shingles", "bands"), "nodes")
-    least = F.min_by(F.struct("n_shingles", "bands"), F.struct("set_a", "set_b")).alias("it")
-    found = components(settle(links(docs, nodes.groupBy("doc_id").agg(least).select("doc_id", "it.*"), width, percent), "links"))
+    sets = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"))
+    nodes = known.join(sets, ["set_a", "set_b"]).where(F.col("doc_id") == F.col("least")).dropDuplicates(["set_a", "set_b"])
+    nodes = settle(nodes.select(*NODE, "n_shingles", "bands"), "nodes")
+    the_set = F.struct(F.coalesce("set_a", F.lit(0)), F.coalesce("set_b", F.lit(0)))
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(the_set) != F.max(the_set)).alias("differ")).where("differ").select("doc_id")
+    several = small_enough(settle(several, "several"))  # doc_ids with texts that differ: all of their rows get one component
+    own = known.join(several, "doc_id", "left_semi").join(sets, ["set_a", "set_b"]).where(F.col("doc_id") != F.col("least"))
+    own = own.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    found = components(settle(links(docs, nodes, width, percent).where("a <> b").union(own), "links"))
     by_set = nodes.join(found, nodes["doc_id"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    whole = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left").withColumn("component", component)
+    joint = whole.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("joint"))
+    whole = whole.join(small_enough(settle(joint, "joint")), "doc_id", "left").withColumn("component", F.coalesce("joint", "component"))
+    return whole.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import settle
 
 #: Vectors in a shard and queries in a block, about; vectors in a leaf; the relaxation.
-SHARD, BLOCK, LEAF, FACTOR = 8192, 8192, 256, 0.25
+SHARD, BLOCK, LEAF, FACTOR = 8192, 8192, 256, 0.7
 
 
 class Tree:

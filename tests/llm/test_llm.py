@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -241,6 +242,22 @@ def test_links_that_hubs_do_not_see_are_found(spark, monkeypatch):
     same(got, plain_components(rows, 4, 80))
 
 
+def test_links_of_each_text_of_a_repeated_doc_id_count(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda text: text + " end"
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (8, c), (9, c), (9, d), (4, near(d)), (9, None), (3, ""), (3, near(near(d))), (10, None), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(minhash.near_duplicates(docs, 4, 80).collect(), plain_components(rows, 4, 80))
+
+
+def test_blocks_of_one_hub_are_compared_across(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.random()}" for w in words)) for i in range(120)]
+    same(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect(), plain_components(rows, 4, 80))
+
+
 def test_circulant_signatures_estimate_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
@@ -254,7 +271,7 @@ def test_spaced_seeds_find_passages_with_substitutions(spark, empty):
     changed = [w if i % 7 else "other" for i, w in enumerate(words)]
     rows = [(1, "Before it. " + " ".join(words) + " and after."), (2, "x " + " ".join(changed)), (3, " ".join(reversed(words))), (4, None), (5, ""), (6, " ".join(words[:9])), (1, "Before it. " + " ".join(words) + " and after.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(7))
-    items = spark.createDataFrame([(70, " ".join(words).upper()), (71, "too short to count"), (72, None)], "item_id long, text string")
+    items = spark.createDataFrame([(70, " ".join(words).upper()), (71, "too short to stand anywhere"), (72, None), (73, "...")], "item_id long, text string")
     same(decontam.contaminated(docs, items).select("doc_id", "item_id").collect(), [(1, 70), (2, 70)])
     assert decontam.contaminated(empty, items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
@@ -270,7 +287,7 @@ def plain_leaks(docs, items):
         for item_id, item in items:
             item = norm(item)
             width = min(20, len(item))
-            for shift in {i - j for j, w in enumerate(item) for i in at.get(w, ())} if len(item) >= 10 else ():
+            for shift in {i - j for j, w in enumerate(item) for i in at.get(w, ())}:
                 hit = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(item)]
                 if any(100 * sum(hit[s : s + width]) >= 80 * width for s in range(len(item) - width + 1)):
                     found.add((doc_id, item_id))
@@ -302,6 +319,19 @@ def test_short_items_are_found_under_every_tolerated_substitution(spark):
         assert len(found & mine) >= least * len(mine), size
 
 
+def test_items_of_a_few_words_are_those_of_all_alignments(spark, documents):
+    question = "what is the boiling point of water at sea"
+    docs = [(1, f"Asked: {question}?"), (2, question.replace("water", "wine")), (3, question.replace("water", "wine").replace("sea", "home")), (4, "a b c d"), (5, "a x c d and b c d e"), (6, "one"), (7, "b c d"), (8, None), (9, "One's")]
+    items = [(10, question), (11, "b c d"), (12, "a b c d e"), (13, "one"), (14, "d e"), (15, "a b c d e f g"), (16, None), (17, "?")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_leaks(docs, items)
+    assert {(1, 10), (2, 10), (4, 11), (4, 12), (6, 13), (9, 13)} <= want and (3, 10) not in want
+    same(got.select("doc_id", "item_id").collect(), want)
+    first = [(r["item_id"], " ".join(r["text"].split()[3 : 3 + r["item_id"] % 9 + 1])) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = decontam.contaminated(documents, spark.createDataFrame(first, "item_id long, text string"))
+    same(got.select("doc_id", "item_id").collect(), plain_leaks(texts(documents), first))
+
+
 @pytest.mark.parametrize("source", ["odd", "documents", "empty"])
 def test_license_base_is_that_of_words(source, request):
     docs = request.getfixturevalue(source)
@@ -540,11 +570,13 @@ def test_nearest_with_leaves_well_below_the_shard(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     scores = v[::20] @ v.T
     scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
-    exact = {20 * q: np.argsort(-row)[:10].tolist() for q, row in enumerate(scores)}
-    got = {}
-    for r in vptree.nearest(df, 20, 10, 1.0, shard=2000, leaf=32).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert got == exact
+    exact = {20 * q: np.argsort(-row)[:20].tolist() for q, row in enumerate(scores)}
+    for factor, shard, leaf in ((1.0, 2000, 32), (vptree.FACTOR, 2000, 32), (vptree.FACTOR, vptree.SHARD, vptree.LEAF)):
+        got = {}
+        for r in vptree.nearest(df, 20, 20, factor, shard=shard, leaf=leaf).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert factor < 1 or got == exact
+        assert np.mean([len(set(got[q]) & set(exact[q])) / 20 for q in exact]) >= 0.95
 
 
 
