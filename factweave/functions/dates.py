@@ -1,38 +1,69 @@
-"""Dates of partial precision as text: YYYY, YYYY-MM or YYYY-MM-DD. Anything else is null and can't be compared."""
+"""Dates of partial precision in texts, by a closed grammar. Anything else is null and can't be compared.
+
+Forms: YYYY, YYYY-MM, YYYY-MM-DD (with a sign, and with a time after a T or a space); March 5, 1998; 5 March 1998; 5th of March,
+1998; March 1998, with months also by three letters. A year has four digits. A leading minus or a trailing BC or BCE makes it
+negative. A date whose month or day can't be is none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SHAPE = r"^\+?([0-9]{4})(-([0-9]{2}))?(-([0-9]{2}))?"
+#: Names of months: fixed values. Three letters tell them apart.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = "|".join(f"{name[:3]}(?:{name[3:]})?" if name[3:] else name for name in MONTHS).replace("sep(?:tember)?", "sept?(?:ember)?")
+_DAY = "[0-9]{1,2}(?:st|nd|rd|th)?"
+#: What a text of a date looks like, in lower case, without its era.
+FORMS = rf"^(?:-?[0-9]{{4}}(?:-[0-9]{{2}}(?:-[0-9]{{2}})?)?(?:[t ][0-9].*)?|(?:{_MONTH})\.?(?: +{_DAY})?,? +[0-9]{{4}}|{_DAY} +(?:of +)?(?:{_MONTH})\.?,? +[0-9]{{4}})$"
+BEFORE, ERA = r" *b\.?c\.?(?:e\.?)?$", r" *(?:a\.?d\.?|c\.?e\.?)$"
+#: Markers of approximation before a year: fixed grammar.
+APPROXIMATE = r"(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$"
+
+
+def parts(c: Column) -> Column:
+    """struct(y, m, d): what the text tells; make it a column of its own before it is used several times."""
+    low = F.lower(F.regexp_replace(F.trim(c), r"^\+", ""))
+    text = F.regexp_replace(F.regexp_replace(low, BEFORE, ""), ERA, "")
+    number = lambda pattern: F.regexp_extract(text, pattern, 1).try_cast("int")
+    named = F.instr(F.lit("".join(name[:3] for name in MONTHS)), F.substring(F.regexp_extract(text, f"({_MONTH})", 1), 1, 3))
+    y = number("([0-9]{4})")
+    m = F.when(text.rlike("^-?[0-9]{4}"), number("^-?[0-9]{4}-([0-9]{2})")).otherwise(F.floor((named + 2) / 3).cast("int"))
+    d = F.coalesce(number("^-?[0-9]{4}-[0-9]{2}-([0-9]{2})"), number(r"(?:^|[a-z.] +)([0-9]{1,2})(?:st|nd|rd|th)?[, ]"))
+    sound = text.rlike(FORMS) & F.coalesce(m.between(1, 12), F.lit(True)) & F.coalesce(d.between(1, 31), F.lit(True))
+    signed = F.when(low.rlike(BEFORE) | F.startswith(text, F.lit("-")), -y).otherwise(y)
+    return F.struct(*(F.when(sound, x).alias(name) for x, name in ((signed, "y"), (m, "m"), (d, "d"))))
 
 
 def year(c: Column) -> Column:
-    return F.regexp_extract(F.trim(c), _SHAPE, 1).try_cast("int")
+    return parts(c)["y"]
 
 
 def month(c: Column) -> Column:
-    return F.regexp_extract(F.trim(c), _SHAPE, 3).try_cast("int")
+    return parts(c)["m"]
 
 
 def day(c: Column) -> Column:
-    return F.regexp_extract(F.trim(c), _SHAPE, 5).try_cast("int")
+    return parts(c)["d"]
+
+
+def level(told: Column) -> Column:
+    """Of parts(): 3 with a day, 2 with a month, 1 with a year, else null."""
+    return F.when(told["d"].isNotNull(), 3).when(told["m"].isNotNull(), 2).when(told["y"].isNotNull(), 1)
 
 
 def precision(c: Column) -> Column:
-    """3 with a day, 2 with a month, 1 with a year, else null."""
-    return F.when(day(c).isNotNull(), 3).when(month(c).isNotNull(), 2).when(year(c).isNotNull(), 1)
+    return level(parts(c))
 
 
-def approximate_year(c: Column) -> Column:
-    """The year after one leading marker of approximation; null unless nothing but a year follows."""
-    return F.nullif(F.regexp_extract(F.trim(c), r"(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$", 1), F.lit(""))
+def sort_key(told: Column) -> Column:
+    """A number for parts() in the order of time, years before Christ first; what isn't told counts as the beginning."""
+    return (told["y"] * 12 + F.coalesce(told["m"], F.lit(1)) - 1) * 31 + F.coalesce(told["d"], F.lit(1)) - 1
 
 
-def parts(c: Column) -> Column:
-    """struct(y, m, d): what the text tells; make it a column of its own before it is used several times."""
-    return F.struct(year(c).alias("y"), month(c).alias("m"), day(c).alias("d"))
+def approximate_year(c: Column) -> Column:
+    """The year after one leading marker of approximation; null unless nothing but a year follows."""
+    return F.nullif(F.regexp_extract(F.trim(c), APPROXIMATE, 1), F.lit(""))
 
 
 def relation(claimed: Column, known: Column) -> Column:
@@ -46,7 +77,6 @@ def relation_of(claimed: Column, known: Column) -> Column:
     Other years differ. A known first of January may stand for its year and a known first of a month for its month. A claim
     that is finer than what is known, or another month or day of the same year, tells nothing.
     """
-    level = lambda x: F.when(x["d"].isNotNull(), 3).when(x["m"].isNotNull(), 2).when(x["y"].isNotNull(), 1)
     fine, known_fine = level(claimed), F.when((known["d"] == 1) & (known["m"] == 1), 1).when(known["d"] == 1, 2).otherwise(level(known))
     off = (claimed["m"] != known["m"]) | ((fine == 3) & (claimed["d"] != known["d"]))
     return (
@@ -56,12 +86,20 @@ def relation_of(claimed: Column, known: Column) -> Column:
 
 
 def earliest(c: Column) -> Column:
-    return F.make_date(year(c), F.coalesce(month(c), F.lit(1)), F.coalesce(day(c), F.lit(1)))
+    """The first day that a text may mean; null before Christ, and for days that a month hasn't."""
+    told = parts(c)
+    return _day_of(told, 1)
 
 
 def latest(c: Column) -> Column:
-    last = F.last_day(F.make_date(year(c), F.coalesce(month(c), F.lit(12)), F.lit(1)))
-    return F.when(day(c).isNotNull(), earliest(c)).otherwise(last)
+    """The last day that a text may mean."""
+    told = parts(c)
+    return F.when(told["d"].isNotNull(), _day_of(told, 1)).otherwise(F.last_day(_day_of(told, 12)))
+
+
+def _day_of(told: Column, month_else: int) -> Column:
+    text = F.format_string("%04d-%02d-%02d", told["y"], F.coalesce(told["m"], F.lit(month_else)), F.coalesce(told["d"], F.lit(1)))
+    return F.when(told["y"] > 0, text).try_cast("date")
 
 
 def provably_past(end: Column, now: Column) -> Column:

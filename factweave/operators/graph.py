@@ -14,33 +14,56 @@ from factweave.sources.scratch import settle
 #: Properties by relation: fixed values. The neighbour sets differ from those of paths.
 PATHS = {"is_a": ("P31", "P279"), "part_of": ("P131", "P30", "P17")}
 NEIGHBOURS = {"is_a": ("P31", "P279"), "part_of": ("P131", "P361", "P17"), "default": ("P31", "P279", "P361", "P131", "P17")}
-MAX_DEPTH = 8
+#: The property that leads from a region to a larger one, but in general to much else: fixed value.
+BRIDGE = "P361"
 
 
-def transitive_paths(edges: DataFrame, properties: tuple[str, ...], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The shortest depth of each pair that one or more edges join, and the least first property at that depth.
+def transitive_paths(edges: DataFrame, properties: tuple[str, ...]) -> DataFrame:
+    """src, dst, depth, first_property: the shortest depth of each pair that one or more edges join, and the least first property at that depth.
 
-    Nodes that no edge leads to are facts. Only edges between other nodes are closed, semi-naive: a round extends only the
-    pairs that the last one found, and each round is written. Cycles end because known pairs aren't found again. Facts join
-    the closure once, on the end of their first hop.
+    Nodes that no edge leads to are facts. Only edges between other nodes are closed, by doubling: when all pairs up to a
+    depth are known, the pairs of just that depth are joined to all of them, which gives all pairs up to twice the depth. So
+    a path of a thousand edges takes ten rounds; rounds end when one finds nothing new, in cycles too. Each round is written.
+    Facts join the closure once, on the end of their first hop.
     """
     step = edges.where(F.col("property").isin(*properties)).groupBy("src", "dst").agg(F.min("property").alias("first_property"))
+    step = settle(step, "steps")
     inner_nodes = step.select(F.col("dst").alias("src")).distinct()
-    one = settle(step.join(inner_nodes, "src", "left_semi").select("src", "dst", F.lit(1).alias("depth"), "first_property"), "paths")
-    fresh = found = one
-    hop = one.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for depth in range(2, max_depth + 1):
-        longer = fresh.join(hop, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.min("first_property").alias("first_property"))
-        fresh = settle(longer.join(found, ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "first_property"), "paths")
+    found = settle(step.join(inner_nodes, "src", "left_semi").select("src", "dst", F.lit(1).alias("depth"), "first_property"), "paths")
+    depth = 1
+    while True:
+        ahead = found.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("depth").alias("_more"))
+        longest = found.where(F.col("depth") == depth).select("src", "dst", "first_property")
+        joined = longest.join(ahead, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.min(F.struct((F.lit(depth) + F.col("_more")).alias("depth"), "first_property")).alias("it"))
+        fresh = settle(joined.select("src", "dst", "it.*").join(found, ["src", "dst"], "left_anti"), "paths")
         if fresh.isEmpty():
             break
-        found = found.union(fresh)
+        found, depth = found.union(fresh), 2 * depth
     facts = step.join(inner_nodes, "src", "left_anti").select("src", F.col("dst").alias("via"), "first_property")
-    beyond = found.where(F.col("depth") < max_depth).select(F.col("src").alias("via"), "dst", "depth")
-    further = facts.join(beyond, "via").groupBy("src", "dst").agg(F.min(F.struct(F.col("depth") + 1, "first_property")).alias("it"))
+    beyond = found.select(F.col("src").alias("via"), "dst", "depth")
+    further = facts.join(beyond, "via").select("src", "dst", F.col("depth") + 1, "first_property")
     first = facts.select("src", F.col("via").alias("dst"), F.lit(1).alias("depth"), "first_property")
-    further = further.select("src", "dst", F.col("it")["col1"].alias("depth"), "it.first_property").join(facts.select("src", F.col("via").alias("dst")), ["src", "dst"], "left_anti")
-    return settle(found.union(first).union(further), "paths")
+    return settle(found.union(_shortest(first.union(further.toDF(*first.columns)))), "paths")
+
+
+def _shortest(paths: DataFrame) -> DataFrame:
+    return paths.groupBy("src", "dst").agg(F.min(F.struct("depth", "first_property")).alias("it")).select("src", "dst", "it.*")
+
+
+def part_of_paths(edges: DataFrame, regions: tuple[str, ...]) -> DataFrame:
+    """transitive_paths() of places, which may end in one bridge from a region to a region.
+
+    The bridge's property holds much that isn't geography, so it counts only between nodes that are both instances of a class
+    in regions, once, and as the last edge: what a larger region is part of says nothing of the places in it.
+    """
+    plain = transitive_paths(edges, PATHS["part_of"])
+    typed = edges.where((F.col("property") == "P31") & F.col("dst").isin(*regions)).select(F.col("src").alias("node")).distinct()
+    ends = lambda c: typed.select(F.col("node").alias(c))
+    bridges = edges.where(F.col("property") == BRIDGE).select("src", "dst").distinct().join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
+    direct = bridges.select("src", "dst", F.lit(1).alias("depth"), F.lit(BRIDGE).alias("first_property"))
+    via = bridges.select(F.col("src").alias("via"), "dst")
+    longer = plain.withColumnRenamed("dst", "via").join(via, "via").select("src", "dst", F.col("depth") + 1, "first_property")
+    return settle(_shortest(plain.union(direct).union(longer.toDF(*plain.columns))), "paths")
 
 
 def subsumption(pairs: DataFrame, paths: DataFrame) -> DataFrame:

@@ -131,15 +131,31 @@ _YMD = {"y": 1, "m": 3, "d": 5}
 
 
 def _part(c: str, which: str) -> str:
-    return rf"try_cast(nullif(regexp_extract(trim({c}), '^\+?([0-9]{{4}})(-([0-9]{{2}}))?(-([0-9]{{2}}))?', {_YMD[which]}), '') AS INT)"
+    """A part of a date of the ISO forms, which are all that the stored claims and statements hold."""
+    return rf"try_cast(nullif(regexp_extract(trim({c}), '^\+?(-?[0-9]{{4}})(-([0-9]{{2}}))?(-([0-9]{{2}}))?$', {_YMD[which]}), '') AS INT)"
 
 
 def _precision(c: str) -> str:
     return f"CASE WHEN {_part(c, 'd')} IS NOT NULL THEN 3 WHEN {_part(c, 'm')} IS NOT NULL THEN 2 WHEN {_part(c, 'y')} IS NOT NULL THEN 1 END"
 
 
-_projection("D2_date_parts", "claims", lambda: {"year": dates.year(C("object")), "month": dates.month(C("object")), "day": dates.day(C("object"))},
-            f"{_part('object', 'y')} AS year, {_part('object', 'm')} AS month, {_part('object', 'd')} AS day")
+
+
+def _date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = view(spark, sf_dir, "dated_texts").withColumn("told", dates.parts(C("text")))
+    return told.select("id", C("told.y").alias("year"), C("told.m").alias("month"), C("told.d").alias("day"), dates.sort_key(C("told")).alias("sort_key"))
+
+
+QUERIES["D2_date_parts"] = _date_parts
+SQL["D2_date_parts"] = oracle(r"""WITH low AS (SELECT id, lower(regexp_replace(trim(text), '^\+', '')) AS t FROM dated_texts), era AS (SELECT id, regexp_matches(t, ' *b\.?c\.?(e\.?)?$') OR t LIKE '-%' AS early, regexp_replace(t, ' *(b\.?c\.?(e\.?)?|a\.?d\.?|c\.?e\.?)$', '') AS t FROM low),
+  iso AS (SELECT id, early, regexp_extract(t, '^-?([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2}))?)?(?:[t ][0-9].*)?$', ['y', 'm', 'd']) AS p FROM era),
+  named AS (SELECT id, early, regexp_extract(t, '^([a-z]+)\.?(?: +([0-9]{1,2})(?:st|nd|rd|th)?)?,? +([0-9]{4})$', ['m', 'd', 'y']) AS p FROM era),
+  other AS (SELECT id, early, regexp_extract(t, '^([0-9]{1,2})(?:st|nd|rd|th)? +(?:of +)?([a-z]+)\.?,? +([0-9]{4})$', ['d', 'm', 'y']) AS p FROM era),
+  names AS (SELECT m, unnest([long, CASE WHEN m = 9 THEN 'sept' ELSE substr(long, 1, 3) END, substr(long, 1, 3)]) AS name FROM (SELECT unnest(range(1, 13)) AS m, unnest(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']) AS long)),
+  found AS (SELECT id, early, try_cast(p.y AS INT) AS y, try_cast(nullif(p.m, '') AS INT) AS m, try_cast(nullif(p.d, '') AS INT) AS d FROM iso WHERE p.y <> ''
+    UNION ALL SELECT id, early, try_cast(p.y AS INT), n.m, try_cast(nullif(p.d, '') AS INT) FROM (SELECT * FROM named UNION ALL BY NAME SELECT * FROM other) JOIN (SELECT DISTINCT * FROM names) n ON n.name = p.m WHERE p.y <> ''),
+  told AS (SELECT id, CASE WHEN early THEN -y ELSE y END AS y, CAST(m AS INT) AS m, d FROM found WHERE coalesce(m BETWEEN 1 AND 12, true) AND coalesce(d BETWEEN 1 AND 31, true))
+  SELECT t.id, y AS year, m AS month, d AS day, (y * 12 + coalesce(m, 1) - 1) * 31 + coalesce(d, 1) - 1 AS sort_key FROM dated_texts t LEFT JOIN told USING (id)""", "dated_texts")
 _projection("D3_date_precision", "claims", lambda: {"precision": dates.precision(C("object"))}, f"{_precision('object')} AS precision")
 _projection("D11_approximate_year", "raw_claims", lambda: {"year": dates.approximate_year(C("object"))},
             r"nullif(regexp_extract(trim(object), '(?i)^(?:(?:approximately|approx\.?|circa|about|around|ca\.?|c\.?|~)\s+|~\s*)([0-9]{4})$', 1), '') AS year")

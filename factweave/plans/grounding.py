@@ -14,18 +14,30 @@ C = F.col
 QUERIES, SQL = {}, {}
 
 
+#: Classes whose instances are regions.
+REGIONS = ("country", "union")
+
+
 def paths(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
-    return graph.transitive_paths(view(spark, sf_dir, "kb_edges"), graph.PATHS[relation])
+    edges = view(spark, sf_dir, "kb_edges")
+    return graph.part_of_paths(edges, REGIONS) if relation == "part_of" else graph.transitive_paths(edges, graph.PATHS[relation])
 
 
 def paths_sql(name: str, properties: tuple[str, ...]) -> str:
+    """The closure level by level: a pair is kept at the level that first finds it, whatever its depth."""
     listed = ", ".join(f"'{p}'" for p in properties)
-    return f"""{name}_all AS (SELECT src, dst, 1 AS depth, property AS first_property FROM kb_edges WHERE property IN ({listed})
-      UNION SELECT p.src, e.dst, p.depth + 1, p.first_property FROM {name}_all p JOIN kb_edges e ON e.src = p.dst AND e.property IN ({listed}) WHERE p.depth < 8),
-      {name} AS (SELECT src, dst, CAST(min(depth) AS INT) AS depth, min(first_property) AS first_property FROM {name}_all GROUP BY src, dst)"""
-
-
-PART_OF, IS_A = paths_sql("part_of", graph.PATHS["part_of"]), paths_sql("is_a", graph.PATHS["is_a"])
+    return f"""{name}_step AS (SELECT src, dst, min(property) AS p FROM kb_edges WHERE property IN ({listed}) GROUP BY src, dst),
+      {name}_all(src, dst, depth, first_property) USING KEY (src, dst) AS (SELECT src, dst, 1, p FROM {name}_step
+      UNION SELECT x.src, x.dst, x.depth, x.first_property FROM (SELECT a.src, e.dst, a.depth + 1 AS depth, min(a.first_property) AS first_property FROM {name}_all a JOIN {name}_step e ON e.src = a.dst GROUP BY ALL) x
+        LEFT JOIN recurring.{name}_all k ON k.src = x.src AND k.dst = x.dst WHERE k.src IS NULL),
+      {name} AS (SELECT src, dst, CAST(depth AS INT) AS depth, first_property FROM {name}_all)"""
+
+
+_BRIDGED = """bridges AS (SELECT DISTINCT src, dst FROM kb_edges b WHERE property = 'P361' AND EXISTS (SELECT 1 FROM kb_edges t WHERE t.src = b.src AND t.property = 'P31' AND t.dst IN ('country', 'union'))
+      AND EXISTS (SELECT 1 FROM kb_edges t WHERE t.src = b.dst AND t.property = 'P31' AND t.dst IN ('country', 'union'))),
+  part_of AS (SELECT src, dst, CAST(min(depth) AS INT) AS depth, arg_min(first_property, (depth, first_property)) AS first_property FROM (SELECT * FROM plain_part_of UNION ALL SELECT src, dst, 1, 'P361' FROM bridges
+      UNION ALL SELECT p.src, b.dst, depth + 1, first_property FROM plain_part_of p JOIN bridges b ON b.src = p.dst) GROUP BY src, dst)"""
+PART_OF, IS_A = f"{paths_sql('plain_part_of', graph.PATHS['part_of'])}, {_BRIDGED}", paths_sql("is_a", graph.PATHS["is_a"])
 QUERIES["G2_part_of_paths"] = lambda s, d: paths(s, d, "part_of")
 SQL["G2_part_of_paths"] = oracle(f"WITH RECURSIVE {PART_OF} SELECT * FROM part_of", "kb_edges")
 QUERIES["G2_is_a_paths"] = lambda s, d: paths(s, d, "is_a")
@@ -72,8 +84,8 @@ def _place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["G6_geographic_disjoint"] = lambda s, d: graph.disjoint_places(_place_pairs(s, d), paths(s, d, "part_of"), paths(s, d, "is_a")).select("claim_id", "stmt_id", "disjoint")
 SQL["G6_geographic_disjoint"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, pairs AS (SELECT claim_id, stmt_id, value, object_id AS expected FROM resolved JOIN kb_statements ON entity = subject_id AND property = 'P17' WHERE object_id IS NOT NULL)
   SELECT claim_id, stmt_id, {APART} AS disjoint FROM pairs LEFT JOIN lies_in vi ON vi.src = value LEFT JOIN lies_in ei ON ei.src = expected""", "claims", "kb_labels", "kb_edges", "kb_statements")
-QUERIES["G9_distribution_directions"] = lambda s, d: view(s, d, "mappings").select("id", graph.directions(F.element_at(F.array(*map(F.lit, ("up", "down", "both", "neither"))), (C("id") % 4 + 1).cast("int"))).alias("directions"))
-SQL["G9_distribution_directions"] = oracle("SELECT id, CASE id % 4 WHEN 0 THEN 'child' WHEN 1 THEN 'parent' WHEN 2 THEN 'child,parent' ELSE '' END AS directions FROM mappings", "mappings")
+QUERIES["G9_distribution_directions"] = lambda s, d: view(s, d, "distributions").select("id", graph.directions(C("verdict")).alias("directions"))
+SQL["G9_distribution_directions"] = oracle("SELECT id, CASE verdict WHEN 'up' THEN 'child' WHEN 'down' THEN 'parent' WHEN 'both' THEN 'child,parent' ELSE '' END AS directions FROM distributions", "distributions")
 QUERIES["A19_neighbours"] = lambda s, d: graph.neighbours(view(s, d, "kb_edges"), view(s, d, "kb_edges").select(C("dst").alias("node")).distinct(), graph.NEIGHBOURS["default"])
 SQL["A19_neighbours"] = oracle("""WITH n AS (SELECT DISTINCT dst AS node FROM kb_edges), e AS (SELECT * FROM kb_edges WHERE property IN ('P31', 'P279', 'P361', 'P131', 'P17'))
   SELECT node, property, dst AS neighbour, 'out' AS way FROM n JOIN e ON src = node UNION ALL

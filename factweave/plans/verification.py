@@ -125,7 +125,7 @@ def _everything() -> str:
 def _sql(body: str, *more: str) -> str:
     """The whole chain and body, every table expression worked out once."""
     made = oracle(f"{_everything()} {body}", *_VIEWS, *more)
-    return re.sub(r"(?<!_all) AS \(\s*(SELECT|WITH)", r" AS MATERIALIZED (\1", made)
+    return re.sub(r"(?<!_all)(?<!\(src, dst\)) AS \(\s*(SELECT|WITH)", r" AS MATERIALIZED (\1", made)
 
 
 QUERIES["verify_claims"] = verified

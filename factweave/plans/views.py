@@ -42,13 +42,16 @@ VIEWS = {
         UNION ALL SELECT DISTINCT 'K' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'P279', 'ROOT' FROM {part}
         UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'P31', 'country' FROM {nation}
         UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), 'P31', 'continent' FROM {region}
-        UNION ALL SELECT 'country', 'P279', 'place' UNION ALL SELECT 'continent', 'P279', 'place'""",
+        UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'P361', 'U' || CAST(n_nationkey % 4 AS STRING) FROM {nation} WHERE n_nationkey % 3 <> 0
+        UNION ALL SELECT DISTINCT 'U' || CAST(n_nationkey % 4 AS STRING), 'P31', CASE n_nationkey % 4 WHEN 3 THEN 'treaty' ELSE 'union' END FROM {nation}
+        UNION ALL SELECT 'country', 'P279', 'place' UNION ALL SELECT 'continent', 'P279', 'place' UNION ALL SELECT 'union', 'P279', 'place'""",
     "kb_labels": """
         SELECT 'C' || CAST(c_custkey AS STRING) AS kb_id, c_name AS label FROM {customer}
         UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), s_name FROM {supplier}
         UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), n_name FROM {nation}
         UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), r_name FROM {region}
-        UNION ALL SELECT 'PT' || CAST(p_partkey AS STRING), p_name FROM {part}""",
+        UNION ALL SELECT 'PT' || CAST(p_partkey AS STRING), p_name FROM {part}
+        UNION ALL SELECT DISTINCT 'U' || CAST(n_nationkey % 4 AS STRING), 'Union ' || CAST(n_nationkey % 4 AS STRING) FROM {nation}""",
     "kb_statements": """
         SELECT c_custkey * 10 AS stmt_id, 'C' || CAST(c_custkey AS STRING) AS entity, 'P17' AS property, 'N' || CAST(c_nationkey AS STRING) AS value, 'entity' AS value_type,
           CASE c_custkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'preferred' ELSE 'normal' END AS rank,
@@ -120,7 +123,7 @@ VIEWS = {
           CASE CAST(substring(p_brand, 7, 9) AS INT) % 6 WHEN 0 THEN 'unrelated' ELSE 'a_subsumed_by_b' END, false FROM {part} WHERE CAST(substring(p_brand, 7, 9) AS INT) % 3 = 0""",
     "claims": """
         SELECT c_custkey * 4 AS claim_id, c_custkey AS statement_id, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'based_in' END AS predicate,
-          CASE WHEN c_custkey % 24 = 10 THEN p_name WHEN c_custkey % 4 = 0 THEN t.n_name WHEN c_custkey % 4 = 1 THEN u.n_name WHEN c_custkey % 4 = 2 THEN r_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'nowhere at all' ELSE 'a place near ' || t.n_name END END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
+          CASE WHEN c_custkey % 24 = 10 THEN p_name WHEN c_custkey % 16 = 2 THEN 'Union ' || CAST(c_nationkey % 4 AS STRING) WHEN c_custkey % 4 = 0 THEN t.n_name WHEN c_custkey % 4 = 1 THEN u.n_name WHEN c_custkey % 4 = 2 THEN r_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'nowhere at all' ELSE 'a place near ' || t.n_name END END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
           'user_' || CAST(c_custkey % 150 AS STRING) AS party, CASE WHEN c_custkey % 6 < 2 THEN CAST(1995 + c_custkey % 15 AS STRING) END AS valid_from,
           CASE WHEN c_custkey % 10 = 4 THEN 'before_present' END AS valid_until
         FROM {customer} JOIN {nation} t ON t.n_nationkey = c_nationkey JOIN {nation} u ON u.n_nationkey = (c_nationkey + 1 + c_custkey % 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
@@ -175,7 +178,8 @@ VIEWS = {
         UNION ALL SELECT c_custkey * 10 + 50000000000, c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN 'residence_ended' ELSE 'residence_started' END, CASE c_custkey % 3 WHEN 0 THEN CAST(1990 + c_custkey % 20 AS STRING) ELSE '1994' END,
           1 - CAST(c_custkey % 5 = 2 AS INT), 'user_' || CAST(c_custkey % 150 AS STRING), NULL, NULL, NULL FROM {customer}""",
     "truths": """
-        SELECT c_custkey * 4 AS claim_id, CASE WHEN (c_custkey % 4 IN (0, 2)) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END AS truth FROM {customer} WHERE c_custkey % 4 < 3 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
+        SELECT c_custkey * 4 AS claim_id, CASE WHEN (c_custkey % 4 IN (0, 2)) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END AS truth FROM {customer} WHERE c_custkey % 4 < 3 AND c_custkey % 16 <> 2 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
+        UNION ALL SELECT c_custkey * 4, CASE WHEN (c_nationkey % 3 <> 0) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 16 = 2 AND c_nationkey % 4 <> 3 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
         UNION ALL SELECT c_custkey * 4 + 3, CASE WHEN (c_custkey % 3 <> 0) = (c_custkey % 6 <> 5) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 24 <> 0 AND c_custkey % 11 <> 0
         UNION ALL SELECT s_suppkey * 10 + 20000000001, CASE WHEN s_suppkey % 2 = 0 THEN 'verified' ELSE 'contradicted' END FROM {supplier}
         UNION ALL SELECT o_orderkey + 40000000000, CASE WHEN (o_orderkey % 5000 > o_custkey) = (o_orderkey % 8 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders}""",
@@ -224,6 +228,11 @@ VIEWS = {
         SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN c_name WHEN 1 THEN 'customer ' || CAST(c_custkey AS STRING) WHEN 2 THEN lower(n_name) || ' land' WHEN 3 THEN p_name WHEN 4 THEN n_name ELSE 'nobody of that name' END AS reference,
           CASE o_orderkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'B11' ELSE NULL END AS expected_type
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey LEFT JOIN {part} ON p_partkey = 1 + o_orderkey % 100""",
+    "dated_texts": """
+        SELECT id, CASE id % 13 WHEN 0 THEN long || ' ' || d || ', ' || y WHEN 1 THEN d || ' ' || long || ' ' || y WHEN 2 THEN substring(long, 1, 3) || ' ' || d || ' ' || y WHEN 3 THEN ' ' || long || ' ' || y WHEN 4 THEN d || 'th of ' || upper(long) || ', ' || y
+            WHEN 5 THEN '-' || iso WHEN 6 THEN iso || 'T00:00:00Z' WHEN 7 THEN '+' || substring(iso, 1, 7) WHEN 8 THEN y || ' BC' WHEN 9 THEN 'in ' || y || ' or so' WHEN 10 THEN y || '-13-40' WHEN 11 THEN y || '0000' ELSE substring(long, 1, 3) || '. ' || y || ' b.c.e.' END AS text
+        FROM (SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS iso, substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS y, CAST(CAST(substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) AS INT) AS STRING) AS d,
+          trim(substring('January   February  March     April     May       June      July      August    September October   November  December  ', CAST(substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) AS INT) * 10 - 9, 10)) AS long FROM {orders})""",
     "subsumptions": """
         SELECT p_partkey AS id, p_name AS a, 'class ' || CAST(p_size % 3 AS STRING) AS b, CASE WHEN p_size % 2 = 0 THEN 'is_a' ELSE 'part_of' END AS relation,
           CASE p_partkey % 5 WHEN 0 THEN 'b_subsumed_by_a' WHEN 1 THEN 'unrelated' WHEN 2 THEN 'equivalent' ELSE 'a_subsumed_by_b' END AS verdict, p_partkey % 11 = 0 AS retracted
