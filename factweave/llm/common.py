@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
@@ -77,6 +78,14 @@ def lean_worker() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the machine; workers stay for later tasks, and the allocator would keep it."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parts_of(batch: pa.RecordBatch, size: int = PART) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with text that hold about size bytes of it, or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
@@ -88,6 +97,13 @@ def parts_of(batch: pa.RecordBatch, size: int = PART) -> Iterator[pa.RecordBatch
         at = stop
 
 
+def chunks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most CHUNK rows and about PART bytes of text."""
+    for part in parts_of(batch):
+        for at in range(0, part.num_rows, CHUNK):
+            yield part.slice(at, CHUNK)
+
+
 def texts_of(part: pa.RecordBatch) -> pa.Array:
     """The texts of a part, null as empty."""
     return pc.fill_null(part.column("text").cast(pa.string()), "")
@@ -104,6 +120,7 @@ def per_part(docs: DataFrame, setup: Callable[[], Callable[[pa.Array], list[pa.A
             for part in parts_of(batch):
                 made = [a.cast(k) for a, k in zip(of(texts_of(part)), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names])
+        give_back()
 
     schema = ", ".join(["doc_id long", *(f"{n} {k}" for n, k in columns.items())])
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
@@ -121,11 +138,11 @@ def per_text(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[tup
         lean_worker()
         of = setup()
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in chunks_of(batch):
                 made = of([text or "" for text in part.column("text").to_pylist()])
                 cells = zip(*made, strict=True) if made else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cells, kinds, strict=True))], ["doc_id", *names])
+        give_back()
 
     schema = ", ".join(["doc_id long", *(f"{n} {k}" for n, k in columns.items())])
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
@@ -138,9 +155,9 @@ def keep_texts(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[b
         lean_worker()
         of = setup()
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in chunks_of(batch):
                 yield part.filter(pa.array(of([text or "" for text in part.column("text").to_pylist()]), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import SPACES, lean_worker, parts_of, texts_of
+from factweave.llm.common import SPACES, give_back, lean_worker, parts_of, texts_of
 
 #: Bytes of text in a block.
 BLOCK = 512
@@ -112,6 +112,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 42, rate: int = RATE, suffix_fir
                 cells = list(zip(*made, strict=True)) if made else [[]] * 5
                 arrays = [ids, *(pa.array(c, kind) for c, (_, kind) in zip(cells, fields[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+        give_back()
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary")
     return made.withColumn("output", F.col("output").cast("string"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import lean_worker, parts_of, settle, small_enough, texts_of
+from factweave.llm.common import give_back, lean_worker, parts_of, settle, small_enough, texts_of
 
 #: Buckets of features, words in the longest run, the fewest words of a document that can be drawn, percentage drawn.
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT = 10_000, 3, 20, 5
@@ -149,6 +149,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
                 held += np.bincount(features(texts_of(part))[0] % np.uint32(buckets), minlength=buckets)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["bucket", "n"])
+        give_back()
 
     sums = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
@@ -184,6 +185,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, seed: int = 42) -> DataFrame:
                 weights = sums[ends] - sums[ends - counts]
                 noise = np.array([_noise(d, seed) for d in part.column("doc_id").to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(a, pa.int64()) for a in (counts, weights, weights + noise))], names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
