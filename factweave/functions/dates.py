@@ -87,13 +87,19 @@ def relation_of(claimed: Column, known: Column) -> Column:
 
 def earliest(c: Column) -> Column:
     """The first day that a text may mean; null before Christ, and for days that a month hasn't."""
-    told = parts(c)
-    return _day_of(told, 1)
+    return first_day(parts(c))
 
 
 def latest(c: Column) -> Column:
     """The last day that a text may mean."""
-    told = parts(c)
+    return last_day(parts(c))
+
+
+def first_day(told: Column) -> Column:
+    return _day_of(told, 1)
+
+
+def last_day(told: Column) -> Column:
     return F.when(told["d"].isNotNull(), _day_of(told, 1)).otherwise(F.last_day(_day_of(told, 12)))
 
 

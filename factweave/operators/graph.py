@@ -89,25 +89,30 @@ def place_table(part_of: DataFrame, is_a: DataFrame, continents: str = "continen
     return settle(every, "places")
 
 
-def with_disjoint(rows: DataFrame, value: str, expected: str, part_of: DataFrame, place: DataFrame) -> DataFrame:
-    """rows with inside (the value is part of the expected one) and disjoint: surely different places, false in any doubt.
+def with_disjoint(pairs: DataFrame, part_of: DataFrame, place: DataFrame) -> DataFrame:
+    """value, expected_id, inside (the value is part of the expected one), disjoint: surely different places, false in any doubt.
 
-    The expected continent isn't the value's, or both are places of one continent and neither is part of the other.
+    The expected continent isn't the value's, or both are places of one continent and neither is part of the other. pairs are
+    distinct and have value_place, what place_table() says of the value.
     """
     flag = lambda a, b, name: part_of.select(F.col("src").alias(a), F.col("dst").alias(b), F.lit(True).alias(name))
-    at = lambda c: place.select(F.col("node").alias(c), *[F.col(x).alias(f"_{c}_{x}") for x in ("lies_in", "is_place", "is_continent")])
-    joined = rows.join(flag(value, expected, "_in"), [value, expected], "left").join(flag(expected, value, "_out"), [value, expected], "left").join(at(value), value, "left").join(at(expected), expected, "left")
-    here = F.col(f"_{value}_lies_in")
-    elsewhere = F.col(f"_{expected}_is_continent") & (here != F.col(expected))
-    apart = F.col(f"_{expected}_is_place") & (here == F.col(f"_{expected}_lies_in")) & F.col("_in").isNull() & F.col("_out").isNull()
+    at = place.select(F.col("node").alias("expected_id"), F.struct("lies_in", "is_place", "is_continent").alias("_place"))
+    joined = pairs.join(flag("value", "expected_id", "_in"), ["value", "expected_id"], "left").join(flag("expected_id", "value", "_out"), ["value", "expected_id"], "left").join(at, "expected_id", "left")
+    here = F.col("value_place.lies_in")
+    elsewhere = F.col("_place.is_continent") & (here != F.col("expected_id"))
+    apart = F.col("_place.is_place") & (here == F.col("_place.lies_in")) & F.col("_in").isNull() & F.col("_out").isNull()
     no = F.lit(False)
-    disjoint = (F.col(value) != F.col(expected)) & (F.coalesce(elsewhere, no) | F.coalesce(apart, no))
-    return joined.select(*rows.columns, F.coalesce("_in", no).alias("inside"), F.coalesce(disjoint, no).alias("disjoint"))
+    disjoint = (F.col("value") != F.col("expected_id")) & (F.coalesce(elsewhere, no) | F.coalesce(apart, no))
+    return joined.select("value", "expected_id", F.coalesce("_in", no).alias("inside"), F.coalesce(disjoint, no).alias("disjoint"))
 
 
-def disjoint_places(pairs: DataFrame, part_of: DataFrame, is_a: DataFrame) -> DataFrame:
-    """pairs (value, expected, ...) with disjoint, as in with_disjoint()."""
-    return with_disjoint(pairs, "value", "expected", part_of, place_table(part_of, is_a)).drop("inside")
+def disjoint_places(rows: DataFrame, part_of: DataFrame, is_a: DataFrame) -> DataFrame:
+    """rows (value, expected, ...) with disjoint, as in with_disjoint()."""
+    place = place_table(part_of, is_a)
+    at = place.select(F.col("node").alias("value"), F.struct("lies_in", "is_place", "is_continent").alias("value_place"))
+    pairs = rows.select("value", F.col("expected").alias("expected_id")).distinct().join(at, "value", "left")
+    flags = with_disjoint(pairs, part_of, place).select("value", F.col("expected_id").alias("expected"), "disjoint")
+    return rows.join(flags, ["value", "expected"], "left").select(*rows.columns, F.coalesce("disjoint", F.lit(False)).alias("disjoint"))
 
 
 def directions(distribution: Column) -> Column:
@@ -116,7 +121,10 @@ def directions(distribution: Column) -> Column:
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, properties: tuple[str, ...], incoming: int = 20) -> DataFrame:
-    """node, property, neighbour, way: all outgoing edges of nodes and their first incoming ones by source."""
+    """node, property, neighbour, way: all outgoing edges of nodes and their first incoming ones by source.
+
+    A task keeps the first ones of each node before they are dealt out, so a hub's edges don't meet in one task.
+    """
     from pyspark.sql import Window
 
     step = edges.where(F.col("property").isin(*properties))

@@ -35,14 +35,14 @@ def chosen(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.min("kb_id").alias("id"))
 
 
-def resolve(claims: DataFrame, labels: DataFrame) -> DataFrame:
-    """claims with subject_id and object_id, by label; identifiers stand for themselves."""
-    return resolve_by(claims, chosen(labels))
+def resolve(claims: DataFrame, labels: DataFrame, identifier: str | None = None) -> DataFrame:
+    """claims with subject_id and object_id, by label; texts of the shape of an identifier stand for themselves."""
+    return resolve_by(claims, chosen(labels), identifier)
 
 
-def resolve_by(claims: DataFrame, names: DataFrame) -> DataFrame:
+def resolve_by(claims: DataFrame, names: DataFrame, identifier: str | None = None) -> DataFrame:
     """resolve() with the choice made (label, id)."""
-    own = lambda c: F.when(C(c).rlike("^O[0-9]+$"), C(c))
+    own = lambda c: F.when(C(c).rlike(identifier), C(c)) if identifier else F.lit(None).cast("string")
     subject = names.select(C("label").alias("subject"), C("id").alias("_s"))
     object_ = names.select(C("label").alias("object"), C("id").alias("_o"))
     return claims.join(subject, "subject", "left").join(object_, "object", "left").select(*claims.columns, F.coalesce("_s", own("subject")).alias("subject_id"), F.coalesce("_o", own("object")).alias("object_id"))
@@ -81,20 +81,34 @@ def bind_with(resolved: DataFrame, bindings: DataFrame) -> DataFrame:
         either("object_id", "subject_id").alias("lookup"), either("subject_id", "object_id").alias("expected_id"), either("subject", "object").alias("expected"))
 
 
-def compare(asked: DataFrame, statements: DataFrame, part_of: DataFrame, place: DataFrame, labels: DataFrame, now: Column) -> DataFrame:
+def with_values(statements: DataFrame, place: DataFrame, labels: DataFrame) -> DataFrame:
+    """Usable statements as compare() looks them up, with what is worked out of them once: the names of a value's label (lower
+    case), its place, its date, and the days between which a statement holds. place: graph.place_table().
+    """
+    held = usable(statements).select("stmt_id", C("entity").alias("lookup"), "property", "value", "value_type", "start_q", "end_q")
+    names = labels.groupBy(C("kb_id").alias("value")).agg(F.collect_set(F.lower(F.trim("label"))).alias("names"))
+    at = place.select(C("node").alias("value"), F.struct("lies_in", "is_place", "is_continent").alias("value_place"))
+    rows = held.withColumns({"known": dates.parts(C("value")), "_start": dates.parts(C("start_q")), "_end": dates.parts(C("end_q"))})
+    rows = rows.withColumns({"begins": dates.first_day(C("_start")), "ends": dates.last_day(C("_end"))}).drop("_start", "_end")
+    return rows.join(names, "value", "left").join(at, "value", "left")
+
+
+def compare(asked: DataFrame, held: DataFrame, part_of: DataFrame, place: DataFrame, now: Column) -> DataFrame:
     """claim_id, place, verdict, reason, n_statements, and what the steps after the comparison need, for the rows of bind().
 
     The order of the tests: a compatible statement that matches; a compatible value inside the expected one; a compatible
     mismatch of a single-valued property, which contradicts unless something is unclear; surely different places; only
     ended matches of a claim on the present; else nothing. Values are compared without regard to case. The mismatch that is
-    judged is the first by stmt_id. place: graph.place_table().
+    judged is the first by stmt_id. held: with_values(); place: graph.place_table(). Values and expected ones are looked up in
+    the graph once for each pair of them.
     """
-    held = usable(statements).select("stmt_id", C("entity").alias("lookup"), "property", "value", "value_type", "start_q", "end_q")
-    names = labels.select(C("kb_id").alias("value"), F.lower(F.trim("label")).alias("name"))
-    rows = graph.with_disjoint(asked.join(held, ["lookup", "property"], "left"), "value", "expected_id", part_of, place).join(names, "value", "left")
     there, entity, time, no = C("stmt_id").isNotNull(), C("object_type") == "entity", C("object_type") == "time", F.lit(False)
+    joined = asked.join(held, ["lookup", "property"], "left")
+    pairs = joined.where("value IS NOT NULL AND expected_id IS NOT NULL").select("value", "expected_id", "value_place").dropDuplicates(["value", "expected_id"])
+    pairs = graph.with_disjoint(pairs, part_of, place)
+    rows = joined.join(pairs, ["value", "expected_id"], "left").withColumns({"inside": F.coalesce("inside", no), "disjoint": F.coalesce("disjoint", no)})
     about = F.when(time, F.coalesce(dates.approximate_year(C("expected")), C("expected")))
-    rows = rows.withColumns({"_claimed": dates.parts(about), "_known": dates.parts(F.when(time, C("value"))), "_past": dates.provably_past(C("end_q"), now), "_ahead": dates.provably_future(C("start_q"), now)})
+    rows = rows.withColumns({"_claimed": dates.parts(about), "_known": F.when(time, C("known")), "_past": F.coalesce(C("ends") < now, no), "_ahead": F.coalesce(C("begins") > now, no)})
     rows = rows.withColumn("_relation", dates.relation_of(C("_claimed"), C("_known")))
     told = F.lower(F.trim("value")) == F.lower(F.trim(F.when(entity, F.coalesce("expected_id", "expected")).otherwise(C("expected"))))
     match = there & (F.coalesce(told, no) | (time & F.coalesce(C("_relation") == "match", no)))
@@ -102,7 +116,7 @@ def compare(asked: DataFrame, statements: DataFrame, part_of: DataFrame, place:
     early = entity & C("valid_until").isNull() & (C("valid_from") < C("start_q")) & ~F.startswith(C("start_q"), C("valid_from")) & C("end_q").isNull()
     marked = rows.select(*asked.columns, "stmt_id", "value", "value_type", "start_q", there.alias("there"), match.alias("match"), fits.alias("fits"), "inside", (C("disjoint") & C("is_location")).alias("disjoint"),
         F.when(time, F.coalesce(C("_known.y").cast("string"), C("value"))).otherwise(C("value")).alias("key"), F.coalesce(C("_relation") == "mismatch", no).alias("clean"),
-        C("_past").alias("past"), F.coalesce(match & early, no).alias("early"), F.coalesce(C("name") == F.lower(F.trim("expected")), no).alias("named"))
+        C("_past").alias("past"), F.coalesce(match & early, no).alias("early"), F.coalesce(F.array_contains("names", F.lower(F.trim("expected"))), no).alias("named"))
     any_of = lambda c: F.coalesce(F.bool_or(c), no)
     wrong = C("there") & C("fits") & ~C("match")
     first_wrong = F.min_by(F.struct("value", "value_type"), F.when(wrong, C("stmt_id"))).alias("wrong_one")
@@ -180,14 +194,18 @@ def arbitrate(rows: DataFrame, order: str = "place") -> DataFrame:
     return best.select("claim_id", "best.verdict", "best.place")
 
 
-def quantity(claims: DataFrame, statements: DataFrame) -> DataFrame:
-    """claim_id, verdict, known: thresholds against the preferred value, else the largest; null verdict where one is missing."""
+def known_amounts(statements: DataFrame, properties: DataFrame) -> DataFrame:
+    """subject_id, property, known: of the usable statements of some properties the preferred amount, else the largest."""
     value = text.parse_quantity(C("value"))
-    wanted = claims.select("subject_id", "property").distinct()
-    held = usable(statements).withColumnRenamed("entity", "subject_id").join(wanted, ["subject_id", "property"], "left_semi")
+    held = usable(statements).withColumnRenamed("entity", "subject_id").join(properties.select("property").distinct(), "property", "left_semi")
     known = held.groupBy("subject_id", "property").agg(
         F.min_by(F.when(C("rank") == "preferred", value), F.when((C("rank") == "preferred") & value.isNotNull(), C("stmt_id"))).alias("preferred"), F.max(value).alias("largest"))
-    rows = claims.join(known.select("subject_id", "property", F.coalesce("preferred", "largest").alias("known")), ["subject_id", "property"], "left")
+    return known.select("subject_id", "property", F.coalesce("preferred", "largest").alias("known"))
+
+
+def quantity(claims: DataFrame, amounts: DataFrame) -> DataFrame:
+    """claim_id, verdict, known: thresholds against known_amounts(); null verdict where one is missing."""
+    rows = claims.join(amounts, ["subject_id", "property"], "left")
     threshold = text.parse_quantity(C("object"))
     above, below = C("predicate").rlike("greater|more|above"), C("predicate").rlike("less|below|fewer")
     holds = F.when(above, C("known") > threshold).when(below, C("known") < threshold)

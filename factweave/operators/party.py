@@ -128,6 +128,7 @@ class Belief:
 
 
 COLUMNS = ["id", *KEY, "object", "polarity", "valid_from", "valid_until", "status", "asserted_at"]
+WRITE = "id long, party string, subject string, predicate string, object string, polarity int, valid_from string, valid_until string, status string, asserted_at string"
 
 
 def write_assertions(writes: DataFrame, functional: list[str]) -> DataFrame:
@@ -154,9 +155,12 @@ def write_assertions(writes: DataFrame, functional: list[str]) -> DataFrame:
                 status.append(belief.take(row))
             yield frame.assign(status=status)[[s is not None for s in status]]
 
-    schema = "id long, party string, subject string, predicate string, object string, polarity int, valid_from string, valid_until string, status string, asserted_at string"
-    taken = writes.select(*COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "id").mapInPandas(run, schema)
-    taken = settle(taken, "taken")
+    taken = writes.select(*COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "id").mapInPandas(run, WRITE)
+    return closed(settle(taken, "taken"), functional)
+
+
+def closed(taken: DataFrame, functional: list[str]) -> DataFrame:
+    """Taken writes with the end that the last write which closes them gives them, and closed_by, its id."""
     last = taken.groupBy(*KEY, "object").agg(F.max(F.struct("id", "asserted_at")).alias("own"))
     positive = taken.where(C("polarity") == 1).groupBy(*KEY, "object").agg(F.max(F.struct("id", "object", "asserted_at")).alias("it"))
     top = positive.groupBy(*KEY).agg(F.max("it").alias("one"))

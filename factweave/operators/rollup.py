@@ -16,6 +16,11 @@ def base_verdict(verdict: Column) -> Column:
     return F.regexp_replace(verdict, "_given_assertion$", "")
 
 
+def level_verdict(verified: Column, contradicted: Column) -> Column:
+    """struct(verdict, conflict): what the nodes of one level say together. A contradiction wins, and both together are a conflict."""
+    return F.struct(F.when(contradicted, "contradicted").when(verified, "verified").alias("verdict"), F.coalesce(contradicted & verified, F.lit(False)).alias("conflict"))
+
+
 def summarise(verdicts: DataFrame) -> DataFrame:
     """Per verification: counts by base verdict, given assertions, calls, depth, exceeded budgets and the number of sources."""
     base = base_verdict(C("verdict"))

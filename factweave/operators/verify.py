@@ -2,22 +2,29 @@
 
 A node is a claim or a claim with slots replaced along the hierarchy. Each level looks up all open nodes in all sources, and
 claims that a level decides aren't carried on. The claims that nothing decides are extended by neighbours whose edge is
-confirmed, and only in the directions in which the predicate's distribution carries a verdict. A verified stand-in verifies the
-claim; a contradicted one says nothing about it (the firm isn't in this nation, but may be elsewhere in the continent), so
-contradictions come from the claim's own level only, and a stand-in that is contradicted isn't carried on.
+confirmed, and only in the directions in which the predicate's distribution carries a verdict.
+
+What the nodes of a level say together follows rollup.level_verdict(): a contradiction wins. But a stand-in that is
+contradicted says nothing about the claim itself (the firm isn't in this nation, but may be elsewhere in the continent). So
+stand-ins never contradict a claim: one that some verify and others contradict abstains for that conflict, and those that
+are only contradicted aren't carried on.
+
+The walk writes three tables a level: the nodes' lookups keyed for the sources, what the sources say, and the steps to the next
+nodes. A step points from the new node back to the one it was made of, so the premises of a verdict are read off by joining
+backwards from the deciding nodes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import dates, text
-from factweave.operators import graph, kb, party
-from factweave.sources.scratch import settle
+from factweave.operators import graph, kb, party, rollup
+from factweave.sources.scratch import settle, settle_all
 
 C = F.col
 NODE = ["node_id", "claim_id", "party", "subject", "predicate", "object", "polarity", "valid_from", "valid_until", "external", "given"]
@@ -39,14 +46,32 @@ class Sources:
     distributions: DataFrame
     nogoods: DataFrame
     now: str
+    identifier: str | None = None  # the shape of texts that are entities of their own
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Levels (the claim's own among them), and incoming neighbours of a node that the graph may offer."""
+    """Levels (the claim's own among them), incoming neighbours of a node that the graph may offer, and limits for each claim.
+
+    work counts what sources are asked: LOOKUP for each node that external sources are asked about, ENUMERATION for each node
+    whose neighbours are listed, PROBE for each new neighbour. probes are the new neighbours alone, frontier the nodes that
+    come of them. None is no limit. A claim that runs out abstains with the limit as its reason, whatever is left to look at.
+    """
 
     depth: int = 4
     incoming: int = 20
+    work: int | None = None
+    probes: int | None = None
+    frontier: int | None = None
+
+    @property
+    def most(self) -> int | None:
+        """So many new nodes of a claim use up some limit at the latest."""
+        limits = [x for x in (self.work, self.probes, self.frontier) if x is not None]
+        return min(limits) + 1 if limits else None
+
+
+LOOKUP, ENUMERATION, PROBE = 4, 1, 1
 
 
 def metadata(predicates: DataFrame) -> DataFrame:
@@ -79,36 +104,60 @@ def guards(claims: DataFrame, s: Sources) -> DataFrame:
 
 @dataclass(frozen=True)
 class Prepared:
-    """What all levels look up, worked out and written once."""
+    """What all levels look up, worked out and written once, so that a level's plan scans tables and joins them."""
 
     sources: Sources
-    meta: DataFrame
-    siblings: DataFrame
-    told: DataFrame  # by KEY, object and polarity: the first current row, its status
+    meta: DataFrame  # by predicate: property, object_type, routing_hint, functional, is_location, sibling
+    told: DataFrame  # by KEY and object: the first current row of each polarity, asserted and denied (struct of id, status)
     others: DataFrame  # by KEY: the first two current positive rows with different objects
     names: DataFrame  # label, id
     place: DataFrame
     classes: DataFrame  # node, lower-cased class
     ends: DataFrame  # by KEY: the one asserted start or end
     intervals: DataFrame
-    near: DataFrame  # held, relation, way, neighbour of the taxonomy, without vetoed ones
-
-
-def prepare(s: Sources) -> Prepared:
-    current = s.assertions.where(party.is_current(s.now))
-    told = current.groupBy(*party.KEY, "object", "polarity").agg(F.min(F.struct("id", "status")).alias("it")).select(*party.KEY, "object", "polarity", "it.*")
-    others = party.first_two(current.where("polarity = 1"))
+    amounts: DataFrame
+    held: DataFrame  # statements as compare() looks them up
+    near: DataFrame  # held, relation, way, neighbour, source_row of the taxonomy, without vetoed ones
+    far: DataFrame  # held, relation, way, neighbour of the graph, admitted ones
+    forward: DataFrame  # KEY, neighbour, source_row, dst: asserted objects and what they lie inside
+    ways: DataFrame  # predicate, polarity, relation, way: where neighbours may stand in
+    routes: tuple[str, ...]  # of the predicates that the walk can carry on
+
+
+def prepare(s: Sources, budget: Budget | None = None) -> Prepared:
+    """budget: for the walk, else None where only claims themselves are looked up."""
+    first = {"assertions": s.assertions.where(party.is_current(s.now)), "labels": s.labels, "statements": s.statements, "predicates": s.predicates, "ways": ways_of(s.distributions)}
+    if budget is not None:
+        first |= {"taxonomy": s.taxonomy, "nogoods": s.nogoods}
+    made = settle_all(**first, names=kb.chosen(s.labels))
+    ways, names, place = made.pop("ways"), made.pop("names"), graph.place_table(s.part_of, s.is_a)
+    s = replace(s, **made)
+    current = s.assertions
+    row = F.struct("id", "status")
+    of = lambda polarity: F.min(F.when(C("polarity") == polarity, row))
     said = current.where((C("polarity") == 1) & C("predicate").rlike("_(started|ended)$")).groupBy(*party.KEY).agg(F.count_distinct("object").alias("n"), F.min("object").alias("asserted"))
-    names = settle(kb.chosen(s.labels), "names")
-    meta = settle(metadata(s.predicates), "meta")
-    return Prepared(s, meta, settle(siblings(s.predicates), "siblings"), settle(told, "told"), settle(others, "others"), names, graph.place_table(s.part_of, s.is_a), s.is_a.select("src", F.lower("dst").alias("class")).distinct(),
-        settle(said.where("n = 1").drop("n"), "ends"), kb.intervals(s.statements), settle(vetoed(taxonomy_ways(s.taxonomy).drop("source_row"), s, names), "near"))
+    meta = metadata(s.predicates).join(siblings(s.predicates), "predicate", "left")
+    meta = settle(meta.select("predicate", "property", "object_type", "routing_hint", C("single_valued").alias("functional"), "is_location", "user_subject", "sibling"), "meta")
+    rest = {
+        "told": current.groupBy(*party.KEY, "object").agg(of(1).alias("asserted"), of(0).alias("denied")), "others": party.first_two(current.where("polarity = 1")), "ends": said.where("n = 1").drop("n"),
+        "classes": s.is_a.select("src", F.lower("dst").alias("class")).distinct(), "intervals": kb.intervals(s.statements), "amounts": kb.known_amounts(s.statements, meta.where("routing_hint = 'kb_quantitative'")),
+        "held": kb.with_values(s.statements, place, s.labels),
+    }
+    nothing, routes = s.labels.limit(0), ()
+    if budget is not None:
+        far = admitted(edge_ways(names.select(C("label").alias("held")), s, names, budget.incoming), s, names).drop("confirmed_by")
+        objects = current.where("polarity = 1").groupBy(*party.KEY, C("object").alias("neighbour")).agg(F.min("id").alias("source_row"))
+        upward = ways.where("relation = 'part_of' AND way = 'child' AND polarity = 1").select("predicate").distinct()
+        ids = names.select(C("label").alias("neighbour"), C("id").alias("src"))
+        forward = objects.join(upward, "predicate", "left_semi").join(ids, "neighbour").join(s.part_of.select("src", "dst"), "src").drop("src")
+        rest |= {"near": vetoed(taxonomy_ways(s.taxonomy), s, names), "far": far, "forward": forward}
+        routes = tuple(r["routing_hint"] for r in meta.join(ways, "predicate", "left_semi").select("routing_hint").distinct().collect())
+    return Prepared(sources=s, meta=meta, names=names, place=place, ways=ways, routes=routes, **({"near": nothing, "far": nothing, "forward": nothing} | settle_all(**rest)))
 
 
 def resolved(nodes: DataFrame, p: Prepared) -> DataFrame:
     """nodes with the ids of their slots and their predicate's metadata."""
-    meta = p.meta.select("predicate", "property", "object_type", "routing_hint", C("single_valued").alias("functional"), "is_location")
-    return kb.resolve_by(nodes, p.names).join(meta, "predicate", "left")
+    return kb.resolve_by(nodes, p.names, p.sources.identifier).join(p.meta.drop("user_subject"), "predicate", "left")
 
 
 def vague_instances(rows: DataFrame, p: Prepared) -> DataFrame:
@@ -136,28 +185,35 @@ def by_interval(rows: DataFrame, p: Prepared) -> DataFrame:
 SIGNALS = ("value_known", "functional_value_known", "functional_entity")
 
 
-def external(rows: DataFrame, p: Prepared) -> DataFrame:
+ROUTES = ("kb_quantitative", "kb_interval", "kb_resolvable", "python")
+
+
+def external(rows: DataFrame, p: Prepared, routes: tuple[str, ...] = ROUTES) -> DataFrame:
     """node_id, verdict, source, reason, value, unconfirmed, said and the signals of statements, for resolved() rows.
 
-    A predicate's route names the one source that may decide: quantities, intervals, statements or computation.
+    A predicate's route names the one source that may decide: quantities, intervals, statements or computation. routes: those
+    that the rows may have; sources of others aren't asked.
     """
     s, asked = p.sources, rows.where("external")
     no, none = F.lit(False), F.lit(None).cast("string")
     columns = lambda verdict, source, **more: [C("node_id"), verdict.alias("verdict"), F.lit(source).alias("source"), *[more.get(c, none).alias(c) for c in ("reason", "value")], *[F.coalesce(more.get(c, no), no).alias(c) for c in ("unconfirmed", "said", *SIGNALS)]]
-    keyed = asked.withColumn("claim_id", C("node_id"))
-    amounts = kb.quantity(keyed.where("routing_hint = 'kb_quantitative'"), s.statements).withColumnRenamed("claim_id", "node_id")
-    amounts = amounts.select(*columns(C("verdict"), "kb_quantitative", value=F.when(C("verdict") == "contradicted", C("known").cast("string"))))
-    spans = by_interval(asked, p)
-    spans = spans.select(*columns(C("verdict"), "kb_interval", said=C("said")))
-    bound = kb.bind_with(keyed.where("routing_hint = 'kb_resolvable'"), s.bindings)
-    found = kb.ground(kb.gate(kb.compare(bound, s.statements, s.part_of, p.place, s.labels, F.to_date(F.lit(s.now[:10]))), s.is_a)).withColumnRenamed("claim_id", "node_id")
-    found = found.select(*columns(F.when(C("verdict") != "no_match", C("verdict")), "kb", reason=C("reason"), value=C("contradicting_value"), unconfirmed=C("unconfirmed"), **{c: C(c) for c in SIGNALS}))
-    computed = text.with_computed_verdict(asked.where("routing_hint = 'python'"), "_verdict")
-    computed = computed.select(*columns(C("_verdict"), "python"))
-    return reduce(DataFrame.unionByName, (amounts, spans, found, computed))
-
-
-def direct(rows: DataFrame, p: Prepared) -> DataFrame:
+    keyed = lambda route: asked.where(C("routing_hint") == route).withColumn("claim_id", C("node_id"))
+    found = [asked.limit(0).select(*columns(none, ""))]
+    if "kb_quantitative" in routes:
+        amounts = kb.quantity(keyed("kb_quantitative"), p.amounts).withColumnRenamed("claim_id", "node_id")
+        found.append(amounts.select(*columns(C("verdict"), "kb_quantitative", value=F.when(C("verdict") == "contradicted", C("known").cast("string")))))
+    if "kb_interval" in routes:
+        found.append(by_interval(asked, p).select(*columns(C("verdict"), "kb_interval", said=C("said"))))
+    if "kb_resolvable" in routes:
+        bound = kb.bind_with(keyed("kb_resolvable"), s.bindings)
+        told = kb.ground(kb.gate(kb.compare(bound, p.held, s.part_of, p.place, F.to_date(F.lit(s.now[:10]))), s.is_a)).withColumnRenamed("claim_id", "node_id")
+        found.append(told.select(*columns(F.when(C("verdict") != "no_match", C("verdict")), "kb", reason=C("reason"), value=C("contradicting_value"), unconfirmed=C("unconfirmed"), **{c: C(c) for c in SIGNALS})))
+    if "python" in routes:
+        found.append(text.with_computed_verdict(asked.where("routing_hint = 'python'"), "_verdict").select(*columns(C("_verdict"), "python")))
+    return reduce(DataFrame.unionByName, found[1:] or found)
+
+
+def direct(rows: DataFrame, p: Prepared, routes: tuple[str, ...] = ROUTES) -> DataFrame:
     """node_id, claim_id, verdict (null if nothing speaks to the node), source, given, premise, reason, value, unconfirmed, signals.
 
     The order: a current assertion of the negation contradicts; an instance of a vague class verifies; another asserted object
@@ -165,19 +221,17 @@ def direct(rows: DataFrame, p: Prepared) -> DataFrame:
     externally verified, as given if it is the party's own affair, upgraded if an external source verifies too, else as
     given; then the external sources. rows: resolved().
     """
-    outer = settle(external(rows, p), "outer").withColumnsRenamed({"verdict": "outer", "source": "outer_source"})
-    row = F.struct("id", "status")
-    key = [*party.KEY, "object", "polarity"]
-    same = p.told.select(*key, row.alias("_same"))
-    against = p.told.select(*party.KEY, "object", (1 - C("polarity")).alias("polarity"), row.alias("_against"))
-    broad = p.told.select("party", "subject", C("predicate").alias("sibling"), "object", "polarity", row.alias("_broad"))
+    outer = external(rows, p, routes).withColumnsRenamed({"verdict": "outer", "source": "outer_source"})
+    key = [*party.KEY, "object"]
+    broad = p.told.select("party", "subject", C("predicate").alias("sibling"), "object", C("asserted").alias("_yes"), C("denied").alias("_no"))
     vague = vague_instances(rows, p).withColumn("_vague", F.lit(True))
-    other = p.others.withColumn("polarity", F.lit(1)).withColumnsRenamed({"first": "_first", "second": "_second"})
-    lean = rows.select("node_id", "claim_id", *key, "given", "functional")
-    found = lean.join(same, key, "left").join(against, key, "left").join(p.siblings, "predicate", "left").join(broad, ["party", "subject", "sibling", "object", "polarity"], "left")
-    found = found.join(other, [*party.KEY, "polarity"], "left").join(vague, "node_id", "left").join(outer, "node_id", "left")
-    no = F.lit(False)
-    found = found.withColumns({"_match": F.coalesce("_same", "_broad"), "_other": F.when(C("_first.object") != C("object"), C("_first")).otherwise(C("_second"))})
+    other = p.others.withColumnsRenamed({"first": "_first", "second": "_second"})
+    lean = rows.select("node_id", "claim_id", *key, "polarity", "sibling", "given", "functional")
+    found = lean.join(p.told, key, "left").join(broad, ["party", "subject", "sibling", "object"], "left").join(other, party.KEY, "left").join(vague, "node_id", "left").join(outer, "node_id", "left")
+    no, positive = F.lit(False), C("polarity") == 1
+    found = found.withColumns({
+        "_match": F.coalesce(F.when(positive, C("asserted")).otherwise(C("denied")), F.when(positive, C("_yes")).otherwise(C("_no"))), "_against": F.when(positive, C("denied")).otherwise(C("asserted")),
+        "_other": F.when(positive, F.when(C("_first.object") != C("object"), C("_first")).otherwise(C("_second")))})
     conflict = C("_other").isNotNull() & F.coalesce("functional", no) & ~text.is_vague(C("object"))
     case = F.when(C("_against").isNotNull(), "negated").when(C("_vague"), "instance").when(conflict, "conflict").when(C("_match").isNotNull(), "match").when(C("outer").isNotNull(), "outer")
     found = found.withColumn("_case", case)
@@ -192,11 +246,16 @@ def direct(rows: DataFrame, p: Prepared) -> DataFrame:
         F.coalesce((C("_case") == "outer") & C("unconfirmed"), no).alias("unconfirmed"), *[F.coalesce(c, no).alias(c) for c in SIGNALS])
 
 
-def carried(nodes: DataFrame, s: Sources) -> DataFrame:
-    """node_id, relation, way (child or parent): where the predicate's first live distribution row lets a neighbour stand in."""
-    first = s.distributions.where("NOT retracted").groupBy("predicate", "polarity", "relation").agg(F.min_by("verdict", "id").alias("verdict"))
+def ways_of(distributions: DataFrame) -> DataFrame:
+    """predicate, polarity, relation, way (child or parent): where the first live distribution row lets a neighbour stand in."""
+    first = distributions.where("NOT retracted").groupBy("predicate", "polarity", "relation").agg(F.min_by("verdict", "id").alias("verdict"))
     way = F.when(C("verdict") == "up", F.array(F.lit("child"))).when(C("verdict") == "down", F.array(F.lit("parent"))).when(C("verdict") == "both", F.array(F.lit("child"), F.lit("parent")))
-    return nodes.select("node_id", "predicate", "polarity").join(first, ["predicate", "polarity"]).select("node_id", "relation", F.explode(way).alias("way"))
+    return first.select("predicate", "polarity", "relation", F.explode(way).alias("way"))
+
+
+def carried(nodes: DataFrame, p: Prepared) -> DataFrame:
+    """node_id, relation, way: how neighbours may stand in for a node's slots."""
+    return nodes.select("node_id", "predicate", "polarity").join(p.ways, ["predicate", "polarity"]).select("node_id", "relation", "way")
 
 
 def slots(nodes: DataFrame) -> DataFrame:
@@ -214,13 +273,33 @@ def taxonomy_ways(taxonomy: DataFrame) -> DataFrame:
     return both.where("way IS NOT NULL").groupBy("held", "relation", "way", "neighbour").agg(F.min("id").alias("source_row"))
 
 
-def vetoed(candidates: DataFrame, s: Sources, names: DataFrame) -> DataFrame:
-    """candidates (held, relation, way, neighbour, ...) without those whose edge a live nogood forbids."""
+def _ends(candidates: DataFrame, names: DataFrame) -> DataFrame:
+    """candidates with source and target: the ids of the lower and the upper end of their edge, null where a name has none."""
     ids = lambda c: names.select(C("label").alias(c), C("id").alias(f"{c}_id"))
     rows = candidates.join(ids("held"), "held", "left").join(ids("neighbour"), "neighbour", "left")
     down = C("way") == "child"
-    rows = rows.withColumns({"source": F.when(down, C("neighbour_id")).otherwise(C("held_id")), "target": F.when(down, C("held_id")).otherwise(C("neighbour_id"))})
-    return rows.join(s.nogoods.where("NOT retracted").select("relation", "source", "target").distinct(), ["relation", "source", "target"], "left_anti").select(*candidates.columns)
+    return rows.withColumns({"source": F.when(down, C("neighbour_id")).otherwise(C("held_id")), "target": F.when(down, C("held_id")).otherwise(C("neighbour_id"))})
+
+
+def vetoed(candidates: DataFrame, s: Sources, names: DataFrame) -> DataFrame:
+    """candidates (held, relation, way, neighbour, ...) without those whose edge a live nogood forbids."""
+    barred = s.nogoods.where("NOT retracted").select("relation", "source", "target").distinct()
+    return _ends(candidates, names).join(barred, ["relation", "source", "target"], "left_anti").select(*candidates.columns)
+
+
+def admitted(candidates: DataFrame, s: Sources, names: DataFrame) -> DataFrame:
+    """candidates (held, relation, way, neighbour, ...) whose edge is confirmed, with confirmed_by.
+
+    A live nogood vetoes an edge. Then a path of the graph from the lower to the upper end confirms it, or a row of the
+    taxonomy that says so. An edge that neither confirms, such as a bridge between what aren't both regions, isn't admitted.
+    Whether the predicate carries along the relation is for ways_of() to say: no neighbour of a relation that it doesn't
+    carry along is listed at all.
+    """
+    paths = s.is_a.select(F.lit("is_a").alias("relation"), C("src").alias("source"), C("dst").alias("target")).union(s.part_of.select(F.lit("part_of"), "src", "dst")).withColumn("_path", F.lit(True))
+    rows = taxonomy_ways(s.taxonomy).select("held", "relation", "way", "neighbour", F.lit(True).alias("_row"))
+    told = _ends(vetoed(candidates, s, names), names).join(paths, ["relation", "source", "target"], "left").join(rows, ["held", "relation", "way", "neighbour"], "left")
+    by = F.when(C("_path"), "path").when(C("_row"), "row")
+    return told.where("_path OR _row").select(*candidates.columns, by.alias("confirmed_by"))
 
 
 def futile() -> Column:
@@ -229,88 +308,235 @@ def futile() -> Column:
 
 
 def discover(nodes: DataFrame, found: DataFrame, p: Prepared, budget: Budget) -> DataFrame:
-    """NODE rows that may stand in for the nodes: node_id is that of the new node, and found_by says how it was found.
+    """STEP rows: the nodes that may stand in for nodes, how each was made, and of which.
 
     Neighbours come from the taxonomy, where a row itself confirms the edge; where a node has none for a relation, from the
     graph, unless that is futile (the predicate is functional, or the values are known already); and forward from what the
-    party asserted of the subject, where that lies inside the object. A live nogood vetoes any edge.
+    party asserted of the subject, where that lies inside the object. With a limit, no more neighbours of a slot are listed
+    than use it up, the first by name.
     """
-    s = p.sources
-    ways = settle(carried(nodes, s), "ways")
-    places = slots(nodes).join(ways, "node_id")
-    near = settle(places.join(p.near, ["held", "relation", "way"]).select("node_id", "slot", "relation", "neighbour"), "near")
+    places = slots(nodes).join(carried(nodes, p), "node_id")
+    first = Window.partitionBy("held", "relation", "way").orderBy("neighbour")
+    few = lambda rows: rows if budget.most is None else rows.withColumn("_n", F.row_number().over(first)).where(C("_n") <= budget.most).drop("_n")
+    near = places.join(few(p.near), ["held", "relation", "way"]).select("node_id", "slot", "relation", "held", "neighbour", "source_row")
     without = places.join(near.select("node_id", "relation").distinct(), ["node_id", "relation"], "left_anti").join(found.select("node_id", *SIGNALS), "node_id").where(~futile())
-    without = settle(without.select("node_id", "slot", "held", "relation", "way"), "without")
-    far = vetoed(edge_ways(without.select("held", "relation", "way").distinct(), s, p.names, budget.incoming), s, p.names).join(without, ["held", "relation", "way"])
-    every = near.select("node_id", "slot", "neighbour", F.lit("taxonomy").alias("found_by")).unionByName(far.select("node_id", "slot", "neighbour", F.lit("graph").alias("found_by"))).unionByName(premise_forward(nodes, ways, s, p.names))
-    rows = nodes.join(every, "node_id")
+    far = without.select("node_id", "slot", "held", "relation", "way").join(few(p.far), ["held", "relation", "way"])
+    columns = ("node_id", "slot", "held", "neighbour", "found_by", "source_row")
+    none = F.lit(None).cast("long").alias("source_row")
+    every = near.withColumn("found_by", F.lit("taxonomy")).select(*columns).union(far.withColumn("found_by", F.lit("graph")).select(*columns[:-1], none)).union(premise_forward(nodes, p).select(*columns))
+    rows = nodes.join(every, "node_id").withColumnRenamed("node_id", "parent")
     put = lambda slot: F.when(C("slot") == slot, C("neighbour")).otherwise(C(slot))
     rows = rows.withColumns({"_s": put("subject"), "_o": put("object")}).withColumns({"subject": C("_s"), "object": C("_o")})
-    return rows.withColumn("node_id", node_key(C("claim_id"), C("subject"), C("object"))).groupBy(*NODE).agg(F.min("found_by").alias("found_by"))
+    return rows.withColumn("node_id", node_key(C("claim_id"), C("subject"), C("object"))).select(*STEP)
+
+
+STEP = [*NODE, "parent", "slot", "held", "neighbour", "found_by", "source_row"]
 
 
 def node_key(claim: Column, subject: Column, object_: Column) -> Column:
-    return F.concat_ws("|", claim.cast("string"), subject, object_)
+    """A text of its own for each claim and slots; the subject's length tells where it ends."""
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat_ws("|", claim.cast("string"), F.length(text_of(subject)).cast("string"), text_of(subject), text_of(object_))
 
 
 def edge_ways(asked: DataFrame, s: Sources, names: DataFrame, incoming: int) -> DataFrame:
-    """held, relation, way, neighbour: labels along the graph's own edges, all outgoing ones and the first incoming ones by source."""
+    """held, relation, way, neighbour: labels along the graph's own edges of the names in asked (held), all outgoing ones and the first incoming ones by source.
+
+    A task keeps the first ones of each node before they are dealt out, so a hub's edges don't meet in one task.
+    """
     kinds = [s.edges.where(C("property").isin(*graph.NEIGHBOURS[r])).select("src", "dst", F.lit(r).alias("relation")) for r in ("is_a", "part_of")]
-    edges = kinds[0].union(kinds[1]).distinct()
-    rows = asked.join(names.select(C("label").alias("held"), "id"), "held")
-    out = rows.where("way = 'parent'").join(edges, (C("src") == C("id")) & (rows["relation"] == edges["relation"])).select("held", rows["relation"], "way", C("dst").alias("other"))
+    edges = settle(kinds[0].union(kinds[1]).distinct(), "edges")
+    rows = asked.distinct().join(names.select(C("label").alias("held"), "id"), "held")
+    out = rows.join(edges, C("src") == C("id")).select("held", "relation", F.lit("parent").alias("way"), C("dst").alias("other"))
     order = Window.partitionBy("held", "relation").orderBy("src")
-    back = rows.where("way = 'child'").join(edges.withColumnRenamed("relation", "_r"), (C("dst") == C("id")) & (C("relation") == C("_r"))).withColumn("_n", F.row_number().over(order)).where(C("_n") <= incoming)
-    every = out.union(back.select("held", "relation", "way", C("src").alias("other")))
+    back = rows.join(edges, C("dst") == C("id")).withColumn("_n", F.row_number().over(order)).where(C("_n") <= incoming)
+    every = out.union(back.select("held", "relation", F.lit("child").alias("way"), C("src").alias("other")))
     label = s.labels.groupBy(C("kb_id").alias("other")).agg(F.min("label").alias("neighbour"))
     return every.join(label, "other").select("held", "relation", "way", "neighbour").distinct()
 
 
-def premise_forward(nodes: DataFrame, ways: DataFrame, s: Sources, names: DataFrame) -> DataFrame:
-    """node_id, slot, neighbour, found_by: objects that the party asserts of the subject and that lie inside the claimed one."""
-    open_nodes = nodes.where("polarity = 1").join(ways.where("relation = 'part_of' AND way = 'child'").select("node_id"), "node_id", "left_semi")
-    held = s.assertions.where(party.is_current(s.now) & (C("polarity") == 1)).select(*party.KEY, C("object").alias("neighbour")).distinct()
-    rows = open_nodes.join(names.select(C("label").alias("object"), C("id").alias("dst")), "object").select("node_id", *party.KEY, "dst").join(held, party.KEY)
-    rows = rows.join(names.select(C("label").alias("neighbour"), C("id").alias("src")), "neighbour").join(s.part_of.select("src", "dst"), ["src", "dst"], "left_semi")
-    return rows.select("node_id", F.lit("object").alias("slot"), "neighbour", F.lit("premise").alias("found_by"))
+def premise_forward(nodes: DataFrame, p: Prepared) -> DataFrame:
+    """node_id, slot, held, neighbour, found_by, source_row: objects that the party asserts of the subject and that lie inside the claimed one."""
+    open_nodes = nodes.where("polarity = 1").join(p.names.select(C("label").alias("object"), C("id").alias("dst")), "object")
+    rows = open_nodes.select("node_id", *party.KEY, C("object").alias("held"), "dst").join(p.forward, [*party.KEY, "dst"])
+    return rows.select("node_id", F.lit("object").alias("slot"), "held", "neighbour", F.lit("premise").alias("found_by"), "source_row")
 
 
-def verify(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> DataFrame:
-    """claim_id, verdict, base_verdict, source, reason, depth, given, premise, value, unconfirmed, conflict for each claim.
+REASONS = {"work": "budget_kb_work", "probes": "budget_kb_neighbor_probes", "frontier": "budget_fanout"}
 
-    claims: claim_id, subject, predicate, object, polarity, party, valid_from, valid_until, abstention_reason; claim_id is
-    unique. conflict tells that one stand-in of the deciding level was verified and another contradicted. Contradictions
-    of claims with a vague subject abstain. Verdicts that rest on an unverified assertion, or on the party's own word, are
-    marked as given. A claim that nothing decides within the budget's levels abstains as depth_exhausted.
+
+def charge_lookups(nodes: DataFrame, ledger: DataFrame, budget: Budget) -> tuple[DataFrame, DataFrame]:
+    """The nodes that a claim's work still allows to be looked up, in order of node_id, and the ledger after it.
+
+    ledger: claim_id, work, probes, frontier, reason (null while the claim has some left).
     """
-    p = prepare(s)
-    guarded = settle(guards(claims, s), "guarded")
+    cost = F.when(C("external"), LOOKUP).otherwise(0)
+    order = Window.partitionBy("claim_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = nodes.join(ledger.select("claim_id", C("work").alias("_spent")), "claim_id").withColumn("_spent", C("_spent") + F.coalesce(F.sum(cost).over(order), F.lit(0)))
+    rows = settle(rows.withColumn("_in", F.lit(True) if budget.work is None else C("_spent") < budget.work), "charged")
+    sums = rows.groupBy("claim_id").agg(F.coalesce(F.sum(F.when(C("_in"), cost)), F.lit(0)).alias("_cost"), F.bool_and("_in").alias("_all"))
+    after = ledger.join(sums, "claim_id", "left").withColumns({"work": C("work") + F.coalesce("_cost", F.lit(0)), "reason": F.when(~C("_all"), REASONS["work"]).otherwise(C("reason"))})
+    return rows.where("_in").select(*nodes.columns), settle(after.select(*ledger.columns), "ledger")
+
+
+def charge_steps(steps: DataFrame, asking: DataFrame, ledger: DataFrame, budget: Budget) -> tuple[DataFrame, DataFrame]:
+    """The steps of the claims that can afford all of them, and the ledger after it. asking: claim_id of each node that lists neighbours."""
+    listed = asking.groupBy("claim_id").agg((F.count(F.lit(1)) * ENUMERATION).alias("_listed"))
+    order = Window.partitionBy("claim_id").orderBy("node_id")
+    new = steps.select("claim_id", "node_id").distinct().withColumn("_n", F.row_number().over(order)).where(C("_n") <= budget.most)
+    told = ledger.join(listed, "claim_id", "left").join(new.groupBy("claim_id").agg(F.max("_n").alias("_new")), "claim_id", "left")
+    told = told.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_listed", "_new")})
+    after = told.withColumns({"work": C("work") + C("_listed") + PROBE * C("_new"), "probes": C("probes") + C("_new"), "frontier": C("frontier") + C("_new")})
+    over = F.lit(None).cast("string")
+    for name in ("frontier", "probes", "work"):
+        if getattr(budget, name) is not None:
+            over = F.when(C(name) > getattr(budget, name), REASONS[name]).otherwise(over)
+    after = settle(after.withColumn("reason", F.coalesce("reason", F.when(C("_new") > 0, over))).select(*ledger.columns), "ledger")
+    return steps.join(after.where("reason IS NULL").select("claim_id"), "claim_id", "left_semi"), after
+
+
+@dataclass(frozen=True)
+class Walk:
+    """What a walk has written."""
+
+    guarded: DataFrame  # claims with short, external, given
+    decided: DataFrame  # claim_id, verdict, source, premise, value, unconfirmed, given, conflict, depth
+    found: list[DataFrame]  # for each level what direct() says of its nodes
+    steps: list[DataFrame]  # for each level but the first the STEP rows that lead to its nodes
+    ledger: DataFrame | None  # claim_id, work, probes, frontier, reason; none without limits
+
+
+def decide(found: DataFrame, depth: int) -> DataFrame:
+    """claim_id, verdict, source, premise, value, unconfirmed, given, conflict, depth: the claims that a level's nodes decide."""
+    right = C("verdict") == "verified"
+    order = F.struct((~right).alias("k"), "node_id")
+    told = found.where("verdict IS NOT NULL").groupBy("claim_id").agg(
+        rollup.level_verdict(F.bool_or(right), F.bool_or(~right)).alias("level"), F.min_by(F.struct("source", "premise", "value", "unconfirmed"), order).alias("it"),
+        F.bool_or(F.when(right | F.lit(depth == 0), C("given"))).alias("given"), F.bool_or(right).alias("_right"))
+    told = told.where(F.lit(depth == 0) | C("_right"))
+    return told.select("claim_id", "level.verdict", "it.*", "given", "level.conflict", F.lit(depth).alias("depth"))
+
+
+def walk(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> Walk:
+    p = prepare(s, budget)
+    guarded = settle(guards(claims, p.sources), "guarded")
     nodes = guarded.where("short IS NULL").withColumn("node_id", node_key(C("claim_id"), C("subject"), C("object"))).select(*NODE)
-    seen, decided = nodes.select("node_id"), []
+    ledger = None
+    if budget.most is not None:
+        zero = F.lit(0).cast("long")
+        ledger = settle(nodes.select("claim_id", zero.alias("work"), zero.alias("probes"), zero.alias("frontier"), F.lit(None).cast("string").alias("reason")), "ledger")
+    seen, decided, levels, steps = nodes.select("node_id"), [], [], []
     for depth in range(budget.depth):
-        found = settle(direct(settle(resolved(nodes, p), "resolved"), p), "direct")
-        hit = found.where("verdict IS NOT NULL")
-        right = C("verdict") == "verified"
-        order = F.struct((~right).alias("k"), "node_id")
-        counts = right | F.lit(depth == 0)
-        told = hit.groupBy("claim_id").agg(F.min_by(F.struct("verdict", "source", "premise", "value", "unconfirmed"), order).alias("it"), F.bool_or(F.when(counts, C("given"))).alias("given"),
-            (F.bool_or(right) & F.bool_or(~right)).alias("conflict"), F.bool_or(counts).alias("_counts"))
-        told = settle(told.where("_counts").select("claim_id", "it.*", "given", "conflict", F.lit(depth).alias("depth")), "told")
-        decided.append(told)
+        if ledger is not None:
+            nodes, ledger = charge_lookups(nodes, ledger, budget)
+        found = settle(direct(settle(resolved(nodes, p), "resolved"), p, p.routes if depth else ROUTES), "direct")
+        levels.append(found)
+        decided.append(decide(found, depth))
         if depth + 1 == budget.depth:
             break
-        left = nodes.join(told.select("claim_id"), "claim_id", "left_anti").join(found.where("verdict IS NULL").select("node_id"), "node_id", "left_semi")
+        left = nodes.join(decided[-1].select("claim_id"), "claim_id", "left_anti").join(found.where("verdict IS NULL").select("node_id"), "node_id", "left_semi")
+        if ledger is not None:
+            left = left.join(ledger.where("reason IS NULL").select("claim_id"), "claim_id", "left_semi")
         wider = discover(left, found, p, budget).join(seen, "node_id", "left_anti")
-        nodes = settle(wider.select(*NODE), "nodes")
-        if nodes.isEmpty():
+        if ledger is not None:
+            asking = left.join(carried(left, p).select("node_id").distinct(), "node_id", "left_semi").select("claim_id")
+            wider, ledger = charge_steps(settle(wider, "wider"), asking, ledger, budget)
+        wider = settle(wider, "steps")
+        nodes = wider.select(*NODE).dropDuplicates(["node_id"])
+        if wider.isEmpty():
             break
+        steps.append(wider)
         seen = seen.union(nodes.select("node_id"))
-    every = reduce(DataFrame.union, decided)
-    rows = guarded.select("claim_id", "subject", "short", C("given").alias("own")).join(every, "claim_id", "left")
-    vague = (C("verdict") == "contradicted") & text.is_vague(C("subject"))
-    base = F.when(C("short").isNotNull() | C("verdict").isNull() | vague, "no_grounding_found").otherwise(C("verdict"))
-    reason = F.when(C("short").isNotNull(), C("short")).when(vague, "vague_subject_existential").when(C("verdict").isNull(), "depth_exhausted")
-    given = C("short").isNull() & (C("own") | F.coalesce("given", F.lit(False)))
+    return Walk(guarded, reduce(DataFrame.union, decided), levels, steps, ledger)
+
+
+def outcome(w: Walk) -> DataFrame:
+    """claim_id, verdict, base_verdict, source, reason, depth, given, premise, value, unconfirmed, conflict for each claim of a walk."""
+    rows = w.guarded.select("claim_id", "subject", "short", C("given").alias("own")).join(w.decided, "claim_id", "left")
+    out_of = F.lit(None).cast("string")
+    if w.ledger is not None:
+        rows = rows.join(w.ledger.select("claim_id", C("reason").alias("_out")), "claim_id", "left")
+        out_of = C("_out")
     no = F.lit(False)
-    return rows.select("claim_id", F.when(given, F.concat(base, F.lit("_given_assertion"))).otherwise(base).alias("verdict"), base.alias("base_verdict"), "source", reason.alias("reason"), "depth", given.alias("given"),
-        "premise", F.when(base == "contradicted", C("value")).alias("value"), F.coalesce("unconfirmed", no).alias("unconfirmed"), F.coalesce("conflict", no).alias("conflict"))
+    torn = F.coalesce("conflict", no) & (C("depth") > 0)
+    vague = (C("verdict") == "contradicted") & text.is_vague(C("subject")) & ~torn
+    reason = F.when(C("short").isNotNull(), C("short")).when(torn, "conflicting_stand_ins").when(vague, "vague_subject_existential").when(C("verdict").isNull(), F.coalesce(out_of, F.lit("depth_exhausted")))
+    base = F.when(reason.isNull(), C("verdict")).otherwise("no_grounding_found")
+    given = C("short").isNull() & (C("own") | (F.coalesce("given", no) & ~torn))
+    shown = lambda c: F.when(~torn, C(c)).alias(c)
+    return rows.select("claim_id", F.when(given, F.concat(base, F.lit("_given_assertion"))).otherwise(base).alias("verdict"), base.alias("base_verdict"), shown("source"), reason.alias("reason"), "depth", given.alias("given"),
+        shown("premise"), F.when(base == "contradicted", C("value")).alias("value"), F.coalesce("unconfirmed", no).alias("unconfirmed"), F.coalesce("conflict", no).alias("conflict"))
+
+
+def verify(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> DataFrame:
+    """claim_id, verdict, base_verdict, source, reason, depth, given, premise, value, unconfirmed, conflict for each claim.
+
+    claims: claim_id, subject, predicate, object, polarity, party, valid_from, valid_until, abstention_reason; claim_id is
+    unique. conflict tells that one stand-in of the deciding level was verified and another contradicted: such a claim
+    abstains. Contradictions of claims with a vague subject abstain. Verdicts that rest on an unverified assertion, or on the
+    party's own word, are marked as given. A claim that nothing decides within the levels abstains as depth_exhausted, one
+    that runs out of a limit with that as its reason.
+    """
+    return outcome(walk(claims, s, budget))
+
+
+def premises(w: Walk) -> DataFrame:
+    """claim_id, alternative, literal_index, source, source_table, source_row_id, is_assertion: what verdicts rest on.
+
+    Each node of the deciding level that says what was decided is reached by one or more ways, and each way is an alternative:
+    any of them is enough. Its literals all have to hold: the steps from the claim to the node in order, then what speaks to
+    the node. Alternatives are numbered in the order of their text. Claims torn by conflict have both sides' alternatives.
+    """
+    literal = lambda source, table, row, assertion: F.struct(source.alias("source"), table.cast("string").alias("source_table"), row.alias("source_row_id"), assertion.alias("is_assertion"))
+    ways = []
+    for depth, found in enumerate(w.found):
+        told = w.decided.where(C("depth") == depth).select("claim_id", C("verdict").alias("_v"), "conflict")
+        last = literal(C("source"), F.when(C("premise").isNotNull(), "assertions"), C("premise"), C("given"))
+        rows = found.join(told, "claim_id").where("verdict IS NOT NULL AND (verdict = _v OR conflict)").select("claim_id", "node_id", F.array(last).alias("literals"))
+        for steps in reversed(w.steps[:depth]):
+            kind, table = F.when(C("found_by") == "taxonomy", "substrate").when(C("found_by") == "graph", "kb").otherwise("tier_u"), F.when(C("found_by") == "taxonomy", "taxonomy").when(C("found_by") == "premise", "assertions")
+            step = steps.select("node_id", "parent", literal(kind, table, C("source_row"), C("found_by") == "premise").alias("_step")).distinct()
+            rows = rows.join(step, "node_id").select("claim_id", C("parent").alias("node_id"), F.concat(F.array("_step"), "literals").alias("literals"))
+        ways.append(rows.select("claim_id", "literals"))
+    every = reduce(DataFrame.union, ways).distinct().withColumn("term", term(C("literals")))
+    every = every.withColumn("alternative", F.row_number().over(Window.partitionBy("claim_id").orderBy("term")))
+    return every.select("claim_id", "alternative", F.posexplode("literals").alias("literal_index", "it")).select("claim_id", "alternative", "literal_index", "it.*")
+
+
+def term(literals: Column) -> Column:
+    """Literals as one text: source, table and row of each."""
+    return F.array_join(F.transform(literals, lambda x: F.concat_ws(":", x["source"], F.coalesce(x["source_table"], F.lit("-")), F.coalesce(x["source_row_id"].cast("string"), F.lit("-")), F.when(x["is_assertion"], "given").otherwise("firm"))), " & ")
+
+
+def touched(w: Walk, retractions: DataFrame, s: Sources) -> DataFrame:
+    """claim_id of the claims of a walk that retractions (source_table, row_id) can bear on: those with a node that a lookup of a retracted row meets.
+
+    An assertion is looked up by party and subject (a persona also by what it names), a row of the taxonomy by its two ends.
+    """
+    gone = lambda table: retractions.where(C("source_table") == table).select(C("row_id").alias("id"))
+    said = s.assertions.join(gone("assertions"), "id", "left_semi")
+    people = said.select("party", "subject").union(said.where("predicate = 'identity'").select("party", "object")).distinct()
+    row = s.taxonomy.join(gone("taxonomy"), "id", "left_semi")
+    ends = row.select(C("a").alias("held")).union(row.select("b")).distinct()
+    nodes = w.guarded.select("claim_id", "party", "subject", "object")
+    for steps in w.steps:
+        nodes = nodes.union(steps.select("claim_id", "party", "subject", "object"))
+    by_party = nodes.join(people, ["party", "subject"], "left_semi").select("claim_id")
+    slot = nodes.select("claim_id", F.explode(F.array("subject", "object")).alias("held"))
+    return by_party.union(slot.join(ends, "held", "left_semi").select("claim_id")).distinct()
+
+
+def without_rows(s: Sources, retractions: DataFrame) -> Sources:
+    """The sources after retractions (source_table, row_id) of assertions and rows of the taxonomy."""
+    def left(rows: DataFrame, table: str) -> DataFrame:
+        gone = retractions.where(C("source_table") == table).select(C("row_id").alias("id")).distinct().withColumn("_gone", F.lit(True))
+        return rows.join(gone, "id", "left").withColumn("retracted", C("retracted") | F.coalesce("_gone", F.lit(False))).select(*rows.columns)
+
+    return replace(s, assertions=left(s.assertions, "assertions"), taxonomy=left(s.taxonomy, "taxonomy"))
+
+
+def reverify(verdicts: DataFrame, w: Walk, claims: DataFrame, s: Sources, retractions: DataFrame, budget: Budget = Budget()) -> DataFrame:
+    """The verdicts (of verify()) after retractions: claims that they can bear on are verified again, the others keep theirs."""
+    again = settle(touched(w, retractions, s), "touched")
+    fresh = verify(claims.join(again, "claim_id", "left_semi"), without_rows(s, retractions), budget)
+    return verdicts.join(again, "claim_id", "left_anti").unionByName(fresh)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.functions import dates, text
+from factweave.functions import dates, registered, text
 from factweave.plans.views import NOW, oracle, view
 
 C = F.col
@@ -78,11 +78,11 @@ SQL["B15_vague_class_head"] = oracle(f"""SELECT claim_id, nullif(trim(CASE WHEN
 _projection("B19_id_shapes", "kb_statements", lambda: {"entity_id": C("value").rlike("^[A-Z]+[0-9]+$"), "property_id": C("property").rlike("^P[0-9]+$")},
             "regexp_matches(value, '^[A-Z]+[0-9]+$') AS entity_id, regexp_matches(property, '^P[0-9]+$') AS property_id")
 
-_UNIT = r"CASE lower(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(million|billion|thousand|hundred|bn|m|k)?', 2)) WHEN '' THEN 1.0 WHEN 'hundred' THEN 1e2 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 ELSE 1e9 END"
-_QUANTITY = r"try_cast(replace(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(million|billion|thousand|hundred|bn|m|k)?', 1), ',', '') AS DOUBLE) * " + _UNIT
-_STRICT = r"CASE WHEN regexp_full_match(trim({0}), '(?i)[-+]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\.[0-9]+)?\s*(million|billion|thousand|hundred|m|bn|k)?') THEN " + _QUANTITY + " END"
-_projection("E1_loose_quantity", "raw_claims", lambda: {"quantity": text.parse_quantity(C("object"))}, _QUANTITY.format("object") + " AS quantity")
-_projection("E2_strict_number", "claims", lambda: {"number": text.strict_number(C("object"))}, _STRICT.format("object") + " AS number")
+_UNIT = r"CASE lower(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(WORDS)?', 2)) WHEN '' THEN 1.0 WHEN 'hundred' THEN 1e2 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 ELSE 1e9 END".replace("WORDS", "|".join(text.MULTIPLIERS))
+QUANTITY = r"try_cast(replace(regexp_extract({0}, '(?i)([-+]?[0-9][0-9,]*\.?[0-9]*)\s*(WORDS)?', 1), ',', '') AS DOUBLE) * ".replace("WORDS", "|".join(text.MULTIPLIERS)) + _UNIT
+STRICT = r"CASE WHEN regexp_full_match(trim({0}), '(?i)[-+]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\.[0-9]+)?\s*(WORDS)?') THEN ".replace("WORDS", "|".join(text.MULTIPLIERS)) + QUANTITY + " END"
+_projection("E1_loose_quantity", "raw_claims", lambda: {"quantity": text.parse_quantity(C("object"))}, QUANTITY.format("object") + " AS quantity")
+_projection("E2_strict_number", "claims", lambda: {"number": text.strict_number(C("object"))}, STRICT.format("object") + " AS number")
 _projection("E3_strict_year", "claims", lambda: {"year": text.strict_year(C("object"))}, "CASE WHEN regexp_full_match(trim(object), '[-+]?[0-9]{1,4}') THEN try_cast(replace(trim(object), '+', '') AS INT) END AS year")
 #: Computable claims made of keys: compared numbers, years, powers and counted strings.
 _SUMS = """SELECT p_partkey AS claim_id,
@@ -118,7 +118,7 @@ _COUNTS = r"""CASE m WHEN 'vowel' THEN length(regexp_replace(lower(t), '[^aeiou]
 _COUNTED = f"SELECT *, {_COUNTS} AS counts FROM (SELECT *, {_MEASURE} AS m, {_TARGET} AS t FROM ({_SUMS.format(part='part')}))"
 SQL["E8_string_counts"] = f"SELECT claim_id, m AS measure, t AS target, counts FROM ({_COUNTED})"
 QUERIES["E10_computed_verdict"] = lambda spark, d: text.with_computed_verdict(_sums(spark, d), "verdict").select("claim_id", "verdict")
-_A, _B = _STRICT.format("subject"), _STRICT.format("object")
+_A, _B = STRICT.format("subject"), STRICT.format("object")
 _YA, _YB = (f"CASE WHEN regexp_full_match(trim({c}), '[-+]?[0-9]{{1,4}}') THEN try_cast(replace(trim({c}), '+', '') AS INT) END" for c in ("subject", "object"))
 SQL["E10_computed_verdict"] = f"""WITH c AS ({_COUNTED}), n AS (SELECT claim_id, polarity, m, counts, t, object, lower(predicate) AS p, {_COMPARATOR} AS k, {_YEARS} AS y, {_A} AS a, {_B} AS b, {_YA} AS ya, {_YB} AS yb FROM c),
   h AS (SELECT claim_id, polarity, coalesce(CASE k WHEN 'gt' THEN a > b WHEN 'lt' THEN a < b WHEN 'ge' THEN a >= b WHEN 'le' THEN a <= b WHEN 'eq' THEN a = b END,
@@ -250,3 +250,24 @@ QUERIES["B1_extract"] = _extracted
 SQL["B1_extract"] = oracle(f"""SELECT claim_id, subject, predicate, object, polarity, CASE WHEN subject = '' OR NOT (starts_with(subject, 'event_') OR subject = party OR contains(lower(t), lower(subject)) OR contains(lower(t), lower(object)))
     THEN 'subject_absent_from_source' END AS abstention_reason FROM (SELECT claim_id, CASE WHEN {_FIRST.replace('subject', "coalesce(subject, '')")} THEN party ELSE coalesce(subject, '') END AS subject, {_NORM} AS predicate,
     coalesce(object, '') AS object, coalesce(polarity, 1) AS polarity, coalesce(source_text, '') AS t, party FROM (SELECT *, replace({_STRIP.format("lower(coalesce(predicate, ''))")}, '_', ' ') AS p FROM raw_claims WHERE verb_tense <> 'future'))""", "raw_claims")
+
+
+# ---- functions of SQL ----
+def _by_function(name: str, table: str, columns: str) -> None:
+    """A query that calls a registered function in SQL, and what it is in the other engine."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        registered.register(spark)
+        return spark.sql(f"SELECT {columns} FROM {{rows}}", rows=view(spark, sf_dir, table))
+
+    QUERIES[name] = run
+
+
+_by_function("O_base_verdict", "verdicts", "claim_id, base_verdict(verdict) AS verdict")
+_by_function("O_apply_polarity", "verdicts", "claim_id, apply_polarity(base_verdict(verdict), CAST(depth % 2 AS INT)) AS verdict")
+_by_function("O_parse_quantity", "raw_claims", "claim_id, parse_quantity(object) AS amount")
+_by_function("O_normalize_predicate", "raw_claims", "claim_id, normalize_predicate(predicate) AS predicate")
+SQL["O_base_verdict"] = oracle("SELECT claim_id, regexp_replace(verdict, '_given_assertion$', '') AS verdict FROM verdicts", "verdicts")
+SQL["O_apply_polarity"] = oracle("""SELECT claim_id, CASE WHEN depth % 2 = 1 THEN v WHEN v = 'verified' THEN 'contradicted' WHEN v = 'contradicted' THEN 'verified' ELSE v END AS verdict
+  FROM (SELECT *, regexp_replace(verdict, '_given_assertion$', '') AS v FROM verdicts)""", "verdicts")
+SQL["O_parse_quantity"] = oracle(f"SELECT claim_id, {QUANTITY.format('object')} AS amount FROM raw_claims", "raw_claims")
+SQL["O_normalize_predicate"] = SQL["B3_normalize_predicate"]

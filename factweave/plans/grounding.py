@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text
 from factweave.operators import graph, kb
-from factweave.plans.extraction import compatible_sql, date_relation_sql, latest_sql
+from factweave.plans.extraction import QUANTITY, compatible_sql, date_relation_sql, latest_sql
 from factweave.plans.views import NOW, oracle, view
+from factweave.sources.scratch import settle
 
 C = F.col
 QUERIES, SQL = {}, {}
 
 
+#: Texts that are entities of their own.
+IDENTIFIER = "^O[0-9]+$"
 #: Classes whose instances are regions.
 REGIONS = ("country", "union")
 
@@ -49,7 +52,7 @@ SQL["G1_relation_edges"] = oracle("SELECT property, count(*) AS edges FROM kb_ed
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kb.resolve(view(spark, sf_dir, "claims"), view(spark, sf_dir, "kb_labels"))
+    return kb.resolve(view(spark, sf_dir, "claims"), view(spark, sf_dir, "kb_labels"), IDENTIFIER)
 
 
 RESOLVED = """chosen AS (SELECT label, min(kb_id) AS id FROM kb_labels GROUP BY label),
@@ -126,7 +129,9 @@ def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The comparison of each claim and binding, and the paths by class."""
     part_of, is_a = paths(spark, sf_dir, "part_of"), paths(spark, sf_dir, "is_a")
-    rows = kb.compare(bound(spark, sf_dir), view(spark, sf_dir, "kb_statements"), part_of, graph.place_table(part_of, is_a), view(spark, sf_dir, "kb_labels"), F.to_date(F.lit(NOW[:10])))
+    place = graph.place_table(part_of, is_a)
+    held = settle(kb.with_values(view(spark, sf_dir, "kb_statements"), place, view(spark, sf_dir, "kb_labels")), "held")
+    rows = kb.compare(settle(bound(spark, sf_dir), "bound"), held, part_of, place, F.to_date(F.lit(NOW[:10])))
     return rows, is_a
 
 
@@ -244,10 +249,17 @@ def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["C8_predicate_metadata"] = _metadata
 SQL["C8_predicate_metadata"] = oracle("SELECT claim_id, property, routing_hint, object_type FROM all_claims LEFT JOIN (SELECT * FROM predicates QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY id) = 1) USING (predicate)", "all_claims", "predicates")
-QUERIES["F1_quantitative"] = lambda s, d: kb.quantity(_asked(s, d).where("routing_hint = 'kb_quantitative'"), view(s, d, "kb_statements"))
-_NUM = "try_cast({0} AS DOUBLE)"
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).where("routing_hint = 'kb_quantitative'")
+    return kb.quantity(asked, kb.known_amounts(view(spark, sf_dir, "kb_statements"), view(spark, sf_dir, "predicates").where("routing_hint = 'kb_quantitative'")))
+
+
+QUERIES["F1_quantitative"] = _amounts
+_NUM = QUANTITY
 SQL["F1_quantitative"] = oracle(f"""WITH {RESOLVED}, known AS (SELECT entity, coalesce(arg_min({_NUM.format('value')}, stmt_id) FILTER (WHERE rank = 'preferred'), max({_NUM.format('value')})) AS known FROM kb_statements WHERE property = 'P2284' AND rank <> 'deprecated' GROUP BY entity),
-  h AS (SELECT claim_id, polarity, known, CASE predicate WHEN 'priced_above' THEN known > t ELSE known < t END AS holds FROM (SELECT *, CASE object WHEN '200,000' THEN 200000.0 WHEN '0.3 million' THEN 0.3 * 1000000.0 END AS t FROM resolved) LEFT JOIN known ON entity = subject_id WHERE predicate IN ('priced_above', 'priced_below'))
+  h AS (SELECT claim_id, polarity, known, CASE predicate WHEN 'priced_above' THEN known > t ELSE known < t END AS holds FROM (SELECT *, {QUANTITY.format('object')} AS t FROM resolved) LEFT JOIN known ON entity = subject_id WHERE predicate IN ('priced_above', 'priced_below'))
   SELECT claim_id, CASE WHEN holds = (polarity = 1) THEN 'verified' WHEN holds IS NOT NULL THEN 'contradicted' END AS verdict, known FROM h""", "claims", "kb_labels", "kb_statements")
 QUERIES["F2_intervals"] = lambda s, d: kb.intervals(view(s, d, "kb_statements").where("value_type = 'entity'"))
 _INTERVALS = """kept AS (SELECT * FROM kb_statements k WHERE value_type = 'entity' AND rank <> 'deprecated' AND (rank = 'preferred' OR NOT EXISTS (SELECT 1 FROM kb_statements p WHERE p.entity = k.entity AND p.property = k.property AND p.rank = 'preferred'))),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.operators import party, verify
 from factweave.plans import verification
-from factweave.plans.views import NOW, oracle, view
+from factweave.plans.views import NOW, oracle, view, with_views
+from factweave.sources.scratch import shared_dir
+from factweave.streaming import stateful
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -65,6 +69,27 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["K1_write_assertions"] = _written
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 as a stream: events that land in a folder, taken as they come with the beliefs of each key as state."""
+    text = f"{with_views('tier_u')} SELECT * FROM tier_u WHERE NOT retracted"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    landed = spark.read.parquet(f"{sf_dir}/events.parquet")
+    landed.write.parquet(f"{out}/landed")
+    events = spark.readStream.schema(landed.schema).parquet(f"{out}/landed")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        taken = stateful.revise_stream(spark.sql(text, events=events), FUNCTIONAL)
+        taken.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return party.closed(spark.read.schema(party.WRITE).parquet(f"{out}/rows").where(C("status") != stateful.LATE), FUNCTIONAL)
+
+
+QUERIES["K1_revision_stream"] = _streamed
+
+
 def _upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: assertions that external sources bear out become externally verified, the unverified ones only."""
     found = verification.QUERIES["verify_claims"](spark, sf_dir).where("source = 'tier_u_upgrade'").select(C("premise").alias("id")).distinct().withColumn("hit", F.lit(True))

@@ -70,62 +70,14 @@ QUERIES["C21_case_results"] = lambda s, d: view(s, d, "cases").select("case_id",
 SQL["C21_case_results"] = oracle(f"SELECT case_id, {_V} AS verdict FROM cases", "cases")
 
 # ---- provenance and retraction ----
-QUERIES["J9_provenance"] = lambda s, d: view(s, d, "premises").groupBy("claim_id").agg(F.bool_or("is_assertion").alias("given_assertion"), F.count_distinct("alternative").alias("alternatives"), F.count_distinct(F.when(C("source_table").isNotNull(), F.struct("source_table", "source_row_id"))).alias("source_rows"))
-SQL["J9_provenance"] = oracle("SELECT claim_id, bool_or(is_assertion) AS given_assertion, count(DISTINCT alternative) AS alternatives, count(DISTINCT CASE WHEN source_table IS NOT NULL THEN source_table || '/' || source_row_id END) AS source_rows FROM premises GROUP BY claim_id", "premises")
-QUERIES["J10_python_terms"] = lambda s, d: view(s, d, "premises").groupBy("claim_id", "alternative").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "source", "source_row_id"))), "&").alias("term"))
-SQL["J10_python_terms"] = oracle("SELECT claim_id, alternative, string_agg(DISTINCT source || ':' || source_row_id, '&' ORDER BY source || ':' || source_row_id) AS term FROM premises GROUP BY claim_id, alternative", "premises")
-QUERIES["J11_source_rows"] = lambda s, d: view(s, d, "premises").where("source_table IS NOT NULL").select("claim_id", "source_table", "source_row_id").distinct()
-SQL["J11_source_rows"] = oracle("SELECT DISTINCT claim_id, source_table, source_row_id FROM premises WHERE source_table IS NOT NULL", "premises")
 
 
-def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts that rest on a retracted row, stale only where they rest on an assertion."""
-    rows = view(spark, sf_dir, "premises").where("source_table = 'tier_u'")
-    gone = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 10 = 3").select(C("p_partkey").alias("source_row_id"))
-    return rows.join(gone, "source_row_id").groupBy("claim_id").agg(F.bool_or("is_assertion").alias("stale"), F.count_distinct("source_row_id").alias("rows_gone"))
-
-
-QUERIES["J12_retraction_propagation"] = _stale
-SQL["J12_retraction_propagation"] = oracle("SELECT claim_id, bool_or(is_assertion) AS stale, count(DISTINCT source_row_id) AS rows_gone FROM premises JOIN part ON p_partkey = source_row_id AND p_size % 10 = 3 WHERE source_table = 'tier_u' GROUP BY claim_id", "premises")
-QUERIES["C19_retracted_premises"] = lambda s, d: view(s, d, "premises").where("source_table = 'subsumption'").join(view(s, d, "subsumptions").where("retracted").select(C("id").alias("source_row_id")), "source_row_id", "left_semi").select("claim_id").distinct()
-SQL["C19_retracted_premises"] = oracle("SELECT DISTINCT claim_id FROM premises WHERE source_table = 'subsumption' AND source_row_id IN (SELECT id FROM subsumptions WHERE retracted)", "premises", "subsumptions")
 QUERIES["J13_replay"] = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by(F.from_json("props", "k INT")["k"], "event_id").alias("k"), F.max("event_id").alias("event_id"))
 SQL["J13_replay"] = "SELECT user_id, CAST(json_extract(arg_max(props, event_id), '$.k') AS INT) AS k, max(event_id) AS event_id FROM events GROUP BY user_id"
 
 
-def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that contradicted claims rest on, to be retracted but for pinned mappings, and all claims that this leaves stale."""
-    premises = view(spark, sf_dir, "premises").where("source_table IS NOT NULL")
-    wrong = view(spark, sf_dir, "verdicts").where(rollup.base_verdict(C("verdict")) == "contradicted").select("claim_id")
-    pinned = view(spark, sf_dir, "mappings").where("pinned").select(C("id").alias("source_row_id"))
-    gone = premises.join(wrong, "claim_id", "left_semi").select("source_table", "source_row_id").distinct().join(pinned, "source_row_id", "left_anti")
-    return gone.join(premises, ["source_table", "source_row_id"]).groupBy("source_table", "source_row_id").agg(F.count_distinct("claim_id").alias("claims"), F.bool_or("is_assertion").alias("stale"))
-
-
-def _derived_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims of verifications with a stale one, with the verdict that their premises still bear: without any left, none."""
-    stale = _stale(spark, sf_dir).where("stale")
-    verdicts = view(spark, sf_dir, "verdicts").select("verification_id", "claim_id", "verdict")
-    touched = verdicts.join(stale.select("claim_id"), "claim_id", "left_semi").select("verification_id").distinct()
-    gone = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 10 = 3").select(C("p_partkey").alias("source_row_id"), F.lit("tier_u").alias("source_table"))
-    left = view(spark, sf_dir, "premises").join(gone, ["source_table", "source_row_id"], "left_anti").groupBy("claim_id").agg(F.bool_or("is_assertion").alias("given"))
-    rows = verdicts.join(touched, "verification_id", "left_semi").join(stale.select("claim_id", "stale"), "claim_id", "left").join(left, "claim_id", "left")
-    base = rollup.base_verdict(C("verdict"))
-    again = F.when(C("stale").isNull(), C("verdict")).when(C("given").isNull(), "no_grounding_found").when(C("given"), F.concat(base, F.lit("_given_assertion"))).otherwise(base)
-    return rows.select("verification_id", "claim_id", again.alias("verdict"))
-
-
-QUERIES |= {"J14_contradiction_trace": _traced, "J15_stale_verifications": _derived_again}
-SQL["J14_contradiction_trace"] = oracle(f"""WITH p AS (SELECT * FROM premises WHERE source_table IS NOT NULL), g AS (SELECT DISTINCT source_table, source_row_id FROM p WHERE claim_id IN (SELECT claim_id FROM verdicts WHERE {_B} = 'contradicted') AND source_row_id NOT IN (SELECT id FROM mappings WHERE pinned))
-  SELECT source_table, source_row_id, count(DISTINCT claim_id) AS claims, bool_or(is_assertion) AS stale FROM g JOIN p USING (source_table, source_row_id) GROUP BY ALL""", "premises", "verdicts", "mappings")
-SQL["J15_stale_verifications"] = oracle(f"""WITH s AS (SELECT claim_id FROM premises JOIN part ON p_partkey = source_row_id AND p_size % 10 = 3 WHERE source_table = 'tier_u' GROUP BY claim_id HAVING bool_or(is_assertion)),
-  l AS (SELECT claim_id, bool_or(is_assertion) AS given FROM premises p WHERE NOT (coalesce(source_table = 'tier_u', false) AND EXISTS (SELECT 1 FROM part WHERE p_partkey = source_row_id AND p_size % 10 = 3)) GROUP BY claim_id)
-  SELECT verification_id, claim_id, CASE WHEN claim_id NOT IN (SELECT claim_id FROM s) THEN verdict WHEN given IS NULL THEN 'no_grounding_found' WHEN given THEN {_B} || '_given_assertion' ELSE {_B} END AS verdict
-  FROM verdicts LEFT JOIN l USING (claim_id) WHERE verification_id IN (SELECT verification_id FROM verdicts WHERE claim_id IN (SELECT claim_id FROM s))""", "premises", "verdicts")
 QUERIES["J16_trace_text"] = lambda s, d: view(s, d, "verdicts").select("claim_id", F.concat_ws(" | ", "verdict", F.coalesce("source", F.lit("none")), F.concat(F.lit("depth "), C("depth")), "abstention_reason").alias("trace"))
 SQL["J16_trace_text"] = oracle("SELECT claim_id, concat_ws(' | ', verdict, coalesce(source, 'none'), 'depth ' || depth, abstention_reason) AS trace FROM verdicts", "verdicts")
-QUERIES["J17_contradicting_value"] = lambda s, d: view(s, d, "verdicts").where("contradicting_value IS NOT NULL").groupBy("statement_id").agg(F.min_by("contradicting_value", "claim_id").alias("value"))
-SQL["J17_contradicting_value"] = oracle("SELECT statement_id, arg_min(contradicting_value, claim_id) AS \"value\" FROM verdicts WHERE contradicting_value IS NOT NULL GROUP BY statement_id", "verdicts")
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,5 +92,12 @@ QUERIES["N_abstention_text"] = lambda s, d: view(s, d, "verdicts").where("absten
 SQL["N_abstention_text"] = oracle("SELECT claim_id, replace(CASE abstention_reason " + " ".join(f"WHEN '{k}' THEN '{v.replace('{subject}', '<s>')}'" for k, v in _TEMPLATES.items()) + " ELSE '<s> could not be checked.' END, '<s>', 'claim ' || claim_id) AS line FROM verdicts WHERE abstention_reason IS NOT NULL", "verdicts")
 QUERIES["H9_assertion_designation"] = lambda s, d: view(s, d, "verdicts").join(view(s, d, "premises").groupBy("claim_id").agg(F.bool_or("is_assertion").alias("given")), "claim_id").select("claim_id", F.when(C("given"), F.concat(rollup.base_verdict(C("verdict")), F.lit("_given_assertion"))).otherwise(rollup.base_verdict(C("verdict"))).alias("verdict"))
 SQL["H9_assertion_designation"] = oracle(f"SELECT claim_id, CASE WHEN given THEN {_B} || '_given_assertion' ELSE {_B} END AS verdict FROM verdicts JOIN (SELECT claim_id, bool_or(is_assertion) AS given FROM premises GROUP BY claim_id) USING (claim_id)", "verdicts", "premises")
-QUERIES["H7_level_conflict"] = lambda s, d: view(s, d, "verdicts").groupBy("statement_id", "depth").agg(F.bool_or(rollup.base_verdict(C("verdict")) == "verified").alias("v"), F.bool_or(rollup.base_verdict(C("verdict")) == "contradicted").alias("c")).select("statement_id", "depth", F.when(C("c"), "contradicted").when(C("v"), "verified").alias("verdict"), (C("c") & C("v")).alias("conflict"))
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: what the verdicts of a level say together, by the rule that the walk goes by."""
+    says = lambda v: F.bool_or(rollup.base_verdict(C("verdict")) == v)
+    told = view(spark, sf_dir, "verdicts").groupBy("statement_id", "depth").agg(rollup.level_verdict(says("verified"), says("contradicted")).alias("it"))
+    return told.select("statement_id", "depth", "it.*")
+
+
+QUERIES["H7_level_conflict"] = _levels
 SQL["H7_level_conflict"] = oracle(f"SELECT statement_id, depth, CASE WHEN c THEN 'contradicted' WHEN v THEN 'verified' END AS verdict, c AND v AS conflict FROM (SELECT statement_id, depth, bool_or({_B} = 'verified') AS v, bool_or({_B} = 'contradicted') AS c FROM verdicts GROUP BY 1, 2)", "verdicts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from factweave.operators import graph, kb, resolve, rollup, substrate, verify
 from factweave.plans import verification
 from factweave.plans.grounding import IS_A, PART_OF, RESOLVED, _resolved, paths
 from factweave.plans.views import NOW, oracle, view
-from factweave.sources import files
+from factweave.sources import files, statements
+from factweave.sources.scratch import shared_dir
+from factweave.streaming import stateful
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -282,28 +285,47 @@ def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of claims in both slots, each once, 48 at most by name."""
     claims = _resolved(spark, sf_dir).where("subject_id IS NOT NULL").select("claim_id", F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("node"))
     edges = view(spark, sf_dir, "kb_edges").where(C("property").isin(*graph.NEIGHBOURS["default"]))
-    steps = edges.select(C("src").alias("node"), C("dst").alias("neighbour")).union(edges.where("property <> 'P17'").select("dst", "src"))
-    rows = claims.join(steps, "node").select("claim_id", "neighbour").distinct()
+    steps = edges.select(C("src").alias("node"), C("dst").alias("neighbour")).union(edges.select("dst", "src")).distinct()
+    # a node's first 48 are enough for any claim; a task keeps them before they are dealt out, so a hub's edges don't meet in one
+    first = Window.partitionBy("node").orderBy("neighbour")
+    few = steps.join(claims.select("node").distinct(), "node", "left_semi").withColumn("n", F.row_number().over(first)).where("n <= 48").drop("n")
+    rows = claims.join(few, "node").select("claim_id", "neighbour").distinct()
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("claim_id").orderBy("neighbour"))).where("n <= 48")
     return ranked.groupBy("claim_id").agg(F.count(F.lit(1)).alias("probes"), F.max("neighbour").alias("last"))
 
 
 QUERIES["G13_neighbour_probes"] = _capped
 SQL["G13_neighbour_probes"] = oracle(f"""WITH {RESOLVED}, n AS (SELECT claim_id, subject_id AS node FROM resolved WHERE subject_id IS NOT NULL UNION SELECT claim_id, object_id FROM resolved WHERE subject_id IS NOT NULL AND object_id IS NOT NULL),
-  e AS (SELECT * FROM kb_edges WHERE property IN ('P31', 'P279', 'P361', 'P131', 'P17')), st AS (SELECT src AS node, dst AS neighbour FROM e UNION ALL SELECT dst, src FROM e WHERE property <> 'P17'),
+  e AS (SELECT * FROM kb_edges WHERE property IN ('P31', 'P279', 'P361', 'P131', 'P17')), st AS (SELECT src AS node, dst AS neighbour FROM e UNION ALL SELECT dst, src FROM e),
   r AS (SELECT DISTINCT claim_id, neighbour FROM n JOIN st USING (node)) SELECT claim_id, count(*) AS probes, max(neighbour) AS last FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY neighbour) AS k FROM r) WHERE k <= 48 GROUP BY claim_id""", "claims", "kb_labels", "kb_edges")
 
 # ---- sources and sinks ----
 
 
 def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verifications written again in place of the old ones, whole partitions of them at a time."""
-    rows = view(spark, sf_dir, "verdicts").select((C("verification_id") % 16).alias("part"), "verification_id", "claim_id", "verdict")
-    return files.replace_partitions(rows, rows.where("part % 4 = 1").withColumn("verdict", F.lit("rewritten")), "part").select("verification_id", "claim_id", "verdict")
+    """Verifications stored, some of them stored again by a second batch, which is then replayed."""
+    rows = view(spark, sf_dir, "verdicts").select("verification_id", "claim_id", "verdict")
+    doubtful = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select(C("doc_id").alias("claim_id"))
+    again = rows.join(rows.join(doubtful, "claim_id", "left_semi").select("verification_id").distinct(), "verification_id", "left_semi").withColumn("verdict", F.lit("no_grounding_found"))
+    store = stateful.VerificationStore(f"{shared_dir(spark)}/verifications-{uuid.uuid4().hex}")
+    for number, batch in ((0, rows), (1, again), (1, again)):
+        store.write(batch, number)
+    return store.read(spark, rows.withColumn("part", F.lit(0)).schema).select(*rows.columns)
 
 
 QUERIES["A24_verification_sink"] = _sink
-SQL["A24_verification_sink"] = oracle("SELECT verification_id, claim_id, CASE WHEN verification_id % 4 = 1 THEN 'rewritten' ELSE verdict END AS verdict FROM verdicts", "verdicts")
+SQL["A24_verification_sink"] = oracle("""SELECT verification_id, claim_id, CASE WHEN verification_id IN (SELECT verification_id FROM verdicts JOIN labels ON doc_id = claim_id WHERE quality = 0) THEN 'no_grounding_found' ELSE verdict END AS verdict FROM verdicts""", "verdicts")
+
+
+def _from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements out of a store that is a data source, without deprecated ones."""
+    path = statements.store(view(spark, sf_dir, "kb_statements"))
+    statements.register(spark)
+    return spark.read.format("statements").load(path).where("rank <> 'deprecated'").select("stmt_id", "entity", "property", "value", "start_q", "end_q")
+
+
+QUERIES["A10_statement_source"] = _from_source
+SQL["A10_statement_source"] = oracle("SELECT stmt_id, entity, property, value, start_q, end_q FROM kb_statements WHERE rank <> 'deprecated'", "kb_statements")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

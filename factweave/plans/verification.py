@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text
 from factweave.operators import graph, kb, party, rollup, verify
-from factweave.plans.extraction import date_relation_sql
-from factweave.plans.grounding import COMPARED, DISJOINT, GATED, IS_A, PART_OF, paths
-from factweave.plans.views import NOW, oracle, view
+from factweave.plans.extraction import QUANTITY, STRICT, date_relation_sql
+from factweave.plans.grounding import COMPARED, DISJOINT, GATED, IDENTIFIER, IS_A, PART_OF, paths
+from factweave.plans.views import NOW, VIEWS, oracle, view
 from factweave.sources.scratch import settle
 
 C = F.col
 QUERIES, SQL = {}, {}
-_VIEWS = ("all_claims", "assertions", "predicates", "bindings", "distributions", "nogoods", "taxonomy", "kb_labels", "kb_edges", "kb_statements")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> verify.Sources:
@@ -24,7 +23,7 @@ def sources(spark: SparkSession, sf_dir: str) -> verify.Sources:
     first = {n: view(spark, sf_dir, n) for n in names}
     rest = {n: view(spark, sf_dir, n) for n in ("taxonomy", "distributions", "nogoods")}
     graphs = {"statements": view(spark, sf_dir, "kb_statements"), "labels": view(spark, sf_dir, "kb_labels"), "edges": view(spark, sf_dir, "kb_edges"), "part_of": paths(spark, sf_dir, "part_of"), "is_a": paths(spark, sf_dir, "is_a")}
-    return verify.Sources(**first, **rest, **graphs, now=NOW)
+    return verify.Sources(**first, **rest, **graphs, now=NOW, identifier=IDENTIFIER)
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,39 +36,43 @@ _CURRENT = f"NOT retracted AND (valid_until IS NULL OR (valid_until <> 'before_p
 _KEYS = "r.party = n.party AND r.subject = n.subject AND r.predicate = n.predicate"
 _VAGUE = "coalesce(regexp_matches(lower(trim({0})), '^(a|an|some|any) ') OR regexp_matches(lower(trim({0})), ' (that|which|where|whose|who) '), false)"
 _HEAD = "nullif(regexp_extract(lower(trim(object)), '^(?:an|a|some|any) +(.*?)(?: (?:that|which|where|whose|who|in|of|on|at|from|with|near|founded|located|bordering|borders|using) .*)?$', 1), '')"
+_NODE = "claim_id || '|' || length(subject) || '|' || subject || '|' || object"
 _FLIP = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} = (polarity = 1) THEN 'verified' ELSE 'contradicted' END"
 _STATIC = f"""{PART_OF}, {IS_A}, {DISJOINT}, chosen AS (SELECT label, min(kb_id) AS id FROM kb_labels GROUP BY label), first_name AS (SELECT kb_id, min(label) AS label FROM kb_labels GROUP BY kb_id),
   meta AS (SELECT * FROM predicates QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY id) = 1),
   siblings AS (SELECT m.predicate, arg_min(p.predicate, p.id) AS sibling FROM meta m JOIN predicates p ON p.property = m.property AND p.predicate <> m.predicate GROUP BY m.predicate),
   held AS (SELECT * FROM assertions WHERE {_CURRENT}), personas AS (SELECT DISTINCT party, object AS subject FROM held WHERE polarity = 1 AND subject = 'user' AND predicate = 'identity'),
-  known AS (SELECT entity, coalesce(arg_min(try_cast(value AS DOUBLE), stmt_id) FILTER (WHERE rank = 'preferred'), max(try_cast(value AS DOUBLE))) AS known FROM kb_statements WHERE property = 'P2284' AND rank <> 'deprecated' GROUP BY entity),
+  known AS (SELECT entity, coalesce(arg_min({QUANTITY.format('value')}, stmt_id) FILTER (WHERE rank = 'preferred'), max({QUANTITY.format('value')})) AS known FROM kb_statements WHERE property = 'P2284' AND rank <> 'deprecated' GROUP BY entity),
   kept AS (SELECT * FROM kb_statements k WHERE rank <> 'deprecated' AND (rank = 'preferred' OR NOT EXISTS (SELECT 1 FROM kb_statements p WHERE p.entity = k.entity AND p.property = k.property AND p.rank = 'preferred'))),
   spans AS (SELECT entity, property, min(start_q) AS start_q, CASE WHEN count(DISTINCT end_q) = 1 AND count(*) = count(end_q) THEN min(end_q) END AS end_q, count(*) = 1 AS only_one FROM kept GROUP BY entity, property HAVING count(DISTINCT start_q) <= 1),
   ends AS (SELECT party, subject, predicate, min(object) AS date FROM held WHERE polarity = 1 AND regexp_matches(predicate, '_(started|ended)$') GROUP BY ALL HAVING count(DISTINCT object) = 1),
   ways AS (SELECT predicate, polarity, relation, unnest(CASE verdict WHEN 'up' THEN ['child'] WHEN 'down' THEN ['parent'] WHEN 'both' THEN ['child', 'parent'] ELSE [] END) AS way
     FROM (SELECT * FROM distributions WHERE NOT retracted QUALIFY row_number() OVER (PARTITION BY predicate, polarity, relation ORDER BY id) = 1)),
-  taxa AS (SELECT DISTINCT * FROM (SELECT a AS held, relation, CASE WHEN verdict IN ('a_subsumed_by_b', 'equivalent') THEN 'parent' WHEN verdict = 'b_subsumed_by_a' THEN 'child' END AS way, b AS neighbour FROM taxonomy WHERE NOT retracted
-    UNION ALL SELECT b, relation, CASE WHEN verdict IN ('b_subsumed_by_a', 'equivalent') THEN 'parent' WHEN verdict = 'a_subsumed_by_b' THEN 'child' END, a FROM taxonomy WHERE NOT retracted) WHERE way IS NOT NULL),
+  taxa AS (SELECT held, relation, way, neighbour, min(row_id) AS row_id FROM (SELECT id AS row_id, a AS held, relation, CASE WHEN verdict IN ('a_subsumed_by_b', 'equivalent') THEN 'parent' WHEN verdict = 'b_subsumed_by_a' THEN 'child' END AS way, b AS neighbour FROM taxonomy WHERE NOT retracted
+    UNION ALL SELECT id, b, relation, CASE WHEN verdict IN ('b_subsumed_by_a', 'equivalent') THEN 'parent' WHEN verdict = 'a_subsumed_by_b' THEN 'child' END, a FROM taxonomy WHERE NOT retracted) WHERE way IS NOT NULL GROUP BY ALL),
   kin AS (SELECT DISTINCT src, dst, relation FROM (SELECT src, dst, 'is_a' AS relation FROM kb_edges WHERE property IN ('P31', 'P279') UNION ALL SELECT src, dst, 'part_of' FROM kb_edges WHERE property IN ('P131', 'P361', 'P17'))),
   kin_ways AS (SELECT c.label AS held, relation, 'parent' AS way, f.label AS neighbour FROM kin JOIN chosen c ON c.id = src JOIN first_name f ON f.kb_id = dst
     UNION SELECT held, relation, 'child', f.label FROM (SELECT c.label AS held, relation, src, row_number() OVER (PARTITION BY c.label, relation ORDER BY src) AS n FROM kin JOIN chosen c ON c.id = dst) JOIN first_name f ON f.kb_id = src WHERE n <= 20),
   barred AS (SELECT DISTINCT relation, source, target FROM nogoods WHERE NOT retracted),
   free_taxa AS (SELECT t.* FROM taxa t LEFT JOIN chosen h ON h.label = held LEFT JOIN chosen o ON o.label = neighbour WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.relation = t.relation AND b.source = CASE WHEN way = 'child' THEN o.id ELSE h.id END AND b.target = CASE WHEN way = 'child' THEN h.id ELSE o.id END)),
-  free_kin AS (SELECT t.* FROM kin_ways t LEFT JOIN chosen h ON h.label = held LEFT JOIN chosen o ON o.label = neighbour WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.relation = t.relation AND b.source = CASE WHEN way = 'child' THEN o.id ELSE h.id END AND b.target = CASE WHEN way = 'child' THEN h.id ELSE o.id END)),
+  sure AS (SELECT 'is_a' AS relation, src, dst FROM is_a UNION ALL SELECT 'part_of', src, dst FROM part_of),
+  free_kin AS (SELECT t.* FROM (SELECT t.*, CASE WHEN way = 'child' THEN o.id ELSE h.id END AS low, CASE WHEN way = 'child' THEN h.id ELSE o.id END AS high FROM kin_ways t LEFT JOIN chosen h ON h.label = held LEFT JOIN chosen o ON o.label = neighbour) t
+    WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.relation = t.relation AND b.source = low AND b.target = high)
+      AND (EXISTS (SELECT 1 FROM sure x WHERE x.relation = t.relation AND x.src = low AND x.dst = high) OR EXISTS (SELECT 1 FROM taxa x WHERE x.held = t.held AND x.relation = t.relation AND x.way = t.way AND x.neighbour = t.neighbour))),
   guarded AS (SELECT c.*, coalesce(abstention_reason, CASE WHEN user_subject AND c.subject <> c.party AND p.party IS NULL THEN 'user_subject_required' END) AS short, p.party IS NOT NULL OR coalesce(routing_hint = 'user_authoritative', false) AS own
     FROM all_claims c LEFT JOIN meta USING (predicate) LEFT JOIN personas p ON p.party = c.party AND p.subject = c.subject),
-  nodes_0 AS (SELECT claim_id || '|' || subject || '|' || object AS node_id, claim_id, party, subject, predicate, object, polarity, valid_from, valid_until, own FROM guarded WHERE short IS NULL)"""
+  nodes_0 AS (SELECT {_NODE} AS node_id, claim_id, party, subject, predicate, object, polarity, valid_from, valid_until, own FROM guarded WHERE short IS NULL)"""
 
 _LEVEL = f"""res_@ AS (SELECT n.*, coalesce(s.id, CASE WHEN regexp_matches(subject, '^O[0-9]+$') THEN subject END) AS subject_id, coalesce(o.id, CASE WHEN regexp_matches(object, '^O[0-9]+$') THEN object END) AS object_id
     FROM nodes_@ n LEFT JOIN chosen s ON s.label = subject LEFT JOIN chosen o ON o.label = object),
   resolved AS (SELECT node_id AS claim_id, predicate, subject, object, polarity, valid_from, valid_until, subject_id, object_id FROM res_@ JOIN meta USING (predicate) WHERE NOT own AND routing_hint = 'kb_resolvable'),
   {COMPARED.replace(COMPARED[: COMPARED.index("bound0 AS")], "")}, {GATED},
   amounts_@ AS (SELECT node_id, known, CASE WHEN predicate = 'priced_above' THEN known > t WHEN predicate = 'priced_below' THEN known < t END = (polarity = 1) AS good
-    FROM (SELECT *, CASE object WHEN '200,000' THEN 200000.0 WHEN '0.3 million' THEN 0.3 * 1000000.0 END AS t FROM res_@ WHERE NOT own AND predicate IN ('priced_above', 'priced_below')) LEFT JOIN known ON entity = subject_id),
+    FROM (SELECT *, {QUANTITY.format('object')} AS t FROM res_@ WHERE NOT own AND predicate IN ('priced_above', 'priced_below')) LEFT JOIN known ON entity = subject_id),
   spanned_@ AS (SELECT node_id, polarity, CASE WHEN {date_relation_sql("object", "coalesce(side, date)")} = 'match' THEN true WHEN single_valued AND uniq AND {date_relation_sql("object", "coalesce(side, date)")} = 'mismatch' THEN false END AS holds, side IS NULL AS said
     FROM (SELECT r.*, m.single_valued, CASE WHEN spans.entity IS NOT NULL THEN only_one ELSE date IS NOT NULL END AS uniq, date, CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END AS side FROM res_@ r JOIN meta m USING (predicate) LEFT JOIN spans ON entity = subject_id AND spans.property = m.property
       LEFT JOIN ends e ON e.party = r.party AND e.subject = r.subject AND e.predicate = r.predicate WHERE NOT own AND routing_hint = 'kb_interval')),
-  computed_@ AS (SELECT node_id, {_FLIP.format("(CAST(subject AS BIGINT) > CAST(object AS BIGINT))")} AS v4 FROM res_@ WHERE NOT own AND predicate = 'greater_than'),
+  computed_@ AS (SELECT node_id, {_FLIP.format(f"({STRICT.format('subject')} > {STRICT.format('object')})")} AS v4 FROM res_@ WHERE NOT own AND predicate = 'greater_than'),
   outer_@ AS (SELECT n.node_id, CASE WHEN good THEN 'verified' WHEN NOT good THEN 'contradicted' END AS v1, {_FLIP.format("holds")} AS v2, nullif(verdict, 'no_match') AS v3, v4, CASE WHEN NOT good THEN known END AS w1, contradicting_value AS w3, unconfirmed, value_known, functional_value_known, functional_entity, said
     FROM res_@ n LEFT JOIN amounts_@ USING (node_id) LEFT JOIN (SELECT node_id, holds, said FROM spanned_@) USING (node_id) LEFT JOIN grounded g ON g.claim_id = n.node_id LEFT JOIN computed_@ USING (node_id) WHERE NOT own),
   same_@ AS (SELECT node_id, min(id) AS same_id, arg_min(status, id) AS same_status FROM nodes_@ n JOIN held r ON {_KEYS} AND r.object = n.object AND r.polarity = n.polarity GROUP BY node_id),
@@ -87,19 +90,21 @@ _LEVEL = f"""res_@ AS (SELECT n.*, coalesce(s.id, CASE WHEN regexp_matches(subje
       CASE WHEN kind = 'instance' THEN 'kb' WHEN kind = 'outer' THEN outer_source WHEN upgraded THEN 'tier_u_upgrade' WHEN kind IS NOT NULL THEN 'tier_u' END AS source, coalesce(own OR (told_status <> 'externally_verified' AND NOT upgraded), false) OR (kind = 'outer' AND said0) AS given,
       CASE kind WHEN 'negated' THEN negated_id WHEN 'conflict' THEN other_id WHEN 'match' THEN match_id END AS premise, CASE WHEN kind = 'conflict' THEN other_object WHEN kind = 'outer' AND outer_source = 'kb_quantitative' THEN CAST(w1 AS VARCHAR) WHEN kind = 'outer' AND outer_source = 'kb' THEN w3 END AS value,
       coalesce(kind = 'outer' AND outer_source = 'kb' AND unconfirmed0, false) AS unconfirmed, upgraded, value_known, functional_value_known, functional_entity FROM raised_@),
-  level_@ AS (SELECT claim_id, @ AS depth, CASE WHEN @ = 0 THEN any_value(verdict) ELSE 'verified' END AS verdict, bool_or(given) FILTER (WHERE @ = 0 OR verdict = 'verified') AS given, bool_or(verdict = 'contradicted') AND bool_or(verdict = 'verified') AS conflict,
+  level_@ AS (SELECT claim_id, @ AS depth, CASE WHEN bool_or(verdict = 'contradicted') THEN 'contradicted' ELSE 'verified' END AS verdict, bool_or(given) FILTER (WHERE @ = 0 OR verdict = 'verified') AS given, bool_or(verdict = 'contradicted') AND bool_or(verdict = 'verified') AS conflict,
       min(CASE WHEN verdict = 'verified' THEN '0' ELSE '1' END || node_id) AS key FROM direct_@ WHERE verdict IS NOT NULL GROUP BY claim_id HAVING @ = 0 OR bool_or(verdict = 'verified')),
-  shown_@ AS (SELECT l.*, source, premise, value, unconfirmed FROM level_@ l JOIN direct_@ d ON d.claim_id = l.claim_id AND d.node_id = substring(l.key, 2))"""
+  shown_@ AS (SELECT l.*, source, premise, value, unconfirmed FROM level_@ l JOIN direct_@ d ON d.claim_id = l.claim_id AND d.node_id = substring(l.key, 2)),
+  deciding_@ AS (SELECT d.claim_id, d.node_id, source || CASE WHEN premise IS NULL THEN ':-:-' ELSE ':assertions:' || premise END || CASE WHEN d.given THEN ':given' ELSE ':firm' END AS lit FROM direct_@ d JOIN level_@ l ON l.claim_id = d.claim_id WHERE d.verdict IS NOT NULL AND (d.verdict = l.verdict OR l.conflict))"""
 _WIDER = f"""left_@ AS (SELECT * FROM res_@ n WHERE NOT EXISTS (SELECT 1 FROM level_@ l WHERE l.claim_id = n.claim_id) AND n.node_id IN (SELECT node_id FROM direct_@ WHERE verdict IS NULL)),
   asked_@ AS (SELECT node_id, slot, held, relation, way FROM (SELECT node_id, predicate, polarity, 'subject' AS slot, subject AS held FROM left_@ UNION ALL SELECT node_id, predicate, polarity, 'object', object FROM left_@) JOIN ways USING (predicate, polarity) WHERE held <> ''),
-  near_@ AS (SELECT DISTINCT node_id, slot, relation, neighbour FROM asked_@ JOIN free_taxa USING (held, relation, way)),
-  far_@ AS (SELECT node_id, slot, neighbour FROM asked_@ a JOIN free_kin USING (held, relation, way) JOIN direct_@ d USING (node_id) WHERE NOT EXISTS (SELECT 1 FROM near_@ t WHERE t.node_id = a.node_id AND t.relation = a.relation)
+  near_@ AS (SELECT DISTINCT node_id, slot, relation, held, neighbour, row_id FROM asked_@ JOIN free_taxa USING (held, relation, way)),
+  far_@ AS (SELECT node_id, slot, held, neighbour FROM asked_@ a JOIN free_kin USING (held, relation, way) JOIN direct_@ d USING (node_id) WHERE NOT EXISTS (SELECT 1 FROM near_@ t WHERE t.node_id = a.node_id AND t.relation = a.relation)
     AND NOT (functional_entity OR (relation = 'part_of' AND value_known) OR (relation = 'is_a' AND functional_value_known))),
-  ahead_@ AS (SELECT DISTINCT node_id, 'object' AS slot, r.object AS neighbour FROM left_@ n JOIN held r ON {_KEYS} AND r.polarity = 1 JOIN chosen c ON c.label = r.object JOIN part_of p ON p.src = c.id AND p.dst = (SELECT id FROM chosen x WHERE x.label = n.object)
-    WHERE n.polarity = 1 AND EXISTS (SELECT 1 FROM ways w WHERE w.predicate = n.predicate AND w.polarity = 1 AND relation = 'part_of' AND way = 'child')),
-  moved_@ AS (SELECT claim_id, party, CASE WHEN slot = 'subject' THEN neighbour ELSE subject END AS subject, predicate, CASE WHEN slot = 'object' THEN neighbour ELSE object END AS object, polarity, valid_from, valid_until, own
-    FROM left_@ JOIN (SELECT node_id, slot, neighbour FROM near_@ UNION SELECT node_id, slot, neighbour FROM far_@ UNION SELECT node_id, slot, neighbour FROM ahead_@) USING (node_id)),
-  nodes_# AS (SELECT DISTINCT claim_id || '|' || subject || '|' || object AS node_id, m.* FROM moved_@ m WHERE claim_id || '|' || subject || '|' || object NOT IN (SELECT node_id FROM seen_@)),
+  ahead_@ AS (SELECT node_id, n.object AS held, r.object AS neighbour, min(r.id) AS row_id FROM left_@ n JOIN held r ON {_KEYS} AND r.polarity = 1 JOIN chosen c ON c.label = r.object JOIN part_of p ON p.src = c.id AND p.dst = (SELECT id FROM chosen x WHERE x.label = n.object)
+    WHERE n.polarity = 1 AND EXISTS (SELECT 1 FROM ways w WHERE w.predicate = n.predicate AND w.polarity = 1 AND relation = 'part_of' AND way = 'child') GROUP BY ALL),
+  moved_@ AS (SELECT node_id AS parent, lit, claim_id, party, CASE WHEN slot = 'subject' THEN neighbour ELSE subject END AS subject, predicate, CASE WHEN slot = 'object' THEN neighbour ELSE object END AS object, polarity, valid_from, valid_until, own
+    FROM left_@ JOIN (SELECT node_id, slot, neighbour, 'substrate:taxonomy:' || row_id || ':firm' AS lit FROM near_@ UNION SELECT node_id, slot, neighbour, 'kb:-:-:firm' FROM far_@ UNION SELECT node_id, 'object', neighbour, 'tier_u:assertions:' || row_id || ':given' FROM ahead_@) USING (node_id)),
+  steps_# AS (SELECT * FROM (SELECT {_NODE} AS node_id, m.* FROM moved_@ m) WHERE node_id NOT IN (SELECT node_id FROM seen_@)),
+  nodes_# AS (SELECT DISTINCT * EXCLUDE (parent, lit) FROM steps_#),
   seen_# AS (SELECT node_id FROM seen_@ UNION SELECT node_id FROM nodes_#)"""
 LEVELS = 4
 
@@ -115,16 +120,54 @@ def _everything() -> str:
     levels = ", ".join(_level(k) for k in range(LEVELS))
     decided = " UNION ALL ".join(f"SELECT * FROM shown_{k}" for k in range(LEVELS))
     meta = COMPARED[: COMPARED.index("bound0 AS")].strip().rstrip(",")
-    return f"""WITH RECURSIVE {_STATIC}, {meta}, seen_0 AS (SELECT node_id FROM nodes_0), {levels}, decided AS ({decided}),
-      closed AS (SELECT g.claim_id, g.statement_id, short, own, g.subject, d.*, CASE WHEN short IS NOT NULL THEN short WHEN verdict = 'contradicted' AND {_VAGUE.format("g.subject")} THEN 'vague_subject_existential' WHEN verdict IS NULL THEN 'depth_exhausted' END AS reason
+    back = [f"""SELECT t.claim_id, [{', '.join([f's{k}.lit' for k in range(1, depth + 1)] + ['t.lit'])}] AS lits FROM deciding_{depth} t
+      {' '.join(f"JOIN steps_{k} s{k} ON s{k}.node_id = {'t.node_id' if k == depth else f's{k + 1}.parent'}" for k in range(depth, 0, -1))}""" for depth in range(LEVELS)]
+    return f"""{_STATIC}, {meta}, seen_0 AS (SELECT node_id FROM nodes_0), {levels}, decided AS ({decided}),
+      closed AS (SELECT g.claim_id, g.statement_id, short, own, g.subject, d.*, coalesce(conflict AND depth > 0, false) AS torn, CASE WHEN short IS NOT NULL THEN short WHEN conflict AND depth > 0 THEN 'conflicting_stand_ins'
+          WHEN verdict = 'contradicted' AND {_VAGUE.format("g.subject")} THEN 'vague_subject_existential' WHEN verdict IS NULL THEN 'depth_exhausted' END AS reason
         FROM guarded g LEFT JOIN (SELECT claim_id AS id, * EXCLUDE (claim_id) FROM decided) d ON d.id = g.claim_id),
-      based AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'no_grounding_found' ELSE verdict END AS base, short IS NULL AND (own OR coalesce(given, false)) AS is_given FROM closed),
-      outcome AS (SELECT claim_id, statement_id, CASE WHEN is_given THEN base || '_given_assertion' ELSE base END AS verdict, base AS base_verdict, source, reason, depth, is_given AS given, premise, CASE WHEN base = 'contradicted' THEN value END AS value, coalesce(unconfirmed, false) AS unconfirmed, coalesce(conflict, false) AS conflict FROM based)"""
-
-
-def _sql(body: str, *more: str) -> str:
-    """The whole chain and body, every table expression worked out once."""
-    made = oracle(f"{_everything()} {body}", *_VIEWS, *more)
+      based AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'no_grounding_found' ELSE verdict END AS base, short IS NULL AND (own OR coalesce(given AND NOT torn, false)) AS is_given FROM closed),
+      outcome AS (SELECT claim_id, statement_id, CASE WHEN is_given THEN base || '_given_assertion' ELSE base END AS verdict, base AS base_verdict, CASE WHEN NOT torn THEN source END AS source, reason, depth, is_given AS given, CASE WHEN NOT torn THEN premise END AS premise,
+        CASE WHEN base = 'contradicted' THEN value END AS value, coalesce(unconfirmed, false) AS unconfirmed, coalesce(conflict, false) AS conflict FROM based),
+      terms AS (SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY array_to_string(lits, ' & ')) AS INT) AS alternative, lits FROM ({' UNION '.join(back)})),
+      literals AS (SELECT claim_id, alternative, place - 1 AS literal_index, split_part(lit, ':', 1) AS source, nullif(split_part(lit, ':', 2), '-') AS source_table, CAST(nullif(split_part(lit, ':', 3), '-') AS BIGINT) AS source_row_id, split_part(lit, ':', 4) = 'given' AS is_assertion
+        FROM (SELECT claim_id, alternative, unnest(lits) AS lit, CAST(unnest(range(1, len(lits) + 1)) AS INT) AS place FROM terms))"""
+
+
+def tables_of(text: str) -> dict[str, str]:
+    """The table expressions of a WITH by name."""
+    found, depth, start, quoted = {}, 0, 0, False
+    for at, c in enumerate(f"{text},"):
+        quoted ^= c == "'"
+        if quoted:
+            continue
+        depth += (c in "([") - (c in ")]")
+        if c == "," and not depth:
+            one = text[start:at].strip()
+            found[re.match(r"\w+", one)[0]] = one
+            start = at + 1
+    return found
+
+
+_TABLES = tables_of(_everything())
+
+
+def _sql(body: str, retracted: str | None = None) -> str:
+    """body after those tables of the chain that it needs, each worked out once. retracted: a table (source_table, row_id) of rows that count as retracted."""
+    words = lambda text: set(re.findall(r"\w+", text))
+    wanted, held = words(body), set()
+    while more := (wanted & set(_TABLES)) - held:
+        held |= more
+        wanted |= set().union(*(words(_TABLES[name]) for name in more))
+    chain = ", ".join(text for name, text in _TABLES.items() if name in held)
+    views = [name for name in VIEWS if name in wanted and name not in _TABLES]
+    made = oracle(f"WITH RECURSIVE {chain} {body}" if chain else body, *views, *([retracted] if retracted else []))
+    if retracted:
+        for name in ("assertions", "taxonomy"):
+            made = re.sub(rf"\b{name} AS \(", f"{name}_before AS (", made, count=1)
+        after = ", ".join(f"{name} AS (SELECT b.* REPLACE (b.retracted OR EXISTS (SELECT 1 FROM {retracted} x WHERE x.source_table = '{name}' AND x.row_id = b.id) AS retracted) FROM {name}_before b)" for name in ("assertions", "taxonomy"))
+        first = next(name for name in _TABLES if name in held)
+        made = re.sub(rf"\b{first}\b(?= AS \(|\()", f"{after}, {first}", made, count=1)
     return re.sub(r"(?<!_all)(?<!\(src, dst\)) AS \(\s*(SELECT|WITH)", r" AS MATERIALIZED (\1", made)
 
 
@@ -132,9 +175,9 @@ QUERIES["verify_claims"] = verified
 SQL["verify_claims"] = _sql("SELECT * EXCLUDE (statement_id) FROM outcome")
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, verify.Prepared]:
+def _nodes(spark: SparkSession, sf_dir: str, walk: bool = False) -> tuple[DataFrame, DataFrame, verify.Prepared]:
     """The claims themselves as nodes, without those that guards stop; the same with ids; what levels look up."""
-    p = verify.prepare(sources(spark, sf_dir))
+    p = verify.prepare(sources(spark, sf_dir), verify.Budget() if walk else None)
     rows = verify.guards(view(spark, sf_dir, "all_claims"), p.sources).where("short IS NULL")
     nodes = rows.withColumn("node_id", verify.node_key(C("claim_id"), C("subject"), C("object"))).select(*verify.NODE)
     return nodes, verify.resolved(nodes, p), p
@@ -165,24 +208,26 @@ def _vague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What parties assert of a claim's subject inside its object, where the predicate carries upward."""
-    nodes, _, p = _nodes(spark, sf_dir)
-    found = verify.premise_forward(nodes, verify.carried(nodes, p.sources), p.sources, p.names)
+    nodes, _, p = _nodes(spark, sf_dir, walk=True)
+    found = verify.premise_forward(nodes, p)
     return nodes.select("node_id", "claim_id").join(found, "node_id").select("claim_id", C("neighbour").alias("substitute"))
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that the open claims are extended to on the first level."""
-    nodes, rows, p = _nodes(spark, sf_dir)
+    nodes, rows, p = _nodes(spark, sf_dir, walk=True)
     nodes = settle(nodes, "nodes")
     found = settle(verify.direct(settle(rows, "resolved"), p), "direct")
     left = nodes.join(found.where("verdict IS NULL").select("node_id"), "node_id", "left_semi")
-    return verify.discover(left, found, p, verify.Budget()).select("claim_id", "subject", "object", C("node_id"))
+    return verify.discover(left, found, p, verify.Budget()).select("claim_id", "subject", "object", "node_id").distinct()
 
 
 def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the taxonomy that no live nogood forbids."""
+    """The edges of the taxonomy and of the graph that may be walked, and what confirms them."""
     s = sources(spark, sf_dir)
-    return verify.vetoed(verify.taxonomy_ways(s.taxonomy), s, kb.chosen(s.labels)).select("held", "relation", "way", "neighbour")
+    names = settle(kb.chosen(s.labels), "names")
+    edges = verify.edge_ways(names.select(C("label").alias("held")), s, names, verify.Budget().incoming).union(verify.taxonomy_ways(s.taxonomy).select("held", "relation", "way", "neighbour"))
+    return verify.admitted(edges.distinct(), s, names)
 
 
 QUERIES |= {"H1_short_circuits": _guarded, "H4_direct_lookup": _direct, "H6_external_order": _external, "G15_vague_class_instance": _vague, "G14_premise_forward": _forward, "G10_discover_chains": _chains, "G11_edge_admission": _admitted}
@@ -192,20 +237,22 @@ SQL["H6_external_order"] = _sql("SELECT claim_id, coalesce(v1, v2, v3, v4) AS ve
 SQL["G15_vague_class_instance"] = _sql("SELECT claim_id FROM kinds_0 JOIN nodes_0 USING (node_id)")
 SQL["G14_premise_forward"] = _sql(f"""SELECT DISTINCT claim_id, r.object AS substitute FROM nodes_0 n JOIN held r ON {_KEYS} AND r.polarity = 1 JOIN chosen c ON c.label = r.object JOIN chosen o ON o.label = n.object JOIN part_of p ON p.src = c.id AND p.dst = o.id
   JOIN ways w ON w.predicate = n.predicate AND w.polarity = 1 AND relation = 'part_of' AND way = 'child' WHERE n.polarity = 1""")
-SQL["G10_discover_chains"] = _sql("SELECT DISTINCT claim_id, subject, object, claim_id || '|' || subject || '|' || object AS node_id FROM moved_0")
-SQL["G11_edge_admission"] = _sql("SELECT held, relation, way, neighbour FROM free_taxa")
+SQL["G10_discover_chains"] = _sql(f"SELECT DISTINCT claim_id, subject, object, {_NODE} AS node_id FROM moved_0")
+SQL["G11_edge_admission"] = _sql("""SELECT held, relation, way, neighbour, CASE WHEN EXISTS (SELECT 1 FROM sure x WHERE x.relation = t.relation AND x.src = low AND x.dst = high) THEN 'path' ELSE 'row' END AS confirmed_by
+  FROM (SELECT t.*, CASE WHEN way = 'child' THEN o.id ELSE h.id END AS low, CASE WHEN way = 'child' THEN h.id ELSE o.id END AS high FROM (SELECT held, relation, way, neighbour FROM free_taxa UNION SELECT held, relation, way, neighbour FROM free_kin) t
+    LEFT JOIN chosen h ON h.label = held LEFT JOIN chosen o ON o.label = neighbour) t""")
 
 
 def _carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the distribution of its predicate lets a neighbour stand in for a claim's slot."""
     nodes, _, p = _nodes(spark, sf_dir)
-    return nodes.select("node_id", "claim_id").join(verify.carried(nodes, p.sources), "node_id").select("claim_id", "relation", "way")
+    return nodes.select("node_id", "claim_id").join(verify.carried(nodes, p), "node_id").select("claim_id", "relation", "way")
 
 
 def _futile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open claims, by relation, whose neighbours in the graph are not worth looking at."""
     nodes, rows, p = _nodes(spark, sf_dir)
-    found = verify.direct(rows, p).where("verdict IS NULL").join(verify.carried(nodes, p.sources).select("node_id", "relation").distinct(), "node_id")
+    found = verify.direct(rows, p).where("verdict IS NULL").join(verify.carried(nodes, p).select("node_id", "relation").distinct(), "node_id")
     return found.select("claim_id", "relation", verify.futile().alias("skip"))
 
 
@@ -236,7 +283,7 @@ def _rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"G16_bounded_walk": _walked, "L6_soundness_gates": _sound, "verify_rollup": _rolled_up}
 SQL["G16_bounded_walk"] = _sql("SELECT claim_id, base_verdict, depth, reason, conflict FROM outcome WHERE depth > 0 OR reason = 'depth_exhausted'")
 SQL["L6_soundness_gates"] = _sql("""SELECT count(*) AS claims, count(*) FILTER (WHERE base_verdict = truth) AS "right", count(*) FILTER (WHERE base_verdict = 'verified' AND truth <> 'verified') AS false_verified,
-  count(*) FILTER (WHERE base_verdict = 'contradicted' AND truth <> 'contradicted') AS false_contradicted FROM outcome JOIN truths USING (claim_id)""", "truths")
+  count(*) FILTER (WHERE base_verdict = 'contradicted' AND truth <> 'contradicted') AS false_contradicted FROM outcome JOIN truths USING (claim_id)""")
 SQL["verify_rollup"] = _sql("SELECT verdict, source, reason, count(*) AS claims, count(DISTINCT statement_id) AS statements, max(depth) AS deepest FROM outcome GROUP BY verdict, source, reason")
 
 
@@ -256,3 +303,130 @@ SQL["F3_asserted_endpoints"] = _sql("SELECT party, subject, predicate, date AS a
 SQL["F4_interval_merge"] = _sql("""SELECT claim_id, coalesce(CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END, date) AS known, CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END IS NULL AS said,
   CASE WHEN spans.entity IS NOT NULL THEN only_one ELSE date IS NOT NULL END AS is_unique FROM res_0 r JOIN meta m USING (predicate) LEFT JOIN spans ON entity = subject_id AND spans.property = m.property
   LEFT JOIN ends e ON e.party = r.party AND e.subject = r.subject AND e.predicate = r.predicate WHERE routing_hint = 'kb_interval'""")
+
+
+# ---- provenance, on the walk's own steps ----
+def walked(spark: SparkSession, sf_dir: str, budget: verify.Budget = verify.Budget()) -> verify.Walk:
+    return verify.walk(view(spark, sf_dir, "all_claims"), sources(spark, sf_dir), budget)
+
+
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(verify.premises(walked(spark, sf_dir)), "premises")
+
+
+def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any literal is an assertion, how many alternatives there are, and the rows that they depend on."""
+    rows = F.count_distinct(F.when(C("source_row_id").isNotNull(), F.struct("source_table", "source_row_id")))
+    return literals(spark, sf_dir).groupBy("claim_id").agg(F.bool_or("is_assertion").alias("given_assertion"), F.max("alternative").alias("alternatives"), rows.alias("source_rows"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each alternative as a conjunction of its literals."""
+    one = F.concat_ws(":", "source", F.coalesce("source_table", F.lit("-")), F.coalesce(C("source_row_id").cast("string"), F.lit("-")), F.when(C("is_assertion"), "given").otherwise("firm"))
+    told = literals(spark, sf_dir).groupBy("claim_id", "alternative").agg(F.array_sort(F.collect_list(F.struct("literal_index", one.alias("text")))).alias("parts"))
+    return told.select("claim_id", "alternative", F.array_join(F.transform("parts", lambda x: x["text"]), " & ").alias("term"))
+
+
+def _source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a claim's verdict depends on."""
+    return literals(spark, sf_dir).where("source_row_id IS NOT NULL").select("claim_id", "source_table", "source_row_id").distinct()
+
+
+def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that some retracted row bears on."""
+    rows = view(spark, sf_dir, "retractions").select("source_table", C("row_id").alias("source_row_id"))
+    return _source_rows(spark, sf_dir).join(rows, ["source_table", "source_row_id"], "left_semi").select("claim_id").distinct()
+
+
+def _propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts that use a retracted row; stale are those that rest on an assertion."""
+    rows = view(spark, sf_dir, "retractions").select("source_table", C("row_id").alias("source_row_id")).distinct().withColumn("hit", F.lit(True))
+    told = literals(spark, sf_dir).join(rows, ["source_table", "source_row_id"], "left")
+    hit = F.when(C("hit"), F.struct("source_table", "source_row_id"))
+    return told.groupBy("claim_id").agg(F.bool_or("is_assertion").alias("stale"), F.count_distinct(hit).alias("rows_gone")).where("rows_gone > 0")
+
+
+def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that contradicted claims rest on, but for verified ones, and all claims that their retraction would bear on."""
+    w = walked(spark, sf_dir)
+    rows = settle(verify.premises(w), "premises").where("source_row_id IS NOT NULL")
+    wrong = verify.outcome(w).where("base_verdict = 'contradicted'").select("claim_id")
+    pinned = view(spark, sf_dir, "assertions").where(C("status") == party.FIRM).select(F.lit("assertions").alias("source_table"), C("id").alias("source_row_id"))
+    key = ["source_table", "source_row_id"]
+    gone = rows.join(wrong, "claim_id", "left_semi").select(*key).distinct().join(pinned, key, "left_anti")
+    return gone.join(rows, key).groupBy(*key).agg(F.count_distinct("claim_id").alias("claims"), F.bool_or("is_assertion").alias("stale"))
+
+
+def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts after the retractions; only the claims that these can bear on are verified again."""
+    s, claims = sources(spark, sf_dir), view(spark, sf_dir, "all_claims")
+    w = verify.walk(claims, s)
+    return verify.reverify(settle(verify.outcome(w), "outcome"), w, claims, s, view(spark, sf_dir, "retractions")).select("claim_id", "verdict", "source", "reason", "depth", "premise")
+
+
+def _contradicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known instead, for each statement by its first claim that has such a value."""
+    told = verified(spark, sf_dir).where("value IS NOT NULL").join(view(spark, sf_dir, "all_claims").select("claim_id", "statement_id"), "claim_id")
+    return told.groupBy("statement_id").agg(F.min_by("value", "claim_id").alias("value"))
+
+
+def nested(told: DataFrame, premises: DataFrame) -> DataFrame:
+    """C20: a row for each claim of told (claim_id, verdict, source, reason, depth) with its trace: alternatives, each with its literals in order."""
+    literal = F.struct("literal_index", "source", "source_table", "source_row_id", "is_assertion")
+    each = premises.groupBy("claim_id", "alternative").agg(F.array_sort(F.collect_list(literal)).alias("literals"))
+    ways = each.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("alternative", "literals"))).alias("alternatives"))
+    return told.join(ways, "claim_id", "left").select("claim_id", F.struct("verdict", "source", "reason", "depth", F.coalesce("alternatives", F.array().cast("array<struct<alternative:int,literals:array<struct<literal_index:int,source:string,source_table:string,source_row_id:bigint,is_assertion:boolean>>>>")).alias("alternatives")).alias("trace"))
+
+
+def _nest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = walked(spark, sf_dir)
+    return nested(verify.outcome(w), verify.premises(w))
+
+
+def _nested_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: claim, trace and premises as one row, shown as text."""
+    way = lambda a: F.array_join(F.transform(a["literals"], lambda x: F.concat_ws(":", x["source"], F.coalesce(x["source_row_id"].cast("string"), F.lit("-")))), "+")
+    return _nest(spark, sf_dir).select("claim_id", C("trace.verdict").alias("verdict"), F.size("trace.alternatives").alias("alternatives"), F.array_join(F.transform("trace.alternatives", way), " | ").alias("shown"))
+
+
+def _lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as text and back: each as JSON of a variant, parsed again; what is read out of it must be what was put in."""
+    rows = _nest(spark, sf_dir).withColumn("text", F.to_json(F.to_variant_object("trace")))
+    back = rows.withColumn("read", F.parse_json("text"))
+    get = lambda path, kind: F.try_variant_get("read", path, kind)
+    return back.select("claim_id", get("$.verdict", "string").alias("verdict"), get("$.source", "string").alias("source"), get("$.depth", "int").alias("depth"), get("$.alternatives[0].literals[0].source", "string").alias("first_source"),
+        get("$.alternatives[0].literals[0].source_row_id", "long").alias("first_row"), (F.to_json("read") == C("text")).alias("same_text"), (F.from_json("text", rows.schema["trace"].dataType) == C("trace")).alias("same_trace"))
+
+
+QUERIES |= {"J9_provenance": _provenance, "J10_terms": _terms, "J11_source_rows": _source_rows, "C19_retracted_premises": _gone, "J12_retraction_propagation": _propagated, "J14_contradiction_trace": _traced, "J15_verified_again": _again,
+    "J17_contradicting_value": _contradicting, "C20_nested_verification": _nested_text, "J16_lossless_trace": _lossless, "J10_premises": literals}
+_ROWS = "count(DISTINCT CASE WHEN source_row_id IS NOT NULL THEN source_table || '/' || source_row_id END)"
+SQL["J10_premises"] = _sql("SELECT * FROM literals")
+SQL["J9_provenance"] = _sql(f"SELECT claim_id, bool_or(is_assertion) AS given_assertion, max(alternative) AS alternatives, {_ROWS} AS source_rows FROM literals GROUP BY claim_id")
+SQL["J10_terms"] = _sql("SELECT claim_id, alternative, array_to_string(lits, ' & ') AS term FROM terms")
+SQL["J11_source_rows"] = _sql("SELECT DISTINCT claim_id, source_table, source_row_id FROM literals WHERE source_row_id IS NOT NULL")
+SQL["C19_retracted_premises"] = _sql("SELECT DISTINCT claim_id FROM literals l JOIN retractions r ON r.source_table = l.source_table AND r.row_id = l.source_row_id")
+SQL["J12_retraction_propagation"] = _sql("""SELECT claim_id, bool_or(is_assertion) AS stale, count(DISTINCT CASE WHEN hit THEN source_table || '/' || source_row_id END) AS rows_gone
+  FROM (SELECT l.*, EXISTS (SELECT 1 FROM retractions r WHERE r.source_table = l.source_table AND r.row_id = l.source_row_id) AS hit FROM literals l) GROUP BY claim_id HAVING bool_or(hit)""")
+SQL["J14_contradiction_trace"] = _sql("""SELECT source_table, source_row_id, count(DISTINCT claim_id) AS claims, bool_or(is_assertion) AS stale FROM literals l WHERE source_row_id IS NOT NULL
+  AND (source_table, source_row_id) IN (SELECT (source_table, source_row_id) FROM literals JOIN outcome USING (claim_id) WHERE base_verdict = 'contradicted')
+  AND NOT (source_table = 'assertions' AND source_row_id IN (SELECT id FROM assertions WHERE status = 'externally_verified')) GROUP BY source_table, source_row_id""")
+SQL["J15_verified_again"] = _sql("SELECT claim_id, verdict, source, reason, depth, premise FROM outcome", "retractions")
+SQL["J17_contradicting_value"] = _sql("SELECT statement_id, arg_min(value, claim_id) AS value FROM outcome WHERE value IS NOT NULL GROUP BY statement_id")
+SQL["C20_nested_verification"] = _sql("""SELECT o.claim_id, verdict, coalesce(n, 0) AS alternatives, coalesce(shown, '') AS shown FROM outcome o LEFT JOIN (SELECT claim_id, CAST(count(*) AS INT) AS n, string_agg(way, ' | ' ORDER BY alternative) AS shown
+  FROM (SELECT claim_id, alternative, string_agg(source || ':' || coalesce(CAST(source_row_id AS VARCHAR), '-'), '+' ORDER BY literal_index) AS way FROM literals GROUP BY claim_id, alternative) GROUP BY claim_id) t USING (claim_id)""")
+SQL["J16_lossless_trace"] = _sql("""SELECT o.claim_id, verdict, o.source, depth, l.source AS first_source, source_row_id AS first_row, true AS same_text, true AS same_trace FROM outcome o LEFT JOIN literals l ON l.claim_id = o.claim_id AND alternative = 1 AND literal_index = 0""")
+
+
+#: Limits under which some claims of the given tables run out.
+TIGHT = verify.Budget(work=12, probes=6)
+
+
+def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What claims have used up under tight limits, and which ran out."""
+    w = walked(spark, sf_dir, TIGHT)
+    told = verify.outcome(w).select("claim_id", "base_verdict", F.when(F.startswith("reason", F.lit("budget")), C("reason")).alias("ran_out"))
+    return told.join(w.ledger.select("claim_id", "work", "probes"), "claim_id", "left")
+
+
+QUERIES["G17_budgets"] = _limited

@@ -56,7 +56,7 @@ VIEWS = {
         SELECT c_custkey * 10 AS stmt_id, 'C' || CAST(c_custkey AS STRING) AS entity, 'P17' AS property, 'N' || CAST(c_nationkey AS STRING) AS value, 'entity' AS value_type,
           CASE c_custkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'preferred' ELSE 'normal' END AS rank,
           CASE WHEN c_custkey % 3 = 0 THEN CAST(1990 + c_custkey % 20 AS STRING) || '-03-05' END AS start_q,
-          CASE WHEN c_custkey % 24 = 0 THEN CAST(2012 + c_custkey % 9 AS STRING) || '-10-01' END AS end_q
+          CASE WHEN c_custkey % 24 IN (0, 19) THEN CAST(2012 + c_custkey % 9 AS STRING) || '-10-01' END AS end_q
         FROM {customer}
         UNION ALL SELECT c_custkey * 10 + 1, 'C' || CAST(c_custkey AS STRING), 'P17', 'N' || CAST((c_nationkey + 1) % 25 AS STRING), 'entity', 'normal',
           CASE WHEN c_custkey % 4 = 0 THEN '2001' END, CASE WHEN c_custkey % 8 = 0 THEN '2009-06' END
@@ -117,13 +117,15 @@ VIEWS = {
         UNION ALL SELECT 1000 + n_nationkey, 'transitive_path', 'part_of', 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), 'blocked', '9', false FROM {nation} WHERE n_nationkey % 9 = 4""",
     "taxonomy": """
         SELECT n_nationkey * 10 AS id, n_name AS a, r_name AS b, 'part_of' AS relation, 'a_subsumed_by_b' AS verdict, n_nationkey % 7 = 6 AS retracted FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
+        UNION ALL SELECT 5000 + r_regionkey, r_name, 'World', 'part_of', 'a_subsumed_by_b', false FROM {region}
+        UNION ALL SELECT 6000, 'World', 'Universe', 'part_of', 'a_subsumed_by_b', false
         UNION ALL SELECT n_nationkey * 10 + 1, r_name, n_name, 'part_of', CASE n_nationkey % 4 WHEN 0 THEN 'unrelated' ELSE 'b_subsumed_by_a' END, false FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0
         UNION ALL SELECT DISTINCT 100000 + CAST(substring(p_brand, 7, 9) AS INT), p_brand, 'Maker#' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'is_a', 'a_subsumed_by_b', false FROM {part}
         UNION ALL SELECT DISTINCT 200000 + CAST(substring(p_brand, 7, 9) AS INT), p_brand, 'Maker#' || CAST(CAST(substring(p_brand, 7, 9) AS INT) % 5 AS STRING), 'is_a',
           CASE CAST(substring(p_brand, 7, 9) AS INT) % 6 WHEN 0 THEN 'unrelated' ELSE 'a_subsumed_by_b' END, false FROM {part} WHERE CAST(substring(p_brand, 7, 9) AS INT) % 3 = 0""",
     "claims": """
         SELECT c_custkey * 4 AS claim_id, c_custkey AS statement_id, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'based_in' END AS predicate,
-          CASE WHEN c_custkey % 24 = 10 THEN p_name WHEN c_custkey % 16 = 2 THEN 'Union ' || CAST(c_nationkey % 4 AS STRING) WHEN c_custkey % 4 = 0 THEN t.n_name WHEN c_custkey % 4 = 1 THEN u.n_name WHEN c_custkey % 4 = 2 THEN r_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'nowhere at all' ELSE 'a place near ' || t.n_name END END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
+          CASE WHEN c_custkey % 24 = 10 THEN p_name WHEN c_custkey % 12 = 1 THEN t.n_name WHEN c_custkey % 16 = 2 THEN 'Union ' || CAST(c_nationkey % 4 AS STRING) WHEN c_custkey % 4 = 0 THEN t.n_name WHEN c_custkey % 4 = 1 THEN u.n_name WHEN c_custkey % 4 = 2 THEN r_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'nowhere at all' ELSE 'a place near ' || t.n_name END END AS object, 1 - CAST(c_custkey % 5 = 0 AS INT) AS polarity,
           'user_' || CAST(c_custkey % 150 AS STRING) AS party, CASE WHEN c_custkey % 6 < 2 THEN CAST(1995 + c_custkey % 15 AS STRING) END AS valid_from,
           CASE WHEN c_custkey % 10 = 4 THEN 'before_present' END AS valid_until
         FROM {customer} JOIN {nation} t ON t.n_nationkey = c_nationkey JOIN {nation} u ON u.n_nationkey = (c_nationkey + 1 + c_custkey % 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
@@ -164,7 +166,7 @@ VIEWS = {
     "all_claims": """
         SELECT claim_id, statement_id, subject, predicate, object, polarity, party, valid_from, valid_until, CAST(NULL AS STRING) AS abstention_reason FROM claims
         UNION ALL SELECT claim_id + 10000000000, claim_id, subject, predicate, object, polarity, party, NULL, NULL, NULL FROM party_claims
-        UNION ALL SELECT s_suppkey * 10 + 20000000000, s_suppkey, s_name, 'ships_from', CASE s_suppkey % 4 WHEN 0 THEN t.n_name WHEN 1 THEN r_name WHEN 2 THEN u.n_name ELSE 'a country that trades' END,
+        UNION ALL SELECT s_suppkey * 10 + 20000000000, s_suppkey, s_name, 'ships_from', CASE s_suppkey % 4 WHEN 0 THEN t.n_name WHEN 1 THEN r_name WHEN 2 THEN u.n_name ELSE CASE s_suppkey % 16 WHEN 3 THEN 'World' WHEN 7 THEN 'Universe' ELSE 'a country that trades' END END,
           1 - CAST(s_suppkey % 7 = 0 AS INT), 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL, NULL
         FROM {supplier} JOIN {nation} t ON t.n_nationkey = s_nationkey JOIN {nation} u ON u.n_nationkey = (s_nationkey + 3) % 25 JOIN {region} ON r_regionkey = t.n_regionkey
         UNION ALL SELECT s_suppkey * 10 + 20000000001, s_suppkey, s_name, 'located_in', CASE WHEN s_suppkey % 2 = 0 THEN t.n_name ELSE u.n_name END, 1, 'user_' || CAST(s_suppkey % 150 AS STRING), NULL, NULL,
@@ -175,14 +177,28 @@ VIEWS = {
         UNION ALL SELECT p_partkey * 10 + 30000000000, p_partkey, 'Part#' || CAST(p_partkey AS STRING), 'made_by', CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE 'Maker#' || CAST((CAST(substring(p_brand, 7, 9) AS INT) + p_partkey % 2) % 5 AS STRING) END,
           1, 'user_' || CAST(p_partkey % 150 AS STRING), NULL, NULL, NULL FROM {part}
         UNION ALL SELECT o_orderkey + 40000000000, o_custkey, CAST(o_orderkey % 5000 AS STRING), 'greater_than', CAST(o_custkey AS STRING), 1 - CAST(o_orderkey % 8 = 0 AS INT), 'user_1', NULL, NULL, NULL FROM {orders}
-        UNION ALL SELECT c_custkey * 10 + 50000000000, c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN 'residence_ended' ELSE 'residence_started' END, CASE c_custkey % 3 WHEN 0 THEN CAST(1990 + c_custkey % 20 AS STRING) ELSE '1994' END,
+        UNION ALL SELECT c_custkey * 10 + 50000000000, c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN 'residence_ended' ELSE 'residence_started' END, CASE WHEN c_custkey % 48 = 19 THEN CAST(2012 + c_custkey % 9 AS STRING) WHEN c_custkey % 3 = 0 THEN CAST(1990 + c_custkey % 20 AS STRING) ELSE '1994' END,
           1 - CAST(c_custkey % 5 = 2 AS INT), 'user_' || CAST(c_custkey % 150 AS STRING), NULL, NULL, NULL FROM {customer}""",
     "truths": """
-        SELECT c_custkey * 4 AS claim_id, CASE WHEN (c_custkey % 4 IN (0, 2)) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END AS truth FROM {customer} WHERE c_custkey % 4 < 3 AND c_custkey % 16 <> 2 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
+        SELECT c_custkey * 4 AS claim_id, CASE WHEN (c_custkey % 4 IN (0, 2) OR c_custkey % 12 = 1) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END AS truth FROM {customer} WHERE c_custkey % 4 < 3 AND c_custkey % 16 <> 2 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
         UNION ALL SELECT c_custkey * 4, CASE WHEN (c_nationkey % 3 <> 0) = (c_custkey % 5 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 16 = 2 AND c_nationkey % 4 <> 3 AND c_custkey % 24 NOT IN (0, 10) AND c_custkey % 11 <> 0
-        UNION ALL SELECT c_custkey * 4 + 3, CASE WHEN (c_custkey % 3 <> 0) = (c_custkey % 6 <> 5) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 24 <> 0 AND c_custkey % 11 <> 0
+        UNION ALL SELECT c_custkey * 4 + 3, CASE WHEN (c_custkey % 3 <> 0) = (c_custkey % 6 <> 5) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE c_custkey % 24 NOT IN (0, 19) AND c_custkey % 11 <> 0
         UNION ALL SELECT s_suppkey * 10 + 20000000001, CASE WHEN s_suppkey % 2 = 0 THEN 'verified' ELSE 'contradicted' END FROM {supplier}
-        UNION ALL SELECT o_orderkey + 40000000000, CASE WHEN (o_orderkey % 5000 > o_custkey) = (o_orderkey % 8 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders}""",
+        UNION ALL SELECT o_orderkey + 40000000000, CASE WHEN (o_orderkey % 5000 > o_custkey) = (o_orderkey % 8 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders}
+        UNION ALL SELECT o_orderkey * 4 + 1, CASE WHEN (o_orderkey % 5 <> 2) = (o_orderkey % 7 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {orders} WHERE o_orderkey % 5 <> 3
+        UNION ALL SELECT o_orderkey * 4 + 2, CASE WHEN CASE o_orderkey % 2 WHEN 0 THEN floor(o_totalprice) > CASE o_orderkey % 3 WHEN 0 THEN 200000 ELSE 300000 END ELSE floor(o_totalprice) < CASE o_orderkey % 3 WHEN 0 THEN 200000 ELSE 300000 END END = (o_orderkey % 4 <> 0) THEN 'verified' ELSE 'contradicted' END
+        FROM {orders} WHERE o_orderkey % 3 < 2 AND o_orderkey % 6 <> 1
+        UNION ALL SELECT s_suppkey * 10 + 20000000000, CASE WHEN (s_suppkey % 4 <> 2) = (s_suppkey % 7 <> 0) THEN 'verified' ELSE 'contradicted' END FROM {supplier} WHERE s_suppkey % 9 <> 0
+        UNION ALL SELECT p_partkey * 10 + 30000000000, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'verified' ELSE 'contradicted' END FROM {part}
+        UNION ALL SELECT c_custkey * 10 + 50000000000, CASE WHEN (c_custkey % 48 = 19 OR c_custkey % 3 = 0) = (c_custkey % 5 <> 2) THEN 'verified' ELSE 'contradicted' END FROM {customer} WHERE (c_custkey % 24 = 19 OR (c_custkey % 3 = 0 AND c_custkey % 4 <> 3)) AND c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
+        UNION ALL SELECT c.claim_id + 10000000000, CASE WHEN c.polarity = k.polarity THEN 'verified' ELSE 'contradicted' END FROM party_claims c JOIN (SELECT party, subject, predicate, min(object) AS object, min(polarity) AS polarity FROM tier_u
+            WHERE NOT retracted AND (valid_until IS NULL OR (valid_until <> 'before_present' AND valid_until > '2024-01-15')) GROUP BY party, subject, predicate HAVING count(DISTINCT object) = 1 AND count(DISTINCT polarity) = 1) k
+          ON k.party = c.party AND k.subject = c.subject AND k.predicate = c.predicate AND k.object = c.object""",
+    "retractions": """
+        SELECT 'assertions' AS source_table, event_id AS row_id FROM {events} WHERE event_type = 'signup' AND value > 100
+        UNION ALL SELECT 'assertions', s_suppkey + 10000000000 FROM {supplier} WHERE s_acctbal < 1000
+        UNION ALL SELECT 'assertions', s_suppkey + 40000000000 FROM {supplier} WHERE s_acctbal < 3000
+        UNION ALL SELECT 'taxonomy', n_nationkey * 10 FROM {nation} WHERE n_name < 'B'""",
     "verdicts": """
         SELECT doc_id AS claim_id, CAST(floor(doc_id / 8) AS BIGINT) AS verification_id, CAST(floor(doc_id / 3) AS BIGINT) AS statement_id,
           CASE doc_id % 11 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'verified_given_assertion' WHEN 3 THEN 'contradicted_given_assertion'

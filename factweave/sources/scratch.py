@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """settle() of several tables that don't depend on each other, by name; their jobs run side by side."""
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(frames, pool.map(settle, frames.values(), frames), strict=True))

@@ -1,15 +1,20 @@
-"""Streaming forms: the sliding-window limit as keyed state, and the revision of assertions batch by batch."""
+"""Streaming forms: the sliding-window limit and the revision of assertions as keyed state, and the verification store as a sink."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from factweave.operators.party import allowed, is_current
+from factweave.operators.party import COLUMNS, KEY, WRITE, Belief, allowed
 
 
 def limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:
@@ -33,11 +38,147 @@ def limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:
         judge, "event_id long, key string, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+LATE = "late"
+
+
+class Kept:
+    """A dictionary of a Belief whose entries are a map state's: read when asked for, written back when the batch is done."""
+
+    def __init__(self, state: Any, load: Callable[[tuple], Any], store: Callable[[Any], tuple]):
+        self.state, self.load, self.store, self.held = state, load, store, {}
+
+    def _key(self, key: Any) -> tuple:
+        return key if isinstance(key, tuple) else (key,)
+
+    def get(self, key: Any, default: Any = None) -> Any:
+        if key not in self.held and self.state.containsKey(self._key(key)):
+            self.held[key] = self.load(self.state.getValue(self._key(key)))
+        return self.held.get(key, default)
+
+    def setdefault(self, key: Any, default: Any) -> Any:
+        found = self.get(key)
+        if found is None:
+            found = self.held[key] = default
+        return found
+
+    def __setitem__(self, key: Any, value: Any) -> None:
+        self.held[key] = value
+
+    def __iter__(self) -> Iterator:
+        yield from list(self.held)
+        for key in self.state.keys():
+            key = tuple(key) if len(key) > 1 else key[0]
+            if key not in self.held:
+                yield key
+
+    def save(self) -> None:
+        for key, value in self.held.items():
+            self.state.updateValue(self._key(key), self.store(value))
+
+
+def _pack(values: set) -> tuple:
+    return (json.dumps(sorted((list(v) if isinstance(v, tuple) else v for v in values), key=str)),)
+
+
+def _unpack(row: tuple) -> set:
+    return {tuple(v) if isinstance(v, list) else v for v in json.loads(row[0])}
+
+
+class Revision(StatefulProcessor):
+    """The writes of one (party, subject, predicate): what earlier micro-batches left of them is its state.
+
+    last: by object the last write on it; firm: by object and polarity the scopes of externally verified rows; starts: by
+    object and polarity the starts of rows that can be closed; rest: how many writes were taken, the last id, and the last two
+    positive writes on different objects. Only the entries of objects that a batch writes on are read.
+    """
+
+    def __init__(self, functional: list[str]):
+        self.functional = set(functional)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "object string", "place long, time string, polarity int, valid_from string, valid_until string, firm boolean")
+        self.firm = handle.getMapState("firm", "object string, polarity int", "scopes string")
+        self.starts = handle.getMapState("starts", "object string, polarity int", "starts string")
+        self.rest = handle.getValueState("rest", "n long, last_id long, positive string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("id")
+        belief = Belief(key[2] in self.functional)
+        belief.last, belief.firm, belief.starts = Kept(self.last, tuple, tuple), Kept(self.firm, _unpack, _pack), Kept(self.starts, _unpack, _pack)
+        seen = -(2**63)
+        if self.rest.exists():
+            n, seen, positive = self.rest.get()
+            belief.n, belief.positive = n, [tuple(x) for x in json.loads(positive)]
+        status = []
+        for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+            status.append(belief.take(row) if row["id"] > seen else LATE)
+            seen = max(seen, row["id"])
+        for kept in (belief.last, belief.firm, belief.starts):
+            kept.save()
+        self.rest.update((belief.n, int(seen), json.dumps(belief.positive)))
+        yield frame.assign(status=status)[[s is not None for s in status]]
+
+    def close(self) -> None:
+        pass
+
+
+def revise_stream(writes: DataFrame, functional: list[str]) -> DataFrame:
+    """A stream of writes (party.COLUMNS) as they are taken, with the status that each gets; party.closed() of them gives what they leave.
+
+    Micro-batches are judged one after the other, a key's writes within one in order of id; they are put in order in memory, so
+    the size of micro-batches bounds what a task holds of a key. A write with an id below one of its key that an earlier
+    micro-batch took comes too late to be judged: it has the status "late", and nothing depends on it. State is kept for
+    good, as any later write may depend on it. Needs the state store provider of RocksDB.
+    """
+    return writes.select(*COLUMNS).groupBy(*KEY).transformWithStateInPandas(Revision(functional), WRITE, "append", "none")
+
+
+PARTS = 16
+VERDICTS = ("verified", "contradicted", "no_grounding_found")
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        return spark.createDataFrame([], schema)
+
+
+class VerificationStore:
+    """A store of verifications in one folder, written by micro-batches: rows (laid out by part), rejected, and a ledger of batches.
+
+    A batch replaces the rows of its verifications and no others. Batches that the ledger holds are left alone, so one that is
+    replayed changes nothing; a batch whose write broke off before its ledger entry is written again with the same result.
+    A claim without ids, or with a verdict that there is none of, is set aside with its batch; the others are stored.
+    """
+
+    def __init__(self, path: str):
+        self.rows, self.rejected, self.ledger, self.staged = f"{path}/rows", f"{path}/rejected", f"{path}/ledger", f"{path}/staged"
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not _read(spark, self.ledger, StructType().add("batch_id", "long")).where(F.col("batch_id") == batch_id).isEmpty():
+            return
+        sound = F.col("verification_id").isNotNull() & F.col("claim_id").isNotNull() & F.coalesce(F.regexp_replace("verdict", "_given_assertion$", "").isin(*VERDICTS), F.lit(False))
+        batch.where(~sound).withColumn("batch_id", F.lit(batch_id).cast("long")).write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.rejected)
+        fresh = batch.where(sound).withColumn("part", F.pmod(F.xxhash64("verification_id"), F.lit(PARTS)).cast("int"))
+        stored = _read(spark, self.rows, fresh.schema)
+        kept = stored.join(fresh.select("part").distinct(), "part", "left_semi").join(fresh.select("verification_id").distinct(), "verification_id", "left_anti")
+        staged = f"{self.staged}/{batch_id}"  # what is read can't be overwritten in one go
+        kept.select(*fresh.columns).union(fresh).write.mode("overwrite").parquet(staged)
+        spark.read.schema(fresh.schema).parquet(staged).repartition("part").write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.rows)
+        spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode("append").parquet(self.ledger)
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        return _read(spark, self.rows, schema)
+
+
+def store_stream(verdicts: DataFrame, store: VerificationStore, checkpoint: str, **trigger: Any) -> Any:
+    """Starts the sink of a stream of verdicts (verification_id, claim_id, verdict, ...)."""
+    return verdicts.writeStream.foreachBatch(store.write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def windowed_counts(events: DataFrame, time: str, size: str, late: str) -> DataFrame:
     """Events by window and type, with a watermark: what comes later than that is left out."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
-
-def current_view(assertions: DataFrame, now: str) -> DataFrame:
-    """The rows of a stream of assertions that hold now; stateless."""
-    return assertions.where(is_current(now))

@@ -133,7 +133,7 @@ def small_world(spark):
     taxonomy = frame([(1, "Nord", "Alpha", "part_of", "a_subsumed_by_b", False), (2, "Ost", "Alpha", "part_of", "a_subsumed_by_b", False), (3, "Sued", "Beta", "part_of", "a_subsumed_by_b", False)], "id long, a string, b string, relation string, verdict string, retracted boolean")
     carries = frame([(1, "ships_from", 1, "part_of", "up", False)], "id long, predicate string, polarity int, relation string, verdict string, retracted boolean")
     nogoods = frame([], "id long, kind string, relation string, source string, target string, reason string, last_used string, retracted boolean")
-    return verify.Sources(predicates, bindings, said, statements, labels, edges, graph.transitive_paths(edges, graph.PATHS["part_of"]), graph.transitive_paths(edges, graph.PATHS["is_a"]), taxonomy, carries, nogoods, "2024-01-15T00:00:00")
+    return verify.Sources(predicates, bindings, said, statements, labels, edges, graph.part_of_paths(edges, ("country",)), graph.transitive_paths(edges, graph.PATHS["is_a"]), taxonomy, carries, nogoods, "2024-01-15T00:00:00")
 
 
 def test_claims_through_all_sources(spark):
@@ -160,7 +160,8 @@ def test_literal_and_mistyped_values_do_not_contradict_entities(spark):
     rows = [(1, "F9", "P17", "somewhere", "literal", "normal", None, None), (2, "F8", "P17", "1999-01-01", "date", "normal", None, None), (3, "F7", "P17", "n1", "entity", "normal", None, None)]
     statements = spark.createDataFrame(rows, s.statements.schema)
     asked = spark.createDataFrame([(i, 0, "P17", False, True, False, None, "entity", True, 1, None, None, f"F{10 - i}", "N1", "Nord") for i in (1, 2, 3)], "claim_id long, place int, property string, inverted boolean, single_valued boolean, gated boolean, object_class string, object_type string, is_location boolean, polarity int, valid_from string, valid_until string, lookup string, expected_id string, expected string")
-    got = {r["claim_id"]: (r["verdict"], r["reason"]) for r in kb.compare(asked, statements, s.part_of, graph.place_table(s.part_of, s.is_a), s.labels, F.to_date(F.lit("2024-01-15"))).collect()}
+    place = graph.place_table(s.part_of, s.is_a)
+    got = {r["claim_id"]: (r["verdict"], r["reason"]) for r in kb.compare(asked, kb.with_values(statements, place, s.labels), s.part_of, place, F.to_date(F.lit("2024-01-15"))).collect()}
     assert got == {1: ("no_match", "entity_claim_vs_literal_value"), 2: ("no_match", "value_type_object_type_mismatch"), 3: ("verified", None)}
 
 
