@@ -68,6 +68,42 @@ def metrics(cases: DataFrame) -> DataFrame:
         F.count_if(wrong & (C("v") == "contradicted") & (C("ground_truth") == "abstain")).alias("false_contradicted_open"))
 
 
+def derived_metrics(cases: DataFrame) -> DataFrame:
+    """Per failure mode: what kinds of error the run and its baseline make, and which of the two is right.
+
+    fp_correction: contradicted though true; fp_abstention: abstained though true; fn_miss: verified though false;
+    fv_on_abstain: verified though open. Those of the baseline begin with base_.
+    """
+    rows = cases.withColumns({"v": abstained(C("verdict")), "b": abstained(C("baseline"))})
+    truth = C("ground_truth")
+    kinds = {"fp_correction": ("contradicted", "verified"), "fp_abstention": ("abstain", "verified"), "fn_miss": ("verified", "contradicted"), "fv_on_abstain": ("verified", "abstain")}
+    errors = [F.count_if((C(c) == said) & (truth == true)).alias(f"{prefix}{name}") for c, prefix in (("v", ""), ("b", "base_")) for name, (said, true) in kinds.items()]
+    right, base = C("v") == truth, C("b") == truth
+    agreement = [F.count_if(right & ~base).alias("wins"), F.count_if(~right & base).alias("hurts"), F.count_if(right & base).alias("both"), F.count_if(~right & ~base).alias("neither")]
+    return rows.groupBy("failure_mode").agg(*errors, *agreement, F.count(F.lit(1)).alias("total"))
+
+
+#: What a release has to reach: fixed values. The largest share of false verifications; how far accuracy has to be above the
+#: baseline's; a gain that counts as large, and in how many failure modes it has to be reached.
+FALSE_VERIFIED, GAIN, LARGE_GAIN, LARGE_MODES = 0.05, 0.15, 0.20, 4
+
+
+def acceptance(cases: DataFrame) -> DataFrame:
+    """One row: the medians over runs that the four criteria are about, and whether each is met and all are."""
+    v, b, truth = abstained(C("verdict")), abstained(C("baseline")), C("ground_truth")
+    share = lambda test: F.avg(test.cast("double"))
+    each = cases.groupingSets([[C("run_id"), C("failure_mode")], [C("run_id")]], "run_id", "failure_mode").agg(
+        F.grouping("failure_mode").alias("whole"), share((v == "verified") & (truth != "verified")).alias("fv"), share(v == truth).alias("accuracy"), share(b == truth).alias("base"))
+    median = lambda c: F.expr(f"percentile({c}, 0.5)")
+    over = each.groupBy("failure_mode", "whole").agg(median("fv").alias("fv"), median("accuracy").alias("accuracy"), median("base").alias("base"))
+    whole = lambda c: F.max(F.when(C("whole") == 1, c))
+    of_mode = C("whole") == 0
+    told = over.agg(whole(C("fv")).alias("false_verified"), whole(C("accuracy") - C("base")).alias("gain"), F.count_if(of_mode & (C("accuracy") < C("base"))).alias("regressions"),
+        F.count_if(of_mode & (C("accuracy") - C("base") >= LARGE_GAIN)).alias("large_gains"))
+    met = {"few_false": C("false_verified") <= FALSE_VERIFIED, "gained": C("gain") >= GAIN, "no_regression": C("regressions") == 0, "large_enough": C("large_gains") >= LARGE_MODES}
+    return told.withColumns(met).withColumn("accepted", C("few_false") & C("gained") & C("no_regression") & C("large_enough"))
+
+
 CUTS = 200
 
 

@@ -49,21 +49,22 @@ QUERIES["L5_accuracy_metrics"] = lambda s, d: rollup.metrics(view(s, d, "cases")
 SQL["L5_accuracy_metrics"] = oracle(f"SELECT failure_mode, {_METRICS} FROM (SELECT *, {_V} AS v FROM (SELECT * FROM cases)) GROUP BY GROUPING SETS ((failure_mode), ())", "cases")
 
 
-def _against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right, base = rollup.abstained(C("verdict")) == C("ground_truth"), C("baseline") == C("ground_truth")
-    return view(spark, sf_dir, "cases").groupBy("failure_mode").agg(F.count_if(right & ~base).alias("wins"), F.count_if(~right & base).alias("hurts"), F.count_if(right & base).alias("both"), F.count_if(~right & ~base).alias("neither"))
-
-
-QUERIES["L7_against_baseline"] = _against_baseline
-SQL["L7_against_baseline"] = oracle(f"""SELECT failure_mode, count(*) FILTER (WHERE r AND NOT b) AS wins, count(*) FILTER (WHERE NOT r AND b) AS hurts, count(*) FILTER (WHERE r AND b) AS "both", count(*) FILTER (WHERE NOT r AND NOT b) AS neither
-  FROM (SELECT failure_mode, {_V} = ground_truth AS r, baseline = ground_truth AS b FROM cases) GROUP BY failure_mode""", "cases")
+QUERIES["L7_derived_metrics"] = lambda s, d: rollup.derived_metrics(view(s, d, "cases"))
+_KINDS = {"fp_correction": ("contradicted", "verified"), "fp_abstention": ("abstain", "verified"), "fn_miss": ("verified", "contradicted"), "fv_on_abstain": ("verified", "abstain")}
+_ERRORS = ", ".join(f"count(*) FILTER (WHERE {c} = '{said}' AND ground_truth = '{true}') AS {prefix}{name}" for c, prefix in (("v", ""), ("baseline", "base_")) for name, (said, true) in _KINDS.items())
+SQL["L7_derived_metrics"] = oracle(f"""SELECT failure_mode, {_ERRORS}, count(*) FILTER (WHERE r AND NOT b) AS wins, count(*) FILTER (WHERE NOT r AND b) AS hurts, count(*) FILTER (WHERE r AND b) AS "both", count(*) FILTER (WHERE NOT r AND NOT b) AS neither, count(*) AS total
+  FROM (SELECT *, {_V} AS v, {_V} = ground_truth AS r, baseline = ground_truth AS b FROM cases) GROUP BY failure_mode""", "cases")
 QUERIES["L8_latency"] = lambda s, d: rollup.latency(view(s, d, "cases"))
 SQL["L8_latency"] = oracle("""WITH r AS (SELECT run_id, latency, row_number() OVER (PARTITION BY run_id ORDER BY latency, case_id) AS n, count(*) OVER (PARTITION BY run_id) AS n_all FROM cases)
   SELECT run_id, median(latency) AS median, max(latency) FILTER (WHERE n = greatest(CAST(floor(n_all * 0.95) AS BIGINT), 1)) AS p95, max(latency) AS longest, sum(latency) AS total FROM r GROUP BY run_id""", "cases")
 QUERIES["L9_across_runs"] = lambda s, d: rollup.latency(view(s, d, "cases")).agg(F.expr("percentile(total, 0.5)").alias("median_total"), F.min("total").alias("least"), F.max("total").alias("most"), F.count(F.lit(1)).alias("runs"))
 SQL["L9_across_runs"] = oracle("SELECT median(t) AS median_total, min(t) AS least, max(t) AS most, count(*) AS runs FROM (SELECT run_id, sum(latency) AS t FROM cases GROUP BY run_id)", "cases")
-QUERIES["L10_acceptance"] = lambda s, d: view(s, d, "cases").groupBy("run_id").agg(F.avg((rollup.abstained(C("verdict")) == C("ground_truth")).cast("double")).alias("accuracy")).agg((F.expr("percentile(accuracy, 0.5)") >= 0.6).alias("accepted"))
-SQL["L10_acceptance"] = oracle(f"SELECT median(a) >= 0.6 AS accepted FROM (SELECT run_id, avg(CAST({_V} = ground_truth AS DOUBLE)) AS a FROM cases GROUP BY run_id)", "cases")
+QUERIES["L10_acceptance"] = lambda s, d: rollup.acceptance(view(s, d, "cases"))
+SQL["L10_acceptance"] = oracle(f"""WITH e AS (SELECT run_id, failure_mode, grouping(failure_mode) AS whole, avg(CAST(v = 'verified' AND ground_truth <> 'verified' AS DOUBLE)) AS fv, avg(CAST(v = ground_truth AS DOUBLE)) AS a, avg(CAST(baseline = ground_truth AS DOUBLE)) AS b
+    FROM (SELECT *, {_V} AS v FROM cases) GROUP BY GROUPING SETS ((run_id, failure_mode), (run_id))),
+  m AS (SELECT failure_mode, whole, median(fv) AS fv, median(a) AS a, median(b) AS b FROM e GROUP BY failure_mode, whole),
+  t AS (SELECT max(fv) FILTER (WHERE whole = 1) AS false_verified, max(a - b) FILTER (WHERE whole = 1) AS gain, count(*) FILTER (WHERE whole = 0 AND a < b) AS regressions, count(*) FILTER (WHERE whole = 0 AND a - b >= 0.2) AS large_gains FROM m)
+  SELECT *, false_verified <= 0.05 AS few_false, gain >= 0.15 AS gained, regressions = 0 AS no_regression, large_gains >= 4 AS large_enough, false_verified <= 0.05 AND gain >= 0.15 AND regressions = 0 AND large_gains >= 4 AS accepted FROM t""", "cases")
 QUERIES["L11_corpus_threshold"] = lambda s, d: view(s, d, "cases").groupBy("failure_mode").agg(F.count_if(rollup.abstained(C("verdict")) == C("ground_truth")).alias("passed"), F.count(F.lit(1)).alias("total")).select("failure_mode", "passed", "total", (C("passed") >= 0.3 * C("total")).alias("reached"))
 SQL["L11_corpus_threshold"] = oracle(f"SELECT failure_mode, count(*) FILTER (WHERE {_V} = ground_truth) AS passed, count(*) AS total, count(*) FILTER (WHERE {_V} = ground_truth) >= 0.3 * count(*) AS reached FROM cases GROUP BY failure_mode", "cases")
 QUERIES["C21_case_results"] = lambda s, d: view(s, d, "cases").select("case_id", rollup.abstained(C("verdict")).alias("verdict"))

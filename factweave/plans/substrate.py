@@ -362,8 +362,6 @@ QUERIES["A5_seed_upsert"] = lambda s, d: substrate.upsert(view(s, d, "mappings")
 SQL["A5_seed_upsert"] = oracle("WITH n AS (SELECT * FROM mappings WHERE id % 3 = 0) SELECT id, predicate, property, pinned FROM mappings m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.predicate = m.predicate AND n.property = m.property) UNION ALL SELECT id, predicate, property, true FROM n", "mappings")
 QUERIES["A8_json_lines"] = lambda s, d: files.json_round_trip(view(s, d, "cases").select("case_id", "failure_mode", "ground_truth"), "cases")
 SQL["A8_json_lines"] = oracle("SELECT case_id, failure_mode, ground_truth FROM cases", "cases")
-QUERIES["A13_label_type_lookup"] = lambda s, d: view(s, d, "kb_labels").join(view(s, d, "kb_edges").where("property = 'P31' AND dst IN ('country', 'continent')").select(C("src").alias("kb_id")), "kb_id", "left_semi").select("label", "kb_id")
-SQL["A13_label_type_lookup"] = oracle("SELECT label, kb_id FROM kb_labels WHERE kb_id IN (SELECT src FROM kb_edges WHERE property = 'P31' AND dst IN ('country', 'continent'))", "kb_labels", "kb_edges")
 
 
 QUERIES["M8_percentile_index"] = lambda s, d: rollup.values_at(s.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", lambda n: F.array(rollup.p95_place(n))).select("o_orderpriority", C("value").alias("p95"))
@@ -389,8 +387,27 @@ def _role_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["M10_type_overlap"] = _role_overlap
 SQL["M10_type_overlap"] = oracle("""WITH s AS (SELECT DISTINCT property, subject_type AS t FROM mappings WHERE NOT retracted AND subject_type IS NOT NULL), o AS (SELECT DISTINCT property, object_type AS t FROM mappings WHERE NOT retracted AND object_type IS NOT NULL), b AS (SELECT property, t FROM s JOIN o USING (property, t))
   SELECT property, property IN (SELECT property FROM b) AS overlap, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM b WHERE b.property = p.property), '') AS common FROM (SELECT DISTINCT property FROM mappings WHERE NOT retracted) p""", "mappings")
-QUERIES["M12_ordered_dedupe"] = lambda s, d: view(s, d, "tier_u").groupBy("party", "object").agg(F.min("id").alias("first_id"))
-SQL["M12_ordered_dedupe"] = oracle("SELECT party, object, min(id) AS first_id FROM tier_u GROUP BY party, object", "tier_u")
+
+
+def _by_label_and_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by label or alias and a class that they are instances of, in any number of steps."""
+    names = view(spark, sf_dir, "kb_labels").select("kb_id", C("label").alias("name")).union(view(spark, sf_dir, "aliases").select("kb_id", "alias"))
+    classes = paths(spark, sf_dir, "is_a").select(C("src").alias("kb_id"), C("dst").alias("class"))
+    return names.distinct().join(classes, "kb_id").groupBy("name", "class").agg(F.min("kb_id").alias("kb_id"), F.count_distinct("kb_id").alias("candidates"))
+
+
+QUERIES["A13_label_type_lookup"] = _by_label_and_class
+SQL["A13_label_type_lookup"] = oracle(f"""WITH RECURSIVE {IS_A} SELECT name, dst AS class, min(kb_id) AS kb_id, count(DISTINCT kb_id) AS candidates FROM (SELECT kb_id, label AS name FROM kb_labels UNION SELECT kb_id, alias FROM aliases) JOIN is_a ON src = kb_id GROUP BY name, dst""", "kb_labels", "kb_edges", "aliases")
+
+
+def _first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each party's objects once, in the order in which they first come."""
+    first = view(spark, sf_dir, "tier_u").groupBy("party", "object").agg(F.min("id").alias("first_id"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("party").orderBy("first_id")))
+
+
+QUERIES["M12_ordered_dedupe"] = _first_of_each
+SQL["M12_ordered_dedupe"] = oracle("SELECT party, object, min(id) AS first_id, CAST(row_number() OVER (PARTITION BY party ORDER BY min(id)) AS INT) AS place FROM tier_u GROUP BY party, object", "tier_u")
 # ---- sets ----
 QUERIES["F6_iso_or_null"] = lambda s, d: view(s, d, "tier_u").select("id", F.nullif(F.nullif(F.trim("valid_until"), F.lit("")), F.lit("before_present")).alias("end_date"))
 SQL["F6_iso_or_null"] = oracle("SELECT id, nullif(nullif(trim(valid_until), ''), 'before_present') AS end_date FROM tier_u", "tier_u")
