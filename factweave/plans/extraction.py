@@ -49,7 +49,7 @@ QUERIES["B5_hard_claim_check"] = lambda spark, d: view(spark, d, "raw_claims").s
 SQL["B5_hard_claim_check"] = oracle(f"SELECT claim_id, {_GROUND} AS passes FROM ({_FILLED})", "raw_claims")
 QUERIES["B6_abstention_reason"] = lambda spark, d: view(spark, d, "raw_claims").select("claim_id", text.abstention(filled("subject"), filled("predicate"), filled("object"), filled("source_text"), F.lit(True)).alias("reason"))
 SQL["B6_abstention_reason"] = oracle(f"""SELECT claim_id, CASE WHEN trim(s) = '' OR NOT {_GROUND} THEN 'subject_absent_from_source' WHEN trim(lower(s)) = trim(lower(o)) THEN 'self_referential'
-    WHEN trim(lower(p)) = trim(lower(o)) THEN 'predicate_eq_object' END AS reason FROM ({_FILLED})""", "raw_claims")
+    WHEN trim(lower(p)) = trim(lower(o)) AND trim(o) <> '' THEN 'predicate_eq_object' END AS reason FROM ({_FILLED})""", "raw_claims")
 _projection("B7_residence_rewrite", "raw_claims", lambda: {"predicate": text.residence(C("predicate"), C("source_text"))},
             r"CASE WHEN predicate = 'located_in' AND regexp_matches(source_text, '(?i)\b(lives?|lived|resides?|residing)\s+in\b') THEN 'lives_in' ELSE predicate END AS predicate")
 _projection("B8_null_coercion", "raw_claims", lambda: {"subject": filled("subject"), "object": filled("object"), "polarity": F.coalesce(C("polarity"), F.lit(1))},
@@ -238,18 +238,27 @@ SQL["B2_event_decomposition"] = r"""WITH t AS (SELECT conv_id, turn, role, list_
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw claims to checked claims: nulls filled, future dropped, predicate normalised, subject made canonical, reason given."""
-    rows = view(spark, sf_dir, "raw_claims").where("verb_tense <> 'future'").select("claim_id", text.canonical_subject(filled("subject"), C("party")).alias("subject"),
-        text.normalize_predicate(filled("predicate")).alias("predicate"), filled("object").alias("object"), F.coalesce(C("polarity"), F.lit(1)).alias("polarity"), filled("source_text").alias("t"), C("party"))
-    reason = F.when(C("subject") == "", "subject_absent_from_source").when(~(F.startswith("subject", F.lit("event_")) | (C("subject") == C("party")) | text.contains_text(C("t"), C("subject"))
-        | text.contains_text(C("t"), C("object"))), "subject_absent_from_source")
-    return rows.select("claim_id", "subject", "predicate", "object", "polarity", reason.alias("abstention_reason"))
+    """Raw claims and the claims that events are taken apart into, as claims that can be checked or say why not."""
+    none = F.lit(None).cast("string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", "role")
+    key = (C("conv_id") * 100000 + C("turn") * 100 + C("place") + 10**12).cast("long")
+    events = _events(spark, sf_dir).join(turns, ["conv_id", "turn"]).select(key.alias("claim_id"), C("role").alias("party"), "subject", "predicate", "object", F.lit(1).alias("polarity"), F.lit("present").alias("verb_tense"),
+        none.alias("valid_from"), none.alias("valid_until"), none.alias("valid_during_ref"), C("text").alias("source_text"))
+    return text.extract(view(spark, sf_dir, "raw_claims").select(*events.columns).unionByName(events))
 
 
+_ARTICLE = lambda c: rf"CASE WHEN trim({c}) = '' OR {c} = party OR starts_with({c}, 'event_') THEN {c} ELSE coalesce(nullif(regexp_replace({c}, '(?i)^(the|a|an)\s+', ''), ''), {c}) END"
 QUERIES["B1_extract"] = _extracted
-SQL["B1_extract"] = oracle(f"""SELECT claim_id, subject, predicate, object, polarity, CASE WHEN subject = '' OR NOT (starts_with(subject, 'event_') OR subject = party OR contains(lower(t), lower(subject)) OR contains(lower(t), lower(object)))
-    THEN 'subject_absent_from_source' END AS abstention_reason FROM (SELECT claim_id, CASE WHEN {_FIRST.replace('subject', "coalesce(subject, '')")} THEN party ELSE coalesce(subject, '') END AS subject, {_NORM} AS predicate,
-    coalesce(object, '') AS object, coalesce(polarity, 1) AS polarity, coalesce(source_text, '') AS t, party FROM (SELECT *, replace({_STRIP.format("lower(coalesce(predicate, ''))")}, '_', ' ') AS p FROM raw_claims WHERE verb_tense <> 'future'))""", "raw_claims")
+SQL["B1_extract"] = oracle(rf"""WITH events AS ({SQL["B2_event_decomposition"]}),
+  raw AS (SELECT claim_id, party, subject, predicate, object, polarity, verb_tense, valid_from, valid_until, valid_during_ref, source_text FROM raw_claims
+    UNION ALL SELECT CAST(e.conv_id * 100000 + e.turn * 100 + place + 1000000000000 AS BIGINT), role, e.subject, e.predicate, e.object, 1, 'present', NULL, NULL, NULL, c.text FROM events e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.turn),
+  f AS (SELECT claim_id, party, coalesce(subject, '') AS s, coalesce(predicate, '') AS raw_p, coalesce(object, '') AS o, coalesce(source_text, '') AS t, coalesce(polarity, 1) AS polarity, valid_from IS NOT NULL OR valid_until IS NOT NULL AS dated, valid_from, valid_until, valid_during_ref, verb_tense,
+    replace({_STRIP.format("lower(coalesce(predicate, ''))")}, '_', ' ') AS p FROM raw WHERE verb_tense <> 'future'),
+  n AS (SELECT *, {_NORM} AS pred, CASE WHEN {_FIRST.replace('subject', 's')} THEN party ELSE s END AS subj, CASE WHEN trim(s) = '' OR NOT {_GROUND} THEN 'subject_absent_from_source' WHEN trim(lower(s)) = trim(lower(o)) THEN 'self_referential'
+      WHEN trim(lower(raw_p)) = trim(lower(o)) AND trim(o) <> '' THEN 'predicate_eq_object' END AS reason, CASE WHEN dated THEN valid_from END AS vf, CASE WHEN dated THEN valid_until WHEN valid_during_ref IS NOT NULL THEN NULL WHEN verb_tense = 'past' THEN 'before_present' END AS vu FROM f),
+  m AS (SELECT claim_id, party, polarity, reason, vf, vu, valid_during_ref, {_ARTICLE("subj")} AS subject, {_ARTICLE("o")} AS object, CASE WHEN pred = 'located_in' AND regexp_matches(t, '(?i)\b(lives?|lived|resides?|residing)\s+in\b') THEN 'lives_in' ELSE pred END AS predicate FROM n),
+  x AS (SELECT *, CASE WHEN predicate IN ({_lists}) OR regexp_matches(object, '\b[0-9]+[,.]?[0-9]*\b') OR regexp_matches(subject, '\b[A-Z][a-zA-Z]') OR regexp_matches(object, '\b[A-Z][a-zA-Z]') OR vf IS NOT NULL OR vu IS NOT NULL OR valid_during_ref IS NOT NULL THEN 'verify' ELSE 'inert_prose' END AS triage FROM m)
+  SELECT claim_id, party, subject, predicate, object, polarity, vf AS valid_from, vu AS valid_until, triage, coalesce(reason, CASE WHEN triage = 'inert_prose' THEN 'not_checkworthy' END) AS abstention_reason FROM x""", "raw_claims")
 
 
 # ---- functions of SQL ----

@@ -26,8 +26,12 @@ def sources(spark: SparkSession, sf_dir: str) -> verify.Sources:
     return verify.Sources(**first, **rest, **graphs, now=NOW, identifier=IDENTIFIER)
 
 
+def walked(spark: SparkSession, sf_dir: str, budget: verify.Budget = verify.Budget()) -> verify.Walk:
+    return verify.walk(view(spark, sf_dir, "all_claims"), sources(spark, sf_dir), budget)
+
+
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verify(view(spark, sf_dir, "all_claims"), sources(spark, sf_dir))
+    return verify.outcome(walked(spark, sf_dir))
 
 
 # ---- the same in SQL, level by level ----
@@ -306,10 +310,6 @@ SQL["F4_interval_merge"] = _sql("""SELECT claim_id, coalesce(CASE WHEN r.predica
 
 
 # ---- provenance, on the walk's own steps ----
-def walked(spark: SparkSession, sf_dir: str, budget: verify.Budget = verify.Budget()) -> verify.Walk:
-    return verify.walk(view(spark, sf_dir, "all_claims"), sources(spark, sf_dir), budget)
-
-
 def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(verify.premises(walked(spark, sf_dir)), "premises")
 
@@ -360,7 +360,7 @@ def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdicts after the retractions; only the claims that these can bear on are verified again."""
     s, claims = sources(spark, sf_dir), view(spark, sf_dir, "all_claims")
-    w = verify.walk(claims, s)
+    w = walked(spark, sf_dir)
     return verify.reverify(settle(verify.outcome(w), "outcome"), w, claims, s, view(spark, sf_dir, "retractions")).select("claim_id", "verdict", "source", "reason", "depth", "premise")
 
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from factweave.plans import catalog
+from factweave.plans import catalog, grounding, substrate, verification
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,6 +20,33 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def worked_out_once():
+    """Closures, lookup tables and the walk are the same in all queries that use them: each is worked out once here."""
+    before = []
+
+    def once(name, *modules):
+        plain, held = getattr(modules[0], name), {}
+
+        def memo(spark, *rest, **named):
+            key = (*rest, *named.items())
+            if key not in held:
+                held[key] = plain(spark, *rest, **named)
+            return held[key]
+
+        for module in modules:
+            before.append((module, name, getattr(module, name)))
+            setattr(module, name, memo)
+
+    once("paths", grounding, verification, substrate)
+    once("walked", verification)
+    once("_nodes", verification)
+    once("literals", verification)
+    yield
+    for module, name, plain in before:
+        setattr(module, name, plain)
+
+
 def cell(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
