@@ -227,11 +227,6 @@ def intervals(statements: DataFrame) -> DataFrame:
     return one.where("starts <= 1").select("entity", "property", "start", F.when(known, C("end")).alias("end"), known.alias("end_known"), (C("n") == 1).alias("unique_interval"))
 
 
-def endpoint_verdict(object_: Column, known: Column, single_valued: Column, unique: Column) -> Column:
-    relation = dates.relation(object_, known)
-    return F.when(relation == "match", "verified").when(single_valued & unique & (relation == "mismatch"), "contradicted")
-
-
 def premise_value(statements: DataFrame) -> DataFrame:
     """entity, property, value: the first preferred value, else the one that all agree on, dates as their year; else null."""
     year = F.when(C("value_type") == "date", dates.year(C("value")).cast("string")).otherwise(C("value"))

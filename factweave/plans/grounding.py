@@ -265,17 +265,6 @@ QUERIES["F2_intervals"] = lambda s, d: kb.intervals(view(s, d, "kb_statements").
 _INTERVALS = """kept AS (SELECT * FROM kb_statements k WHERE value_type = 'entity' AND rank <> 'deprecated' AND (rank = 'preferred' OR NOT EXISTS (SELECT 1 FROM kb_statements p WHERE p.entity = k.entity AND p.property = k.property AND p.rank = 'preferred'))),
   spans AS (SELECT entity, property, min(start_q) AS start, CASE WHEN count(DISTINCT end_q) = 1 AND count(*) = count(end_q) THEN min(end_q) END AS "end", count(DISTINCT end_q) = 1 AND count(*) = count(end_q) AS end_known, count(*) = 1 AS unique_interval FROM kept GROUP BY entity, property HAVING count(DISTINCT start_q) <= 1)"""
 SQL["F2_intervals"] = oracle(f"WITH {_INTERVALS} SELECT * FROM spans", "kb_statements")
-
-
-def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = kb.intervals(view(spark, sf_dir, "kb_statements").where("value_type = 'entity'")).withColumnRenamed("entity", "subject_id")
-    claims = _asked(spark, sf_dir).where("valid_from IS NOT NULL AND property = 'P17'")
-    return claims.join(spans, ["subject_id", "property"], "left").select("claim_id", kb.endpoint_verdict(C("valid_from"), C("start"), C("single_valued"), C("unique_interval")).alias("verdict"))
-
-
-QUERIES["F5_endpoint_verdict"] = _endpoints
-SQL["F5_endpoint_verdict"] = oracle(f"""WITH {RESOLVED}, {_INTERVALS} SELECT claim_id, CASE WHEN {date_relation_sql('valid_from', 'start')} = 'match' THEN 'verified' WHEN single_valued AND unique_interval AND {date_relation_sql('valid_from', 'start')} = 'mismatch' THEN 'contradicted' END AS verdict
-  FROM resolved JOIN predicates p USING (predicate) LEFT JOIN spans s ON s.entity = subject_id AND s.property = p.property WHERE valid_from IS NOT NULL AND p.property = 'P17'""", "claims", "kb_labels", "kb_statements", "predicates")
 QUERIES["E11_premise_value"] = lambda s, d: kb.premise_value(view(s, d, "kb_statements"))
 SQL["E11_premise_value"] = oracle("""WITH v AS (SELECT *, CASE WHEN value_type = 'date' THEN substring(value, 1, 4) ELSE value END AS v FROM kb_statements WHERE rank <> 'deprecated')
   SELECT entity, property, coalesce(arg_min(v, stmt_id) FILTER (WHERE rank = 'preferred'), CASE WHEN count(DISTINCT v) = 1 THEN min(v) END) AS value FROM v GROUP BY entity, property""", "kb_statements")

@@ -302,7 +302,14 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.by_interval(rows, p).join(rows.select("node_id", "claim_id"), "node_id").select("claim_id", "known", "said", F.coalesce("unique", F.lit(False)).alias("is_unique"))
 
 
-QUERIES |= {"F3_asserted_endpoints": _said_ends, "F4_interval_merge": _merged}
+def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verdicts on claimed starts and ends, where external sources may be asked."""
+    _, rows, p = _nodes(spark, sf_dir)
+    return verify.by_interval(rows.where("external"), p).join(rows.select("node_id", "claim_id"), "node_id").select("claim_id", "verdict", "said")
+
+
+QUERIES |= {"F3_asserted_endpoints": _said_ends, "F4_interval_merge": _merged, "F5_endpoint_verdict": _endpoints}
+SQL["F5_endpoint_verdict"] = _sql(f"SELECT claim_id, {_FLIP.format('holds')} AS verdict, said FROM spanned_0 JOIN (SELECT node_id, claim_id FROM nodes_0) USING (node_id)")
 SQL["F3_asserted_endpoints"] = _sql("SELECT party, subject, predicate, date AS asserted FROM ends")
 SQL["F4_interval_merge"] = _sql("""SELECT claim_id, coalesce(CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END, date) AS known, CASE WHEN r.predicate LIKE '%_ended' THEN end_q ELSE start_q END IS NULL AS said,
   CASE WHEN spans.entity IS NOT NULL THEN only_one ELSE date IS NOT NULL END AS is_unique FROM res_0 r JOIN meta m USING (predicate) LEFT JOIN spans ON entity = subject_id AND spans.property = m.property
