@@ -253,9 +253,9 @@ def ways_of(distributions: DataFrame) -> DataFrame:
     return first.select("predicate", "polarity", "relation", F.explode(way).alias("way"))
 
 
-def carried(nodes: DataFrame, p: Prepared) -> DataFrame:
-    """node_id, relation, way: how neighbours may stand in for a node's slots."""
-    return nodes.select("node_id", "predicate", "polarity").join(p.ways, ["predicate", "polarity"]).select("node_id", "relation", "way")
+def carried(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """node_id, relation, way: how neighbours may stand in for a node's slots. ways: ways_of()."""
+    return nodes.select("node_id", "predicate", "polarity").join(ways, ["predicate", "polarity"]).select("node_id", "relation", "way")
 
 
 def slots(nodes: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def discover(nodes: DataFrame, found: DataFrame, p: Prepared, budget: Budget) ->
     party asserted of the subject, where that lies inside the object. With a limit, no more neighbours of a slot are listed
     than use it up, the first by name.
     """
-    places = slots(nodes).join(carried(nodes, p), "node_id")
+    places = slots(nodes).join(carried(nodes, p.ways), "node_id")
     first = Window.partitionBy("held", "relation", "way").orderBy("neighbour")
     few = lambda rows: rows if budget.most is None else rows.withColumn("_n", F.row_number().over(first)).where(C("_n") <= budget.most).drop("_n")
     near = places.join(few(p.near), ["held", "relation", "way"]).select("node_id", "slot", "relation", "held", "neighbour", "source_row")
@@ -439,7 +439,7 @@ def walk(claims: DataFrame, s: Sources, budget: Budget = Budget()) -> Walk:
             left = left.join(ledger.where("reason IS NULL").select("claim_id"), "claim_id", "left_semi")
         wider = discover(left, found, p, budget).join(seen, "node_id", "left_anti")
         if ledger is not None:
-            asking = left.join(carried(left, p).select("node_id").distinct(), "node_id", "left_semi").select("claim_id")
+            asking = left.join(carried(left, p.ways).select("node_id").distinct(), "node_id", "left_semi").select("claim_id")
             wider, ledger = charge_steps(settle(wider, "wider"), asking, ledger, budget)
         wider = settle(wider, "steps")
         nodes = wider.select(*NODE).dropDuplicates(["node_id"])

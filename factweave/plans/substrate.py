@@ -173,7 +173,7 @@ SQL["C17_nogood_anti_join"] = oracle(f"""WITH {_WAYS}, c AS (SELECT label, min(k
 
 def _preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: a claim's neighbours with those first that its predicate carries to, in stable order."""
-    carried = verify.carried(view(spark, sf_dir, "all_claims").withColumn("node_id", C("claim_id")), verification.sources(spark, sf_dir)).select(C("node_id").alias("claim_id"), "relation", "way", F.lit(0).alias("_first"))
+    carried = verify.carried(view(spark, sf_dir, "all_claims").withColumn("node_id", C("claim_id")), verify.ways_of(view(spark, sf_dir, "distributions"))).select(C("node_id").alias("claim_id"), "relation", "way", F.lit(0).alias("_first"))
     rows = _claim_neighbours(spark, sf_dir).join(carried, ["claim_id", "relation", "way"], "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("claim_id", "slot").orderBy("_first", "source_row", "way", "neighbour"))
     return rows.select("claim_id", "slot", "way", "neighbour", place.alias("place"))

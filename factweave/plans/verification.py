@@ -250,13 +250,13 @@ SQL["G11_edge_admission"] = _sql("""SELECT held, relation, way, neighbour, CASE
 def _carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the distribution of its predicate lets a neighbour stand in for a claim's slot."""
     nodes, _, p = _nodes(spark, sf_dir)
-    return nodes.select("node_id", "claim_id").join(verify.carried(nodes, p), "node_id").select("claim_id", "relation", "way")
+    return nodes.select("node_id", "claim_id").join(verify.carried(nodes, p.ways), "node_id").select("claim_id", "relation", "way")
 
 
 def _futile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open claims, by relation, whose neighbours in the graph are not worth looking at."""
     nodes, rows, p = _nodes(spark, sf_dir)
-    found = verify.direct(rows, p).where("verdict IS NULL").join(verify.carried(nodes, p).select("node_id", "relation").distinct(), "node_id")
+    found = verify.direct(rows, p).where("verdict IS NULL").join(verify.carried(nodes, p.ways).select("node_id", "relation").distinct(), "node_id")
     return found.select("claim_id", "relation", verify.futile().alias("skip"))
 
 
