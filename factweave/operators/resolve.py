@@ -90,3 +90,57 @@ def resolve_cached(references: DataFrame, composed: DataFrame, cache: DataFrame,
     best = search(open_, labels, aliases).where((C("place") == 1) & (C("score") >= least)).select(C("query").alias("reference"), C("kb_id").alias("_found"))
     via: Column = F.when(C("_normal").isNotNull(), "normaliser").when(C("_cached") == "", "negative").when(C("_cached").isNotNull(), "cache").when(C("_found").isNotNull(), "search").otherwise("nothing")
     return rows.join(best, "reference", "left").select("reference", F.coalesce("_normal", F.nullif("_cached", F.lit("")), "_found").alias("kb_id"), via.alias("via"))
+
+
+#: The columns that tell one context from another, with the name in its normal form first.
+CONTEXT = ("form", "predicate", "slot", "party")
+
+
+def signature() -> Column:
+    """The key of a name in its context: parts with their lengths, so that no two contexts share one; nulls differ from empty texts."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), C(c)), F.lit("-")) for c in CONTEXT]
+    return F.sha2(F.concat_ws(";", *parts), 256)
+
+
+def in_context(requests: DataFrame, composed: DataFrame, cache: DataFrame, labels: DataFrame, aliases: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """request_id, form, signature, kb_id, via of requests (request_id, reference, expected_type, predicate, slot, party).
+
+    A name is put into its normal form (composed), but for the speaker's own name, made-up events and empty names. If that
+    tells the entity, it wins (normaliser). Else the first live row of cache (signature, kb_id, created_at, retracted) does;
+    an empty id there says that there is nothing (negative). Else the best search result of the expected type does, if it
+    scores least or more (search; weak below that, which is no answer and isn't cached, so that asking twice changes nothing),
+    else nothing. Only names that the cache doesn't know are searched for, each once.
+    """
+    plain = (C("reference") == C("party")) | F.startswith("reference", F.lit("event_")) | (C("reference") == "")
+    told = composed.select(C("reference").alias("_reference"), C("expected_type").alias("_type"), C("form").alias("_form"), C("kb_id").alias("_normal"))
+    asked = requests.withColumn("_plain", F.coalesce(plain, F.lit(True)))
+    rows = asked.join(told, ~C("_plain") & (C("reference") == C("_reference")) & C("expected_type").eqNullSafe(C("_type")), "left").drop("_reference", "_type")
+    rows = rows.withColumn("form", F.coalesce("_form", "reference")).withColumn("signature", signature())
+    held = cache.where("NOT retracted").groupBy("signature").agg(F.min_by("kb_id", F.struct("created_at", "kb_id")).alias("_cached"))
+    rows = rows.join(held, "signature", "left")
+    open_ = rows.where("_normal IS NULL AND _cached IS NULL AND form <> ''").select(C("form").alias("query"), "expected_type").distinct()
+    kept = keep_typed(search(open_, labels, aliases).join(open_, "query"), edges)
+    best = kept.groupBy("query", "expected_type").agg(F.min(F.struct("place", "kb_id", "score")).alias("_best"))
+    best = best.select(C("query").alias("_query"), C("expected_type").alias("_type"), "_best")
+    missed = C("_normal").isNull() & C("_cached").isNull()
+    rows = rows.join(best, missed & (C("form") == C("_query")) & C("expected_type").eqNullSafe(C("_type")), "left")
+    good = C("_best.score") >= least
+    via = F.when(C("_normal").isNotNull(), "normaliser").when(C("_cached") == "", "negative").when(C("_cached").isNotNull(), "cache").when(good, "search").when(C("_best").isNotNull(), "weak").otherwise("nothing")
+    return rows.select("request_id", "form", "signature", F.coalesce("_normal", F.nullif("_cached", F.lit("")), F.when(good, C("_best.kb_id"))).alias("kb_id"), via.alias("via"))
+
+
+def written_through(cache: DataFrame, answered: DataFrame, at: str) -> DataFrame:
+    """cache (signature, kb_id, used, created_at, retracted) after the answers of in_context().
+
+    An answer out of the cache counts as a use of its row. A signature without a live row gets one, with an empty id if there
+    was nothing: used once for each request of the batch, as those after the first would have found it, but once in all where
+    the normaliser told it. Of requests with one signature but several answers (other expected types) the first by id is kept.
+    """
+    uses = answered.where("signature IS NOT NULL AND via <> 'weak'").groupBy("signature").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(C("via").isin("cache", "negative")).alias("_hits"), F.min_by(F.struct(F.coalesce("kb_id", F.lit("")).alias("id"), "via"), "request_id").alias("_it"))
+    first = cache.where("NOT retracted").groupBy("signature").agg(F.min(F.struct("created_at", "kb_id")).alias("_first"))
+    old = cache.join(first, "signature", "left").join(uses.select("signature", "_hits"), "signature", "left")
+    mine = ~C("retracted") & (F.struct("created_at", "kb_id") == C("_first"))
+    old = old.withColumn("used", C("used") + F.when(mine, F.coalesce("_hits", F.lit(0))).otherwise(0)).select("signature", "kb_id", "used", "created_at", "retracted")
+    new = uses.join(first, "signature", "left_anti").select("signature", C("_it.id").alias("kb_id"), F.when(C("_it.via") == "normaliser", 1).otherwise(C("_n")).cast("long").alias("used"), F.lit(at).alias("created_at"), F.lit(False).alias("retracted"))
+    return old.unionByName(new)

@@ -253,6 +253,28 @@ VIEWS = {
         SELECT p_partkey AS id, p_name AS a, 'class ' || CAST(p_size % 3 AS STRING) AS b, CASE WHEN p_size % 2 = 0 THEN 'is_a' ELSE 'part_of' END AS relation,
           CASE p_partkey % 5 WHEN 0 THEN 'b_subsumed_by_a' WHEN 1 THEN 'unrelated' WHEN 2 THEN 'equivalent' ELSE 'a_subsumed_by_b' END AS verdict, p_partkey % 11 = 0 AS retracted
         FROM {part}""",
+    "requests": """
+        SELECT id AS request_id, CASE WHEN id % 10 = 9 THEN 'user_' || CAST(id % 150 AS STRING) WHEN id % 17 = 3 THEN 'event_' || CAST(id AS STRING) WHEN id % 31 = 5 THEN 'the ' || reference ELSE reference END AS reference,
+          expected_type, CASE id % 3 WHEN 0 THEN 'located_in' WHEN 1 THEN 'made_by' END AS predicate, CASE WHEN id % 2 = 0 THEN 'subject' ELSE 'object' END AS slot, 'user_' || CAST(id % 150 AS STRING) AS party
+        FROM surfaces""",
+    "context_cache": """
+        SELECT DISTINCT reference AS form, predicate, slot, party, CASE WHEN request_id % 8 = 0 THEN 'C' || CAST(request_id % 90 AS STRING) ELSE '' END AS kb_id,
+          CASE WHEN request_id % 3 = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS created_at, request_id % 20 = 0 AS retracted
+        FROM requests WHERE request_id % 4 = 0""",
+    "entity_kinds": """
+        SELECT 'C' || CAST(c_custkey AS STRING) AS entity, 'human' AS kind FROM {customer} UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'place' FROM {customer} WHERE c_custkey % 10 = 0
+        UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'place' FROM {nation} UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), 'place' FROM {region}""",
+    "role_constraints": """
+        SELECT DISTINCT 'P35' AS property, 'subject' AS role, 'human' AS kind FROM {region} UNION ALL SELECT DISTINCT 'P35', 'value', 'place' FROM {region} UNION ALL SELECT DISTINCT 'P30', 'subject', 'human' FROM {region}""",
+    "direction_statements": """
+        SELECT 'P17' AS property, 'C' || CAST(c_custkey AS STRING) AS entity, 'N' || CAST(c_nationkey AS STRING) AS value, 'normal' AS rank FROM {customer}
+        UNION ALL SELECT 'P36', 'N' || CAST(c_nationkey AS STRING), 'C' || CAST(min(c_custkey) AS STRING), 'normal' FROM {customer} GROUP BY c_nationkey
+        UNION ALL SELECT 'P30', 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), 'preferred' FROM {nation}
+        UNION ALL SELECT 'P26', 'C' || CAST(a.c_custkey AS STRING), 'C' || CAST(b.c_custkey AS STRING), 'normal' FROM {customer} a JOIN {customer} b ON b.c_custkey = CASE WHEN a.c_custkey % 2 = 0 THEN a.c_custkey + 1 ELSE a.c_custkey - 1 END
+        UNION ALL SELECT 'P38', 'C' || CAST(a.c_custkey AS STRING), 'N' || CAST(a.c_nationkey AS STRING), 'normal' FROM {customer} a
+        UNION ALL SELECT 'P38', 'N' || CAST(a.c_nationkey AS STRING), 'C' || CAST(a.c_custkey AS STRING), 'normal' FROM {customer} a WHERE a.c_custkey % 7 <> 1
+        UNION ALL SELECT 'P33', 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING), 'deprecated' FROM {customer}
+        UNION ALL SELECT 'P35', 'PT' || CAST(p_partkey AS STRING), 'S' || CAST(p_size AS STRING), 'normal' FROM {part}""",
 }
 
 
