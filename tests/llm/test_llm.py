@@ -368,6 +368,18 @@ def test_license_index_labels_a_notice_that_most_documents_hold(spark):
         assert all(got[i] == ("", 0.0) for i, text in held if not text or GPL not in text)
 
 
+def test_license_variants_of_a_notice_are_told_apart(spark):
+    whole = {label: notice for label, notice, _ in license_scan.TEMPLATES if len(notice.split()) > 40}
+    assert len(whole) > 9
+    changed = whole["bsd-3-clause"].replace("copyright holder or contributors", "copyright owner or contributors").replace("tort", "TORT,")
+    files = [*((i, f"words before, {i} of them\n/* {whole[label]} */ and after") for i, label in enumerate(whole)), (50, f"{changed} and a tort of contract, exemplary negligence, interruption"), (51, " ".join(sorted(whole["isc"].split())))]
+    filler = [(100 + i, f"clean words number {i} about the weather and the software of the day") for i in range(40)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_scan.scan_licenses(spark.createDataFrame([*files, *filler], "doc_id long, text string")).collect()}
+    general = {"bsd", "gpl", "lgpl", "agpl"}
+    assert [got[i] - general for i in range(len(whole))] == [{label} for label in whole]
+    assert got[50] == {"bsd", "bsd-3-clause"} and got[51] == set() and not any(got[i] for i, _ in filler)
+
+
 def test_license_index_finds_each_notice_of_a_file(spark):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     long = "hereby neighboring compliance attribution redistribution noncommercial affero mozilla waived extent " + "plain words " * 3000
