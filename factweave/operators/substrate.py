@@ -75,6 +75,12 @@ def verdict_conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("NOT retracted").groupBy(*keys).agg(F.count_distinct("verdict").alias("verdicts")).where("verdicts > 1")
 
 
+def borrowed(mappings: DataFrame) -> DataFrame:
+    """mappings with the first slots (by id) of their property where they have none; a property's slots are aggregated, not its rows sorted."""
+    lent = mappings.groupBy("property").agg(*[F.min_by(slot, F.when(C(slot).isNotNull(), C("id"))).alias(f"_{slot}") for slot in SLOTS])
+    return mappings.join(lent, "property", "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in SLOTS else C(c) for c in mappings.columns])
+
+
 def breaker(conflicts: DataFrame, signature: str, limit: int = 3) -> DataFrame:
     """Signatures with so many conflicts that they are given up; the first conflict never is enough."""
     return conflicts.groupBy(signature).agg(F.sum("pairs").alias("cycles")).select(signature, "cycles", (C("cycles") >= max(2, limit)).alias("unresolvable"))

@@ -205,13 +205,13 @@ def compatible_sql(start: str, end: str, frm: str, until: str) -> str:
 
 
 def _scoped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, known = view(spark, sf_dir, "claims"), view(spark, sf_dir, "kb_statements").where("property = 'P17'")
+    claims, known = view(spark, sf_dir, "claims"), view(spark, sf_dir, "kb_statements")
     return claims.join(view(spark, sf_dir, "kb_labels"), C("label") == C("subject")).join(known, C("entity") == C("kb_id"))
 
 
 QUERIES["D8_scope_compatibility"] = lambda spark, d: _scoped_pairs(spark, d).select("claim_id", "stmt_id", dates.compatible(C("start_q"), C("end_q"), C("valid_from"), C("valid_until"), _now()).alias("compatible"))
 SQL["D8_scope_compatibility"] = oracle(f"""SELECT claim_id, stmt_id, {compatible_sql('start_q', 'end_q', 'valid_from', 'valid_until')} AS compatible
-    FROM claims JOIN kb_labels ON label = subject JOIN kb_statements ON entity = kb_id AND property = 'P17'""", "claims", "kb_labels", "kb_statements")
+    FROM claims JOIN kb_labels ON label = subject JOIN kb_statements ON entity = kb_id""", "claims", "kb_labels", "kb_statements")
 
 # ---- decomposition ----
 _words = lambda: F.filter(F.split(C("text"), r"[ \n]+"), lambda w: w != "")

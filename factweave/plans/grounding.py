@@ -79,13 +79,18 @@ APART = """value <> expected AND ((expected IN (SELECT continent FROM tops) AND
   AND coalesce(vi.continent = ei.continent, false) AND NOT EXISTS (SELECT 1 FROM part_of WHERE src = value AND dst = expected) AND NOT EXISTS (SELECT 1 FROM part_of WHERE dst = value AND src = expected)))"""
 
 
+_PLACING = ", ".join(f"'{p}'" for p in graph.PATHS["part_of"])
+_PLACED = f"pairs AS (SELECT claim_id, stmt_id, value, object_id AS expected FROM resolved JOIN kb_statements ON entity = subject_id AND property IN ({_PLACING}) WHERE object_id IS NOT NULL)"
+
+
 def _place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = view(spark, sf_dir, "kb_statements").where("property = 'P17'").select(C("entity").alias("subject_id"), "value", "stmt_id")
+    """Claims and the statements that place their subject anywhere, by whatever property."""
+    held = view(spark, sf_dir, "kb_statements").where(C("property").isin(*graph.PATHS["part_of"])).select(C("entity").alias("subject_id"), "value", "stmt_id")
     return _resolved(spark, sf_dir).where("object_id IS NOT NULL").join(held, "subject_id").select("claim_id", "stmt_id", "value", C("object_id").alias("expected"))
 
 
 QUERIES["G6_geographic_disjoint"] = lambda s, d: graph.disjoint_places(_place_pairs(s, d), paths(s, d, "part_of"), paths(s, d, "is_a")).select("claim_id", "stmt_id", "disjoint")
-SQL["G6_geographic_disjoint"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, pairs AS (SELECT claim_id, stmt_id, value, object_id AS expected FROM resolved JOIN kb_statements ON entity = subject_id AND property = 'P17' WHERE object_id IS NOT NULL)
+SQL["G6_geographic_disjoint"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, {_PLACED}
   SELECT claim_id, stmt_id, {APART} AS disjoint FROM pairs LEFT JOIN lies_in vi ON vi.src = value LEFT JOIN lies_in ei ON ei.src = expected""", "claims", "kb_labels", "kb_edges", "kb_statements")
 QUERIES["G9_distribution_directions"] = lambda s, d: view(s, d, "distributions").select("id", graph.directions(C("verdict")).alias("directions"))
 SQL["G9_distribution_directions"] = oracle("SELECT id, CASE verdict WHEN 'up' THEN 'child' WHEN 'down' THEN 'parent' WHEN 'both' THEN 'child,parent' ELSE '' END AS directions FROM distributions", "distributions")
@@ -93,8 +98,8 @@ QUERIES["A19_neighbours"] = lambda s, d: graph.neighbours(view(s, d, "kb_edges")
 SQL["A19_neighbours"] = oracle("""WITH n AS (SELECT DISTINCT dst AS node FROM kb_edges), e AS (SELECT * FROM kb_edges WHERE property IN ('P31', 'P279', 'P361', 'P131', 'P17'))
   SELECT node, property, dst AS neighbour, 'out' AS way FROM n JOIN e ON src = node UNION ALL
   SELECT node, property, neighbour, 'in' FROM (SELECT node, property, src AS neighbour, row_number() OVER (PARTITION BY node ORDER BY src, property) AS k FROM n JOIN e ON dst = node) WHERE k <= 20""", "kb_edges")
-QUERIES["A9_usable_statements"] = lambda s, d: kb.usable(view(s, d, "kb_statements")).where("property = 'P2284'").select("stmt_id", "entity", "value", "rank")
-SQL["A9_usable_statements"] = oracle("SELECT stmt_id, entity, value, rank FROM kb_statements WHERE property = 'P2284' AND rank <> 'deprecated'", "kb_statements")
+QUERIES["A9_usable_statements"] = lambda s, d: kb.usable(view(s, d, "kb_statements")).select("stmt_id", "entity", "property", "value", "rank")
+SQL["A9_usable_statements"] = oracle("SELECT stmt_id, entity, property, value, rank FROM kb_statements WHERE rank <> 'deprecated'", "kb_statements")
 QUERIES["A11_entity_candidates"] = lambda s, d: kb.candidates(view(s, d, "kb_labels"))
 SQL["A11_entity_candidates"] = oracle("SELECT label AS reference, kb_id, CAST(row_number() OVER w AS INT) AS place, 1.0 / CAST(row_number() OVER w AS DOUBLE) AS score FROM kb_labels WINDOW w AS (PARTITION BY label ORDER BY kb_id)", "kb_labels")
 QUERIES["I2_select_candidate"] = lambda s, d: kb.select_candidate(kb.candidates(view(s, d, "kb_labels")))
@@ -225,19 +230,19 @@ def _disjoint_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["C13_all_values_apart"] = _disjoint_apart
-SQL["C13_all_values_apart"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, pairs AS (SELECT claim_id, stmt_id, value, object_id AS expected FROM resolved JOIN kb_statements ON entity = subject_id AND property = 'P17' WHERE object_id IS NOT NULL)
+SQL["C13_all_values_apart"] = oracle(f"""WITH RECURSIVE {PART_OF}, {IS_A}, {RESOLVED}, {DISJOINT}, {_PLACED}
   SELECT claim_id, bool_and({APART}) AS all_apart FROM pairs LEFT JOIN lies_in vi ON vi.src = value LEFT JOIN lies_in ei ON ei.src = expected GROUP BY claim_id""", "claims", "kb_labels", "kb_edges", "kb_statements")
 
 QUERIES["D14_value_type_ok"] = lambda s, d: _asked(s, d).join(view(s, d, "kb_statements").withColumnRenamed("entity", "subject_id"), ["subject_id", "property"]).select(
     "claim_id", "stmt_id", F.when(C("object_type") == "entity", C("value_type").isin("entity", "literal")).when(C("object_type") == "time", C("value_type").isin("date", "literal")).when(C("object_type") == "quantity", C("value_type").isin("quantity", "literal")).otherwise(True).alias("ok"))
 SQL["D14_value_type_ok"] = oracle(f"""WITH {RESOLVED} SELECT claim_id, stmt_id, CASE object_type WHEN 'entity' THEN value_type IN ('entity', 'literal') WHEN 'time' THEN value_type IN ('date', 'literal') WHEN 'quantity' THEN value_type IN ('quantity', 'literal') ELSE true END AS ok
   FROM resolved JOIN predicates USING (predicate) JOIN kb_statements k ON entity = subject_id AND k.property = predicates.property""", "claims", "kb_labels", "kb_statements", "predicates")
-QUERIES["C14_object_class_gate"] = lambda s, d: _resolved(s, d).where("predicate IN ('located_in', 'based_in')").join(graph.places(paths(s, d, "is_a"), ("country",)).withColumnRenamed("node", "object_id"), "object_id", "left_semi").select("claim_id")
-SQL["C14_object_class_gate"] = oracle(f"WITH RECURSIVE {IS_A}, {RESOLVED} SELECT claim_id FROM resolved WHERE predicate IN ('located_in', 'based_in') AND object_id IN (SELECT src FROM is_a WHERE dst = 'country')", "claims", "kb_labels", "kb_edges")
+QUERIES["C14_object_class_gate"] = lambda s, d: _asked(s, d).where("is_location").join(graph.places(paths(s, d, "is_a"), ("country",)).withColumnRenamed("node", "object_id"), "object_id", "left_semi").select("claim_id")
+SQL["C14_object_class_gate"] = oracle(f"WITH RECURSIVE {IS_A}, {RESOLVED} SELECT claim_id FROM resolved JOIN predicates p USING (predicate) WHERE p.property IS NOT NULL AND is_location AND object_id IN (SELECT src FROM is_a WHERE dst = 'country')", "claims", "kb_labels", "kb_edges", "predicates")
 QUERIES["C15_name_match"] = lambda s, d: _asked(s, d).join(view(s, d, "kb_statements").withColumnRenamed("entity", "subject_id"), ["subject_id", "property"]).join(view(s, d, "kb_labels"), C("value") == C("kb_id")).where(F.lower(F.trim("label")) == F.lower(F.trim("object"))).select("claim_id", "stmt_id")
 SQL["C15_name_match"] = oracle(f"WITH {RESOLVED} SELECT claim_id, stmt_id FROM resolved JOIN predicates USING (predicate) JOIN kb_statements k ON entity = subject_id AND k.property = predicates.property JOIN kb_labels ON kb_id = value WHERE lower(trim(label)) = lower(trim(object))", "claims", "kb_labels", "kb_statements", "predicates")
 QUERIES["C11_part_of_upgrade"] = lambda s, d: _place_pairs(s, d).join(paths(s, d, "part_of"), (C("value") == C("src")) & (C("expected") == C("dst")), "left_semi").select("claim_id", "stmt_id")
-SQL["C11_part_of_upgrade"] = oracle(f"WITH RECURSIVE {PART_OF}, {RESOLVED} SELECT claim_id, stmt_id FROM resolved JOIN kb_statements ON entity = subject_id AND property = 'P17' JOIN part_of ON src = value AND dst = object_id", "claims", "kb_labels", "kb_edges", "kb_statements")
+SQL["C11_part_of_upgrade"] = oracle(f"WITH RECURSIVE {PART_OF}, {RESOLVED} SELECT claim_id, stmt_id FROM resolved JOIN kb_statements ON entity = subject_id AND property IN ({_PLACING}) JOIN part_of ON src = value AND dst = object_id", "claims", "kb_labels", "kb_edges", "kb_statements")
 QUERIES["C12_no_statement_fallback"] = lambda s, d: _asked(s, d).where("is_location").join(kb.usable(view(s, d, "kb_statements")).select(C("entity").alias("subject_id"), "property"), ["subject_id", "property"], "left_anti").join(paths(s, d, "part_of"), (C("src") == C("subject_id")) & (C("dst") == C("object_id")), "left_semi").select("claim_id")
 SQL["C12_no_statement_fallback"] = oracle(f"""WITH RECURSIVE {PART_OF}, {RESOLVED} SELECT claim_id FROM resolved JOIN predicates p USING (predicate) JOIN part_of ON src = subject_id AND dst = object_id WHERE is_location
   AND NOT EXISTS (SELECT 1 FROM kb_statements k WHERE k.entity = subject_id AND k.property = p.property AND rank <> 'deprecated')""", "claims", "kb_labels", "kb_edges", "kb_statements", "predicates")

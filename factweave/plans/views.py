@@ -253,6 +253,10 @@ VIEWS = {
         SELECT p_partkey AS id, p_name AS a, 'class ' || CAST(p_size % 3 AS STRING) AS b, CASE WHEN p_size % 2 = 0 THEN 'is_a' ELSE 'part_of' END AS relation,
           CASE p_partkey % 5 WHEN 0 THEN 'b_subsumed_by_a' WHEN 1 THEN 'unrelated' WHEN 2 THEN 'equivalent' ELSE 'a_subsumed_by_b' END AS verdict, p_partkey % 11 = 0 AS retracted
         FROM {part}""",
+    "seed_rows": """
+        SELECT s_suppkey AS id, 'pred_' || CAST(s_suppkey % 97 AS STRING) AS predicate, 'P' || CAST(s_suppkey % 41 AS STRING) AS property FROM {supplier}""",
+    "retractions": """
+        SELECT DISTINCT l_partkey AS id FROM {lineitem} WHERE l_returnflag = 'R' AND l_linenumber = 1""",
     "requests": """
         SELECT id AS request_id, CASE WHEN id % 10 = 9 THEN 'user_' || CAST(id % 150 AS STRING) WHEN id % 17 = 3 THEN 'event_' || CAST(id AS STRING) WHEN id % 31 = 5 THEN 'the ' || reference ELSE reference END AS reference,
           expected_type, CASE id % 3 WHEN 0 THEN 'located_in' WHEN 1 THEN 'made_by' END AS predicate, CASE WHEN id % 2 = 0 THEN 'subject' ELSE 'object' END AS slot, 'user_' || CAST(id % 150 AS STRING) AS party

@@ -90,3 +90,16 @@ def test_functions_of_sql_are_the_columns(spark, told):
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "UDF" not in plan and "parse_quantity(" not in plan
+
+
+def test_windowed_counts_leave_out_what_comes_after_the_watermark(spark, tmp_path):
+    schema = "at timestamp, event_type string"
+    batches = [["10:00:05", "10:00:50", "10:01:10"], ["10:00:55", "10:09:00"], ["10:00:57"], ["10:20:00"]]
+    for n, times in enumerate(batches):
+        rows = spark.createDataFrame([(f"2024-01-01 {t}", "click") for t in times], "at string, event_type string")
+        rows.select(F.col("at").cast("timestamp").alias("at"), "event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "at", "1 minute", "5 minutes")
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(120), n
+    got = {r["w"]: r["events"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.date_format("window.start", "HH:mm").alias("w"), "events").collect()}
+    assert got == {"10:00": 3, "10:01": 1, "10:09": 1}
