@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -61,15 +61,32 @@ def of_words(parts: list[str], n_tokens) -> bool:
     return words >= short
 
 
+def outside(runs: Iterable[tuple[int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans of base leave of runs, which come in order and don't overlap; pieces of fewer than MIN_RUN characters tell nothing."""
+    at, reach = 0, 0
+    for start, end in runs:
+        while at < len(base) and base[at][0] <= start:
+            reach = max(reach, base[at][2])
+            at += 1
+        start, ahead = max(start, reach), at
+        while ahead < len(base) and base[ahead][0] < end:
+            if base[ahead][0] - start >= MIN_RUN:
+                yield start, base[ahead][0]
+            start = max(start, base[ahead][2])
+            ahead += 1
+        if end - start >= MIN_RUN:
+            yield start, end
+
+
 def random_spans(text: str, n_tokens, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans with letters and few characters per token, as a whole or in a long part.
+    """Runs with letters and few characters per token, as a whole or in a long part; of a run that meets base spans, what they leave of it.
 
     Digests, UUIDs and runs without letters are set aside, and compounds of words for which the whole has few by its joints only.
     """
     found = []
-    for m in RUN.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        if not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or any(s < end and start < e for s, _, e in base):
+    for start, end in outside((m.span() for m in RUN.finditer(text)), base):
+        run = text[start:end]
+        if not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
             continue
         parts = [p for p in JOINT.split(run) if p]
         random = len(run) <= MAX_RATIO * n_tokens(run)

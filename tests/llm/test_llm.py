@@ -497,6 +497,27 @@ def test_secret_spans():
     assert secret_scan.base_spans("AKIA123 deadbeef paſſword=aaaaaaaaaa") == []
 
 
+def test_what_base_spans_leave_of_a_run_is_tested():
+    rng = random.Random(3)
+    for _ in range(3000):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randint(0, 4)))
+        runs = list(zip(cuts[::2], cuts[1::2], strict=True))
+        base = sorted((a, rng.randrange(3), a + rng.randint(1, 60)) for a in (rng.randrange(200) for _ in range(rng.randint(0, 5))))
+        want = []
+        for start, end in runs:
+            free = [i for i in range(start, end) if not any(a <= i < b for a, _, b in base)]
+            for i in free:
+                if want and want[-1][1] == i and want[-1][0] >= start:
+                    want[-1][1] = i + 1
+                else:
+                    want.append([i, i + 1])
+        assert list(secret_scan.outside(runs, base)) == [(a, b) for a, b in want if b - a >= secret_scan.MIN_RUN]
+    text = "q7Zk2XvB9mTr4LwPs8Jd_secret=abcdefgh1234,"
+    base = secret_scan.base_spans(text)
+    assert [(s, e) for s, _, e in base] == [(21, 40)]
+    assert secret_scan.random_spans(text, len, base) == [(0, 3, 21)]
+
+
 def test_secret_scan_finds_random_runs_and_leaves_digests(spark, odd, empty):
     rows = [(1, "see 9fK2xQ7LmZp4Vt8RbW3n and " + "ab12" * 8), (2, "a perfectly-plain identifier_with_parts and 123e4567-e89b-12d3-a456-426614174000")]
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
