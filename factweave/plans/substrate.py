@@ -274,7 +274,15 @@ QUERIES["J4_subsumption_conflicts"] = lambda s, d: substrate.verdict_conflicts(v
 SQL["J4_subsumption_conflicts"] = oracle("SELECT a, b, relation, count(DISTINCT verdict) AS verdicts FROM subsumptions WHERE NOT retracted GROUP BY a, b, relation HAVING count(DISTINCT verdict) > 1", "subsumptions")
 QUERIES["I8_slot_map_borrow"] = lambda s, d: substrate.borrowed(view(s, d, "mappings")).select("id", "subject_slot")
 SQL["I8_slot_map_borrow"] = oracle("SELECT id, coalesce(subject_slot, first_value(subject_slot IGNORE NULLS) OVER (PARTITION BY property ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS subject_slot FROM mappings", "mappings")
-QUERIES["I16_usage_touch"] = lambda s, d: view(s, d, "mappings").join(s.read.parquet(f"{d}/lineitem.parquet").groupBy(C("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("used")), "id", "left").select("id", F.coalesce("used", F.lit(0)).alias("used"))
+
+
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16: how often each mapping was used."""
+    used = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(C("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("used"))
+    return _mappings(spark, sf_dir).join(used, "id", "left").select("id", F.coalesce("used", F.lit(0)).alias("used"))
+
+
+QUERIES["I16_usage_touch"] = _touched
 SQL["I16_usage_touch"] = oracle("SELECT id, (SELECT count(*) FROM lineitem WHERE l_partkey = id) AS used FROM mappings", "mappings")
 QUERIES["I17_retract"] = lambda s, d: substrate.retract(view(s, d, "mappings"), view(s, d, "retractions")).select("id", "retracted")
 SQL["I17_retract"] = oracle("SELECT id, retracted OR (NOT pinned AND id IN (SELECT id FROM retractions)) AS retracted FROM mappings", "mappings", "retractions")
@@ -358,7 +366,16 @@ def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["A6_seed_bindings"] = _seeded
 SQL["A6_seed_bindings"] = oracle("""WITH l AS (SELECT * FROM mappings WHERE NOT retracted), s AS (SELECT predicate, arg_min(property, id) AS property FROM l WHERE pinned GROUP BY predicate) SELECT predicate, property, false AS gated, CAST(1.0 AS DOUBLE) AS rank FROM s
   UNION ALL SELECT DISTINCT l.predicate, l.property, true, CAST(0.4 AS DOUBLE) FROM l JOIN s USING (predicate) WHERE l.property <> s.property""", "mappings")
-QUERIES["A5_seed_upsert"] = lambda s, d: substrate.upsert(view(s, d, "mappings").select("id", "predicate", "property", "pinned"), files.seeds(files.json_round_trip(view(s, d, "seed_rows"), "seeds")), ["predicate", "property"]).select("id", "predicate", "property", "pinned")
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: mappings with seeds, read from JSON lines, in place of those on the same predicate and property."""
+    columns = ["id", "predicate", "property", "pinned"]
+    new = files.seeds(files.json_round_trip(view(spark, sf_dir, "seed_rows"), "seeds"))
+    return substrate.upsert(_mappings(spark, sf_dir).select(*columns), new, ["predicate", "property"]).select(*columns)
+
+
+QUERIES["A5_seed_upsert"] = _upserted
 SQL["A5_seed_upsert"] = oracle("SELECT id, predicate, property, pinned FROM mappings m WHERE NOT EXISTS (SELECT 1 FROM seed_rows n WHERE n.predicate = m.predicate AND n.property = m.property) UNION ALL SELECT id, predicate, property, true FROM seed_rows", "mappings", "seed_rows")
 QUERIES["A8_json_lines"] = lambda s, d: files.json_round_trip(view(s, d, "cases").select("case_id", "failure_mode", "ground_truth"), "cases")
 SQL["A8_json_lines"] = oracle("SELECT case_id, failure_mode, ground_truth FROM cases", "cases")
@@ -411,7 +428,15 @@ SQL["M12_ordered_dedupe"] = oracle("SELECT party, object, min(id) AS first_id, C
 # ---- sets ----
 QUERIES["F6_iso_or_null"] = lambda s, d: view(s, d, "tier_u").select("id", F.nullif(F.nullif(F.trim("valid_until"), F.lit("")), F.lit("before_present")).alias("end_date"))
 SQL["F6_iso_or_null"] = oracle("SELECT id, nullif(nullif(trim(valid_until), ''), 'before_present') AS end_date FROM tier_u", "tier_u")
-QUERIES["G18_entity_substitution"] = lambda s, d: _resolved(s, d).join(view(s, d, "kb_edges").where("property = 'P30'").select(C("dst").alias("object_id"), C("src").alias("substitute")), "object_id").select("claim_id", "subject_id", "substitute")
+
+
+def _substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may stand for a claim's object: what lies on it as on a continent."""
+    lies_on = view(spark, sf_dir, "kb_edges").where("property = 'P30'").select(C("dst").alias("object_id"), C("src").alias("substitute"))
+    return _resolved(spark, sf_dir).join(lies_on, "object_id").select("claim_id", "subject_id", "substitute")
+
+
+QUERIES["G18_entity_substitution"] = _substituted
 SQL["G18_entity_substitution"] = oracle(f"WITH {RESOLVED} SELECT claim_id, subject_id, src AS substitute FROM resolved JOIN kb_edges ON dst = object_id AND property = 'P30'", "claims", "kb_labels", "kb_edges")
 
 
