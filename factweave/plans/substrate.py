@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factweave.operators import graph, kb, resolve, rollup, substrate, verify
 from factweave.plans import verification
 from factweave.plans.grounding import IS_A, PART_OF, RESOLVED, _resolved, paths
-from factweave.plans.views import NOW, oracle, view
+from factweave.plans.views import NOW, VIEWS, oracle, view
 from factweave.sources import files, statements
 from factweave.sources.scratch import shared_dir
 from factweave.streaming import stateful
@@ -284,8 +284,8 @@ def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["I16_usage_touch"] = _touched
 SQL["I16_usage_touch"] = oracle("SELECT id, (SELECT count(*) FROM lineitem WHERE l_partkey = id) AS used FROM mappings", "mappings")
-QUERIES["I17_retract"] = lambda s, d: substrate.retract(view(s, d, "mappings"), view(s, d, "retractions")).select("id", "retracted")
-SQL["I17_retract"] = oracle("SELECT id, retracted OR (NOT pinned AND id IN (SELECT id FROM retractions)) AS retracted FROM mappings", "mappings", "retractions")
+QUERIES["I17_retract"] = lambda s, d: substrate.retract(view(s, d, "mappings"), view(s, d, "mapping_retractions")).select("id", "retracted")
+SQL["I17_retract"] = oracle(f"WITH retractions AS ({VIEWS['mapping_retractions'].format(lineitem='lineitem')}) SELECT id, retracted OR (NOT pinned AND id IN (SELECT id FROM retractions)) AS retracted FROM mappings", "mappings")
 
 
 # ---- the walk ----

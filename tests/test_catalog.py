@@ -1,5 +1,6 @@
 """Every registered query that has SQL gives the rows of DuckDB on the smallest tables."""
 
+import ast
 import glob
 import math
 import os
@@ -69,3 +70,13 @@ def test_query_gives_the_rows_of_its_sql(spark, db, name):
 
 def test_every_query_is_named_once():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("path", sorted(glob.glob(f"{os.path.dirname(catalog.__file__)}/*.py")))
+def test_no_name_stands_for_two_views_or_queries(path):
+    """The second of two equal keys would silently take the place of the first."""
+    with open(path) as file:
+        tree = ast.parse(file.read())
+    for node in ast.walk(tree):
+        keys = [k.value for k in node.keys if isinstance(k, ast.Constant)] if isinstance(node, ast.Dict) else []
+        assert len(keys) == len(set(keys)), sorted({k for k in keys if keys.count(k) > 1})
