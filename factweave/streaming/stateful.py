@@ -42,16 +42,19 @@ LATE = "late"
 
 
 class Kept:
-    """A dictionary of a Belief whose entries are a map state's: read when asked for, written back when the batch is done."""
+    """A dictionary of a Belief whose entries are a map state's: read when asked for, written back when the batch is done.
 
-    def __init__(self, state: Any, load: Callable[[tuple], Any], store: Callable[[Any], tuple]):
-        self.state, self.load, self.store, self.held = state, load, store, {}
+    fresh: the key has no state yet, so there is nothing to ask the state store for.
+    """
+
+    def __init__(self, state: Any, load: Callable[[tuple], Any], store: Callable[[Any], tuple], fresh: bool = False):
+        self.state, self.load, self.store, self.fresh, self.held = state, load, store, fresh, {}
 
     def _key(self, key: Any) -> tuple:
         return key if isinstance(key, tuple) else (key,)
 
     def get(self, key: Any, default: Any = None) -> Any:
-        if key not in self.held and self.state.containsKey(self._key(key)):
+        if key not in self.held and not self.fresh and self.state.containsKey(self._key(key)):
             self.held[key] = self.load(self.state.getValue(self._key(key)))
         return self.held.get(key, default)
 
@@ -66,6 +69,8 @@ class Kept:
 
     def __iter__(self) -> Iterator:
         yield from list(self.held)
+        if self.fresh:
+            return
         for key in self.state.keys():
             key = tuple(key) if len(key) > 1 else key[0]
             if key not in self.held:
@@ -104,9 +109,10 @@ class Revision(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("id")
         belief = Belief(key[2] in self.functional)
-        belief.last, belief.firm, belief.starts = Kept(self.last, tuple, tuple), Kept(self.firm, _unpack, _pack), Kept(self.starts, _unpack, _pack)
+        known = self.rest.exists()
+        belief.last, belief.firm, belief.starts = Kept(self.last, tuple, tuple, not known), Kept(self.firm, _unpack, _pack, not known), Kept(self.starts, _unpack, _pack, not known)
         seen = -(2**63)
-        if self.rest.exists():
+        if known:
             n, seen, positive = self.rest.get()
             belief.n, belief.positive = n, [tuple(x) for x in json.loads(positive)]
         status = []

@@ -103,3 +103,18 @@ def test_windowed_counts_leave_out_what_comes_after_the_watermark(spark, tmp_pat
         assert query.awaitTermination(120), n
     got = {r["w"]: r["events"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.date_format("window.start", "HH:mm").alias("w"), "events").collect()}
     assert got == {"10:00": 3, "10:01": 1, "10:09": 1}
+
+
+def test_a_new_key_asks_the_state_store_for_nothing():
+    class Store:
+        stored = {}
+
+        def updateValue(self, key, value):
+            self.stored[key] = value
+
+    kept = stateful.Kept(Store(), tuple, tuple, fresh=True)
+    assert kept.get("a") is None and list(kept) == []
+    kept["a"] = (1, "x")
+    assert kept.get("a") == (1, "x") and list(kept) == ["a"]
+    kept.save()
+    assert Store.stored == {("a",): (1, "x")}
