@@ -1,8 +1,11 @@
 """What Spark makes of shared steps: how tables are joined."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
+from test_operators import small_world
 
-from factweave.operators import graph, kb
+from factweave.operators import graph, kb, verify
 from factweave.sources import scratch
 
 
@@ -43,3 +46,29 @@ def test_claims_without_an_expected_entity_do_not_meet_in_one_task(spark, capsys
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert [tuple(r) for r in kinds.collect()] == [("N1", "country", None, True)]
     assert got == {1: ("verified", None, 1), 2: ("no_match", "date_not_a_clean_mismatch", 1), 3: ("no_match", "no_matching_statement", 0), 4: ("no_match", "value_type_object_type_mismatch", 1), 5: ("no_match", "value_unresolved", 0)}
+
+
+def test_only_nodes_that_a_source_looks_up_by_id_meet_labels(spark, capsys):
+    s = small_world(spark)
+    named = scratch.settle(spark.range(2 * scratch.SENT).select(F.concat(F.lit("Firm "), "id").alias("label"), F.concat(F.lit("Q"), "id").alias("id")), "names")
+    p = replace(verify.prepare(s), names=named)
+    node = lambda i, subject, predicate, object_: (i, i, "u", subject, predicate, object_, 1, None, None, True, False)
+    schema = "node_id long, claim_id long, party string, subject string, predicate string, object string, polarity int, valid_from string, valid_until string, external boolean, given boolean"
+    nodes = spark.createDataFrame([node(1, "12", "greater_than", "11"), node(2, "Firm 1", "greater_than", "2"), node(3, "Firm 7", "located_in", "1997-02"), node(4, "zz", "located_in", "yy")], schema)
+    rows = verify.resolved(scratch.settle(verify.described(nodes, p), "nodes"), p)
+    assert "hashpartitioning(subject" not in plan_of(rows, capsys)
+    got = {r["node_id"]: (r["named"], r["subject_id"], r["object_id"]) for r in rows.collect()}
+    assert got[1] == (False, None, None) and got[2][0] is False and got[3] == (True, "Q7", None) and got[4] == (False, None, None)
+
+
+def test_a_claim_on_a_single_statement_is_not_put_together(spark, capsys):
+    frame = spark.createDataFrame
+    row = lambda i, lookup, expected: (i, 0, "P", False, True, False, None, "time", False, 1, None, None, lookup, None, expected)
+    asked = scratch.settle(frame([row(1, "O1", "1996-05-04"), row(2, "O2", "1997"), row(3, None, "1996"), row(4, "O3", "1998")], ASKED), "asked")
+    statements = frame([(1, "O1", "P", "1996-05-04", "date", "normal", None, None), (2, "O2", "P", "1997-01-02", "date", "normal", None, None), (3, "O2", "P", "1999-01-02", "date", "normal", None, None)], "stmt_id long, entity string, property string, value string, value_type string, rank string, start_q string, end_q string")
+    none = scratch.settle(frame([], "src string, dst string, depth int, first_property string"), "paths")
+    place = graph.place_table(none, none)
+    compared = kb.compare(asked, kb.with_values(statements, place, frame([("N1", "Nord")], "kb_id string, label string")), none, place, F.to_date(F.lit("2024-01-15")))
+    assert "Union" in plan_of(compared, capsys)
+    got = {r["claim_id"]: (r["verdict"], r["reason"], r["n_statements"]) for r in compared.collect()}
+    assert got == {1: ("verified", None, 1), 2: ("verified", None, 2), 3: ("no_match", "no_matching_statement", 0), 4: ("no_match", "no_matching_statement", 0)}
