@@ -1,11 +1,14 @@
 """The walk: closures of any length, bridges, limits, what verdicts rest on, and verifying again after retractions."""
 
+import random
+import re
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 from test_operators import CLAIM, small_world
 
-from factweave.operators import graph, verify
+from factweave.operators import graph, party, verify
 
 EDGE = "src string, property string, dst string"
 
@@ -83,3 +86,39 @@ def test_a_hub_uses_up_its_claims_limits_only(spark):
         assert used[0]["probes"] <= 62 and used[1]["work"] == 4 + 1 + 2 + 8 and used[2]["work"] == 4
     tight = verify.Budget(work=10)  # enough for the claim and its neighbours, not for looking them all up
     assert {r["claim_id"]: r["reason"] for r in verify.verify(claims, s, tight).collect()} == {0: "budget_kb_work", 1: None, 2: None}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins of small tables as those of large ones."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield lambda df: re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stand_ins_are_found_without_lookups_by_node(spark, shuffled):
+    claims = claims_of(spark, ("Firm", "ships_from", "World", 1), ("Firm", "ships_from", "", 1), ("", "ships_from", "Alpha", 1), (None, "ships_from", "Universe", 1), ("Firm", "owns", "World", 1), ("Firm", "ships_from", "World", 0))
+    p = verify.prepare(deep_world(spark), verify.Budget())
+    nodes = verify.guards(claims, p.sources).withColumn("node_id", F.col("claim_id").cast("string"))
+    found = verify.discover(nodes.withColumns({c: F.lit(False) for c in verify.SIGNALS}), p, verify.Budget())
+    assert not [keys for keys in shuffled(found) if "node_id" in keys or "parent" in keys]
+    got = sorted((r["claim_id"], r["slot"], r["held"], r["neighbour"], r["found_by"], r["source_row"]) for r in found.collect())
+    assert got == [(0, "object", "World", "Alpha", "taxonomy", 10), (0, "object", "World", "Beta", "taxonomy", 12), (2, "object", "Alpha", "Nord", "taxonomy", 1), (2, "object", "Alpha", "Ost", "taxonomy", 2), (3, "object", "Universe", "World", "taxonomy", 11)]
+
+
+def test_the_first_two_objects_of_a_key_take_two_shuffles(spark, shuffled):
+    rng = random.Random(3)
+    told = [(i // 2, rng.choice("pq"), rng.choice("st"), "x", rng.choice("abc"), rng.choice(["yes", "no"])) for i in range(40)]  # ids come twice
+    told += [(90, "p", "u", "x", "a", "yes"), (91, "p", "u", "x", "a", "no")]
+    got = party.first_two(spark.createDataFrame(told, "id long, party string, subject string, predicate string, object string, status string"))
+    assert len(shuffled(got)) <= 2
+    want = {}
+    for key in {t[1:4] for t in told}:
+        objects = {}
+        for t in told:
+            if t[1:4] == key:
+                objects[t[4]] = min(objects.get(t[4], (t[0], t[5])), (t[0], t[5]))
+        rows = sorted((i, o, status) for o, (i, status) in objects.items())
+        want[key] = (rows[0], next((r for r in rows if r[0] != rows[0][0]), None))
+    assert {(r["party"], r["subject"], r["predicate"]): (tuple(r["first"]), r["second"] and tuple(r["second"])) for r in got.collect()} == want
