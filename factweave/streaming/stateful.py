@@ -44,14 +44,15 @@ LATE = "late"
 class Kept:
     """A dictionary of a Belief whose entries are a map state's: read when asked for, written back when the batch is done.
 
-    fresh: the key has no state yet, so there is nothing to ask the state store for.
+    fresh: there is no entry yet, so there is nothing to ask the state store for. prefix: what entries' keys begin with, where
+    several dictionaries share a state; stored: the entries that are then gone through beside those at hand.
     """
 
-    def __init__(self, state: Any, load: Callable[[tuple], Any], store: Callable[[Any], tuple], fresh: bool = False):
-        self.state, self.load, self.store, self.fresh, self.held = state, load, store, fresh, {}
+    def __init__(self, state: Any, load: Callable[[tuple], Any], store: Callable[[Any], tuple], fresh: bool = False, prefix: tuple = (), stored: list | None = None):
+        self.state, self.load, self.store, self.fresh, self.held, self.prefix, self.stored = state, load, store, fresh, {}, prefix, stored
 
     def _key(self, key: Any) -> tuple:
-        return key if isinstance(key, tuple) else (key,)
+        return (*self.prefix, *(key if isinstance(key, tuple) else (key,)))
 
     def get(self, key: Any, default: Any = None) -> Any:
         if key not in self.held and not self.fresh and self.state.containsKey(self._key(key)):
@@ -71,7 +72,7 @@ class Kept:
         yield from list(self.held)
         if self.fresh:
             return
-        for key in self.state.keys():
+        for key in self.state.keys() if self.stored is None else self.stored:
             key = tuple(key) if len(key) > 1 else key[0]
             if key not in self.held:
                 yield key
@@ -89,39 +90,84 @@ def _unpack(row: tuple) -> set:
     return {tuple(v) if isinstance(v, list) else v for v in json.loads(row[0])}
 
 
+#: So many groups are keys dealt out to: what the state store is asked for a group, and a frame of rows, serve all of its keys.
+GROUPS = 2048
+#: The state of a key with so many entries at most is one value.
+WHOLE = 64
+
+
 class Revision(StatefulProcessor):
-    """The writes of one (party, subject, predicate): what earlier micro-batches left of them is its state.
+    """The writes of a group of (party, subject, predicate): what earlier micro-batches left of each key is state.
 
-    last: by object the last write on it; firm: by object and polarity the scopes of externally verified rows; starts: by
-    object and polarity the starts of rows that can be closed; rest: how many writes were taken, the last id, and the last two
-    positive writes on different objects. Only the entries of objects that a batch writes on are read.
+    keys: by key how many writes were taken, the last id, the last two positive writes on different objects, and its entries,
+    as one text. Those of a key with more than WHOLE are in states of their own, and only those of objects that a batch
+    writes on are read: last, by object the last write on it; firm, by object and polarity the scopes of externally verified
+    rows (names: two objects that have positive ones); starts, by object and polarity the starts of rows that can be closed.
+    begun: the group has had a batch.
     """
 
     def __init__(self, functional: list[str]):
         self.functional = set(functional)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "object string", "place long, time string, polarity int, valid_from string, valid_until string, firm boolean")
-        self.firm = handle.getMapState("firm", "object string, polarity int", "scopes string")
-        self.starts = handle.getMapState("starts", "object string, polarity int", "starts string")
-        self.rest = handle.getValueState("rest", "n long, last_id long, positive string")
+        self.begun = handle.getValueState("begun", "yes boolean")
+        self.keys = handle.getMapState("keys", "key string", "n long, last_id long, positive string, names string, entries string")
+        self.last = handle.getMapState("last", "key string, object string", "place long, time string, polarity int, valid_from string, valid_until string, firm boolean")
+        self.firm = handle.getMapState("firm", "key string, object string, polarity int", "scopes string")
+        self.starts = handle.getMapState("starts", "key string, object string, polarity int", "starts string")
+
+    def _kept(self, key: str, fresh: bool, names: list) -> tuple[Kept, Kept, Kept]:
+        named = [(name, 1) for name in names]
+        return Kept(self.last, tuple, tuple, fresh, (key,)), Kept(self.firm, _unpack, _pack, fresh, (key,), named), Kept(self.starts, _unpack, _pack, fresh, (key,))
+
+    def _load(self, key: str, functional: bool, fresh: bool) -> list:
+        """What a key's earlier writes leave, and the last id of them."""
+        belief = Belief(functional)
+        told = None if fresh else self.keys.getValue((key,))
+        if told is None:
+            return [belief, -(2**63)]
+        belief.n, seen, positive, names, entries = told
+        belief.positive = [tuple(x) for x in json.loads(positive)]
+        if entries is None:
+            belief.last, belief.firm, belief.starts = self._kept(key, False, json.loads(names))
+        else:
+            last, firm, starts = json.loads(entries)
+            belief.last = {name: tuple(x) for name, x in last}
+            belief.firm = {(name, k): {tuple(x) for x in scopes} for name, k, scopes in firm}
+            belief.starts = {(name, k): set(x) for name, k, x in starts}
+        return [belief, seen]
+
+    def _save(self, key: str, belief: Belief, seen: int) -> None:
+        entries, names = None, []
+        if isinstance(belief.last, dict):
+            if len(belief.last) + len(belief.firm) + len(belief.starts) <= WHOLE:
+                entries = json.dumps([list(belief.last.items()), [(*k, list(x)) for k, x in belief.firm.items()], [(*k, list(x)) for k, x in belief.starts.items()]])
+            else:
+                held, kept = (belief.last, belief.firm, belief.starts), self._kept(key, True, [])
+                for one, entry in zip(kept, held, strict=True):
+                    one.held = entry
+                belief.last, belief.firm, belief.starts = kept
+        if entries is None:
+            for kept in (belief.last, belief.firm, belief.starts):
+                kept.save()
+            names = sorted({name for name, k in belief.firm if k == 1})[:2]
+        self.keys.updateValue((key,), (belief.n, seen, json.dumps(belief.positive), json.dumps(names), entries))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("id")
-        belief = Belief(key[2] in self.functional)
-        known = self.rest.exists()
-        belief.last, belief.firm, belief.starts = Kept(self.last, tuple, tuple, not known), Kept(self.firm, _unpack, _pack, not known), Kept(self.starts, _unpack, _pack, not known)
-        seen = -(2**63)
-        if known:
-            n, seen, positive = self.rest.get()
-            belief.n, belief.positive = n, [tuple(x) for x in json.loads(positive)]
-        status = []
-        for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-            status.append(belief.take(row) if row["id"] > seen else LATE)
-            seen = max(seen, row["id"])
-        for kept in (belief.last, belief.firm, belief.starts):
-            kept.save()
-        self.rest.update((belief.n, int(seen), json.dumps(belief.positive)))
+        fresh = not self.begun.exists()
+        if fresh:
+            self.begun.update((True,))
+        frame = pd.concat(list(rows))[COLUMNS].sort_values("id")
+        status, mine = [], {}
+        for values in zip(*frame.astype(object).where(frame.notna(), None).to_dict("list").values(), strict=True):
+            row = dict(zip(COLUMNS, values, strict=True))
+            one = mine.get(name := values[1 : 1 + len(KEY)])
+            if one is None:
+                one = mine[name] = self._load(json.dumps(name), name[KEY.index("predicate")] in self.functional, fresh)
+            status.append(one[0].take(row) if row["id"] > one[1] else LATE)
+            one[1] = max(one[1], row["id"])
+        for name, (belief, seen) in mine.items():
+            self._save(json.dumps(name), belief, int(seen))
         yield frame.assign(status=status)[[s is not None for s in status]]
 
     def close(self) -> None:
@@ -131,12 +177,14 @@ class Revision(StatefulProcessor):
 def revise_stream(writes: DataFrame, functional: list[str]) -> DataFrame:
     """A stream of writes (party.COLUMNS) as they are taken, with the status that each gets; party.closed() of them gives what they leave.
 
-    Micro-batches are judged one after the other, a key's writes within one in order of id; they are put in order in memory, so
-    the size of micro-batches bounds what a task holds of a key. A write with an id below one of its key that an earlier
-    micro-batch took comes too late to be judged: it has the status "late", and nothing depends on it. State is kept for
-    good, as any later write may depend on it. Needs the state store provider of RocksDB.
+    Micro-batches are judged one after the other, a key's writes within one in order of id; keys are dealt out to groups and a
+    group's writes of a micro-batch are put in order in memory, so the size of micro-batches bounds what a task holds. A write
+    with an id below one of its key that an earlier micro-batch took comes too late to be judged: it has the status "late",
+    and nothing depends on it. State is kept for good, as any later write may depend on it. Needs the state store provider of
+    RocksDB.
     """
-    return writes.select(*COLUMNS).groupBy(*KEY).transformWithStateInPandas(Revision(functional), WRITE, "append", "none")
+    rows = writes.select(*COLUMNS, F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).cast("int").alias("keys"))
+    return rows.groupBy("keys").transformWithStateInPandas(Revision(functional), WRITE, "append", "none")
 
 
 PARTS = 16

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,63 @@ def test_a_new_key_asks_the_state_store_for_nothing():
     assert kept.get("a") == (1, "x") and list(kept) == ["a"]
     kept.save()
     assert Store.stored == {("a",): (1, "x")}
+
+
+class Told:
+    """A state of the store, in memory; asked counts what it was asked for."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def exists(self):
+        return () in self.held
+
+    def update(self, value):
+        self.held[()] = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Told())
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Told())
+
+
+@pytest.mark.parametrize(("whole", "batches"), [(64, 1), (64, 5), (3, 5), (0, 7)])
+def test_a_group_keeps_its_keys_apart_and_asks_once_for_each(monkeypatch, whole, batches):
+    monkeypatch.setattr(stateful, "WHOLE", whole)
+    rows = [(*r[:2], rng_key, *r[3:]) for r, rng_key in zip(writes_of(400, 11), [None, "s", "t", "u"] * 100, strict=True)]
+    columns = [c.split()[0] for c in party.WRITE.split(", ")]
+    handle, revision, got = Handle(), stateful.Revision(["x"]), {}
+    revision.init(handle)
+    size = -(-len(rows) // batches)
+    for at in range(0, len(rows), size):
+        frame = pd.DataFrame(rows[at : at + size], columns=columns)
+        for part in revision.handleInputRows((7,), iter([frame[:13], frame[13:]]), None):
+            got |= dict(zip(part["id"], part["status"], strict=True))
+    beliefs, want = {}, {}
+    for row in rows:
+        w = dict(zip(columns, row, strict=True))
+        belief = beliefs.setdefault(row[1:4], party.Belief(row[3] == "x"))
+        status = belief.take(w)
+        if status is not None:
+            want[row[0]] = status
+    assert got == want and len(beliefs) == 24 and len(set(want.values())) == 3
+    if batches == 1:
+        assert sum(state.asked for state in handle.states.values()) == len(beliefs)
