@@ -160,3 +160,14 @@ def test_what_nothing_speaks_to_may_be_left_out(spark, monkeypatch):
         told.append((sorted(map(str, verify.outcome(w).collect())), sorted(map(str, verify.premises(w).collect()))))
     assert told[0] == told[1] and len({text for text in told[0][1] if "substrate" in text or "kb" in text}) > 20
     assert 0 < sum(n for every, n in made if not every) < sum(n for every, n in made if every)
+
+
+def test_verifying_again_prepares_only_what_retractions_bear_on(spark, monkeypatch):
+    s = deep_world(spark)
+    claims = claims_of(spark, ("Firm", "ships_from", "Universe", 1), ("Firm", "located_in", "Nord", 1), ("Firm", "owns", "house", 1))
+    w = verify.walk(claims, s)
+    retractions = spark.createDataFrame([("assertions", 1)], "source_table string, row_id long")
+    assert {r["claim_id"] for r in verify.touched(w, retractions, s, by_predicate=True).collect()} == {0}
+    monkeypatch.setattr(verify, "prepare", None)
+    got = {r["claim_id"]: r["verdict"] for r in verify.reverify(verify.outcome(w), w, claims, s, retractions).collect()}
+    assert got == {0: "no_grounding_found", 1: "verified", 2: "contradicted_given_assertion"}
