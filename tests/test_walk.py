@@ -162,6 +162,13 @@ def test_what_nothing_speaks_to_may_be_left_out(spark, monkeypatch):
     assert 0 < sum(n for every, n in made if not every) < sum(n for every, n in made if every)
 
 
+def test_all_neighbours_of_a_hub_are_listed(spark):
+    p = verify.prepare(hub_world(spark), verify.Budget(incoming=None))
+    nodes = verify.guards(claims_of(spark, ("Third firm", "ships_from", "Nord", 1)), p.sources).withColumn("node_id", F.col("claim_id").cast("string"))
+    found = verify.discover(nodes.withColumns({c: F.lit(False) for c in verify.SIGNALS}), p, verify.Budget(incoming=None))
+    assert {r["neighbour"] for r in found.collect()} == {f"Town {i:02}" for i in range(30)} | {"a place that trades"}
+
+
 def test_verifying_again_prepares_only_what_retractions_bear_on(spark, monkeypatch):
     s = deep_world(spark)
     claims = claims_of(spark, ("Firm", "ships_from", "Universe", 1), ("Firm", "located_in", "Nord", 1), ("Firm", "owns", "house", 1))
