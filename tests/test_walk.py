@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import CLAIM, small_world
 
 from factweave.operators import graph, party, verify
+from factweave.plans import verification
 
 EDGE = "src string, property string, dst string"
 
@@ -178,3 +179,12 @@ def test_verifying_again_prepares_only_what_retractions_bear_on(spark, monkeypat
     monkeypatch.setattr(verify, "prepare", None)
     got = {r["claim_id"]: r["verdict"] for r in verify.reverify(verify.outcome(w), w, claims, s, retractions).collect()}
     assert got == {0: "no_grounding_found", 1: "verified", 2: "contradicted_given_assertion"}
+
+
+def test_traces_of_claims_decided_at_once_are_looked_up_nowhere(spark):
+    told = spark.createDataFrame([(1, "verified", "kb", None, 0, None, False), (2, "verified_given_assertion", "tier_u", None, 0, 7, True), (3, "verified", "kb", None, 1, None, False), (4, "no_grounding_found", None, "depth_exhausted", None, None, False)],
+        "claim_id long, verdict string, source string, reason string, depth int, premise long, given boolean")
+    every = spark.createDataFrame([(3, 2, [("kb", None, None, False)]), (3, 1, [("substrate", "taxonomy", 5, False), ("kb", None, None, False)])],
+        "claim_id long, alternative int, literals array<struct<source:string,source_table:string,source_row_id:bigint,is_assertion:boolean>>")
+    got = {r["claim_id"]: [(a["alternative"], [tuple(x) for x in a["literals"]]) for a in r["trace"]["alternatives"]] for r in verification.nested(told, every).collect()}
+    assert got == {1: [(1, [(0, "kb", None, None, False)])], 2: [(1, [(0, "tier_u", "assertions", 7, True)])], 3: [(1, [(0, "substrate", "taxonomy", 5, False), (1, "kb", None, None, False)]), (2, [(0, "kb", None, None, False)])], 4: []}
